@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from loomframe.llm import simhash
+from loomframe.llm import bpe, mixing, quality, simhash, token_counts, topk, toxicity
 
-QUERIES = {"op5_simhash_golay": simhash.op5_simhash_golay}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_string_kernel_svm": toxicity.op1_string_kernel_svm,
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op5_simhash_golay": simhash.op5_simhash_golay,
+    "op6_mixing_tree": mixing.op6_mixing_tree,
+    "op7_nra_top_k": topk.op7_nra_top_k,
+    "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_token_counts": token_counts.op10_token_counts,
+}
+SQL: dict[str, str] = {"op7_nra_top_k": topk.SQL}
