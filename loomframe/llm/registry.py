@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from loomframe.llm import bpe, mixing, quality, simhash, token_counts, topk, toxicity
+from loomframe.llm import bpe, chat, mixing, quality, simhash, token_counts, topk, toxicity, url_templates, warc
 
 QUERIES = {
     "op1_string_kernel_svm": toxicity.op1_string_kernel_svm,
+    "op2_warc_zip": warc.op2_warc_zip,
+    "op3_chat_events": chat.op3_chat_events,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_simhash_golay": simhash.op5_simhash_golay,
     "op6_mixing_tree": mixing.op6_mixing_tree,
     "op7_nra_top_k": topk.op7_nra_top_k,
+    "op8_url_templates": url_templates.op8_url_templates,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_token_counts": token_counts.op10_token_counts,
 }
-SQL: dict[str, str] = {"op7_nra_top_k": topk.SQL}
+SQL: dict[str, str] = {"op3_chat_events": chat.SQL, "op2_warc_zip": warc.SQL, "op7_nra_top_k": topk.SQL, "op8_url_templates": url_templates.SQL}
