@@ -1,10 +1,10 @@
 """Operator 1: toxicity by a subsequence string kernel SVM with Nyström landmarks.
 
 Words are compared with landmark insults by the gap-weighted subsequence kernel, so inserted, doubled and swapped-in
-characters and spaced-out letters cost similarity but don't hide a word. A sentence is the greatest similarity of any of its
-words to each landmark, mapped by the inverse root of the landmarks' own kernel; a linear SVM over sentences scores it. A
-text scores as its worst sentence. Labels are of whole texts: a toxic text's training sentence is the one that the model
-itself finds worst, settled in a few rounds.
+characters and spaced-out letters cost similarity but don't hide a word. A word's similarities are mapped by the inverse
+root of the landmarks' own kernel and scored by a linear SVM; a sentence scores as its worst word and a text as its worst
+sentence. Labels are of whole texts: all words of clean sentences are clean, and one word stands for each sentence of a toxic
+text that has a landmark, then for each that the model itself finds toxic.
 """
 
 from __future__ import annotations
@@ -23,6 +23,12 @@ from loomframe.llm.common import read, small_batches
 #: Labelled texts of each class that a fit looks at, at most; those with the least hash of their id.
 FIT_ROWS = 1_500
 LANDMARKS = 48
+#: Words of these similarities are taken for alike, and for the same; the SVM's cost of a sentence inside the margin.
+ALIKE, SAME, COST = 0.55, 0.8, 5.0
+#: Least share of toxic texts among what a landmark covers.
+PURE = 0.97
+#: Texts of each class that landmarks are chosen from, and words that are looked at.
+CHOICE_ROWS, CHOICE_WORDS = 500, 160
 #: Tokens that one worker remembers at most.
 MEMO = 300_000
 THRESHOLD = 0.7
@@ -66,28 +72,23 @@ class Scorer:
             if any_:
                 self.rows.append(row)
 
-    def sentences(self, text: str, every: bool = False) -> np.ndarray:
-        """(n, landmarks) features of the sentences that have any, or of every one."""
+    def sentences(self, text: str) -> list[np.ndarray]:
+        """For each sentence that has a word with any likeness: such words' similarities."""
         out = []
         for sentence in sk.SENTENCE.split(text):
-            tokens = sentence.split()
-            hit = [p for t in tokens if (p := self.place.get(t, -1)) >= 0]
-            hit += [p for run in sk.SPACED.findall(sentence) if (p := self.place.get("".join(run.split()), -1)) >= 0]
+            hit = {p for t in tokens_of(sentence) if (p := self.place.get(t, -1)) >= 0}
             if hit:
-                out.append(np.max([self.rows[p] for p in hit], axis=0))
-            elif every:
-                out.append(np.zeros(len(self.model.landmarks), np.float32))
-        return np.array(out, np.float32).reshape(-1, len(self.model.landmarks))
+                out.append(np.array([self.rows[p] for p in sorted(hit)]))
+        return out
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         return x @ (self.model.root @ self.model.weights[:-1]) + self.model.weights[-1]
 
-    def margin(self, text: str, tokens: set[str]) -> float:
+    def margin(self, tokens: set[str]) -> float:
+        """A text's worst sentence's worst word, so the worst of its words."""
+        hit = [self.rows[p] for t in tokens if (p := self.place.get(t, -1)) >= 0]
         least = float(self.model.weights[-1])
-        if not any(self.place.get(t, -1) >= 0 for t in tokens):
-            return least
-        x = self.sentences(text)
-        return max(least, float(self.margins(x).max())) if len(x) else least
+        return max(least, float(self.margins(np.array(hit)).max())) if hit else least
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """0 to 1 for each text; null and empty texts as those without any likeness."""
@@ -97,7 +98,7 @@ class Scorer:
             part = tokens[at : at + 200]
             self.learn(set().union(*part))
             for k, t in enumerate(part, at):
-                lower[k] = self.margin(lower[k], t)
+                lower[k] = self.margin(t)
         z = np.clip(self.model.slope * np.array(lower, float) + self.model.offset, -30, 30)
         return 1 / (1 + np.exp(-z))
 
@@ -110,32 +111,41 @@ def tokens_of(lower: str) -> set[str]:
 
 
 def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = LANDMARKS) -> list[str]:
-    """Units that set toxic texts apart, taken greedily by the toxic texts that they or units like them newly cover."""
+    """Units that set toxic texts apart: greedily those that, with units like them, newly cover the most toxic texts, as long as
+    what they cover is toxic for the most part (classes weighed alike) and more than chance would give."""
+    toxic, clean = toxic[:CHOICE_ROWS], clean[:CHOICE_ROWS]
     bag = lambda sets: Counter(u for s in sets for u in s)
     a, b = bag(toxic), bag(clean)
-    odds = {u: np.log((n + 0.5) / (len(toxic) + 1)) - np.log((b[u] + 0.5) / (len(clean) + 1)) for u, n in a.items() if n >= 3}
-    names = sorted((u for u, x in odds.items() if x > 1.5), key=lambda u: (-odds[u] * a[u], u))[:600]
-    if not names:
+    odds = {u: np.log((n + 0.5) / (len(toxic) + 1)) - np.log((b[u] + 0.5) / (len(clean) + 1)) for u, n in a.items() if n >= 4}
+    names = sorted((u for u, x in odds.items() if x > 1.0), key=lambda u: (-odds[u] * a[u], u))[:CHOICE_WORDS]
+    if not names or not clean:
         return []
-    like = sk.similarity(names, names) >= 0.55
-    has = np.zeros((len(toxic), len(names)), bool)
-    at = {u: k for k, u in enumerate(names)}
-    for i, s in enumerate(toxic):
-        has[i, [at[u] for u in s if u in at]] = True
-    cover = has @ like.T.astype(np.int32) > 0
+    known = list({u for s in clean for u in s} | set(names))
+    known.sort()
+    like = sk.similarity(known, names) >= ALIKE
+    at = {u: k for k, u in enumerate(known)}
+
+    def cover(sets: list[set[str]]) -> np.ndarray:
+        return np.array([like[[at[u] for u in s if u in at]].any(0) if s else np.zeros(len(names), bool) for s in sets])
+
+    in_toxic, in_clean = cover(toxic), cover(clean)
+    share = (in_toxic.sum(0) + 0.1) / len(toxic)
+    pure = share / (share + (in_clean.sum(0) + 0.1) / len(clean))
+    alone = np.array([a[u] / len(toxic) / (a[u] / len(toxic) + (b[u] + 1) / len(clean)) for u in names])
+    able = ((pure >= PURE) | (alone >= PURE)) & (in_toxic.sum(0) >= max(5, 0.01 * len(toxic)))
     left, out = np.ones(len(toxic), bool), []
-    while len(out) < most and left.any():
-        gain = cover[left].sum(0)
+    for _ in range(most):
+        gain = np.where(able, in_toxic[left].sum(0), 0)
         k = int(np.argmax(gain))
-        if gain[k] < max(2, 0.001 * len(toxic)):
-            break
+        if gain[k] < 0.01 * len(toxic):  # what is covered counts again, for words of their own
+            taken = [names.index(o) for o in out]
+            fresh = able & ~like[[at[names[j]] for j in range(len(names))]][:, taken].any(1) if taken else able
+            gain = np.where(fresh, in_toxic.sum(0), 0)
+            k = int(np.argmax(gain))
+            if not gain[k]:
+                break
         out.append(names[k])
-        left &= ~cover[:, k]
-    for k, u in enumerate(names):  # then the strongest that are unlike those taken
-        if len(out) >= most:
-            break
-        if not any(like[k, at[o]] for o in out):
-            out.append(u)
+        left &= ~in_toxic[:, k]
     return out
 
 
@@ -150,18 +160,24 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     model.root = sk.inverse_root(sk.similarity(model.landmarks, model.landmarks))
     scorer = Scorer(model)
     scorer.learn(set().union(*tokens))
-    rows = [scorer.sentences(t, every=bool(y)) for t, y in zip(lower, toxic)]
-    clean = np.concatenate([np.zeros((1, len(model.landmarks)), np.float32)] + [r for r, y in zip(rows, toxic) if not y])
-    bad = [r for r, y in zip(rows, toxic) if y and len(r)]
-    worst = np.array([r[int(np.argmax(r.sum(1)))] for r in bad])
-    for _ in range(4):
-        x = np.concatenate([worst, clean]) @ model.root
-        model.weights = sk.train_svm(x, np.concatenate([np.ones(len(worst)), -np.ones(len(clean))]))
-        again = np.array([r[int(np.argmax(scorer.margins(r)))] for r in bad])
-        if (again == worst).all():
+    rows = [scorer.sentences(t) for t in lower]
+    clean = np.concatenate([np.zeros((1, len(model.landmarks)), np.float32)] + [s for r, y in zip(rows, toxic) if not y for s in r])
+    # a clean sentence's words are all clean; of a toxic text's sentences the one word most like a landmark stands for each that
+    # has the landmark itself (or for the likest sentence), then for each that the model finds toxic
+    bad = [r for r, y in zip(rows, toxic) if y and r]
+    like = [[float(s.max()) for s in r] for r in bad]
+    chosen = [[s[int(np.argmax(s.max(1)))] for s, x in zip(r, xs) if x >= max(ALIKE, min(SAME, max(xs)))] for r, xs in zip(bad, like)]
+    for _ in range(3):
+        if not any(chosen):
             break
-        worst = again
-    margin = np.array([max(float(model.weights[-1]), float(scorer.margins(r).max())) if len(r) else float(model.weights[-1]) for r in rows])
+        witnesses = np.array([w for c in chosen for w in c], np.float32).reshape(-1, len(model.landmarks))
+        x = np.concatenate([witnesses, clean]) @ model.root
+        model.weights = sk.train_svm(x, np.concatenate([np.ones(len(witnesses)), -np.ones(len(clean))]), COST)
+        chosen = []
+        for r in bad:
+            worst = [(float(m.max()), s[int(np.argmax(m))]) for s in r for m in [scorer.margins(s)]]
+            chosen.append([w for m, w in worst if m > 0])
+    margin = np.array([scorer.margin(t) for t in tokens])
     model.slope, model.offset = sk.platt(margin, toxic)
     return model
 
