@@ -59,7 +59,7 @@ def jpy(usd: Column, rate: float | Column = USD_JPY, digits: int | None = 2) ->
 def strict_usd(tokens_in: Column, tokens_out: Column) -> Column:
     """Negative and unknown counts as zero, rounded to six digits; an unknown model is an error."""
     usd = F.greatest(tokens_in, F.lit(0)) / 1e6 * F.col("in_usd") + F.greatest(tokens_out, F.lit(0)) / 1e6 * F.col("out_usd")
-    return F.when(F.col("in_usd").isNull(), F.raise_error(F.concat(F.lit("no price: "), F.coalesce("model", F.lit("null")))).cast("double")).otherwise(F.round(usd, 6))
+    return F.when(F.col("in_usd").isNull(), F.raise_error(F.concat(F.lit("no price: "), F.coalesce("model", F.lit("null")))).cast("double")).otherwise(F.round(usd.cast("decimal(24,9)"), 6).cast("double"))
 
 
 def usage_tokens(json: Column) -> Column:
