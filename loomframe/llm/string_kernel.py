@@ -14,6 +14,8 @@ WIDEST = 32
 FLOOR = 0.3
 #: Characters that stand for letters inside a word.
 LOOKALIKES = str.maketrans("013457@$", "oieastas")
+#: Places of hashed character pairs; a word and a landmark with fewer in common than COMMON aren't alike.
+PAIRS, COMMON, SHORT = 512, 3, 8
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
@@ -23,7 +25,7 @@ SPACED = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
 
 def units(token: str) -> list[str]:
     """What a token of lower-case text is compared as: without marks at its ends or inside, lookalikes as letters."""
-    word = _INNER.sub("", _EDGES.sub("", token).translate(LOOKALIKES))
+    word = token if token.isalpha() else _INNER.sub("", _EDGES.sub("", token).translate(LOOKALIKES))
     if len(word) < ORDER:
         return []
     if len(word) <= WIDEST:
@@ -31,58 +33,74 @@ def units(token: str) -> list[str]:
     return [word[i : i + WIDEST] for i in range(0, len(word) - WIDEST // 2, WIDEST // 2)]
 
 
-def _codes(words: list[str], pad: int) -> np.ndarray:
+def _codes(words: list[str]) -> np.ndarray:
+    """(n, widest) code points, 0 after a word's end."""
     wide = max(map(len, words))
-    return np.array([[*map(ord, w), *[pad] * (wide - len(w))] for w in words], np.int32)
+    return np.array(words, f"<U{wide}").view(np.int32).reshape(len(words), wide)
 
 
 def raw_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(n, m): for codes a (n, _) and b (m, _), the sum over common subsequences of DECAY ** (both spans)."""
-    n, m, wide = len(a), len(b), b.shape[1]
-    total = np.zeros((n, m), np.float32)
-    prime = [np.zeros((wide + 1, n, m), np.float32) for _ in range(ORDER - 1)]  # of subsequences of 1, 2 .. characters
-    for at in range(a.shape[1]):
-        same = [(a[:, at, None] == b[None, :, j]).astype(np.float32) * np.float32(DECAY * DECAY) for j in range(wide)]
-        for j in range(ORDER - 1, wide):
-            total += same[j] * prime[-1][j]
+    """(n,): for pairs of codes a[k], b[k], the sum over common subsequences of DECAY ** (both spans)."""
+    n, wide = b.shape
+    total = np.zeros(n, np.float32)
+    prime = np.zeros((ORDER - 1, wide + 1, n), np.float32)  # of subsequences of 1, 2 .. characters
+    decay, square = np.float32(DECAY), np.float32(DECAY * DECAY)
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    for at in range(len(a)):
+        same = (b == a[at]) * square
+        total += (same[ORDER - 1 :] * prime[-1, ORDER - 1 : wide]).sum(0)
+        prime *= decay
         for i in range(ORDER - 2, -1, -1):
-            run = np.zeros((n, m), np.float32)
-            for j in range(wide):
-                run *= np.float32(DECAY)
-                run += same[j] * prime[i - 1][j] if i else same[j]
-                prime[i][j + 1] *= np.float32(DECAY)
-                prime[i][j + 1] += run
+            # prime[i - 1] has been multiplied by the decay already; undo it where it is read
+            step = same * (prime[i - 1, :wide] / decay) if i else same
+            run = step[0].copy()
+            prime[i, 1] += run
+            for j in range(1, wide):
+                run *= decay
+                run += step[j]
+                prime[i, j + 1] += run
     return total
 
 
-def self_kernel(words: list[str]) -> np.ndarray:
-    out = np.zeros(len(words), np.float32)
-    codes = _codes(words, 0)
-    other = _codes(words, -1)
-    wide = codes.shape[1]
-    prime = [np.zeros((wide + 1, len(words)), np.float32) for _ in range(ORDER - 1)]
-    for at in range(wide):
-        same = (codes[:, at, None] == other).astype(np.float32).T * np.float32(DECAY * DECAY)
-        out += (same[ORDER - 1 :] * prime[-1][ORDER - 1 : wide]).sum(0)
-        for i in range(ORDER - 2, -1, -1):
-            run = np.zeros(len(words), np.float32)
-            for j in range(wide):
-                run = run * np.float32(DECAY) + (same[j] * prime[i - 1][j] if i else same[j])
-                prime[i][j + 1] = prime[i][j + 1] * np.float32(DECAY) + run
+def skip_pairs(codes: np.ndarray) -> np.ndarray:
+    """(n, PAIRS) 0 or 1: pairs of characters up to two apart, hashed to PAIRS places."""
+    out = np.zeros((len(codes), PAIRS), np.float32)
+    rows = np.arange(len(codes))
+    for gap in range(1, 4):
+        for i in range(codes.shape[1] - gap):
+            there = np.flatnonzero(codes[:, i + gap])
+            out[rows[there], (codes[there, i] * 31 + codes[there, i + gap]) % PAIRS] = 1
     return out
 
 
+def self_kernel(codes: np.ndarray) -> np.ndarray:
+    return raw_kernel(codes, np.where(codes == 0, -1, codes))
+
+
 def similarity(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """(n, m) normalised kernel, in blocks of equal-sized words so that little is padded."""
+    """(n, m) normalised kernel of the pairs that share COMMON pairs of near characters at least; others have none."""
     out = np.zeros((len(words), len(landmarks)), np.float32)
     if not words or not landmarks:
         return out
-    marks, own = _codes(landmarks, -1), self_kernel(landmarks)
-    order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    for at in range(0, len(order), 1_000):
-        block = order[at : at + 1_000]
-        part = [words[k] for k in block]
-        out[block] = raw_kernel(_codes(part, 0), marks) / np.sqrt(np.maximum(self_kernel(part)[:, None] * own[None, :], 1e-12))
+    targets, lengths = _codes(landmarks), np.array([len(x) for x in landmarks])
+    own, marks = self_kernel(targets), skip_pairs(targets)
+    targets = np.where(targets == 0, -1, targets)
+    order = np.argsort(np.array([len(w) for w in words]), kind="stable")
+    for at in range(0, len(order), 2_000):
+        block = order[at : at + 2_000]
+        codes = _codes([words[k] for k in block])
+        r, c = np.nonzero(skip_pairs(codes) @ marks.T >= COMMON)
+        if not len(r):
+            continue
+        raw = np.zeros(len(r), np.float32)
+        for short in (True, False):  # so that little of the landmarks is padding
+            pick = np.nonzero((lengths[c] <= SHORT) == short)[0]
+            if len(pick):
+                raw[pick] = raw_kernel(codes[r[pick]], targets[c[pick], : lengths[c[pick]].max()])
+        some = raw > 0
+        r, c, raw = r[some], c[some], raw[some]
+        near, back = np.unique(r, return_inverse=True)
+        out[block[r], c] = raw / np.sqrt(np.maximum(self_kernel(codes[near])[back] * own[c], 1e-12))
     return out
 
 

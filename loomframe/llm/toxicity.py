@@ -49,28 +49,27 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.place: dict[str, int] = {}
+        self.known: dict[str, int] = {}  # the same for units
         self.rows: list[np.ndarray] = []
 
     def learn(self, tokens: set[str]) -> None:
         if len(self.place) > MEMO:
-            self.place, self.rows = {}, []
-        new, owner, words = list(tokens - self.place.keys()), [], []
-        for k, token in enumerate(new):
-            for u in sk.units(token):
-                owner.append(k)
-                words.append(u)
-        found = np.zeros((len(new), len(self.model.landmarks)), np.float32)
-        if words:
-            distinct = list(dict.fromkeys(words))
-            at = {w: i for i, w in enumerate(distinct)}
-            near = sk.similarity(distinct, self.model.landmarks)
-            near[near < sk.FLOOR] = 0
-            np.maximum.at(found, owner, near[[at[w] for w in words]])
-        some = found.any(1)
-        for token, any_, row in zip(new, some.tolist(), found):
-            self.place[token] = len(self.rows) if any_ else -1
+            self.place, self.known, self.rows = {}, {}, []
+        new = {t: sk.units(t) for t in tokens - self.place.keys()}
+        words = list({u for us in new.values() for u in us} - self.known.keys())
+        near = sk.similarity(words, self.model.landmarks)
+        near[near < sk.FLOOR] = 0
+        hit = near.any(1) if words else []
+        for word, any_, row in zip(words, hit, near):
+            self.known[word] = len(self.rows) if any_ else -1
             if any_:
                 self.rows.append(row)
+        for token, us in new.items():
+            found = [p for u in us if (p := self.known[u]) >= 0]
+            if len(found) > 1:  # windows of one long word: the greatest of each
+                self.rows.append(np.max([self.rows[p] for p in found], axis=0))
+                found = [len(self.rows) - 1]
+            self.place[token] = found[0] if found else -1
 
     def sentences(self, text: str) -> list[np.ndarray]:
         """For each sentence that has a word with any likeness: such words' similarities."""
