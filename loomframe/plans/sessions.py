@@ -6,7 +6,7 @@ from loomframe.operators import sessions as S
 from loomframe.plans.views import query, view
 
 NOW = "2024-01-15 12:00:00"
-_AT = F.lit(NOW).cast("timestamp_ntz")
+_at = lambda: F.lit(NOW).cast("timestamp_ntz")
 _STATE = """, st AS (SELECT session_id, arg_max(user_sub, event_id) AS user_sub, arg_max(app_name, event_id) AS app_name,
   coalesce(max(ts) FILTER (WHERE kind = 'login'), min(ts)) AS login_at, max(ts) AS last_seen,
   (SELECT CASE WHEN e.kind = 'logout' THEN e.ts END FROM ses e WHERE e.session_id = s.session_id ORDER BY e.ts DESC, e.event_id DESC LIMIT 1) AS logout_at
@@ -15,7 +15,7 @@ _ACTIVE = f"last_seen >= TIMESTAMP '{NOW}' - INTERVAL 3600 SECOND AND logout_at
 
 
 def _before(spark, sf_dir):
-    return view(spark, sf_dir, "ses").filter(F.col("ts") <= _AT)
+    return view(spark, sf_dir, "ses").filter(F.col("ts") <= _at())
 
 
 def _state_sql(body: str, before: bool = True) -> str:
@@ -32,17 +32,17 @@ def _sql(body: str, before: bool = True) -> str:
 
 @query(_sql(f"SELECT count(*) AS active_sessions, count(DISTINCT user_sub) AS active_users FROM st WHERE {_ACTIVE}"))
 def d1_active_counts(spark, sf_dir):
-    return S.active_counts(S.latest_sessions(_before(spark, sf_dir)), _AT, 3600)
+    return S.active_counts(S.latest_sessions(_before(spark, sf_dir)), _at(), 3600)
 
 
 @query(_sql(f"SELECT count(*) AS active_sessions, count(DISTINCT user_sub) AS active_users FROM st WHERE {_ACTIVE} AND app_name = 'app1'"))
 def b6_active_in_app(spark, sf_dir):
-    return S.active_counts(S.latest_sessions(_before(spark, sf_dir)), _AT, 3600, "app1")
+    return S.active_counts(S.latest_sessions(_before(spark, sf_dir)), _at(), 3600, "app1")
 
 
 @query(_sql(f"SELECT session_id, user_sub, app_name, last_seen FROM st WHERE {_ACTIVE} ORDER BY last_seen DESC, session_id LIMIT 500"))
 def f5_active_sessions(spark, sf_dir):
-    return S.active_sessions(S.latest_sessions(_before(spark, sf_dir)), _AT, 3600).select("session_id", "user_sub", "app_name", "last_seen")
+    return S.active_sessions(S.latest_sessions(_before(spark, sf_dir)), _at(), 3600).select("session_id", "user_sub", "app_name", "last_seen")
 
 
 @query(_sql("SELECT session_id, user_sub, app_name, login_at, last_seen, logout_at FROM st", before=False))
