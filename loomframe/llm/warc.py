@@ -40,12 +40,17 @@ def _packed(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def one_line(url: str | None) -> str:
+    """A url as headers and index lines can hold it: without line ends."""
+    return "".join(c for c in url or "" if c not in "\r\n")
+
+
 def record(page_id, url: str | None, payload: bytes, refers_to, own_digest: str) -> bytes:
     """One gzip member: a response with its payload, or a revisit with headers only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     kind = "response" if refers_to is None else "revisit"
-    target = "".join(c for c in url or "" if c not in "\r\n")
+    target = one_line(url)
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{own_digest}", "Content-Type: application/http; msgtype=response"]
     if refers_to is not None:
         head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -105,7 +110,7 @@ def _write_archives(folder: str):
                 page_id = None if pd.isna(page_id) else int(page_id)
                 refers = None if same else int(first)
                 packed = record(page_id, url, payload, refers, digest(payload))
-                lines.append(f"{url or ''} 20240101000000 {json.dumps({'offset': size, 'length': len(packed)})}\n")
+                lines.append(f"{one_line(url)} 20240101000000 {json.dumps({'offset': size, 'length': len(packed)})}\n")
                 held.append(packed)
                 size += len(packed)
                 if size >= ARCHIVE_BYTES:
