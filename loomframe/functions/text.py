@@ -116,7 +116,7 @@ def tags(c: Column) -> Column:
     """Newlines count as commas; without a comma white space splits."""
     own = F.regexp_replace(c, r"[\r\n]+", ",")
     parts = F.when(own.contains(","), F.split(own, ",")).otherwise(F.split(own, r"\s+"))
-    return F.filter(F.transform(parts, F.trim), lambda t: t != "")
+    return F.filter(F.transform(parts, lambda t: F.trim(t)), lambda t: t != "")
 
 
 def first_tag(tags_json: Column) -> Column:
