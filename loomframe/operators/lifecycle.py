@@ -88,3 +88,40 @@ def turn_pairs(conversations: DataFrame) -> DataFrame:
     order = W.partitionBy("conv_id").orderBy("turn")
     own = conversations.withColumn("answer", F.lead("text").over(order)).withColumn("next", F.lead("role").over(order))
     return own.filter("role = 'user' and next = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
+
+
+def status_row(catalogue: DataFrame, status: DataFrame) -> DataFrame:
+    """Each catalogued document with its typed status; without one, the defaults."""
+    own = catalogue.join(status, "doc_id", "left")
+    flag = lambda c: F.coalesce(T.to_bool(F.col(c)), F.lit(False)).alias(c)
+    kind = F.lower(F.trim("pdf_kind"))
+    return own.select("doc_id", F.when(kind.isin("text", "image"), kind).alias("pdf_kind"), T.positive_int(F.col("page_count")).alias("page_count"), flag("text_extracted"), flag("cleaned"), T.blank_to_null(F.col("error_message")).alias("error_message"))
+
+
+def extraction_record(status: DataFrame) -> DataFrame:
+    """(doc_id, record): nested extract and cleaning parts; cleaning is null where it never ran."""
+    extract = F.struct(F.col("pdf_kind").alias("kind"), F.col("text_at").alias("at"))
+    return status.select("doc_id", F.to_json(F.struct(extract.alias("extract"), F.when(F.col("clean_done"), F.struct(F.col("clean_at").alias("at"))).alias("cleaning"))).alias("record"))
+
+
+def readiness(catalogue: DataFrame, status: DataFrame, pages: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(doc_id, pdf_kind, has_pages, ready, ingested) of each catalogued document; the three others are keyed by doc_id."""
+    known = lambda df, name: df.select("doc_id").distinct().withColumn(name, F.lit(True))
+    own = catalogue.join(status, "doc_id", "left").join(known(pages, "p"), "doc_id", "left").join(known(manifest, "m"), "doc_id", "left")
+    is_ready = ready(F.col("pdf_kind"), F.col("text_done"), F.col("clean_done"))
+    no = F.lit(False)
+    return own.select("doc_id", "pdf_kind", F.coalesce("p", no).alias("has_pages"), F.coalesce(is_ready, no).alias("ready"), F.coalesce("m", no).alias("ingested"))
+
+
+def latest_by_flag(events: DataFrame, key: str, flag: str) -> DataFrame:
+    """(key, flag, value) after all events (set, clear): the last of each key and flag counts."""
+    last = F.max_by("value", F.struct("ts", "event_id"))
+    return events.groupBy(key, flag).agg(last.alias("value"))
+
+
+def selected_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (doc_id, page_no, pos) in order without repeats; a page that its document does not have is an error."""
+    own = wanted.groupBy("doc_id", "page_no").agg(F.min("pos").alias("pos"))
+    there = pages.select("doc_id", "page_no", F.lit(1).alias("there"))
+    out = own.join(there, ["doc_id", "page_no"], "left")
+    return out.select("doc_id", F.when(F.col("there").isNull(), F.raise_error(F.lit("no such page")).cast("long")).otherwise(F.col("page_no")).alias("page_no"), "pos")
