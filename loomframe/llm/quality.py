@@ -215,8 +215,9 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose texts the rules keep, columns unchanged."""
-    return judged(docs.select(*docs.columns), labels).filter("kept").select(*docs.columns)
+    """The rows of docs whose texts the rules keep, columns unchanged, whatever their names."""
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
+    return judged(rows, labels).filter("kept").select("__row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

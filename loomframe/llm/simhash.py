@@ -9,6 +9,7 @@ of n near copies costs about n comparisons per key, not n * n, and no link betwe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from loomframe.llm.common import durable, read, small_batches
 from loomframe.llm.graph import components
 
 MAX_BITS = 4
+#: Fingerprints that one task makes keys of.
+ROWS = 10_000
 
 
 @F.pandas_udf(LongType())
@@ -45,7 +48,8 @@ def near(a: str | Column, b: str | Column) -> Column:
 
 def _links(fps: DataFrame) -> DataFrame:
     """(a, b) of distinct fingerprints: enough links of at most MAX_BITS bits to connect each class."""
-    keyed = fps.select("fp").mapInArrow(_keyed, "key long, fp long")
+    parts = max(1, math.ceil(fps.count() / ROWS))  # files of the table are few, and each row makes about 122
+    keyed = fps.select("fp").repartition(parts).mapInArrow(_keyed, "key long, fp long")
     buckets = durable(keyed.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     pairs = buckets.filter(near("a", "b")).select("a", "b")
     members = durable(keyed.join(buckets.filter("n > 2").select("key", "a"), "key"), "members")

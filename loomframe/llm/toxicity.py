@@ -9,6 +9,7 @@ text that has a landmark, then for each that the model itself finds toxic.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -182,7 +183,8 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+    """Whether an id's labels are kept for measuring; a null id's are not."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
@@ -202,7 +204,7 @@ _SCORERS: dict[str, Scorer] = {}
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with the score of each whole text, 0 to 1. A column named as out is replaced."""
     small_batches(docs.sparkSession)
-    key = f"{id(model)}-{hash(tuple(model.landmarks))}"
+    key = uuid.uuid4().hex  # a worker keeps what it knows of tokens for all tasks of this call
 
     def score(texts: pd.Series) -> pd.Series:
         if key not in _SCORERS:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loomframe.llm.common import read
+from loomframe.llm.common import durable, read
 
 #: (verdict, host and path): listed rules of the query.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -67,17 +67,17 @@ def judged_templates(shapes: DataFrame) -> DataFrame:
     placed = templates(shapes)
     counts = placed.groupBy("host", "template", "parent").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     around = counts.groupBy("host", "parent").agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
-    total = counts.agg(F.sum("n").alias("total_n"), F.sum("bad").alias("total_bad"))
+    total = shapes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    base = total.bad / total.n if total.n else 0.0
     counts = counts.join(around, ["host", "parent"])
     share = F.when(F.col("all_n") > 0, F.col("all_bad") / F.col("all_n")).otherwise(F.lit(0.0))
     off = F.when(F.col("n") > 0, F.abs(F.col("bad") / F.col("n") - share)).otherwise(F.lit(0.0))
     noise = F.when(F.col("n") > 0, Z * F.sqrt(share * (1 - share) / F.col("n"))).otherwise(F.lit(0.0))
     counts = counts.withColumn("similar", off <= noise)
     merged = counts.filter("similar").groupBy("host", "parent").agg(F.sum("n").alias("near_n"), F.sum("bad").alias("near_bad"))
-    counts = counts.join(merged, ["host", "parent"], "left").crossJoin(F.broadcast(total))  # total is one row
+    counts = counts.join(merged, ["host", "parent"], "left")
     n = F.when(F.col("similar"), F.col("near_n")).otherwise(F.col("n"))
     bad = F.when(F.col("similar"), F.col("near_bad")).otherwise(F.col("bad"))
-    base = F.when(F.col("total_n") > 0, F.col("total_bad") / F.col("total_n")).otherwise(F.lit(0.0))
     purity = (bad + SMOOTHING * base) / (n + SMOOTHING)
     counts = counts.select("host", "template", "parent", purity.alias("purity"))
     return placed.join(counts, ["host", "template", "parent"]).select("host", "shape", "template", "purity")
@@ -94,7 +94,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
     known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max(bad).alias("bad"))
     counted = own.join(known, "id", "left").groupBy("host", "shape").agg(F.count("*").alias("n_pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    out = own.join(judged_templates(counted), ["host", "shape"]).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+    out = own.join(judged_templates(durable(counted, "shapes")), ["host", "shape"]).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"), "template", "purity", F.coalesce("r.verdict", method).alias("verdict"))
 
