@@ -125,3 +125,16 @@ def selected_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     there = pages.select("doc_id", "page_no", F.lit(1).alias("there"))
     out = own.join(there, ["doc_id", "page_no"], "left")
     return out.select("doc_id", F.when(F.col("there").isNull(), F.raise_error(F.lit("no such page")).cast("long")).otherwise(F.col("page_no")).alias("page_no"), "pos")
+
+
+def already_processed(kind: Column, text_done: Column, clean_done: Column, has_output: Column) -> Column:
+    """Images once cleaned; texts once extracted and with their output there."""
+    return F.coalesce(((kind == "image") & clean_done) | ((kind == "text") & text_done & has_output), F.lit(False))
+
+
+def text_check_results(events: DataFrame, key: str) -> DataFrame:
+    """(key, level, pages) of the last check: an unknown level is an error; pages are kept, sorted and once each, unless ok."""
+    last = F.max_by(F.struct("level", "pages"), F.struct("ts", "event_id"))
+    own = events.groupBy(key).agg(last.alias("l")).select(key, F.lower(F.trim("l.level")).alias("level"), F.col("l.pages").alias("pages"))
+    level = F.when(F.col("level").isin("ok", "warning", "error"), F.col("level")).otherwise(F.raise_error(F.lit("unknown level")).cast("string"))
+    return own.select(key, level.alias("level"), F.when(F.col("level") != "ok", T.page_numbers(F.col("pages"))).alias("pages"))

@@ -102,3 +102,10 @@ def models(manifest: DataFrame, meta: DataFrame) -> DataFrame:
     m = lambda df, name: df.filter("trim(coalesce(embed_model, '')) <> ''").groupBy("shard_id", "doc_id").agg(F.min("embed_model").alias(name))
     out = m(manifest, "a").join(m(meta, "b"), ["shard_id", "doc_id"], "full_outer")
     return out.select("shard_id", "doc_id", F.coalesce("a", "b").alias("model"))
+
+
+def same_processed(sources: DataFrame, manifest: DataFrame, *also: str) -> DataFrame:
+    """sources with same: whether the manifest has the document with the same values of also (sha256, embed_model, kind)."""
+    keys = ["shard_id", "doc_id", *also]
+    known = manifest.select(*keys).distinct().withColumn("__known", F.lit(True))
+    return sources.join(known, keys, "left").withColumn("same", F.coalesce("__known", F.lit(False))).drop("__known")

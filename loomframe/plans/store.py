@@ -201,3 +201,97 @@ def h18_clamped_pages(spark, sf_dir):
 def a3_log_rows(spark, sf_dir):
     own = J.rows(view(spark, sf_dir, "log"), "user string, action string").withColumn("ts", F.lit("2024-01-01 00:00:00"))
     return J.enveloped(own, "app", "page").agg(F.count("*").alias("rows"))
+
+
+def _snapshot(spark, sf_dir):
+    from loomframe.sources.shared import new_path
+
+    main = F.lit("main").alias("collection_id")
+    parts = {"vectors": _v(spark, sf_dir), "meta": _m(spark, sf_dir), "manifest": _p(spark, sf_dir)}
+    path = new_path(spark, "store")
+    S.write_snapshot({k: df.select("*", main) for k, df in parts.items()}, path)
+    return path
+
+
+@query("SELECT shard_id, vector_index, vec_id FROM vec WHERE shard_id = '1'", "vec")
+def a9_snapshot(spark, sf_dir):
+    path = _snapshot(spark, sf_dir)
+    own = S.read_snapshot(spark, path, shard_id="1")["vectors"]
+    return own.select(F.col("shard_id").cast("string").alias("shard_id"), "vector_index", "vec_id")
+
+
+@query("SELECT shard_id, doc_id, vector_index FROM meta WHERE shard_id = '2'", "meta")
+def a25_backup(spark, sf_dir):
+    path = _snapshot(spark, sf_dir)
+    own = S.read_snapshot(spark, S.backup(spark, path, "20240101", shard_id="2"))["meta"]
+    return own.select(F.col("shard_id").cast("string").alias("shard_id"), "doc_id", "vector_index")
+
+
+@query("SELECT d.shard_id, d.doc_id, EXISTS (SELECT 1 FROM manifest p WHERE p.shard_id = d.shard_id AND p.doc_id = d.doc_id AND d.doc_id NOT LIKE '%4') AS same FROM (SELECT DISTINCT shard_id, doc_id FROM meta) d", "meta", "manifest")
+def b8_same_processed(spark, sf_dir):
+    own = _m(spark, sf_dir).select("shard_id", "doc_id", F.sha2("doc_id", 256).alias("sha256")).distinct()
+    known = _p(spark, sf_dir).withColumn("sha256", F.when(F.col("doc_id").endswith("4"), "other").otherwise(F.sha2("doc_id", 256)))
+    return S.same_processed(own, known, "sha256").select("shard_id", "doc_id", "same")
+
+
+@query("SELECT doc_id, (doc_id % 2 = 1 AND doc_id % 5 = 0) OR (doc_id % 2 = 0 AND doc_id % 3 = 0 AND doc_id % 7 > 0) AS done FROM documents")
+def b11_already_processed(spark, sf_dir):
+    n = F.col("doc_id")
+    done = L.already_processed(F.when(n % 2 == 0, "text").otherwise("image"), n % 3 == 0, n % 5 == 0, n % 7 > 0)
+    return docs(spark, sf_dir).select("doc_id", done.alias("done"))
+
+
+@query("SELECT item_id FROM inb WHERE CAST(item_id AS BIGINT) % 9 = 0", "inb")
+def c9_selected_items(spark, sf_dir):
+    own = view(spark, sf_dir, "inb")
+    keys = own.filter("cast(item_id as long) % 9 = 0").select("item_id")
+    return own.join(keys.union(keys), "item_id", "left_semi").select("item_id")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY score DESC, shard_id, vector_index) AS INTEGER) AS rank, shard_id, vector_index, score FROM (SELECT c.shard_id, c.vector_index, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score FROM (SELECT * FROM vec WHERE vec_id = 0) q, vec c) a ORDER BY score DESC, shard_id, vector_index LIMIT 8", "vec")
+def g5_union_of_shard_hits(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    own = _v(spark, sf_dir)
+    first = own.filter("vec_id = 0").select("embedding").first()
+    hits = None
+    for shard in ("0", "1", "2", "3"):
+        found = V.search(own, [(0, list(first.embedding))], 8, [shard]).drop("rank")
+        hits = found if hits is None else hits.unionByName(found)
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "shard_id", "vector_index")
+    return hits.withColumn("rank", F.row_number().over(order)).filter("rank <= 8").select("rank", "shard_id", "vector_index", "score")
+
+
+@query("SELECT doc_id, 'logs/' || source || '/app_2024-0' || CAST(doc_id % 9 + 1 AS VARCHAR) || '.jsonl' AS path FROM documents")
+def h28_log_paths(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.format_string("logs/%s/app_2024-0%d.jsonl", "source", F.col("doc_id") % 9 + 1).alias("path"))
+
+
+@query("SELECT project_year, project_no FROM prj WHERE CAST(project_no AS INTEGER) BETWEEN 1 AND 200", "prj")
+def h32_number_range(spark, sf_dir):
+    n = F.col("project_no").cast("int")
+    return view(spark, sf_dir, "prj").filter(n.between(1, 200)).select("project_year", "project_no")
+
+
+@query("SELECT doc_id, doc_id % 2 = 0 AS cleaned, CASE WHEN doc_id % 3 = 0 THEN 'image' ELSE 'text' END AS kind FROM documents")
+def a26_extraction_record(spark, sf_dir):
+    n = F.col("doc_id")
+    status = docs(spark, sf_dir).select("doc_id", F.when(n % 3 == 0, "image").otherwise("text").alias("pdf_kind"), F.lit("2024-01-01").alias("text_at"), (n % 2 == 0).alias("clean_done"), F.lit("2024-01-02").alias("clean_at"))
+    record = L.extraction_record(status)
+    return record.select("doc_id", F.get_json_object("record", "$.cleaning").isNotNull().alias("cleaned"), F.get_json_object("record", "$.extract.kind").alias("kind"))
+
+
+@query("SELECT doc_id, CASE event_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'warning' ELSE 'error' END AS level, CASE WHEN event_id % 3 > 0 THEN '[' || CAST(1 + event_id % 2 AS VARCHAR) || ', ' || CAST(5 + event_id % 2 AS VARCHAR) || ']' END AS pages FROM (SELECT event_id % 200 AS doc_id, max(event_id) AS event_id FROM events GROUP BY ALL) q")
+def n2_text_check_results(spark, sf_dir):
+    n = F.col("event_id")
+    level = F.when(n % 3 == 0, " OK").when(n % 3 == 1, "warning").otherwise("error")
+    pages = F.array((5 + n % 2).cast("int"), (1 + n % 2).cast("int"), (5 + n % 2).cast("int"), F.lit(-1))
+    own = table(spark, sf_dir, "events").select("event_id", (n % 200).alias("doc_id"), "ts", level.alias("level"), pages.alias("pages"))
+    return L.text_check_results(own, "doc_id").withColumn("pages", F.col("pages").cast("string"))
+
+
+@query("SELECT shard_id, count(*) AS rows, 1 AS dim FROM (SELECT source AS shard_id FROM documents WHERE false) q GROUP BY shard_id UNION ALL SELECT source, count(*), 1 FROM documents GROUP BY source")
+def l0_embedded_texts(spark, sf_dir):
+    length = lambda rows: rows.withColumn("embedding", F.array(F.char_length("text").cast("float")))
+    out = length(docs(spark, sf_dir).filter("trim(text) <> ''"))
+    return out.groupBy(F.col("source").alias("shard_id")).agg(F.count("*").alias("rows"), F.max(F.size("embedding")).alias("dim"))
