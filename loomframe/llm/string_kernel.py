@@ -13,7 +13,7 @@ WIDEST = 32
 #: Similarities below this count as none.
 FLOOR = 0.3
 #: Characters that stand for letters inside a word.
-LOOKALIKES = str.maketrans("013457@$", "oieastas")
+LOOKALIKES = str.maketrans("013457@$!|", "oieastasii")
 #: Places of hashed character pairs; a word and a landmark with fewer in common than COMMON aren't alike.
 PAIRS, COMMON, SHORT = 512, 3, 8
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")

@@ -33,6 +33,7 @@ CHOICE_ROWS, CHOICE_WORDS = 500, 160
 #: Tokens that one worker remembers at most.
 MEMO = 300_000
 THRESHOLD = 0.7
+CLEAN_WEIGHT = 4
 
 
 @dataclass
@@ -149,6 +150,23 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = L
     return out
 
 
+def best_cut(margin: np.ndarray, toxic: np.ndarray) -> float:
+    """The margin that parts the classes best, a clean text counting four times; of equal ones the middle of the widest gap."""
+    at = np.unique(margin)
+    if len(at) < 2:
+        return float(at[0]) + 1.0
+    middle = (at[1:] + at[:-1]) / 2
+    hit = np.array([(margin[toxic] > m).mean() - CLEAN_WEIGHT * (margin[~toxic] > m).mean() for m in middle])
+    best = np.flatnonzero(hit >= hit.max() - 1e-9)
+    return float(middle[best[int(np.argmax((at[1:] - at[:-1])[best]))]])
+
+
+def variants(word: str) -> list[str]:
+    """The word with a foreign character, a doubled one or one less at each inner place: what a disguised insult looks like."""
+    inner = range(1, len(word))
+    return [word[:i] + x + word[i:] for i in inner for x in ("x", word[i])] + [word[:i] + word[i + 1 :] for i in inner if len(word) > 5 and i < len(word) - 1]
+
+
 def train(texts: list[str], toxic: np.ndarray) -> Model:
     """A model from whole labelled texts; without both labels one that calls nothing toxic."""
     lower = [t.lower() if t else "" for t in texts]
@@ -167,10 +185,12 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     bad = [r for r, y in zip(rows, toxic) if y and r]
     like = [[float(s.max()) for s in r] for r in bad]
     chosen = [[s[int(np.argmax(s.max(1)))] for s, x in zip(r, xs) if x >= max(ALIKE, min(SAME, max(xs)))] for r, xs in zip(bad, like)]
+    shaken = sk.similarity(sorted({v for u in model.landmarks for v in variants(u)}), model.landmarks)
+    shaken[shaken < sk.FLOOR] = 0
     for _ in range(3):
         if not any(chosen):
             break
-        witnesses = np.array([w for c in chosen for w in c], np.float32).reshape(-1, len(model.landmarks))
+        witnesses = np.concatenate([np.array([w for c in chosen for w in c], np.float32).reshape(-1, len(model.landmarks)), shaken])
         x = np.concatenate([witnesses, clean]) @ model.root
         model.weights = sk.train_svm(x, np.concatenate([np.ones(len(witnesses)), -np.ones(len(clean))]), COST)
         chosen = []
@@ -178,7 +198,9 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
             worst = [(float(m.max()), s[int(np.argmax(m))]) for s in r for m in [scorer.margins(s)]]
             chosen.append([w for m, w in worst if m > 0])
     margin = np.array([scorer.margin(t) for t in tokens])
-    model.slope, model.offset = sk.platt(margin, toxic)
+    cut = best_cut(margin, toxic)
+    model.slope = max(sk.platt(margin, toxic)[0], 2.0)
+    model.offset = float(np.log(THRESHOLD / (1 - THRESHOLD))) - model.slope * cut
     return model
 
 
