@@ -9,6 +9,8 @@ shard gets an exact share, as if all draws had been shuffled. Within a shard row
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -17,6 +19,8 @@ from loomframe.llm.common import WORD, durable, read
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SHARDS, SEED = 64, 17
+#: Words that one output partition holds, about, at most.
+PART_WORDS = 20_000_000
 BLOCK_BITS = 10
 BLOCKS = 1 << BLOCK_BITS
 #: More sources than these are refused: their totals and quotas are planned on the driver.
@@ -154,13 +158,16 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS) -> DataFrame:
-    """The mixed rows, as often as the mix takes them, columns unchanged: one partition for each output shard, shuffled inside."""
+    """The mixed rows, as often as the mix takes them, columns unchanged, in order of shard and, inside, of a hash. Partitions are
+    ranges of that order: each holds a shard or a part of one, about PART_WORDS words at most."""
     names = docs.columns
     rows = durable(sized(docs, id_col, text_col, source_col), "sizes")
     whole = docs.select(F.struct(*names).alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), priority(id_col).alias("priority"))
-    out = drawn(whole, plan(rows, shards)).select("row", "id", F.posexplode("shards").alias("turn", "shard"))
-    out = out.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(SEED), "shard", "id", "turn"))
-    return out.select("row.*")
+    planned = plan(rows, shards)
+    parts = max(shards, math.ceil((planned.agg(F.sum("target").alias("words")).first().words or 0) / PART_WORDS))
+    out = drawn(whole, planned).select("row", "id", F.posexplode("shards").alias("turn", "shard"))
+    out = out.withColumn("order", F.xxhash64(F.lit(SEED), "shard", "id", "turn"))
+    return out.repartitionByRange(parts, "shard", "order").sortWithinPartitions("shard", "order").select("row.*")
 
 
 def op6_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
