@@ -6,14 +6,14 @@ each document taken in. A vector without metadata is an orphan and can't be foun
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-#: Queries of one search, at most: they are sent to every task.
-MAX_QUERIES = 10_000
+#: Vectors and queries of a block; a task of a search holds one of each.
+BLOCK_ROWS, BLOCK_QUERIES = 8_192, 1_024
 OUTLIER = 8_192
 
 
@@ -22,39 +22,51 @@ def live(vectors: DataFrame, meta: DataFrame) -> DataFrame:
     return vectors.join(meta, ["shard_id", "vector_index"])
 
 
-def search(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = 5, shards: list[str] | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame | list[tuple[int, list[float]]], k: int = 5, shards: list[str] | None = None) -> DataFrame:
     """(query_id, rank, shard_id, vector_index, score): the k nearest by cosine, rounded to six digits, ties to the smaller shard
-    and index. A vector of norm zero scores 0; a query of norm zero or of another length than the vectors is an error.
+    and index, for every row of queries (query_id, embedding), however many. A vector of norm zero scores 0; a query of norm
+    zero or of another length than the vectors is an error, which for a DataFrame of queries is raised by its task.
 
-    Each task keeps its k best for each query (NumPy over Arrow batches), so what is ranked at the end are k rows for each
-    task and query. Named shards are filtered before the scan is read.
+    Blocks of vectors meet blocks of queries by a (query block, vector block) key, so no task holds more than one of each, and
+    the k best of each pair are ranked at the end. Named shards are filtered before the scan is read.
     """
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries")
-    ids = np.array([i for i, _ in queries], np.int64)
-    q = np.array([v for _, v in queries], np.float64)
-    norms = np.linalg.norm(q, axis=1) if len(queries) else np.zeros(0)
-    if (norms == 0).any():
-        raise ValueError("a query has norm zero")
+    if isinstance(queries, list):
+        if any(not any(v) for _, v in queries):
+            raise ValueError("a query has norm zero")
+        queries = vectors.sparkSession.createDataFrame(queries, "query_id long, embedding array<double>")
     own = vectors.filter(F.col("shard_id").isin(*shards)) if shards is not None else vectors
-    unit = q / norms[:, None] if len(queries) else q
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for frame in frames:
-            if not len(frame) or not len(ids):
-                continue
-            x = np.stack(frame["embedding"].to_list()).astype(np.float64)
-            norm = np.linalg.norm(x, axis=1)
-            score = np.round((x @ unit.T) / np.where(norm > 0, norm, 1)[:, None], 6) + 0.0
-            n = len(frame)
-            rows = pd.DataFrame({"query_id": np.tile(ids, n), "shard_id": np.repeat(frame["shard_id"].to_numpy(), len(ids)), "vector_index": np.repeat(frame["vector_index"].to_numpy(), len(ids)), "score": score.ravel()})
-            held = rows if held is None else pd.concat([held, rows])
-            held = held.sort_values(["score", "shard_id", "vector_index"], ascending=[False, True, True]).groupby("query_id", sort=False).head(k)
-        if held is not None:
-            yield held
-
-    found = own.select("shard_id", "vector_index", "embedding").mapInPandas(best, "query_id long, shard_id string, vector_index long, score double")
+    own = own.select("shard_id", F.col("vector_index").cast("long").alias("vector_index"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    blocks, groups = max(1, math.ceil(own.count() / BLOCK_ROWS)), max(1, math.ceil(asked.count() / BLOCK_QUERIES))
+    deal = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = own.withColumn("block", deal(blocks, "shard_id", "vector_index")).withColumn("group", each(groups))
+    asks = asked.withColumn("group", deal(groups, "query_id")).withColumn("block", each(blocks))
+
+    def best(key, x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        at_query, at_row, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        x = x.sort_values(["shard_id", "vector_index"], ignore_index=True)
+        if len(x) and len(q):
+            v, w = np.stack(x["embedding"].to_list()), np.stack(q["embedding"].to_list())
+            norm, norms = np.linalg.norm(v, axis=1), np.linalg.norm(w, axis=1)
+            if (norms == 0).any():
+                raise ValueError("a query has norm zero")
+            v = v / np.where(norm > 0, norm, 1)[:, None]
+            for at in range(0, len(q), 128):
+                score = np.round(w[at : at + 128] / norms[at : at + 128, None] @ v.T, 6) + 0.0
+                least = np.partition(score, -k, axis=1)[:, -k] if len(x) > k else np.full(len(score), -np.inf)
+                for n, (own_score, bound) in enumerate(zip(score, least)):
+                    found = np.nonzero(own_score >= bound)[0]
+                    found = found[np.argsort(-own_score[found], kind="stable")[:k]]
+                    at_query.append(np.full(len(found), at + n))
+                    at_row.append(found)
+                    scores.append(own_score[found])
+        i, j = np.concatenate(at_query), np.concatenate(at_row)
+        shard = x["shard_id"].to_numpy(dtype=object)[j]
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "shard_id": pd.Series(shard, dtype=object), "vector_index": x["vector_index"].to_numpy()[j], "score": np.concatenate(scores)})
+
+    by = ("group", "block")
+    found = rows.groupBy(*by).cogroup(asks.groupBy(*by)).applyInPandas(best, "query_id long, shard_id string, vector_index long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "shard_id", "vector_index")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "shard_id", "vector_index", "score")
 

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from loomframe.operators import vectors as V
 from loomframe.plans.views import query, view
@@ -39,6 +39,45 @@ def l4_named_shards(spark, sf_dir):
     return V.search(_v(spark, sf_dir), _queries(spark, sf_dir, 10), 5, ["1", "3"])
 
 
+#: The same over every row whose id is divisible by 20.
+_WHOLE = _RANKED.replace("vec_id % 100 = 0 ORDER BY vec_id LIMIT {n}", "vec_id % 20 = 0")
+
+
+def _asked(spark, sf_dir):
+    """All query vectors."""
+    return _v(spark, sf_dir).filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(_WHOLE.format(k=5, rows="vec"), "vec")
+def l1b_whole_top_k(spark, sf_dir):
+    return V.search(_v(spark, sf_dir), _asked(spark, sf_dir))
+
+
+@query(_WHOLE.format(k=10, rows="(SELECT vec.* FROM vec JOIN meta USING (shard_id, vector_index))"), "vec", "meta")
+def l2b_whole_live_shards(spark, sf_dir):
+    return V.search(V.live(_v(spark, sf_dir), _m(spark, sf_dir)), _asked(spark, sf_dir), 10)
+
+
+@query(_WHOLE.format(k=10, rows="vec"), "vec")
+def l3b_whole_batch_search(spark, sf_dir):
+    return V.search(_v(spark, sf_dir), _asked(spark, sf_dir), 10)
+
+
+@query(_WHOLE.format(k=5, rows="(SELECT * FROM vec WHERE shard_id IN ('1', '3'))"), "vec")
+def l4b_whole_named_shards(spark, sf_dir):
+    return V.search(_v(spark, sf_dir), _asked(spark, sf_dir), 5, ["1", "3"])
+
+
+@query(_WHOLE.format(k=8, rows="vec"), "vec")
+def g5b_whole_union_of_shard_hits(spark, sf_dir):
+    hits = None
+    for shard in ("0", "1", "2", "3"):
+        found = V.search(_v(spark, sf_dir), _asked(spark, sf_dir), 8, [shard]).drop("rank")
+        hits = found if hits is None else hits.unionByName(found)
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "shard_id", "vector_index")
+    return hits.withColumn("rank", F.row_number().over(order)).filter("rank <= 8").select("query_id", "rank", "shard_id", "vector_index", "score")
+
+
 @query("SELECT shard_id, vector_index, doc_id FROM vec JOIN meta USING (shard_id, vector_index)", "vec", "meta")
 def c2_live_vectors(spark, sf_dir):
     return V.live(_v(spark, sf_dir), _m(spark, sf_dir)).select("shard_id", "vector_index", "doc_id")
