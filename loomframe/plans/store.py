@@ -49,6 +49,19 @@ def a16_decoded(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", SF.decoded(raw).alias("d")).select("doc_id", "d.*")
 
 
+#: 0 UTF-8, 1 UTF-16, and of ASCII texts, which cp932 has too: 2 Shift_JIS, 3 cp932 only, 4 a cut character.
+_KIND = "CASE WHEN doc_id % 5 > 1 AND {bytes}(text) > {chars}(text) THEN doc_id % 2 ELSE doc_id % 5 END"
+
+
+@query(f"""SELECT doc_id, text || CASE k WHEN 3 THEN '日本①' WHEN 4 THEN chr(65533) ELSE '日本' END AS text, CASE WHEN text IS NULL THEN NULL WHEN k = 0 THEN 'utf-8-sig' WHEN k = 1 THEN 'utf-16' WHEN k = 2 THEN 'shift_jis' WHEN k = 3 THEN 'cp932' ELSE 'replace' END AS encoding
+FROM (SELECT doc_id, text, {_KIND.format(bytes="strlen", chars="length")} AS k FROM documents) q""")
+def a16b_decoded_whole(spark, sf_dir):
+    t, k = F.concat("text", F.lit("日本")), F.expr(_KIND.format(bytes="octet_length", chars="char_length"))
+    end = lambda x: F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit(x)))
+    raw = F.when(k == 0, F.encode(t, "UTF-8")).when(k == 1, F.encode(t, "UTF-16")).when(k == 2, end("93FA967B")).when(k == 3, end("93FA967B8740")).otherwise(end("81"))
+    return docs(spark, sf_dir).select("doc_id", SF.decoded(raw).alias("d")).select("doc_id", "d.*")
+
+
 @query("SELECT line_no, line NOT LIKE '{\"%' AND line <> '[1]' AS failed FROM log", "log")
 def a18_pretty_json(spark, sf_dir):
     return view(spark, sf_dir, "log").select("line_no", SF.pretty_json("line")["failed"].alias("failed"))
