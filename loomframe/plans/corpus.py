@@ -7,7 +7,8 @@ from loomframe.plans.views import query, table
 
 docs = lambda spark, sf_dir: table(spark, sf_dir, "documents")
 pages = lambda spark, sf_dir: C.paged(docs(spark, sf_dir), 5)
-PLAIN = C.Options(nfkc=False, drop_garbage=False)
+#: As by default, but that the corpora are not Japanese.
+PLAIN = C.Options(drop_garbage=False)
 _LINES = "(SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)"
 _SYM = r"""[|｜¦┃━―─\-_=~^`''\".,。・:：;；!！?？()（）\[\]［］{}｛｝<>＜＞／/\\+*#@＆&％%…]"""
 _S = r"regexp_replace(line, '^[\s　 ]+|[\s　 ]+$', '', 'g')"
@@ -67,6 +68,23 @@ def j8_without_repeated(spark, sf_dir):
     return own.join(C.repeated_lines(own, nfkc=False), ["doc_id", "canon"], "left_anti").select("doc_id", "line_no")
 
 
+# With NFKC, which DuckDB lacks.
+@query(None)
+def j1b_inline_nfkc(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", C.inline(F.col("text")).alias("text"))
+
+
+@query(None)
+def d17b_repeated_lines_nfkc(spark, sf_dir):
+    return C.repeated_lines(C.lines(docs(spark, sf_dir)))
+
+
+@query(None)
+def j8b_without_repeated_nfkc(spark, sf_dir):
+    own = C.lines(docs(spark, sf_dir)).withColumn("canon", C.canonical(F.col("line")))
+    return own.join(C.repeated_lines(own), ["doc_id", "canon"], "left_anti").select("doc_id", "line_no")
+
+
 @query(f"""SELECT doc_id, min(line_no) AS line_no, string_agg(s, ' ' ORDER BY line_no) AS line FROM (SELECT *, sum(CASE WHEN b IS NULL OR b = '' OR bh OR heading OR regexp_matches(b, '[。．.!！?？:]$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS g
 FROM (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY line_no) AS b, lag(heading) OVER (PARTITION BY doc_id ORDER BY line_no) AS bh FROM {_TAGGED} t) u) v WHERE s <> '' GROUP BY doc_id, g""")
 def j9_joined_lines(spark, sf_dir):

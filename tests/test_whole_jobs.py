@@ -1,8 +1,13 @@
 """Jobs done in whole: every query, every character, every row."""
 
+import re
+import unicodedata
+from collections import Counter
+
 import numpy as np
 
-from loomframe.operators import vectors as V
+from loomframe.functions import text as T
+from loomframe.operators import corpus as C, vectors as V
 from loomframe.plans import QUERIES
 from loomframe.plans.views import view
 
@@ -36,3 +41,90 @@ def test_whole_texts_are_decoded_in_every_encoding(spark):
     assert {r.encoding for r in out} == {"utf-8-sig", "utf-16", "shift_jis", "cp932", "replace"}
     assert len(out) == len(own) and all(r.text.startswith(own[r.doc_id]) for r in out)
     assert max(len(r.text) for r in out) > 200
+
+
+WIDE = [
+    "第１章　はじめに\nＡＢＣ　ｄｅｆ は 全角 です\n次の行へ ② つづく。\nﾍﾟｰｼﾞ Ａ\n本文 ＝＝＝＝ あり\nペｰジ A\nページ Ａ\nページ A\n終わり。",
+    "\n".join(f"{'０１２３４５６７'[i]}．　節 {'０１２３４５６７'[i]}" for i in range(1, 8)) + "\n１２\n．．．．．．\n・・・・点\r\n㍍ と ㌔\n\nか ゛\n",
+    "plain text line\nFoo bar|baz | x  y\n\nFoo\nＦｏｏ\nFoo\nlast",
+    "",
+    None,
+]
+
+
+def plain_strip(s):
+    return re.sub(rf"^[{T.SPACE}]+|[{T.SPACE}]+$", "", s, flags=re.A)
+
+
+def plain_inline(s):
+    s = unicodedata.normalize("NFKC", s.replace("\r\n", "\n").replace("\r", "\n"))
+    for a, b in ((r"・{3,}", "・"), (r"\.{3,}", "..."), (r"ー{3,}", "ー"), (r"={3,}", "=="), (r"\s[|｜]\s", " "), (r"[ \t]{2,}", " ")):
+        s = re.sub(a, b, s, flags=re.A)
+    for a, b in ((T.JAPANESE, T.JAPANESE), ("0-9", T.JAPANESE), (T.JAPANESE, "0-9")):
+        s = re.sub(rf"(?<=[{a}])[{T.SPACE}]+(?=[{b}])", "", s, flags=re.A)
+    return s
+
+
+def plain_heading(s):
+    s = plain_strip(s)
+    return bool(re.search(C.HEADING, s, re.A)) or s in C.HEADINGS
+
+
+def plain_canon(s):
+    return re.sub(r"[ \t]{2,}", " ", unicodedata.normalize("NFKC", plain_strip(s)))
+
+
+def plain_repeated(lines):
+    found = Counter(c for c in map(plain_canon, lines) if c)
+    return {c: n for c, n in found.items() if n >= 3 and len(c) <= 40 and not plain_heading(c)}
+
+
+def plain_reasons(text):
+    rows = plain_inline(text).split("\n")
+    share = lambda s: len(re.findall(f"[{T.SYMBOLS}]", s)) / len(s)
+    reasons = {}
+    for i, s in enumerate(map(plain_strip, rows)):
+        if s and (re.search(r"(ー|―|─|-|_|=|・|\.|。){5,}", s) or (len(s) >= 6 and share(s) >= 0.7) or re.search(r"^[|｜¦┃\s]{4,}$", s, re.A)):
+            reasons[i] = "decoration"
+        elif s and not plain_heading(s) and len(s) <= 2 and not re.search("^[0-9]{1,3}$", s):
+            reasons[i] = "tiny"
+    left, run = [i for i in range(len(rows)) if i not in reasons], []
+    contents = lambda s: s == "目次" or re.search(C.CONTENTS, s, re.A) or (re.search(r"\s[0-9]{1,3}\s*$", s, re.A) and len(s) >= 8 and share(s) >= 0.35 and re.search(r"^(第\s*\d+|[IVX]+\.|\d+\s*[.)])", s, re.A))
+    for i in [*left, None]:
+        if i is not None and contents(plain_strip(rows[i])):
+            run.append(i)
+        else:
+            reasons.update(dict.fromkeys(run if len(run) >= 6 else [], "toc"))
+            run = []
+    left = [i for i in left if i not in reasons]
+    again = plain_repeated([rows[i] for i in left])
+    reasons.update({i: "repeated" for i in left if plain_canon(rows[i]) in again})
+    return rows, reasons
+
+
+def plain_clean(text):
+    rows, reasons = plain_reasons(text)
+    out, before = [], None
+    for s in (plain_strip(r) for i, r in enumerate(rows) if i not in reasons):
+        fresh = not before or plain_heading(before) or plain_heading(s) or re.search(r"[。．.!！?？:]$", before)
+        if s:
+            out.append(s) if fresh or not out else out.append(out.pop() + " " + s)
+        before = s
+    return plain_strip("\n".join(out))
+
+
+def test_cleaning_queries_normalise_full_width_text(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(WIDE)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    own = {i: t for i, t in enumerate(WIDE) if t is not None}
+    assert {r.doc_id: r.text for r in run("j1b_inline_nfkc")} == {**{i: plain_inline(t) for i, t in own.items()}, 4: None}
+    repeated = {(i, c, n) for i, t in own.items() for c, n in plain_repeated(t.split("\n")).items()}
+    assert {tuple(r) for r in run("d17b_repeated_lines_nfkc")} == repeated and {i for i, *_ in repeated} == {0, 2}
+    kept = {(i, k) for i, t in own.items() for k, s in enumerate(t.split("\n")) if plain_canon(s) not in plain_repeated(t.split("\n"))}
+    assert {tuple(r) for r in run("j8b_without_repeated_nfkc")} == kept
+    assert {r.doc_id: r.text for r in run("j11_clean_corpus")} == {i: x for i, t in own.items() if (x := plain_clean(t))}
+    for r in run("d20_cleaning_report"):
+        rows, reasons = plain_reasons(own[r.doc_id])
+        want = Counter(reasons.values())
+        assert (r.lines_in, r.kept, r.decoration, r.tiny, r.garbage, r.toc, r.repeated) == (len(rows), len(rows) - len(reasons), want["decoration"], want["tiny"], 0, want["toc"], want["repeated"])
