@@ -12,8 +12,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from loomframe.sources.shared import new_path
+
 #: Vectors and queries of a block; a task of a search holds one of each.
 BLOCK_ROWS, BLOCK_QUERIES = 8_192, 1_024
+#: Rows of a group that one task packs.
+PACK_ROWS = 65_536
 OUTLIER = 8_192
 
 
@@ -176,16 +180,72 @@ def key_values(summary: DataFrame, *by: str) -> DataFrame:
     return summary.select(*by, *[F.col(c).cast("string") for c in values]).unpivot(list(by), values, "key", "value")
 
 
+def _request_ends(tokens: np.ndarray, most_tokens: int, most_items: int) -> np.ndarray:
+    """For each row, the row after the last one of a request that begins there (by tokens at hand)."""
+    n = len(tokens)
+    total = np.concatenate([[0], np.cumsum(tokens)])
+    ends = np.minimum(np.arange(n) + most_items, n)
+    for k in range(most_items - 1, 0, -1):  # the first row above the bound decides
+        i = np.arange(max(0, n - k))
+        over = total[i + k + 1] - total[i] > most_tokens
+        ends[i[over]] = i[over] + k
+    return ends
+
+
 def packed(rows: DataFrame, tokens: str, order: str, most_tokens: int = 120_000, most_items: int = 48, *by: str) -> DataFrame:
     """rows of each group with batch_no: requests filled in order until the next row would pass either bound; a row above the
-    token bound stands alone. The fold is over integers of one group (a document's or a shard's rows)."""
-    group = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("t")))).alias("r"))
-    zero = F.struct(F.lit(0).alias("b"), F.lit(0).cast("long").alias("s"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    token bound stands alone, and null tokens count as none.
 
-    def step(acc, x):
-        fresh = (acc["n"] > 0) & ((acc["s"] + x["t"] > most_tokens) | (acc["n"] >= most_items))
-        b = acc["b"] + fresh.cast("int")
-        return F.struct(b.alias("b"), F.when(fresh, x["t"]).otherwise(acc["s"] + x["t"]).alias("s"), F.when(fresh, 1).otherwise(acc["n"] + 1).alias("n"), F.array_append(acc["out"], b).alias("out"))
-
-    out = group.withColumn("b", F.aggregate("r", zero, step)["out"])
-    return out.select(*by, F.explode(F.arrays_zip("r", "b")).alias("z")).select(*by, F.col("z.r.o").alias(order), F.col("z.r.t").alias(tokens), F.col("z.b").alias("batch_no"))
+    Rows are sorted as a whole and cut into ranges of PACK_ROWS of a group, each with the first rows of the next. A range is
+    folded in its own task for every row at which its first request may begin (most_items at most); the small tables from first
+    row to the next range's first row are then chained, and each range is numbered from where the chain enters it.
+    """
+    spark, size = rows.sparkSession, max(PACK_ROWS, most_items)
+    path = new_path(spark, "packed")
+    own = rows.select(*by, F.col(order), F.col(tokens).cast("long").alias(tokens)).orderBy(*by, order, tokens)
+    own.withColumn("pos", F.monotonically_increasing_id()).write.parquet(path)
+    own = spark.read.parquet(path).withColumn("piece", F.floor(F.col("pos") / F.lit(size)).cast("long"))
+    # places of pieces in their group: one small row for each piece
+    group = W.partitionBy(*by)
+    pieces = own.groupBy(*by, "piece").agg(F.min("pos").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(group.orderBy("piece").rowsBetween(W.unboundedPreceding, -1))
+    pieces = pieces.select(*[F.col(c).alias(f"{c}_of") for c in by], F.col("piece").alias("piece_of"), "first", F.coalesce(before, F.lit(0)).alias("before"), F.min("first").over(group).alias("gid"))
+    same = own["piece"] == pieces["piece_of"]
+    for c in by:
+        same = same & own[c].eqNullSafe(pieces[f"{c}_of"])
+    ranked = own.join(pieces, same).select("gid", (F.col("before") + F.col("pos") - F.col("first")).alias("rank"), "pos", F.coalesce(tokens, F.lit(0)).alias("w"))
+    chunk = F.floor(F.col("rank") / F.lit(size)).cast("long")
+    met = F.when((F.col("rank") % size < most_items) & (chunk > 0), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
+    ranges = ranked.withColumn("chunk", F.explode(met))
+
+    def table(key, frame: pd.DataFrame) -> pd.DataFrame:
+        ends = _request_ends(frame.sort_values("rank")["w"].to_numpy(), most_tokens, most_items)
+        n = len(ends)
+        last, count = np.arange(n + 1), np.zeros(n + 1, np.int64)
+        for i in range(min(n, size) - 1, -1, -1):
+            last[i], count[i] = last[ends[i]], count[ends[i]] + 1
+        m = min(most_items, n)
+        return pd.DataFrame({"gid": [key[0]], "chunk": [key[1]], "enters": [(last[:m] - size).tolist()], "requests": [count[:m].tolist()]})
+
+    def chain(key, frame: pd.DataFrame) -> pd.DataFrame:
+        at, base, out = 0, 0, []
+        for c, enters, requests in frame.sort_values("chunk")[["chunk", "enters", "requests"]].itertuples(index=False):
+            out.append((key[0], c, at, base))
+            if c + 1 < len(frame):
+                at, base = int(enters[at]), base + int(requests[at])
+        return pd.DataFrame(out, columns=["gid", "chunk", "at", "base"])
+
+    def numbered(key, frame: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("rank")
+        ends = _request_ends(frame["w"].to_numpy(), most_tokens, most_items)
+        n, at = min(len(ends), size), int(entry["at"].iloc[0])
+        begins = np.zeros(n, np.int64)
+        while at < n:
+            begins[at] = 1
+            at = ends[at]
+        return pd.DataFrame({"at_pos": frame["pos"].to_numpy()[:n], "batch_no": int(entry["base"].iloc[0]) - 1 + np.cumsum(begins)})
+
+    tables = ranges.groupBy("gid", "chunk").applyInPandas(table, "gid long, chunk long, enters array<long>, requests array<long>")
+    entries = tables.groupBy("gid").applyInPandas(chain, "gid long, chunk long, at long, base long")
+    numbers = ranges.groupBy("gid", "chunk").cogroup(entries.groupBy("gid", "chunk")).applyInPandas(numbered, "at_pos long, batch_no int")
+    return own.join(numbers, own["pos"] == numbers["at_pos"]).select(*by, order, tokens, "batch_no")

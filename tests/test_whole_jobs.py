@@ -5,6 +5,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomframe.functions import text as T
 from loomframe.operators import corpus as C, vectors as V
@@ -128,3 +129,26 @@ def test_cleaning_queries_normalise_full_width_text(spark, tmp_path):
         rows, reasons = plain_reasons(own[r.doc_id])
         want = Counter(reasons.values())
         assert (r.lines_in, r.kept, r.decoration, r.tiny, r.garbage, r.toc, r.repeated) == (len(rows), len(rows) - len(reasons), want["decoration"], want["tiny"], 0, want["toc"], want["repeated"])
+
+
+def test_a_group_is_packed_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(V, "PACK_ROWS", 7)
+    rng = np.random.default_rng(3)
+    rows = [(g, i, int(t)) for g, n in (("a", 200), ("b", 1), (None, 50), ("c", 14)) for i, t in enumerate(rng.choice([1, 5, 20, 60, 150], n))]
+    want, at = {}, {}
+    for g, i, t in rows:
+        no, s, n = at.get(g, (0, 0, 0))
+        at[g] = (no + 1, t, 1) if n and (s + t > 100 or n >= 5) else (no, s + t, n + 1)
+        want[g, i, t] = at[g][0]
+    df = spark.createDataFrame(rows, "g string, i long, t long").repartition(5)
+    found = V.packed(df, "t", "i", 100, 5, "g").collect()
+    assert len(found) == len(rows) and {(r.g, r.i, r.t): r.batch_no for r in found} == want
+    monkeypatch.setattr(V, "PACK_ROWS", 65_536)
+    assert {(r.g, r.i, r.t): r.batch_no for r in V.packed(df, "t", "i", 100, 5, "g").collect()} == want
+
+
+def test_no_task_holds_a_whole_group(spark, monkeypatch):
+    monkeypatch.setattr(V, "PACK_ROWS", 10)
+    df = spark.range(1000).select(F.lit("a").alias("g"), F.col("id").alias("i"), F.lit(30).alias("t"))
+    plan = V.packed(df, "t", "i", 100, 5, "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "array_append" not in plan
