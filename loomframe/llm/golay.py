@@ -71,6 +71,15 @@ def _segment(fp: np.ndarray, k: int) -> np.ndarray:
     return ((fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
 
 
+def few_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of six keys each: an exact segment with the own index of one of the others. They meet most near copies, not all."""
+    seg = [_segment(fp, k) for k in range(3)]
+    own = [decode(s) for s in seg]
+    pairs = [(exact, other) for exact in range(3) for other in range(3) if other != exact]
+    out = [(kind << 56) | (seg[exact] << 12) | own[other] for kind, (exact, other) in enumerate(pairs)]
+    return np.tile(np.arange(len(fp)), len(pairs)), np.concatenate(out)
+
+
 def _once(sets: np.ndarray) -> list[np.ndarray]:
     """(n, m) indices -> masks of first occurrences, as (sorted values, mask)."""
     s = np.sort(sets, axis=1)

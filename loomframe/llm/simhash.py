@@ -2,20 +2,19 @@
 
 A fingerprint's segments decode to nearby codewords of the perfect Golay code; the indices, with exact pieces of the other
 segments, are its keys (golay.keys). Any two fingerprints with at most four differing bits share a key, whatever the bits.
-Buckets of two are pairs as they stand. In larger buckets every member is compared with the bucket's least fingerprint
-first; only members that are still in another class than most of their bucket are then compared with the rest. So a group
-of n near copies costs about n comparisons per key, not n * n, and no link between classes is lost.
+Keys are shuffled once and each bucket is looked at where it lies: its classes are joined in place, members of the greatest
+class are never compared with each other, and only joins of classes leave the task. So no pairs and no groups are written.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType
 
 from loomframe.llm import golay
@@ -23,8 +22,8 @@ from loomframe.llm.common import durable, read, small_batches
 from loomframe.llm.graph import components
 
 MAX_BITS = 4
-#: Fingerprints that one task makes keys of.
-ROWS = 10_000
+#: Fingerprints that one task makes keys of; comparisons in one step; nodes of a task's forest before it starts anew.
+ROWS, SPLIT, FOREST = 10_000, 1 << 22, 500_000
 
 
 @F.pandas_udf(LongType())
@@ -32,40 +31,124 @@ def fingerprint(texts: pd.Series) -> pd.Series:
     return pd.Series(np.fromiter((golay.fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64))
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(make: Callable) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, classes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for at in range(0, len(whole), 2_000):
+                fp = whole[at : at + 2_000]
+                rows, keys = make(fp.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[rows]), pa.array(classes[at : at + 2_000][rows])], ["key", "fp", "class"])
+
+    return run
+
+
+class Forest:
+    """Classes that one task has joined; new holds the joins not yet handed on."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+        self.new: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        up = self.parent.get(x, x)
+        while up != x:
+            above = self.parent.get(up, up)
+            self.parent[x] = above
+            x, up = up, above
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        a, b = self.find(x), self.find(y)
+        if a != b:
+            self.parent[a] = b
+            self.new.append((a, b))
+
+
+def join_near(fp: np.ndarray, classes: np.ndarray, forest: Forest, split: bool = True) -> None:
+    """Joins the classes of one bucket that have members within MAX_BITS bits of each other.
+
+    Only members outside the bucket's greatest class are compared with all, a block at a time; what a block joins is out of the
+    next. Where that is still much, five pieces of the bits part the bucket first: four errors leave one of them exact.
+    """
+
+    def labels(of: np.ndarray) -> np.ndarray:
+        ids, back = np.unique(of, return_inverse=True)
+        return np.array([forest.find(int(x)) for x in ids], np.int64)[back]
+
+    own = labels(classes)
+    open_ = np.ones(len(fp), bool)
+    while True:
+        ids, back, sizes = np.unique(own, return_inverse=True, return_counts=True)
+        minor = np.flatnonzero((back != sizes.argmax()) & open_)
+        if not len(minor):
+            return
+        if split and len(minor) * len(fp) > SPLIT:
+            for shift in range(0, 64, 13):
+                piece = (fp >> np.uint64(shift)) & np.uint64((1 << 13) - 1)
+                order = np.argsort(piece, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(piece[order])) + 1):
+                    if len(part) > 1:
+                        join_near(fp[part], classes[part], forest, split=False)
+            return
+        block = minor[: max(1, SPLIT // len(fp))]
+        r, c = np.nonzero((np.bitwise_count(fp[block][:, None] ^ fp[None, :]) <= MAX_BITS) & (own[block][:, None] != own[None, :]))
+        for x, y in set(zip(own[block][r].tolist(), own[c].tolist())):
+            forest.join(x, y)
+        open_[block] = False
+        own = labels(own)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) classes from (key, fp, class) rows in order of key; what a task holds is one bucket and its forest."""
+    forest, held, key = Forest(), [], None
+
+    def links() -> Iterator[pa.RecordBatch]:
+        if held:
+            join_near(np.concatenate([h[0] for h in held]).view(np.uint64), np.concatenate([h[1] for h in held]), forest)
+            held.clear()
+        if len(forest.new) >= 10_000 or key is None:
+            if forest.new:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*forest.new)], ["a", "b"])
+            forest.new = []
+            if len(forest.parent) > FOREST:
+                forest.parent = {}
+
     for batch in batches:
-        whole = batch.column(0).to_numpy(zero_copy_only=False)
-        for at in range(0, len(whole), 2_000):
-            fp = whole[at : at + 2_000]
-            rows, keys = golay.keys(fp.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[rows])], ["key", "fp"])
-
-
-def near(a: str | Column, b: str | Column) -> Column:
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS
-
-
-def _links(fps: DataFrame) -> DataFrame:
-    """(a, b) of distinct fingerprints: enough links of at most MAX_BITS bits to connect each class."""
-    parts = max(1, math.ceil(fps.count() / ROWS))  # files of the table are few, and each row makes about 122
-    keyed = fps.select("fp").repartition(parts).mapInArrow(_keyed, "key long, fp long")
-    buckets = durable(keyed.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).filter("n > 1"), "buckets")
-    pairs = buckets.filter(near("a", "b")).select("a", "b")
-    members = durable(keyed.join(buckets.filter("n > 2").select("key", "a"), "key"), "members")
-    star = members.filter((F.col("a") != F.col("fp")) & near("a", "fp")).select("a", F.col("fp").alias("b"))
-    first = durable(pairs.union(star).distinct(), "links")
-    # What stars have left apart: buckets whose members are in several classes.
-    label = components(first)
-    placed = members.join(label, members.fp == label.node, "left").select("key", "fp", F.coalesce("label", "fp").alias("class"))
-    placed = durable(placed, "placed")
-    sizes = placed.groupBy("key", "class").count()
-    most = sizes.groupBy("key").agg(F.max_by("class", F.struct("count", "class")).alias("most"), F.count("*").alias("classes")).filter("classes > 1")
-    apart = placed.join(most, "key")
-    minor = apart.filter("class <> most").select("key", F.col("fp").alias("a"), F.col("class").alias("class_a"))
-    rest = apart.select("key", F.col("fp").alias("b"), F.col("class").alias("class_b"), "most")
-    met = minor.join(rest, "key").filter((F.col("class_a") != F.col("class_b")) & near("a", "b"))
-    return first.union(met.select("a", "b").distinct())
+        keys, fp, classes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if lo < hi:
+                if int(keys[lo]) != key:
+                    yield from links()
+                    key = int(keys[lo])
+                held.append((fp[lo:hi], classes[lo:hi]))
+    key = None
+    yield from links()
+
+
+def _class_links(placed: DataFrame, make: Callable) -> DataFrame:
+    """(a, b): enough joins of classes to connect all that share a key and a link. placed: (fp, class).
+
+    One shuffle, by key. Buckets of one class end in the JVM; the others go to _joined in order of key."""
+    parts = max(1, math.ceil(placed.count() / ROWS))  # files of the table are few, and each row makes about 122
+    keyed = placed.select("fp", "class").repartition(parts).mapInArrow(_keyed(make), "key long, fp long, class long")
+    bucket = Window.partitionBy("key")
+    mixed = keyed.select("*", F.min("class").over(bucket).alias("lo"), F.max("class").over(bucket).alias("hi")).filter("lo <> hi")
+    return mixed.select("key", "fp", "class").sortWithinPartitions("key").mapInArrow(_joined, "a long, b long")
+
+
+def classes(fps: DataFrame) -> DataFrame:
+    """(fp, class) of distinct fingerprints: class is the least fingerprint reachable over links of at most MAX_BITS bits.
+
+    A first pass over six keys a fingerprint joins most of each group; the second, over all keys, then only has to look at buckets
+    that hold several classes."""
+    placed = fps.select("fp", F.col("fp").alias("class"))
+    for make in (golay.few_keys, golay.keys):
+        label = components(_class_links(placed, make).distinct())
+        found = placed.join(label, placed["class"] == label.node, "left").select("fp", F.coalesce("label", "class").alias("class"))
+        placed = durable(found, "classes")
+    return placed
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,11 +160,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     docs = durable(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col).cast("binary")).alias("fp")), "fingerprints")
     fps = durable(docs.groupBy("fp").agg(F.min("id").alias("least")), "fps")
-    label = components(_links(fps))
-    linked = fps.join(label, fps.fp == label.node).select("fp", "least", "label")
-    smallest = linked.groupBy("label").agg(F.min("least").alias("reach"))
-    linked = linked.join(smallest, "label").select(F.col("fp").alias("linked"), "reach")
-    named = fps.join(linked, fps.fp == linked.linked, "left").select("fp", F.when(F.col("linked").isNull(), F.col("least")).otherwise(F.col("reach")).alias("component_id"))
+    placed = fps.join(classes(fps), "fp")
+    reach = placed.groupBy("class").agg(F.min("least").alias("component_id"))
+    named = placed.join(reach, "class").select("fp", "component_id")
     return docs.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 

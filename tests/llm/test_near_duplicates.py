@@ -3,7 +3,7 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 
 from loomframe.llm import golay, simhash
-from tests.llm.helpers import bits, components, docs
+from tests.llm.helpers import SF, bits, components, docs
 
 TEXTS = ["a b c d e f g", "a b c d e f g", "A B c d e f g", "x", "", None, "  \n", "lorem ipsum dolor sit amet " * 40, "lorem ipsum dolor sit amet " * 40 + "x", "a b c", "é ü 漢字 word more words here"]
 
@@ -53,14 +53,39 @@ def test_classes_against_all_pairs(spark):
     dense = [base[1] ^ int(sum(1 << int(b) for b in rng.choice(20, 3, replace=False))) for _ in range(120)]
     values = sorted({*base, *chain, *dense})
     fps = spark.createDataFrame([(int(np.uint64(v).astype(np.int64)), i) for i, v in enumerate(values)], "fp long, least long")
-    from loomframe.llm.graph import components as spark_components
-
-    label = {r.node: r.label for r in spark_components(simhash._links(fps)).collect()}
+    got = {r.fp: r["class"] for r in simhash.classes(fps).collect()}
     want = components(values, lambda a, b: bits(a, b) <= 4)
-    got = [label.get(int(np.uint64(v).astype(np.int64)), ("own", v)) for v in values]
+    got = [got[int(np.uint64(v).astype(np.int64))] for v in values]
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
+def test_a_bucket_of_many_classes_is_joined_whole(monkeypatch):
+    monkeypatch.setattr(simhash, "SPLIT", 500)  # several blocks and the parting by pieces
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(0, 2**62))
+    values = np.unique(np.array([base ^ int(sum(1 << int(b) for b in rng.choice(40, rng.integers(1, 7), replace=False))) for _ in range(300)], np.uint64))
+    forest = simhash.Forest()
+    own = values.view(np.int64)
+    simhash.join_near(values, own, forest)
+    want = components([int(v) for v in values], lambda a, b: bits(a, b) <= 4)
+    got = [forest.find(int(x)) for x in own]
+    assert len(set(zip(want, got))) == len(set(want)) == len(set(got)) < len(values)
+    assert len(forest.new) == len(values) - len(set(got))
+
+
+def test_a_documents_table_against_all_pairs(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = df.collect()
+    fps = [plain_fingerprint(r.text) for r in rows]
+    least = {}
+    for root, r in zip(components(fps, lambda a, b: bits(a, b) <= 4), rows):
+        least[root] = min(least.get(root, r.doc_id), r.doc_id)
+    want = {r.doc_id: (f"{fp:016x}", least[root]) for root, fp, r in zip(components(fps, lambda a, b: bits(a, b) <= 4), fps, rows)}
+    from loomframe.llm.simhash import op5_simhash_golay
+
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in op5_simhash_golay(spark, SF).collect()} == want
+
+
 def test_rows_come_back_whole(spark):
     df = docs(spark, TEXTS)
     df = df.union(df.filter("doc_id = 0"))
