@@ -3,23 +3,28 @@
 Rows are dealt to blocks; in a block each dimension is a list sorted by value, read downwards for a positive query component
 and upwards for a negative one. After each depth every row has a lower bound (unread components at their list's far end)
 and an upper bound (unread components at the reading front). The k-th best lower bound shuts out all rows whose upper bound
-is below it; once the best possible unread row is out too, no list is read further for that query and the rows that are left
-get their final scores. The blocks' lists are merged by a ranked window.
+is below it, and later depths look only at rows that are open for some query; once the best possible unread row is out too, no
+list is read further for that query and the rows that are left get their final scores. A task sorts a block's lists once and
+lets all queries pass as a stream; only queries are copied. The blocks' lists are merged by a ranked window.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from loomframe.llm.common import durable, read
+from loomframe.llm.common import durable, read, small_batches
 
 K, EVERY, SCALE = 20, 20, 64
-#: Candidates and queries of a block; a task holds one of each.
-ROWS, QUERIES = 8_192, 1_024
+#: Candidates of a block at most, on average, and at least where there are fewer blocks than cores; queries of one step.
+ROWS, FEW, QUERIES = 32_768, 4_096, 128
+#: Sums of products below these are exact in float32 and float64.
+EXACT32, EXACT64 = 1 << 24, 1 << 53
+LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 class Lists:
@@ -32,67 +37,125 @@ class Lists:
         self.place = np.empty((n, d), np.int32)
         np.put_along_axis(self.place, down, np.arange(n, dtype=np.int32)[:, None].repeat(d, 1), axis=0)
 
-    def read(self, depth: int) -> tuple[np.ndarray, ...]:
-        """Components as known after depth entries: (for lower, upper bound with positive weights; the same for negative), and
-        the two reading fronts."""
-        n = len(self.x)
-        top, bottom = self.place < depth, self.place >= n - depth
+    def read(self, depth: int, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Components of rows as known after depth entries: (for lower, upper bound with positive weights; the same for
+        negative), and the two reading fronts."""
+        n, x, place = len(self.x), self.x[rows], self.place[rows]
+        top, bottom = place < depth, place >= n - depth
         high, low = self.sorted[0], self.sorted[-1]
         front, back = self.sorted[depth - 1], self.sorted[n - depth]
-        return np.where(top, self.x, low), np.where(top, self.x, front), np.where(bottom, self.x, high), np.where(bottom, self.x, back), front, back
+        return np.where(top, x, low), np.where(top, x, front), np.where(bottom, x, high), np.where(bottom, x, back), front, back
 
 
 def nra(lists: Lists, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query_id, vec_id, score) of each query's k best rows other than its own, ties to the smaller id."""
     n = len(ids)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(queries), 128):
-        left, names = queries[at : at + 128], query_ids[at : at + 128]
-        depth = max(1, min(n, max(4 * k, n // 16)))
+    for at in range(0, len(queries), QUERIES):
+        left, names, rows = queries[at : at + QUERIES], query_ids[at : at + QUERIES], np.arange(n)
+        depth = max(1, min(n, max(4 * k, n // 4)))
         while len(left):
             plus, minus = np.maximum(left, 0), np.minimum(left, 0)
-            pl, pu, ml, mu, front, back = lists.read(depth)
-            own = names[:, None] == ids[None, :]
+            pl, pu, ml, mu, front, back = lists.read(depth, rows)
+            own = names[:, None] == ids[rows][None, :]
             lower = plus @ pl.T + minus @ ml.T
             upper = plus @ pu.T + minus @ mu.T
-            lower[own], upper[own] = -np.inf, -np.inf
-            bound = np.partition(lower, n - k, axis=1)[:, n - k] if n >= k else np.full(len(left), -np.inf)
+            lower[own] = -np.inf
+            bound = np.partition(lower, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) >= k else np.full(len(left), -np.inf)
             unread = plus @ front + minus @ back
             open_ = (upper >= bound[:, None]) & ~own
             done = (depth == n) | ((unread < bound) & (open_.sum(1) <= max(8 * k, n // 16)))
             for q in np.nonzero(done)[0]:
-                rows = np.nonzero(open_[q])[0]
-                score = lists.x[rows] @ left[q]
-                best = np.lexsort((ids[rows], -score))[:k]
-                out.append((np.full(len(best), names[q]), ids[rows[best]], score[best]))
+                some = rows[open_[q]]
+                score = lists.x[some] @ left[q]
+                if len(some) > 4 * k:  # what is below the k-th best is out before the sort
+                    high = score >= np.partition(score, len(some) - k)[len(some) - k]
+                    some, score = some[high], score[high]
+                best = np.lexsort((ids[some], -score))[:k]
+                out.append((np.full(len(best), names[q]), ids[some[best]], score[best]))
             left, names = left[~done], names[~done]
-            depth = min(n, depth * 2)
+            still = open_[~done].any(0)
+            # where bounds shut out little, rounds in between would too
+            depth = min(n, depth * 2) if still.mean() < 0.9 else n
+            rows = rows[still]
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out))
 
 
-def _block(k: int):
-    def run(key, candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(candidates) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        x, q = np.stack(candidates["v"].to_list()), np.stack(queries["v"].to_list())
-        # sums stay exact: float32 holds integers below 2 ** 24, float64 below 2 ** 53
-        most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
-        kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else None
-        if kind is None:
-            raise ValueError("components are too large for exact scores")
-        found = nra(Lists(x.astype(kind)), candidates["id"].to_numpy(), q.astype(kind), queries["id"].to_numpy(), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
+def whole_numbers(x: np.ndarray, ids: np.ndarray, q: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same as nra by exact integers of any size, for the few vectors whose sums floats can't hold. Scores outside a long
+    count as its nearest value."""
+    x, out = x.astype(object), ([], [], [])
+    for name, own in zip(query_ids.tolist(), q.astype(object)):
+        best = sorted((-min(max(s, LONG[0]), LONG[1]), i) for s, i in zip((x @ own).tolist(), ids.tolist()) if i != name)[:k]
+        for part, values in zip(out, ([name] * len(best), [i for _, i in best], [-s for s, _ in best])):
+            part.extend(values)
+    return tuple(np.array(part, np.int64) for part in out)
+
+
+class Block:
+    """One block of candidates: lists of the vectors that floats can take, and the others."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        self.k, self.ids, self.x = k, ids, x
+        self.limit = math.isqrt(EXACT64 // max(1, x.shape[1])) - 1
+        self.large = (x > self.limit).any(1) | (x < -self.limit).any(1)
+        fine = x[~self.large]
+        self.most = int(np.abs(fine).max(initial=0))
+        self.lists = {np.float64: None, np.float32: None}
+
+    def _lists(self, kind: type) -> Lists:
+        if self.lists[kind] is None:
+            self.lists[kind] = Lists(self.x[~self.large].astype(kind))
+        return self.lists[kind]
+
+    def best(self, query_ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, ...]:
+        large = (q > self.limit).any(1) | (q < -self.limit).any(1)
+        out = [whole_numbers(self.x, self.ids, q[large], query_ids[large], self.k)] if large.any() else []
+        q, query_ids = q[~large], query_ids[~large]
+        if len(q) and self.large.any():
+            out.append(whole_numbers(self.x[self.large], self.ids[self.large], q, query_ids, self.k))
+        if len(q) and not self.large.all():
+            kind = np.float32 if self.most * int(np.abs(q).max(initial=0)) * q.shape[1] < EXACT32 else np.float64
+            out.append(nra(self._lists(kind), self.ids[~self.large], q.astype(kind), query_ids, self.k))
+        return tuple(np.concatenate(parts) for parts in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _blocks(k: int):
+    names = ["query_id", "vec_id", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(d, block, query, id, v) in order of d, block and query: a block's candidates come first and are held, its queries pass."""
+        now, held, block = None, [], None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1, 2)], axis=1)
+            ids = batch.column(3).to_numpy(zero_copy_only=False)
+            values, starts = batch.column(4).flatten().to_numpy(zero_copy_only=False), batch.column(4).value_lengths().to_numpy().cumsum()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                d, number, asks = key[lo].tolist()
+                if (d, number) != now:
+                    now, held, block = (d, number), [], None
+                x = values[starts[lo] - d : starts[hi - 1]].reshape(hi - lo, d)
+                if not asks:
+                    held.append((ids[lo:hi], x))
+                elif held:
+                    block = block or Block(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), k)
+                    found = block.best(ids[lo:hi], x)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names)
 
     return run
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): floor(64 * x) of vectors whose components are all there and finite; rows without an id or components are left out."""
+    """(id, v): floor(64 * x) of vectors whose components are all there and finite, at the ends of a long where it is beyond them;
+    rows without an id or components are left out."""
     whole = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
-    ints = F.transform(vector_col, lambda x: F.floor(x.cast("double") * SCALE).cast("int"))
-    return vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & whole).select(F.col(id_col).alias("id"), ints.alias("v"))
+    ints = F.transform(vector_col, lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
+    return vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & whole).select(F.col(id_col).cast("long").alias("id"), ints.alias("v"))
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY) -> DataFrame:
@@ -102,16 +165,18 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     different lengths don't meet. Repeated rows are candidates, and queries, once for each id and vector.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     v = durable(quantised(vectors, id_col, vector_col).distinct().withColumn("d", F.size("v")), "vectors")
     asks = F.col("id") % every == 0
-    counts = v.agg(F.count("*").alias("n"), F.count_if(asks).alias("q")).first()
-    blocks, groups = max(1, math.ceil(counts.n / ROWS)), max(1, math.ceil(counts.q / QUERIES))
-    deal = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    candidates = v.withColumn("block", deal(blocks, 1)).withColumn("group", each(groups))
-    queries = v.filter(asks).withColumn("group", deal(groups, 2)).withColumn("block", each(blocks))
-    by = ("d", "group", "block")
-    met = candidates.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(_block(k), "query_id long, vec_id long, score long")
+    cores = spark.sparkContext.defaultParallelism
+    sizes = v.groupBy("d").agg(F.count("*").alias("n"))
+    sizes = sizes.select("d", F.greatest(F.ceil(F.col("n") / ROWS), F.least(F.lit(cores), F.ceil(F.col("n") / FEW))).cast("int").alias("blocks"))
+    parts = sizes.agg(F.sum("blocks").alias("n")).first().n or 1
+    own = v.join(sizes, "d")
+    candidates = own.select("d", F.pmod(F.xxhash64("id", "v"), "blocks").cast("int").alias("block"), F.lit(0).alias("query"), "id", "v")
+    queries = own.filter(asks).select("d", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"), "id", "v")
+    met = candidates.union(queries).repartition(parts, "d", "block").sortWithinPartitions("d", "block", "query")
+    met = met.mapInArrow(_blocks(k), "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,3 +1,4 @@
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -57,11 +58,11 @@ def test_odd_rows(spark):
 
 
 def brute(rows, k=20):
-    v = [(i, np.floor(64 * np.array(x, np.float64)).astype(int)) for i, x in rows if i is not None and x and all(c is not None and np.isfinite(c) for c in x)]
+    v = [(i, np.array([math.floor(64 * c) for c in x], object)) for i, x in rows if i is not None and x and all(c is not None and np.isfinite(c) for c in x)]
     out = []
     for q, a in v:
         if q % 20 == 0:
-            s = sorted(((-int(a @ b), i) for i, b in v if i != q and len(a) == len(b)))[:k]
+            s = sorted(((-min(max(int(a @ b), -(2**63)), 2**63 - 1), i) for i, b in v if i != q and len(a) == len(b)))[:k]
             out += [(q, n, i, -x) for n, (x, i) in enumerate(s, 1)]
     return sorted(out)
 
@@ -77,6 +78,20 @@ def test_exact_top_k(spark):
     assert K.top_k(df.limit(0)).count() == 0
 
 
+def test_components_that_floats_cannot_sum(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 4)]) for i in range(100)]
+    rows += [(100, [1e12, -1e12, 3.0, 0.1]), (101, [float(2**54), 1.0, 0.0, 0.0]), (120, [float(2**40 + 1), 0.5, 0.0, -1.0]), (121, [3e5] * 4), (140, [4e5, 1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in K.top_k(df).collect()) == brute(rows)
+
+
+def test_repeated_rows_and_vectors_of_one_id(spark):
+    rows = [(0, [1.0, 0.0])] * 3 + [(20, [0.5, 0.5])] * 2 + [(1, [1.0, 1.0])] * 2 + [(1, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.vec_id, r.score) for r in K.top_k(df).collect()) == sorted([(0, 20, 2048), (0, 1, 4096), (0, 1, 8192), (20, 0, 2048), (20, 1, 4096), (20, 1, 4096)])
+
+
 def test_blocks_agree_with_one(spark, monkeypatch):
     df = read(spark, SF, "embeddings")
     whole = {tuple(r) for r in K.top_k(df).collect()}
@@ -90,7 +105,7 @@ def test_reading_stops_before_the_lists_end():
     x = rng.normal(0, 10, (2000, 2)).round()
     lists, depths = K.Lists(x), []
     read_ = lists.read
-    lists.read = lambda d: depths.append(d) or read_(d)
+    lists.read = lambda d, rows: depths.append(d) or read_(d, rows)
     q, v, s = K.nra(lists, np.arange(2000), np.array([[3.0, 1.0]]), np.array([5]), 20)
     assert max(depths) < 2000 and len(s) == 20
     best = sorted(((-float(x[i] @ [3, 1]), i) for i in range(2000) if i != 5))[:20]
