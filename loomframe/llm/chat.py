@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loomframe.llm.common import read, small_batches
 
@@ -42,11 +42,10 @@ def events(rows: DataFrame) -> DataFrame:
     """
     own = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
-    n = F.ceil(F.char_length("text") / DELTA).cast("int")
     event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
-    chunk = lambda k: F.substring(F.col("text"), k * DELTA + 1, F.lit(DELTA))
-    deltas = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: event("delta", chunk(k)))).otherwise(F.array().cast("array<struct<kind:string,text:string>>"))
-    first = F.array(event("start", F.col("role")), event("delta", chunk(F.lit(0))))
+    # one pass over the text: a substring for each delta would walk to its place from the start
+    deltas = F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0)), lambda part: event("delta", part))
+    first = F.array(event("start", F.col("role")), event("delta", F.substring("text", 1, DELTA)))
     streamed = F.concat(first, F.array(event("regenerate", F.lit(""))), deltas)
     edited = F.concat(first, F.array(event("edit", F.col("text"))))
     log = F.when(F.col("role") == "assistant", streamed).otherwise(edited)
@@ -57,15 +56,14 @@ def fold(log: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, copies): final messages. In order of seq: start sets the role, delta adds text, edit puts
     its text in place of all, regenerate begins anew; other kinds do nothing. A message without a start has an empty role."""
     own = log.groupBy("conv_id", "turn", "message", "copies").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "text"))).alias("log"))
-    zero = F.struct(F.lit("").alias("role"), F.lit("").alias("text"))
-
-    def step(acc: Column, e: Column) -> Column:
-        role = F.when(e["kind"] == "start", F.coalesce(e["text"], F.lit(""))).otherwise(acc["role"])
-        added = F.coalesce(e["text"], F.lit(""))
-        text = F.when(e["kind"] == "delta", F.concat(acc["text"], added)).when(e["kind"] == "edit", added).when(e["kind"] == "regenerate", F.lit("")).otherwise(acc["text"])
-        return F.struct(role.alias("role"), text.alias("text"))
-
-    return own.select("conv_id", "turn", "copies", F.aggregate("log", zero, step).alias("m")).select("conv_id", "turn", "m.role", "m.text", "copies")
+    # the text is what was added from the last edit or regeneration on, joined once: no growing copies
+    cut = F.array_max(F.filter("log", lambda e: e["kind"].isin("edit", "regenerate")))
+    added = F.filter("log", lambda e: e["kind"].isin("edit", "delta") & (F.col("cut").isNull() | (e >= F.col("cut"))))
+    role = F.element_at(F.filter("log", lambda e: e["kind"] == "start"), -1)["text"]
+    text = F.array_join(F.transform(added, lambda e: F.coalesce(e["text"], F.lit(""))), "")
+    own = own.withColumn("cut", cut)
+    started = F.exists("log", lambda e: e["kind"] == "start")
+    return own.select("conv_id", "turn", "copies", F.coalesce(F.when(started, role), F.lit("")).alias("role"), text.alias("text")).select("conv_id", "turn", "role", "text", "copies")
 
 
 def rendered(messages: DataFrame) -> DataFrame:
@@ -85,15 +83,11 @@ def in_order(pieces: DataFrame) -> DataFrame:
 
 def format_conversations(log: DataFrame) -> DataFrame:
     """(conv_id, text, loss array of (from, to)): one formatted text for each conversation of an event log."""
-    own = rendered(fold(log)).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "piece", "loss_from", "loss_to"))).alias("p"))
-    zero = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<from:int,to:int>>").alias("loss"))
-
-    def step(acc: Column, p: Column) -> Column:
-        at = F.char_length(acc["text"])
-        span = F.struct((at + p["loss_from"]).cast("int").alias("from"), (at + p["loss_to"]).cast("int").alias("to"))
-        return F.struct(F.concat(acc["text"], p["piece"]).alias("text"), F.when(p["loss_from"].isNotNull(), F.array_append(acc["loss"], span)).otherwise(acc["loss"]).alias("loss"))
-
-    return own.select("conv_id", F.aggregate("p", zero, step).alias("f")).select("conv_id", "f.text", "f.loss")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    own = rendered(fold(log)).withColumn("before", F.coalesce(F.sum(F.char_length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = own.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("before", "turn", "piece", "loss_from", "loss_to"))).alias("p"))
+    span = lambda p: F.struct((p["before"] + p["loss_from"]).cast("int").alias("from"), (p["before"] + p["loss_to"]).cast("int").alias("to"))
+    return own.select("conv_id", F.array_join("p.piece", "").alias("text"), F.transform(F.filter("p", lambda p: p["loss_from"].isNotNull()), span).alias("loss"))
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
