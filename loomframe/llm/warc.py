@@ -3,16 +3,17 @@
 Each archive is a ZIP with two stored members: WARC 1.1 records, each a gzip member of its own, and an index line for each
 record. A reader finds the members from the central directory (ZIP64 too), reads the index, and then any record by its
 range, without extraction. Of equal payloads that with the smallest id is the response, the others are revisits that refer
-to it. Archives lie in the folder that all executors share; a task names its archives by its partition and renames them when
-whole, so a repeated task leaves the same files.
+to it. Archives lie in the folder that all executors share. Each attempt of a task writes files of its own; the table of archives
+lists those of the attempts that Spark took.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import json
+import math
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,8 +26,8 @@ from loomframe.llm.common import durable, new_path, read, small_batches
 
 #: An archive is closed when its records have so many bytes; one is held in memory while it is written.
 ARCHIVE_BYTES = 32 << 20
-#: Ranges that one read takes at most.
-READ_BYTES = 4 << 20
+#: Bytes of ranges that are dealt together, and that one task reads, about.
+READ_BYTES, TASK_BYTES = 4 << 20, 16 << 20
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -91,18 +92,15 @@ def _write_archives(folder: str):
             nonlocal held, lines, size, number
             if not held:
                 return
-            body = io.BytesIO()
-            z = zr.Writer(body)
-            z.add(RECORDS, b"".join(held))
-            z.add(INDEX, "".join(lines).encode())
-            z.close()
-            name = f"{base}/part-{part:06d}-{number:04d}.wacz"
-            own = f"{name}.{TaskContext.get().taskAttemptId()}"
+            # the name holds the attempt: a repeated task writes files of its own, and only the attempt that Spark takes lists them
+            name = f"part-{part:06d}-{number:04d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}.wacz"
             store.create_dir(base, recursive=True)
-            with store.open_output_stream(own) as out:
-                out.write(body.getbuffer())
-            store.move(own, name)
-            done.append((f"{folder}/part-{part:06d}-{number:04d}.wacz", len(lines)))
+            with store.open_output_stream(f"{base}/{name}") as out:
+                z = zr.Writer(out)
+                z.add(RECORDS, *held)
+                z.add(INDEX, *(line.encode() for line in lines))
+                z.close()
+            done.append((f"{folder}/{name}", len(lines)))
             held, lines, size, number = [], [], 0, number + 1
 
         for frame in frames:
@@ -153,8 +151,8 @@ def _ranges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def index(archives: DataFrame) -> DataFrame:
-    """(archive, at, length, part): the range of each record, from the archives' own directories and indexes."""
-    return archives.select("archive").mapInPandas(_ranges, "archive string, at long, length long, part long")
+    """(archive, at, length, part): the range of each record, from the archives' own directories and indexes, as a table."""
+    return durable(archives.select("archive").mapInPandas(_ranges, "archive string, at long, length long, part long"), "ranges")
 
 
 def _read(with_payload: bool):
@@ -165,17 +163,20 @@ def _read(with_payload: bool):
             for archive, part in frame.groupby("archive", sort=False):
                 store, path = _store(archive)
                 with store.open_input_file(path) as file:
-                    rows = [parse(zr._range(file, int(at), int(n))) for at, n in zip(part["at"], part["length"])]
-                out = pd.DataFrame([[r[k] for k in names] for r in rows], columns=names)
+                    found = (parse(zr._range(file, int(at), int(n))) for at, n in zip(part["at"], part["length"]))
+                    out = pd.DataFrame([[r[k] for k in names] for r in found], columns=names)
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     return run
 
 
 def read_records(ranges: DataFrame, payload: bool = False) -> DataFrame:
-    """The records of ranges, each read by itself; with their payloads if asked for (null for revisits)."""
+    """The records of ranges, each read by itself; with their payloads if asked for (null for revisits). Tasks follow the bytes to
+    read, as the rows of ranges are small."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
-    return ranges.repartition("archive", "part").sortWithinPartitions("archive", "at").mapInPandas(_read(payload), schema)
+    size = ranges.agg(F.sum("length").alias("n")).first().n or 0
+    parts = max(ranges.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES))
+    return ranges.repartition(parts, "archive", "part").sortWithinPartitions("archive", "at").mapInPandas(_read(payload), schema)
 
 
 def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:

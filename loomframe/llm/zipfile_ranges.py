@@ -32,17 +32,20 @@ class Writer:
         self.out.write(data)
         self.at += len(data)
 
-    def add(self, name: str, data: bytes) -> int:
-        """Writes a member; returns where its data starts."""
+    def add(self, name: str, *parts: bytes) -> int:
+        """Writes a member, the parts one after another; returns where its data starts."""
         raw, header = name.encode(), self.at
-        wide = self.zip64 or len(data) >= WIDE
-        extra = struct.pack("<HHQQ", 1, 16, len(data), len(data)) if wide else b""
-        size = WIDE if wide else len(data)
-        crc = zlib.crc32(data)
+        length, crc = sum(map(len, parts)), 0
+        for part in parts:
+            crc = zlib.crc32(part, crc)
+        wide = self.zip64 or length >= WIDE
+        extra = struct.pack("<HHQQ", 1, 16, length, length) if wide else b""
+        size = WIDE if wide else length
         self._put(struct.pack("<IHHHHHIIIHH", LOCAL, 45 if wide else 20, 0x800, 0, 0, 0x21, crc, size, size, len(raw), len(extra)) + raw + extra)
         start = self.at
-        self._put(data)
-        self.members.append(Member(name, 0, crc, len(data), len(data), header))
+        for part in parts:
+            self._put(part)
+        self.members.append(Member(name, 0, crc, length, length, header))
         return start
 
     def close(self) -> None:
