@@ -1,10 +1,12 @@
 """Operator 8: URL filters by listed rules and a tree of path templates; DataFrame functions only.
 
-A path's shape has its digits replaced. Per host, the shapes form a tree; where a branch has many children with few pages
-each, the segment is variable and becomes a wildcard. Labelled pages are counted for each template. Sibling templates whose
-share of bad pages does not differ from all siblings' share by a two-sided test are merged; a template is rejected when its
-share of bad pages, smoothed towards the share of all labelled pages, reaches a limit. All tree work is on counts per host
-and shape, made with partial sums, so a host of a third of all pages is spread like any other.
+A path's shape has its digits replaced. Per host, the shapes form a tree that is built from the top, a level at a time, on what
+stands above already generalised: where a branch has many different children, those that are not most of it and whose share of
+bad pages does not differ from all siblings' share by a two-sided test are merged into one wildcard branch, and the next level's
+children are those of the merged branch. Labelled pages are counted for each template. Sibling templates that the same test
+finds alike lend each other their counts, and a template is rejected when its share of bad pages, smoothed towards the share of
+all labelled pages, reaches a limit. All tree work is on counts per host and shape, made with partial sums, so a host of a third
+of all pages is spread like any other.
 """
 
 from __future__ import annotations
@@ -17,9 +19,12 @@ from loomframe.llm.common import durable, read
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Rules are an expression of each row; more than these belong in a join.
 MAX_RULES = 1_000
-#: A segment is variable where so many different children have fewer pages each than the second number on average.
-FANOUT, PAGES_PER_CHILD = 8, 4
-Z, SMOOTHING, REJECT = 1.96, 5.0, 0.5
+#: A branch is variable where it has so many different children; one with more than the second share of its pages stays itself.
+FANOUT, LEAD = 8, 0.5
+#: Levels of the tree; what is below the last is one piece of it.
+LEVELS = 6
+#: Deviations (after half a page of continuity) at which shares differ; pages of the prior; share that rejects.
+Z, SMOOTHING, REJECT = 2.58, 5.0, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,20 +51,39 @@ def rule_of(host_: Column, path_: Column, rules=RULES) -> Column:
     return F.array_max(F.array_compact(F.array(*found))) if found else F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
 
 
+def differs(n: str, bad: str, all_n: str, all_bad: str) -> Column:
+    """Whether bad of n pages are another share than all_bad of all_n by a two-sided test; never without labelled pages."""
+    n, bad, all_n, all_bad = map(F.col, (n, bad, all_n, all_bad))
+    share = F.when(all_n > 0, all_bad / all_n).otherwise(F.lit(0.0))
+    return (n > 0) & (F.abs(bad - n * share) - F.lit(0.5) > F.lit(Z) * F.sqrt(n * share * (F.lit(1.0) - share)))
+
+
+def pieces(shape: str | Column) -> Column:
+    """The non-empty segments of a shape, from LEVELS on as one."""
+    own = F.filter(F.split(shape, "/"), lambda s: s != "")
+    rest = F.array_join(F.slice(own, F.lit(LEVELS), F.greatest(F.size(own) - (LEVELS - 1), F.lit(0))), "/")
+    return F.when(F.size(own) <= LEVELS, own).otherwise(F.concat(F.slice(own, 1, LEVELS - 1), F.array(rest)))
+
+
 def templates(shapes: DataFrame) -> DataFrame:
     """(host, shape, n_pages, n, bad) -> the same with template (pieces joined by /) and parent (without its last piece)."""
-    pieces = F.filter(F.split("shape", "/"), lambda s: s != "")
-    rows = shapes.select("host", "shape", "n_pages", pieces.alias("pieces")).select("host", "shape", "n_pages", "pieces", F.posexplode("pieces").alias("at", "piece"))
-    rows = rows.select("host", "shape", "n_pages", "at", F.concat_ws("/", F.slice("pieces", F.lit(1), F.col("at"))).alias("under"), "piece")
-    children = rows.groupBy("host", "at", "under", "piece").agg(F.sum("n_pages").alias("n_pages"))
-    nodes = children.groupBy("host", "at", "under").agg(F.count("*").alias("children"), F.sum("n_pages").alias("pages"))
-    variable = nodes.filter((F.col("children") >= FANOUT) & (F.col("pages") < PAGES_PER_CHILD * F.col("children")))
-    marked = rows.join(variable.select("host", "at", "under", F.lit("*").alias("wild")), ["host", "at", "under"], "left")
-    own = marked.groupBy("host", "shape").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("wild", "piece").alias("piece")))).alias("p"))
-    own = own.select("host", "shape", F.col("p.piece").alias("p"))
-    out = shapes.join(own, ["host", "shape"], "left").withColumn("p", F.coalesce("p", F.array().cast("array<string>")))
-    parent = F.when(F.size("p") > 0, F.concat_ws("/", F.slice("p", F.lit(1), F.greatest(F.size("p") - 1, F.lit(0))))).otherwise("")
-    return out.select("host", "shape", "n", "bad", F.concat_ws("/", "p").alias("template"), parent.alias("parent"))
+    now = shapes.withColumn("pieces", pieces("shape")).withColumn("template", F.lit("")).withColumn("parent", F.lit(""))
+    levels = now.agg(F.max(F.size("pieces")).alias("n")).first().n or 0
+    node = ["host", "under", "at"]
+    for level in range(levels):
+        ends = F.size("pieces") <= level
+        piece = F.when(~ends, F.get("pieces", F.lit(level)))
+        now = now.withColumn("at", F.when(~ends, F.lit(level))).withColumn("under", F.when(~ends, F.col("template"))).withColumn("piece", piece)
+        children = now.filter("at is not null").groupBy(*node, "piece").agg(*(F.sum(c).alias(c) for c in ("n_pages", "n", "bad")))
+        whole = children.groupBy(*node).agg(F.count("*").alias("children"), *(F.sum(c).alias(f"all_{c}") for c in ("n_pages", "n", "bad")))
+        merged = children.join(whole.filter(F.col("children") >= FANOUT), node).filter(F.col("n_pages") <= F.col("all_n_pages") * LEAD)
+        merged = merged.filter(~differs("n", "bad", "all_n", "all_bad")).select(*node, "piece", F.lit("*").alias("wild"))
+        now = now.join(merged, [*node, "piece"], "left")
+        longer = F.concat_ws("/", F.when(F.col("template") != "", F.col("template")), F.coalesce("wild", "piece"))
+        below = F.col("at").isNotNull()
+        now = now.select("host", "shape", "n_pages", "n", "bad", "pieces", F.when(below, F.col("template")).otherwise(F.col("parent")).alias("parent"), F.when(below, longer).otherwise(F.col("template")).alias("template"))
+        now = durable(now, "level")
+    return now.select("host", "shape", "n_pages", "n", "bad", "template", "parent")
 
 
 def judged_templates(shapes: DataFrame) -> DataFrame:
@@ -69,11 +93,7 @@ def judged_templates(shapes: DataFrame) -> DataFrame:
     around = counts.groupBy("host", "parent").agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
     total = shapes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     base = total.bad / total.n if total.n else 0.0
-    counts = counts.join(around, ["host", "parent"])
-    share = F.when(F.col("all_n") > 0, F.col("all_bad") / F.col("all_n")).otherwise(F.lit(0.0))
-    off = F.when(F.col("n") > 0, F.abs(F.col("bad") / F.col("n") - share)).otherwise(F.lit(0.0))
-    noise = F.when(F.col("n") > 0, Z * F.sqrt(share * (1 - share) / F.col("n"))).otherwise(F.lit(0.0))
-    counts = counts.withColumn("similar", off <= noise)
+    counts = counts.join(around, ["host", "parent"]).withColumn("similar", ~differs("n", "bad", "all_n", "all_bad"))
     merged = counts.filter("similar").groupBy("host", "parent").agg(F.sum("n").alias("near_n"), F.sum("bad").alias("near_bad"))
     counts = counts.join(merged, ["host", "parent"], "left")
     n = F.when(F.col("similar"), F.col("near_n")).otherwise(F.col("n"))
@@ -103,7 +123,7 @@ def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "pages", "page_id", "url"), read(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "template", "verdict")
 
 
-SQL = r"""
+_OWN = r"""
 WITH own AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
@@ -113,23 +133,35 @@ WITH own AS (
 ), shapes AS (
   SELECT host, shape, count(*) AS n_pages, count(bad) AS n, coalesce(sum(bad), 0) AS bad
   FROM shaped LEFT JOIN known ON page_id = doc_id GROUP BY host, shape
-), split AS (SELECT host, shape, n_pages, list_filter(string_split(shape, '/'), lambda s: s <> '') AS pieces FROM shapes
-), placed AS (SELECT host, shape, n_pages, pieces, unnest(generate_series(1, len(pieces))) AS pos FROM split
-), rows_ AS (SELECT host, shape, n_pages, pos, array_to_string(pieces[1:pos - 1], '/') AS under, pieces[pos] AS piece FROM placed
-), nodes AS (
-  SELECT host, pos, under, count(DISTINCT piece) AS children, sum(n_pages) AS pages FROM rows_ GROUP BY host, pos, under
-), own_t AS (
-  SELECT host, shape, list(CASE WHEN children >= 8 AND pages < 4 * children THEN '*' ELSE piece END ORDER BY pos) AS p
-  FROM rows_ JOIN nodes USING (host, pos, under) GROUP BY host, shape
-), tmpl AS (
-  SELECT s.host, s.shape, s.n, s.bad, coalesce(array_to_string(p, '/'), '') AS template, coalesce(array_to_string(p[1:len(p) - 1], '/'), '') AS parent
-  FROM shapes s LEFT JOIN own_t o ON s.host = o.host AND s.shape = o.shape
+), split AS (SELECT *, list_filter(string_split(shape, '/'), lambda s: s <> '') AS whole FROM shapes
+), t0 AS (
+  SELECT host, shape, n_pages, n, bad, '' AS parent, '' AS template,
+    CASE WHEN len(whole) <= 6 THEN whole ELSE list_append(whole[1:5], array_to_string(whole[6:], '/')) END AS p FROM split
+"""
+
+_LEVEL = """
+), c{k} AS (
+  SELECT host, template, p[{k}] AS piece, sum(n_pages) AS n_pages, sum(n) AS n, sum(bad) AS bad FROM t{j} WHERE len(p) >= {k} GROUP BY ALL
+), w{k} AS (
+  SELECT host, template, count(*) AS children, sum(n_pages) AS all_pages, sum(n) AS all_n, sum(bad) AS all_bad FROM c{k} GROUP BY ALL
+), m{k} AS (
+  SELECT host, template, piece FROM (
+    SELECT *, CASE WHEN all_n > 0 THEN CAST(all_bad AS DOUBLE) / all_n ELSE 0.0 END AS share FROM c{k} JOIN w{k} USING (host, template)
+  ) WHERE children >= 8 AND n_pages <= all_pages * 0.5 AND NOT (n > 0 AND abs(bad - n * share) - 0.5 > 2.58 * sqrt(n * share * (1.0 - share)))
+), t{k} AS (
+  SELECT t.host, t.shape, t.n_pages, t.n, t.bad, t.p, CASE WHEN len(p) >= {k} THEN t.template ELSE t.parent END AS parent,
+    CASE WHEN len(p) < {k} THEN t.template
+      ELSE (CASE WHEN t.template <> '' THEN t.template || '/' ELSE '' END) || (CASE WHEN m.piece IS NULL THEN t.p[{k}] ELSE '*' END) END AS template
+  FROM t{j} t LEFT JOIN m{k} m ON t.host = m.host AND t.template = m.template AND len(t.p) >= {k} AND t.p[{k}] = m.piece
+"""
+
+_JUDGED = r"""
+), tmpl AS (SELECT * FROM t6
 ), counts AS (SELECT host, template, parent, sum(n) AS n, sum(bad) AS bad FROM tmpl GROUP BY host, template, parent
 ), around AS (SELECT host, parent, sum(n) AS all_n, sum(bad) AS all_bad FROM counts GROUP BY host, parent
 ), shares AS (
   SELECT c.*, CASE WHEN all_n > 0 THEN CAST(all_bad AS DOUBLE) / all_n ELSE 0.0 END AS share FROM counts c JOIN around USING (host, parent)
-), tested AS (
-  SELECT *, CASE WHEN n > 0 THEN abs(CAST(bad AS DOUBLE) / n - share) ELSE 0.0 END <= CASE WHEN n > 0 THEN 1.96 * sqrt(share * (1 - share) / n) ELSE 0.0 END AS alike FROM shares
+), tested AS (SELECT *, NOT (n > 0 AND abs(bad - n * share) - 0.5 > 2.58 * sqrt(n * share * (1.0 - share))) AS alike FROM shares
 ), merged AS (SELECT host, parent, sum(n) AS near_n, sum(bad) AS near_bad FROM tested WHERE alike GROUP BY host, parent
 ), total AS (SELECT CASE WHEN sum(n) > 0 THEN CAST(sum(bad) AS DOUBLE) / sum(n) ELSE 0.0 END AS base FROM counts
 ), purity AS (
@@ -145,3 +177,6 @@ WITH own AS (
 )
 SELECT page_id, host, path, r.rule AS rule, template, coalesce(r.v, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM judged
 """
+
+#: The tree of the definition, a level after another.
+SQL = _OWN + "".join(_LEVEL.format(k=k, j=k - 1) for k in range(1, LEVELS + 1)) + _JUDGED

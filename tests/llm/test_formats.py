@@ -90,6 +90,28 @@ def test_conversations_of_odd_rows(spark):
     assert chat.digests(chat.in_order(chat.rendered(chat.fold(chat.events(df.limit(0)))))).count() == 0
 
 
+def test_a_very_long_text_takes_time_in_proportion(spark):
+    import time
+
+    text = "é[INST] abc" * 450_000
+    df = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    began = time.time()
+    row = chat.digests(chat.in_order(chat.rendered(chat.fold(chat.events(df))))).first()
+    assert time.time() - began < 60
+    assert row.loss_chars == len(text) and row.loss_sha256 == sha(text.encode()) and row.turns_sha256 == sha(f"user\n{text}\nassistant\n{text}\n".encode())
+
+
+def test_two_attempts_of_a_task_leave_both_files_whole(spark):
+    """A second attempt may meet the rows in another order; the archives that the table lists stay what their own attempt wrote."""
+    frame = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    folder = new_path(spark, "warc")
+    first, second = warc.write_archives(frame, folder), warc.write_archives(frame.orderBy("html"), folder)
+    names = [r.archive for a in (first, second) for r in a.collect()]
+    assert len(names) == len(set(names))
+    for archives in (first, second):
+        assert warc.read_records(warc.index(archives)).count() == len(PAGES)
+
+
 URLS = [None, "no scheme", "http://A.Example.COM/en/7?x#y", "https://x.com/en/1", "https://notcom/en/1", "http://com/en/", "ftp://d.net/de/8#z", "http://example.net/de/80", "http://x.org/es", "http://x.org/es/1", "a://b?c/d", "a://b#c", "http://h/x/y://z", "http://h:80/p"]
 
 
@@ -117,6 +139,36 @@ def test_bad_templates_are_rejected(spark):
     assert {r.template for r in out.collect()} == {"u/*"}
 
 
+def test_wildcards_below_wildcards_and_merged_branches(spark):
+    name = lambda i: chr(97 + i % 26) + chr(97 + i // 26 % 26)
+    pages = [(i, f"http://h/u/{name(i % 60)}x/{name(i // 60)}{name(i)}y") for i in range(180)]
+    # below a wildcard one branch of many is bad, of others none: it stays by itself
+    pages += [(1000 + i, f"http://k/m/{name(i % 40)}x/{'buy' if i % 3 == 0 else name(i) + 'z'}") for i in range(600)]
+    pages += [(1000, "http://k/m/aax/buy"), (5000, None), (5001, "http://k/" + "a/" * 30 + "b"), (5002, "http://k/" + "c" * 200_000)]
+    labels = [(1000 + i, 0 if i % 3 == 0 else 1, 0) for i in range(600)] + [(i, 1, 0) for i in range(0, 180, 3)]
+    df, own = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = U.judge(df, own).collect()
+    assert len(rows) == len(pages)
+    assert {(r.template, r.verdict) for r in rows if r.host == "h"} == {("u/*/*", "allow")}
+    found = {(r.template, r.verdict) for r in rows if r.host == "k" and r.path.startswith("/m/")}
+    assert found == {("m/*/buy", "block"), ("m/*/*", "allow")}
+    df.createOrReplaceTempView("p")
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    con.register("labels", own.toPandas())
+    want = con.execute(registry.SQL["op8_url_templates"]).fetchall()
+    columns = [c[0] for c in con.description]
+    assert Counter(tuple(getattr(r, c) for c in columns) for r in rows) == Counter(want)
+
+
+def test_templates_do_not_depend_on_the_number_of_pages(spark):
+    name = lambda i: chr(97 + i % 26) + chr(97 + i // 26 % 26)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for times in (1, 12):
+        pages = [(i, f"http://h/shop/{name(i % 100)}/item") for i in range(100 * times)]
+        assert {r.template for r in U.judge(spark.createDataFrame(pages, "page_id long, url string"), labels).collect()} == {"shop/*/item"}
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_queries_agree_with_their_sql(spark, name):
     con = duckdb.connect()
