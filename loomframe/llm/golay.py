@@ -133,3 +133,18 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             out.append((kind << 56) | (pair << 8) | piece[r])
             kind += 1
     return np.concatenate(rows), np.concatenate(out)
+
+
+def one_error_keys(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for (n, m) pairs of 23-bit segments; rows whose k-th pairs differ in one bit at most share a key: one segment is
+    exact, and the other's index is among the neighbours' of one of the two words and the own of the other (as above)."""
+    rows, out = [], []
+    for k in range(left.shape[1]):
+        for kind, (exact, other) in enumerate(((left[:, k], right[:, k]), (right[:, k], left[:, k]))):
+            near = nearby(other)
+            odd = (np.bitwise_count(other) & 1).astype(bool)
+            values, keep = _once(np.where(odd[:, None], near[:, :1], near))
+            r, c = np.nonzero(keep)
+            rows.append(r)
+            out.append(((2 * k + kind) << 56) | (exact[r] << 12) | values[r, c])
+    return np.concatenate(rows), np.concatenate(out)

@@ -166,15 +166,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, one for each class: that with the smallest id (of equal ids, any one). Rows without an id can't be
-    told apart from others and stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
-
-
 def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
