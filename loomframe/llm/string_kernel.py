@@ -10,15 +10,12 @@ import numpy as np
 ORDER, DECAY = 3, 0.6
 #: Longer units are cut into windows of this many characters that overlap by half.
 WIDEST = 32
-#: Similarities below this count as none.
-FLOOR = 0.3
 #: Characters that stand for letters inside a word.
 LOOKALIKES = str.maketrans("013457@$!|", "oieastasii")
 #: Places of hashed character pairs; a word and a landmark with fewer in common than COMMON aren't alike.
 PAIRS, COMMON, SHORT = 512, 3, 8
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W\d_]+")
-SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 #: Three or more characters that stand alone.
 SPACED = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
 

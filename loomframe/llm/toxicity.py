@@ -1,50 +1,62 @@
 """Operator 1: toxicity by a subsequence string kernel SVM with Nyström landmarks.
 
-Words are compared with landmark insults by the gap-weighted subsequence kernel, so inserted, doubled and swapped-in
-characters and spaced-out letters cost similarity but don't hide a word. A word's similarities are mapped by the inverse
-root of the landmarks' own kernel and scored by a linear SVM; a sentence scores as its worst word and a text as its worst
-sentence. Labels are of whole texts: all words of clean sentences are clean, and one word stands for each sentence of a toxic
-text that has a landmark, then for each that the model itself finds toxic.
+Words, and the starts of longer words, are compared with landmarks by the gap-weighted subsequence kernel, so inserted, doubled
+and swapped-in characters and spaced-out letters cost similarity but don't hide a word. A text's likeness to each landmark is the
+sum over its different words (a convolution kernel of bags of words), mapped by the inverse root of the landmarks' own kernel and
+scored by a linear SVM: one plain insult or several weak signs add up to a toxic text, and the number of different words counts
+against signs that long texts hold by chance. Landmarks are chosen from all labelled texts of the fit, the most telling first and
+by cover of what others have not covered yet.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from loomframe.llm import string_kernel as sk
 from loomframe.llm.common import read, small_batches
 
-#: Labelled texts of each class that a fit looks at, at most; those with the least hash of their id.
-FIT_ROWS = 1_500
-LANDMARKS = 48
-#: Words of these similarities are taken for alike, and for the same; the SVM's cost of a sentence inside the margin.
-ALIKE, SAME, COST = 0.55, 0.8, 5.0
-#: Least share of toxic texts among what a landmark covers.
-PURE = 0.97
-#: Texts of each class that landmarks are chosen from, and words that are looked at.
-CHOICE_ROWS, CHOICE_WORDS = 500, 160
+#: Labelled texts of each class that a fit looks at, at most (those with the least hash of their id); bytes of one such text and
+#: of all together. Longer texts are scored whole like any other, only not learned from.
+FIT_ROWS, FIT_TEXT, FIT_BYTES = 2_000, 1 << 20, 96 << 20
+#: Landmarks at most; letters of a word's start; greatest likeness to one landmark that counts for a text.
+LANDMARKS, START, MOST = 64, 5, 8.0
+#: Likeness that counts, and lower ones for strong landmarks that at most a share STRAY of clean texts then have by chance.
+LIKE, LOWER, STRAY = 0.65, (0.4, 0.45, 0.5, 0.55, 0.6), 0.002
+#: Least share and log odds of toxic texts with a landmark; share of toxic texts, and toxic share (classes weighed alike), from
+#: which it is toxic by itself; weight of such a landmark in disguise.
+SHARE, ODDS, COMMON, PURE, ALONE = 0.01, 1.5, 0.05, 0.97, 3
+#: Costs of a text inside the margin that are tried, and parts of the texts for that.
+COSTS, FOLDS = (0.05, 0.2, 1.0), 3
 #: Tokens that one worker remembers at most.
-MEMO = 300_000
+MEMO = 100_000
 THRESHOLD = 0.7
+#: A clean text that is flagged counts as so many toxic ones missed, by share.
 CLEAN_WEIGHT = 4
 
 
 @dataclass
 class Model:
     landmarks: list[str]
+    floors: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # likeness to each landmark from which it counts
     root: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(2))  # of the mapped likenesses, the length, and the bias
     slope: float = 0.0
     offset: float = -3.0
 
 
+def units_of(token: str) -> list[str]:
+    """What a token is compared as: its word (or windows of a long one), and the word's start."""
+    own = sk.units(token)
+    return own + [own[0][:START]] if own and len(own[0]) > START + 1 else own
+
+
 class Scorer:
     """A model with what this process knows of tokens: token -> place of its similarities, or -1 for none above the floor."""
 
@@ -57,10 +69,10 @@ class Scorer:
     def learn(self, tokens: set[str]) -> None:
         if len(self.place) > MEMO:
             self.place, self.known, self.rows = {}, {}, []
-        new = {t: sk.units(t) for t in tokens - self.place.keys()}
+        new = {t: units_of(t) for t in tokens - self.place.keys()}
         words = list({u for us in new.values() for u in us} - self.known.keys())
         near = sk.similarity(words, self.model.landmarks)
-        near[near < sk.FLOOR] = 0
+        near[near < self.model.floors] = 0
         hit = near.any(1) if words else []
         for word, any_, row in zip(words, hit, near):
             self.known[word] = len(self.rows) if any_ else -1
@@ -68,42 +80,47 @@ class Scorer:
                 self.rows.append(row)
         for token, us in new.items():
             found = [p for u in us if (p := self.known[u]) >= 0]
-            if len(found) > 1:  # windows of one long word: the greatest of each
+            if len(found) > 1:  # a word and its start, or windows of one long word: the greatest of each
                 self.rows.append(np.max([self.rows[p] for p in found], axis=0))
                 found = [len(self.rows) - 1]
             self.place[token] = found[0] if found else -1
 
-    def sentences(self, text: str) -> list[np.ndarray]:
-        """For each sentence that has a word with any likeness: such words' similarities."""
-        out = []
-        for sentence in sk.SENTENCE.split(text):
-            hit = {p for t in tokens_of(sentence) if (p := self.place.get(t, -1)) >= 0}
-            if hit:
-                out.append(np.array([self.rows[p] for p in sorted(hit)]))
+    def features(self, tokens: set[str]) -> np.ndarray:
+        """Sums of likenesses over a text's different tokens, and its length."""
+        out = np.zeros(len(self.model.landmarks) + 1)
+        for t in tokens:
+            p = self.place.get(t, -1)
+            if p >= 0:
+                out[:-1] += self.rows[p]
+        out[-1] = len(tokens)
         return out
 
-    def margins(self, x: np.ndarray) -> np.ndarray:
-        return x @ (self.model.root @ self.model.weights[:-1]) + self.model.weights[-1]
-
-    def margin(self, tokens: set[str]) -> float:
-        """A text's worst sentence's worst word, so the worst of its words."""
+    def greatest(self, tokens: set[str]) -> np.ndarray:
+        """The greatest likeness to each landmark among a text's tokens."""
         hit = [self.rows[p] for t in tokens if (p := self.place.get(t, -1)) >= 0]
-        least = float(self.model.weights[-1])
-        return max(least, float(self.margins(np.array(hit)).max())) if hit else least
+        return np.max(hit, axis=0) if hit else np.zeros(len(self.model.landmarks), np.float32)
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        return mapped(x, self.model.root) @ self.model.weights[:-1] + self.model.weights[-1]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """0 to 1 for each text; null and empty texts as those without any likeness."""
-        lower = [t.lower() if t else "" for t in texts]
-        tokens = [tokens_of(t) for t in lower]
+        x = np.zeros((len(texts), len(self.model.landmarks) + 1))
+        tokens = [tokens_of(t.lower()) if t else set() for t in texts]
         for at in range(0, len(tokens), 200):
             part = tokens[at : at + 200]
             self.learn(set().union(*part))
             for k, t in enumerate(part, at):
-                lower[k] = self.margin(t)
-        z = np.clip(self.model.slope * np.array(lower, float) + self.model.offset, -30, 30)
+                x[k] = self.features(t)
+        z = np.clip(self.model.slope * self.margins(x) + self.model.offset, -30, 30)
         return 1 / (1 + np.exp(-z))
 
 
+def mapped(x: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """What the SVM sees of features: the Nyström map of the bounded likenesses, and the logarithm of the length."""
+    return np.hstack([np.minimum(x[:, :-1], MOST) @ root, np.log1p(x[:, -1:]) / 5])
+
+
 def tokens_of(lower: str) -> set[str]:
     tokens = set(lower.split())
     if sum(len(t) == 1 for t in tokens) >= sk.ORDER:
@@ -111,42 +128,43 @@ def tokens_of(lower: str) -> set[str]:
     return tokens
 
 
-def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = LANDMARKS) -> list[str]:
-    """Units that set toxic texts apart: greedily those that, with units like them, newly cover the most toxic texts, as long as
-    what they cover is toxic for the most part (classes weighed alike) and more than chance would give."""
-    toxic, clean = toxic[:CHOICE_ROWS], clean[:CHOICE_ROWS]
-    bag = lambda sets: Counter(u for s in sets for u in s)
-    a, b = bag(toxic), bag(clean)
-    odds = {u: np.log((n + 0.5) / (len(toxic) + 1)) - np.log((b[u] + 0.5) / (len(clean) + 1)) for u, n in a.items() if n >= 4}
-    names = sorted((u for u, x in odds.items() if x > 1.0), key=lambda u: (-odds[u] * a[u], u))[:CHOICE_WORDS]
-    if not names or not clean:
+def choose_landmarks(bags: list[set[str]], toxic: np.ndarray) -> list[str]:
+    """Units that set toxic texts apart, greedily: each the one that covers the greatest share of toxic texts (a text counts half
+    as much each time that it has been covered) less CLEAN_WEIGHT times the share of clean ones."""
+    found: dict[str, list[int]] = defaultdict(list)
+    for k, bag in enumerate(bags):
+        for u in bag:
+            found[u].append(k)
+    n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
+    if not n_toxic or not n_clean:
         return []
-    known = list({u for s in clean for u in s} | set(names))
-    known.sort()
-    like = sk.similarity(known, names) >= ALIKE
-    at = {u: k for k, u in enumerate(known)}
-
-    def cover(sets: list[set[str]]) -> np.ndarray:
-        return np.array([like[[at[u] for u in s if u in at]].any(0) if s else np.zeros(len(names), bool) for s in sets])
-
-    in_toxic, in_clean = cover(toxic), cover(clean)
-    share = (in_toxic.sum(0) + 0.1) / len(toxic)
-    pure = share / (share + (in_clean.sum(0) + 0.1) / len(clean))
-    alone = np.array([a[u] / len(toxic) / (a[u] / len(toxic) + (b[u] + 1) / len(clean)) for u in names])
-    able = ((pure >= PURE) | (alone >= PURE)) & (in_toxic.sum(0) >= max(5, 0.01 * len(toxic)))
-    left, out = np.ones(len(toxic), bool), []
-    for _ in range(most):
-        gain = np.where(able, in_toxic[left].sum(0), 0)
-        k = int(np.argmax(gain))
-        if gain[k] < 0.01 * len(toxic):  # what is covered counts again, for words of their own
-            taken = [names.index(o) for o in out]
-            fresh = able & ~like[[at[names[j]] for j in range(len(names))]][:, taken].any(1) if taken else able
-            gain = np.where(fresh, in_toxic.sum(0), 0)
-            k = int(np.argmax(gain))
-            if not gain[k]:
-                break
-        out.append(names[k])
-        left &= ~in_toxic[:, k]
+    able = {}
+    for u, ks in found.items():
+        if len(ks) >= max(4, SHARE * n_toxic):
+            at = np.array(ks)
+            n = int(toxic[at].sum())
+            odds = np.log((n + 0.5) / (n_toxic + 1)) - np.log((len(ks) - n + 0.5) / (n_clean + 1))
+            if n >= max(4, SHARE * n_toxic) and odds > ODDS:
+                able[u] = at
+    weight, out = np.where(toxic, 1 / n_toxic, -CLEAN_WEIGHT / n_clean), []
+    while able and len(out) < LANDMARKS:
+        best = max(able, key=lambda u: (weight[able[u]].sum(), u))
+        at = able.pop(best)
+        if weight[at].sum() < SHARE / 2:
+            break
+        out.append(best)
+        weight[at[toxic[at]]] /= 2
+    return out
+
+
+def strong(landmarks: list[str], bags: list[set[str]], toxic: np.ndarray) -> list[str]:
+    """Landmarks that a toxic text is told by alone."""
+    out = []
+    for u in landmarks:
+        has = np.array([u in b for b in bags])
+        share, other = has[toxic].mean(), (has[~toxic].sum() + 0.1) / max((~toxic).sum(), 1)
+        if share >= COMMON and share / (share + other) >= PURE:
+            out.append(u)
     return out
 
 
@@ -168,37 +186,46 @@ def variants(word: str) -> list[str]:
 
 
 def train(texts: list[str], toxic: np.ndarray) -> Model:
-    """A model from whole labelled texts; without both labels one that calls nothing toxic."""
-    lower = [t.lower() if t else "" for t in texts]
-    tokens = [tokens_of(t) for t in lower]
-    bags = [{u for t in s for u in sk.units(t)} for s in tokens]
-    model = Model(choose_landmarks([b for b, t in zip(bags, toxic) if t], [b for b, t in zip(bags, toxic) if not t]))
-    if not model.landmarks or toxic.all():
+    """A model from whole labelled texts; without both labels, or anything that sets them apart, one that calls nothing toxic."""
+    tokens = [tokens_of(t.lower()) if t else set() for t in texts]
+    bags = [{u for t in s for u in units_of(t)} for s in tokens]
+    model = Model(choose_landmarks(bags, toxic))
+    if not model.landmarks:
         return Model([])
+    told = strong(model.landmarks, bags, toxic)
     model.root = sk.inverse_root(sk.similarity(model.landmarks, model.landmarks))
+    model.floors = np.full(len(model.landmarks), LOWER[0], np.float32)
     scorer = Scorer(model)
     scorer.learn(set().union(*tokens))
-    rows = [scorer.sentences(t) for t in lower]
-    clean = np.concatenate([np.zeros((1, len(model.landmarks)), np.float32)] + [s for r, y in zip(rows, toxic) if not y for s in r])
-    # a clean sentence's words are all clean; of a toxic text's sentences the one word most like a landmark stands for each that
-    # has the landmark itself (or for the likest sentence), then for each that the model finds toxic
-    bad = [r for r, y in zip(rows, toxic) if y and r]
-    like = [[float(s.max()) for s in r] for r in bad]
-    chosen = [[s[int(np.argmax(s.max(1)))] for s, x in zip(r, xs) if x >= max(ALIKE, min(SAME, max(xs)))] for r, xs in zip(bad, like)]
-    shaken = sk.similarity(sorted({v for u in model.landmarks for v in variants(u)}), model.landmarks)
-    shaken[shaken < sk.FLOOR] = 0
-    for _ in range(3):
-        if not any(chosen):
-            break
-        witnesses = np.concatenate([np.array([w for c in chosen for w in c], np.float32).reshape(-1, len(model.landmarks)), shaken])
-        x = np.concatenate([witnesses, clean]) @ model.root
-        model.weights = sk.train_svm(x, np.concatenate([np.ones(len(witnesses)), -np.ones(len(clean))]), COST)
-        chosen = []
-        for r in bad:
-            worst = [(float(m.max()), s[int(np.argmax(m))]) for s in r for m in [scorer.margins(s)]]
-            chosen.append([w for m, w in worst if m > 0])
-    margin = np.array([scorer.margin(t) for t in tokens])
-    cut = best_cut(margin, toxic)
+    stray = np.array([scorer.greatest(s) for s, y in zip(tokens, toxic) if not y])
+    for k, u in enumerate(model.landmarks):
+        able = [f for f in LOWER if (stray[:, k] >= f).mean() <= STRAY] if u in told else []
+        model.floors[k] = min(able, default=LIKE)
+    for row in scorer.rows:
+        row[row < model.floors] = 0
+    x = np.array([scorer.features(s) for s in tokens])
+    # each strong landmark in disguise, as the only sign of a text of middling length, is toxic too
+    alone = sk.similarity(sorted({v for u in told for v in variants(u)}), model.landmarks)
+    alone[alone < model.floors] = 0
+    alone = np.hstack([alone[alone.any(1)], np.full((int(alone.any(1).sum()), 1), float(np.median(x[:, -1])))])
+
+    def fitted(rows: np.ndarray, cost: float) -> np.ndarray:
+        z = mapped(np.vstack([x[rows]] + [alone] * ALONE), model.root)
+        return sk.train_svm(z, np.concatenate([np.where(toxic[rows], 1.0, -1.0), np.ones(len(alone) * ALONE)]), cost)
+
+    fold = np.arange(len(texts)) % FOLDS
+    tried = []
+    for cost in COSTS:  # margins of texts that the weights have not seen
+        margin = np.zeros(len(texts))
+        for k in range(FOLDS):
+            rest = fold != k
+            if toxic[rest].any() and not toxic[rest].all():
+                w = fitted(rest, cost)
+                margin[~rest] = mapped(x[~rest], model.root) @ w[:-1] + w[-1]
+        cut = best_cut(margin, toxic)
+        tried.append(((margin[toxic] > cut).mean() - CLEAN_WEIGHT * (margin[~toxic] > cut).mean(), -cost, cut, margin))
+    _, cost, cut, margin = max(tried, key=lambda t: t[:2])
+    model.weights = fitted(np.ones(len(texts), bool), -cost)
     model.slope = max(sk.platt(margin, toxic)[0], 2.0)
     model.offset = float(np.log(THRESHOLD / (1 - THRESHOLD))) - model.slope * cut
     return model
@@ -211,13 +238,17 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """From labels.toxic of rows that are not held out, rows of each class at most. Null ids and labels count for nothing; of
-    several labels of one id toxic wins."""
+    several labels of one id toxic wins. Texts come in order of a hash of their id until FIT_BYTES are reached."""
     own = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     part = lambda t: own.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = part(1).union(part(0))
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * rows at most: safe to broadcast
-    found = found.orderBy(F.xxhash64("doc_id"), "text").limit(2 * rows).toPandas()
-    return train(found["text"].tolist(), (found["toxic"] == 1).to_numpy())
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    order = [F.xxhash64("doc_id"), F.xxhash64("text")]
+    found = found.filter(size <= FIT_TEXT).orderBy(*order).limit(2 * rows)
+    found = found.withColumn("before", F.sum(size).over(Window.orderBy(*order)) - size).filter(F.col("before") < FIT_BYTES)  # of 2 * rows at most
+    frame = found.orderBy(*order).select("text", "toxic").toPandas()
+    return train(frame["text"].tolist(), (frame["toxic"] == 1).to_numpy())
 
 
 _SCORERS: dict[str, Scorer] = {}

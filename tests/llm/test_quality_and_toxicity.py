@@ -79,6 +79,34 @@ def test_kernel_is_the_gap_weighted_subsequence_kernel():
         assert abs(float(sk.similarity([a], [b])[0, 0]) - slow_kernel(a, b)) < 1e-3
 
 
+def test_the_pair_filter_drops_nothing_that_counts(monkeypatch):
+    rng = np.random.default_rng(8)
+    marks = ["scum", "idiot", "worthless", "pathetic", "réeux", "dummkopf"]
+    words = sorted({v for m in marks for v in T.variants(m)} | {v for m in marks for u in T.variants(m) for v in T.variants(u)} | {"".join(rng.choice(list("aeioscumdtr"), rng.integers(3, 10))) for _ in range(500)})
+    fast = sk.similarity(words, marks)
+    monkeypatch.setattr(sk, "COMMON", 0)
+    whole = sk.similarity(words, marks)
+    assert np.array_equal(np.where(fast >= 0.5, fast, 0), np.where(whole >= 0.5, whole, 0)) and (whole >= 0.5).sum() > 100
+
+
+def test_held_out_labels_are_found(spark):
+    d, labels = read(spark, "/root/testdata/sf0.1", "documents"), read(spark, "/root/testdata/sf0.1", "labels", "doc_id", "toxic")
+    model = T.fit(d, labels)
+    rows = d.join(labels, "doc_id").filter(T.held_out() & labels.toxic.isNotNull()).select("text", "toxic").collect()
+    hit = T.Scorer(model).scores([r.text for r in rows]) >= T.THRESHOLD
+    toxic = np.array([r.toxic == 1 for r in rows])
+    assert hit[toxic].mean() >= 0.85 and hit[~toxic].mean() <= 0.01
+
+
+def test_long_repeated_and_missing_texts(spark):
+    texts = ["idiot. " * 5, "idiot. " * 5, None, "word " * 300_000, "idiot " + "word " * 300_000]
+    frame = docs(spark, texts)
+    labels = spark.createDataFrame([(0, 1), (0, 0), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    out = T.with_score(frame.union(frame), T.fit(frame, labels)).collect()
+    assert len(out) == 10 and len({(r.doc_id, r["score"]) for r in out}) == 5
+    assert T.fit(frame.limit(0), labels).landmarks == [] and T.with_score(frame.limit(0), T.Model([])).count() == 0
+
+
 def test_units_see_through_marks():
     assert sk.units("1d1ot!!") == ["idiot"] and sk.units("s.t-u_pid,") == ["stupid"] and sk.units("ab") == []
     assert len(sk.units("x" * 100)) == 6
