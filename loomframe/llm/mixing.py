@@ -1,10 +1,12 @@
 """Operator 6: mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 A row's priority is a hash of its id, so each source's rows stand in a random order that any rerun repeats; the order's
-leading bits are its blocks. A source's quota is so many whole passes over its blocks and a last one up to a priority, which
-is found from sums of ever finer cells, never from an ordering of all rows. The block quotas of all sources are split
-between the two halves of the output shards by a multivariate hypergeometric draw, and so on down to single shards: each
-shard gets an exact share, as if all draws had been shuffled. Within a shard rows are ordered by a hash.
+leading bits are its blocks. What a source gives is a sequence of blocks: whole passes, each in an order of its own, and a last
+one up to the block in which the target is reached, found from sums of ever finer cells, never from an ordering of all rows. The
+block quotas of all sources are split between the two halves of the output shards by a multivariate hypergeometric draw, and so
+on down to single shards: each shard's share of a source is the next so many blocks of that source's sequence. A row is taken
+once for each of its block's places in the sequence that falls in a shard's share; in a sequence's last block only rows before
+the exact cut are. Within a shard rows are ordered by a hash.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ SHARDS, SEED = 64, 17
 PART_WORDS = 20_000_000
 BLOCK_BITS = 10
 BLOCKS = 1 << BLOCK_BITS
+#: A source this near its target (a share of it) takes no further rows; rows that others take once more, at most.
+CLOSE, ROUNDS = 0.001, 12
 #: More sources than these are refused: their totals and quotas are planned on the driver.
 MAX_SOURCES = 20_000
 
@@ -67,9 +71,10 @@ def split(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
 
 def _limits(sized: DataFrame, rest: DataFrame) -> DataFrame:
     """(source, limit, more): rows of priority under the limit, with those of the priorities in more, come near the source's
-    rest of words. More are up to three rows that are taken once more, each the largest that still fits.
+    rest of words. More are up to ROUNDS rows that are taken once more, each the largest that still fits, and at last the one
+    that leaves the least. They matter for sources of few documents; of others one row is less than CLOSE.
 
-    rest has (source, words, passes). Cells of 16 bits, of the next 16 in the cell where the words are reached, then single
+    rest has (source, words, passes, target). Cells of 16 bits, of the next 16 in the cell where the words are reached, then single
     priorities: each level sums at most 65536 cells a source.
     """
     now = rest.select("source", "words", F.lit(0).cast("long").alias("prefix"))
@@ -85,15 +90,25 @@ def _limits(sized: DataFrame, rest: DataFrame) -> DataFrame:
         reached = cells.filter("before <= words").groupBy("source").agg(F.max_by(F.struct("cell", "before", "size", "words"), "cell").alias("c"))
         now = reached.select("source", (F.col("c.words") - F.col("c.before")).alias("words"), F.col("c.cell").alias("prefix"), F.col("c.size").alias("size"))
         now = durable(now, "limits")
-    now = now.join(rest.select(F.col("source").alias("__source"), "passes"), F.col("source").eqNullSafe(F.col("__source")))
-    now = now.select("__source", "words", "passes", F.col("prefix").alias("limit"), F.array().cast("array<long>").alias("more"))
-    for _ in range(3):
-        own = sized.join(now, F.col("source").eqNullSafe(F.col("__source")))
-        own = own.filter(((F.col("priority") >= F.col("limit")) | (F.col("passes") < MOST - 1)) & (F.col("size") > 0) & (F.col("size") <= F.col("words")) & ~F.array_contains("more", F.col("priority")))
-        best = own.groupBy("source").agg(F.max(F.struct("size", "priority")).alias("best"))
+    now = now.join(rest.select(F.col("source").alias("__source"), "passes", "target"), F.col("source").eqNullSafe(F.col("__source")))
+    now = now.select("__source", "words", "passes", "target", F.col("prefix").alias("limit"), F.array().cast("array<long>").alias("more"), F.lit(True).alias("open"))
+    left, near = F.col("words"), F.col("target") * CLOSE
+    for _ in range(ROUNDS):
+        wanting = now.filter(F.col("open") & (left > near))
+        if wanting.isEmpty():
+            break
+        own = sized.join(F.broadcast(wanting), F.col("source").eqNullSafe(F.col("__source")))  # MAX_SOURCES rows at most
+        own = own.filter(((F.col("priority") >= F.col("limit")) | (F.col("passes") < MOST - 1)) & (F.col("size") > 0) & ~F.array_contains("more", F.col("priority")))
+        own = own.groupBy("source", "words", "priority").agg(F.sum("size").alias("size"))  # rows of one id are taken together
+        row = F.struct("size", "priority")
+        best = own.groupBy("source").agg(F.max(F.when(F.col("size") <= left, row)).alias("under"), F.min(F.when(F.col("size") > left, row)).alias("over"))
         now = now.join(best, F.col("source").eqNullSafe(F.col("__source")), "left")
-        more = F.when(F.col("best").isNull(), F.col("more")).otherwise(F.array_append("more", F.col("best.priority")))
-        now = durable(now.select("__source", (F.col("words") - F.coalesce("best.size", F.lit(0))).alias("words"), "passes", "limit", more.alias("more")), "limits")
+        past = F.col("over.size") - left
+        end = F.coalesce((past <= near) | (F.col("under").isNull() & (past < left)), F.lit(False))
+        pick = F.when(F.col("open") & (left > near), F.when(end, F.col("over")).otherwise(F.col("under")))
+        more = F.when(pick.isNull(), F.col("more")).otherwise(F.array_append("more", pick["priority"]))
+        now = now.select("__source", (left - F.coalesce(pick["size"], F.lit(0))).alias("words"), "passes", "target", "limit", more.alias("more"), (pick.isNotNull() & ~end).alias("open"))
+        now = durable(now, "limits")
     return now.withColumnRenamed("__source", "source")
 
 
@@ -107,8 +122,8 @@ def priority(id_col: str):
 
 
 def plan(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """One row for each source of sized rows: source_size, target, passes, limit, more, partial, bounds (the first draw of each
-    shard), in order of code points with null last."""
+    """One row for each source of sized rows: source_size, target, passes, limit, more, bounds (the first place of each shard in the
+    source's sequence of blocks, and its end), in order of code points with null last."""
     spark = rows.sparkSession
     found = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -117,7 +132,7 @@ def plan(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     sizes = [n for _, n in found]
     goal = targets(sizes) if found and sum(sizes) else [0.0] * len(found)
     passes = [int(t // n) if n else 0 for t, n in zip(goal, sizes)]
-    names = spark.createDataFrame([(s, t - p * n, p) for (s, n), t, p in zip(found, goal, passes)], "source string, words double, passes int")
+    names = spark.createDataFrame([(s, t - p * n, p, t) for (s, n), t, p in zip(found, goal, passes)], "source string, words double, passes int, target double")
     limits = {r.source: r for r in _limits(rows, names).collect()}
     lines, quotas = [], []
     for (s, n), t, p in zip(found, goal, passes):
@@ -125,25 +140,28 @@ def plan(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
         limit, more = (cut.limit, cut.more) if cut and p < MOST and n else (0, [])
         partial = (limit >> (63 - BLOCK_BITS)) + 1 if limit or more else 0
         quotas.append(p * BLOCKS + partial)
-        lines.append((s, n, t, p, limit, more, max(partial, 1)))
-    starts = np.cumsum(np.vstack([np.zeros((1, len(quotas)), np.int64), split(np.array(quotas, np.int64), shards)]), axis=0)[:-1]
-    rows_ = [(*line, [int(x) for x in starts[:, k]]) for k, line in enumerate(lines)]
-    return spark.createDataFrame(rows_, "source string, source_size long, target double, passes int, limit long, more array<long>, partial long, bounds array<long>")
+        lines.append((s, n, t, p, limit, more))
+    bounds = np.cumsum(np.vstack([np.zeros((1, len(quotas)), np.int64), split(np.array(quotas, np.int64), shards)]), axis=0)
+    rows_ = [(*line, [int(x) for x in bounds[:, k]]) for k, line in enumerate(lines)]
+    return spark.createDataFrame(rows_, "source string, source_size long, target double, passes int, limit long, more array<long>, bounds array<long>")
 
 
 def drawn(rows: DataFrame, planned: DataFrame) -> DataFrame:
     """rows (with source, priority) with their source's plan and shards: the shard of each time that the mix takes the row."""
     p = F.broadcast(planned.withColumnRenamed("source", "__source"))  # MAX_SOURCES rows at most
     out = rows.join(p, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    once = lambda c: F.coalesce(c.cast("int"), F.lit(0))
-    times = F.col("passes") + once(F.col("priority") < F.col("limit")) + once(F.array_contains("more", F.col("priority")))
-    block = F.shiftright("priority", 63 - BLOCK_BITS)
+    block, end = F.shiftright("priority", 63 - BLOCK_BITS), F.element_at("bounds", -1)
     # a whole pass takes its blocks in an order of its own: an odd factor and an offset, modulo the number of blocks
     turn = lambda e: F.pmod(block * (F.pmod(F.xxhash64(F.lit(SEED), "source", e), F.lit(BLOCKS // 2)) * 2 + 1) + F.pmod(F.xxhash64(e, "source"), F.lit(BLOCKS)), F.lit(BLOCKS))
-    draw = lambda e: e * BLOCKS + F.when(e < F.col("passes"), turn(e)).otherwise(F.pmod(block, F.col("partial")))
-    shard = lambda e: (F.size(F.filter("bounds", lambda b: b <= draw(e))) - 1).cast("int")
-    copies = F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))
-    return out.withColumn("shards", F.transform(copies, shard))
+    place = lambda e: e * BLOCKS + F.when(e < F.col("passes"), turn(e)).otherwise(block)
+    # the shard in whose share a place falls; past the end none, and of the last pass' last block only rows before the cut
+    cut = lambda e: (e == F.col("passes")) & (place(e) == end - 1) & (F.col("priority") >= F.col("limit"))
+    share = lambda at: (F.size(F.filter("bounds", lambda b: b <= at)) - 1).cast("int")
+    shard = lambda e: F.when((place(e) < end) & ~cut(e), share(place(e)))
+    taken = F.filter(F.transform(F.sequence(F.lit(0), F.col("passes")), shard), lambda s: s.isNotNull())
+    # rows taken once more go with a block of the sequence that their own priority picks
+    again = F.when(F.array_contains("more", F.col("priority")), F.array(share(F.pmod(F.col("priority"), F.greatest(end, F.lit(1))))))
+    return out.withColumn("shards", F.concat(taken, F.coalesce(again, F.array().cast("array<int>"))))
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS) -> DataFrame:
