@@ -23,7 +23,7 @@ from loomframe.llm.common import read, small_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pre-tokens that one worker remembers at most.
-MEMO = 400_000
+MEMO = 150_000
 
 
 def read_ranks(path: str) -> list[bytes]:

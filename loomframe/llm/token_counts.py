@@ -23,7 +23,7 @@ from loomframe.llm.common import read, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pre-tokens, and pairs of tokens, that one worker remembers at most.
-MEMO = 400_000
+MEMO = 150_000
 LIMIT = 2048
 
 
