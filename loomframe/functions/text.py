@@ -24,6 +24,8 @@ ABBREVIATIONS = (("PJNO", "プロジェクト番号"), ("PJN", "プロジェク
 # Marks that count as symbols, and ranges of Japanese characters.
 SYMBOLS = r"|｜¦┃━―─\-_=~^`'\".,。・:：;；!！?？()（）\[\]［］{}｛｝<>＜＞／/\\+*#@＆&％%…"
 JAPANESE = r"぀-ヿ㐀-䶿一-鿿"
+#: The same as characters: what stripping takes from both ends.
+BLANK = " \t\n\x0b\f\r\u3000\u00a0"
 SPACE = r"\s　 "
 
 
@@ -129,6 +131,29 @@ def jst_minute(c: Column) -> Column:
     return F.coalesce(F.date_format(F.try_to_timestamp(c), "yyyy/MM/dd HH:mm"), c)
 
 
+def jst_short(c: Column) -> Column:
+    """ISO text with a space for its T and （JST） for +09:00; — where there is none."""
+    own = F.replace(F.replace(c, F.lit("T"), F.lit(" ")), F.lit("+09:00"), F.lit("（JST）"))
+    return F.when(F.coalesce(c, F.lit("")) == "", "—").otherwise(own)
+
+
+def jst_long(c: Column) -> Column:
+    """Y年M月D日　HH時mm分ss秒 of ISO text; text that is no time stays, — where there is none."""
+    wall = F.try_to_timestamp(F.regexp_replace(c, r"(Z|[+-]\d{2}:?\d{2})$", ""))
+    return F.when(F.coalesce(c, F.lit("")) == "", "—").otherwise(F.coalesce(F.date_format(wall, "y年M月d日　HH時mm分ss秒"), c))
+
+
+def log_path(root: Column | str, log: str, month: Column) -> Column:
+    """Where a log's month lies: root/<log>_yyyy-MM.jsonl; bad months give null."""
+    root = F.lit(root) if isinstance(root, str) else root
+    return F.when(month.rlike(r"^\d{4}-(0[1-9]|1[0-2])$"), F.concat(F.regexp_replace(root, "/+$", ""), F.lit(f"/{log}_"), month, F.lit(".jsonl")))
+
+
+def number_in(c: Column, least: int = 1, most: int = 200) -> Column:
+    """Whether a project's number lies within its limits; bad numbers do not."""
+    return F.coalesce(c.try_cast("int").between(least, most), F.lit(False))
+
+
 def short_hash(c: Column, n: int = 12) -> Column:
     return F.substring(F.sha2(c, 256), 1, n)
 
@@ -201,7 +226,7 @@ def estimate_tokens(c: Column) -> Column:
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(c, F.lit(BLANK))
 
 
 def share(c: Column, characters: str) -> Column:

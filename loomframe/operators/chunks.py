@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,6 +12,10 @@ from loomframe.functions import text as T
 MOST, LEAST, HARD = 1_200, 400, 1_800
 # Where a long unit is cut at best, in order.
 SOFT = ("。", "、", "；", "：", ";", ":", "）", ")", " ")
+#: What stripping takes away, paragraphs and sentences of normalised texts.
+BLANK = " \t\n\x0b\f\r\u3000\u00a0"
+_PARAGRAPH = re.compile(r"[^\n]+(?:\n[^\n]+)*")
+_SENTENCE = re.compile(r".*?[。！？!?]|.+", re.S)
 
 
 def normalised(c: Column) -> Column:
@@ -28,81 +32,83 @@ def units(c: Column) -> Column:
     return F.when((F.size(own) == 0) & (c != ""), F.array(c)).otherwise(own)
 
 
-def cut_long(unit: str, hard: int) -> list[str]:
-    """Pieces of at most hard characters: cut after the last line end, else after the last soft mark in order of preference, that
-    lies in the second half; else at the bound."""
-    out, rest = [], unit.strip()
-    while len(rest) > hard:
-        head = rest[:hard]
-        places = (head.rfind(mark) for mark in ("\n", *SOFT))
-        at = next((p + 1 for p in places if p >= max(1, hard // 2)), hard)
-        if piece := rest[:at].strip():
-            out.append(piece)
-        rest = rest[at:].strip()
-    return [*out, rest] if rest else out
-
-
-def _cut_all(hard: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["units"] = [[p for u in us for p in cut_long(u, hard)] for us in frame["units"]]
-            yield frame
-
-    return run
-
-
-def _with_units(rows: DataFrame, hard: int) -> DataFrame:
-    """rows (keys.., text) with units of at most hard characters; only rows with a longer one go through Python."""
-    own = rows.withColumn("units", units(normalised(F.col("text")))).drop("text")
-    long = F.exists("units", lambda u: F.char_length(u) > hard)
-    return own.filter(~long).unionByName(own.filter(long).mapInPandas(_cut_all(hard), own.schema))
-
-
-def chunk_numbers(lengths: Column, most: int, least: int, hard: int) -> Column:
-    """Array of chunk numbers for unit lengths: a chunk grows while it stays within most (a line end between units counts), is
-    closed once it has least, may grow to hard if it is shorter, and is closed else. A fold over integers only."""
-    zero = F.struct(F.lit(0).alias("no"), F.lit(-1).alias("len"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, n: Column) -> Column:
-        more = acc["len"] + 1 + n
-        fits = (acc["len"] < 0) | (more <= most) | ((acc["len"] < least) & (more <= hard))
-        no = acc["no"] + F.when(fits, 0).otherwise(1)
-        return F.struct(no.alias("no"), F.when(fits & (acc["len"] >= 0), more).otherwise(n).cast("int").alias("len"), F.array_append(acc["out"], no).alias("out"))
-
-    return F.aggregate(lengths, zero, step)["out"]
-
-
-def _gathered(units_: DataFrame, most: int, least: int, hard: int) -> DataFrame:
-    """(doc_id, u array of (text, page_no)) -> chunks with pages and spans."""
-    own = units_.withColumn("no", chunk_numbers(F.transform("u", lambda x: F.char_length(x["text"])), most, least, hard))
-    flat = own.select("doc_id", F.posexplode(F.arrays_zip("u", "no")).alias("at", "z")).select("doc_id", "at", "z.no", "z.u.text", "z.u.page_no")
-    page = F.when(F.col("page_no") > 0, F.col("page_no"))
-    out = flat.groupBy("doc_id", F.col("no").alias("chunk_index")).agg(F.expr("listagg(text, chr(10)) WITHIN GROUP (ORDER BY at)").alias("text"), F.min(page).alias("page_start"), F.max(page).alias("page_end"))
-    return out.filter(T.stripped(F.col("text")) != "").withColumn("chunk_len_tokens", T.estimate_tokens(F.col("text")))
-
-
-def _spans(chunks: DataFrame) -> DataFrame:
-    """chunks with span_start and span_end in the chunks joined by line ends."""
-    from pyspark.sql import Window as W
-
-    n = F.char_length("text")
-    before = F.sum(n + 1).over(W.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(W.unboundedPreceding, -1))
-    return chunks.withColumn("span_start", F.coalesce(before, F.lit(0))).withColumn("span_end", F.col("span_start") + n)
+def _inner(text: str, start: int, end: int) -> tuple[int, int]:
+    """A span without the blanks at its ends."""
+    part = text[start:end]
+    left = len(part) - len(part.lstrip(BLANK))
+    return start + left, max(start + left, start + len(part.rstrip(BLANK)))
+
+
+def unit_spans(text: str, hard: int) -> list[tuple[int, int]]:
+    """Spans of the units of a normalised text. One above hard characters is cut after the last line end, else after the last soft
+    mark in order of preference, that lies in the second half; else at the bound."""
+    out = []
+    for paragraph in _PARAGRAPH.finditer(text):
+        for m in _SENTENCE.finditer(text, *paragraph.span()):
+            start, end = _inner(text, *m.span())
+            while end - start > hard:
+                places = (text.rfind(mark, start, start + hard) - start for mark in ("\n", *SOFT))
+                cut = start + next((p + 1 for p in places if p >= max(1, hard // 2)), hard)
+                out.append(_inner(text, start, cut))
+                start = _inner(text, cut, end)[0]
+            out.append((start, end))
+    return [(a, b) for a, b in out if a < b]
+
+
+def chunk_numbers(lengths: list[int], most: int, least: int, hard: int) -> list[int]:
+    """Chunk numbers for unit lengths: a chunk grows while it stays within most (a line end between units counts), is closed once
+    it has least, may grow to hard if it is shorter, and is closed else."""
+    out, no, size = [], 0, -1
+    for n in lengths:
+        more = size + 1 + n
+        if size < 0 or more <= most or (size < least and more <= hard):
+            size = more if size >= 0 else n
+        else:
+            no, size = no + 1, n
+        out.append(no)
+    return out
+
+
+def _chunks(most: int, least: int, hard: int, paged: bool):
+    """Arrow function: pages of normalised texts and their numbers -> chunks. A fold over a document, so no JVM expression."""
+
+    def one(texts, numbers) -> list[tuple]:
+        units_ = [(t[a:b], a, b, int(p)) for t, p in zip(texts, numbers) for a, b in unit_spans(t, hard)]
+        grouped: dict[int, list] = {}
+        for no, u in zip(chunk_numbers([len(u[0]) for u in units_], most, least, hard), units_):
+            grouped.setdefault(no, []).append(u)
+        out, at = [], 0
+        for no, us in grouped.items():
+            text = "\n".join(u[0] for u in us)
+            start, end = (at, at + len(text)) if paged else (us[0][1], us[-1][2])
+            at += len(text) + 1
+            out.append((no, text, us[0][3], us[-1][3], start, end))
+        return out
+
+    def run(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+        return pd.Series([one(t, p) for t, p in zip(texts, numbers)], dtype=object)
+
+    return F.pandas_udf(run, "array<struct<chunk_index int, text string, page_start long, page_end long, span_start int, span_end int>>")
+
+
+def _out(rows: DataFrame, chunks: Column) -> DataFrame:
+    own = rows.select("doc_id", F.inline(chunks))
+    return own.withColumn("chunk_len_tokens", T.estimate_tokens(F.col("text")))
 
 
 def chunk_documents(docs: DataFrame, most: int = MOST, least: int = LEAST, hard: int = HARD) -> DataFrame:
-    """(doc_id, chunk_index, text, chunk_len_tokens, span_start, span_end); null and blank texts have no chunks."""
-    own = _with_units(docs.filter("text is not null").select("doc_id", "text"), hard)
-    u = F.transform("units", lambda s: F.struct(s.alias("text"), F.lit(0).cast("long").alias("page_no")))
-    return _spans(_gathered(own.select("doc_id", u.alias("u")), most, least, hard)).drop("page_start", "page_end")
+    """(doc_id, chunk_index, text, chunk_len_tokens, span_start, span_end); null and blank texts have no chunks. Spans are of the
+    normalised text: what stands there is the chunk up to white space between its units."""
+    own = docs.filter("text is not null").select("doc_id", F.array(normalised(F.col("text"))).alias("texts"), F.array(F.lit(0).cast("long")).alias("numbers"))
+    return _out(own, _chunks(most, least, hard, False)("texts", "numbers")).drop("page_start", "page_end")
 
 
 def chunk_pages(pages: DataFrame, most: int = MOST, least: int = LEAST, hard: int = HARD) -> DataFrame:
-    """The same over pages, each normalised and split by itself, with the first and last page of each chunk."""
-    own = _with_units(pages.filter("text is not null").select("doc_id", "page_no", "text"), hard)
-    each = own.select("doc_id", F.struct(F.col("page_no"), F.col("units")).alias("p")).groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    u = F.flatten(F.transform("p", lambda p: F.transform(p["units"], lambda s: F.struct(s.alias("text"), p["page_no"].cast("long").alias("page_no")))))
-    return _spans(_gathered(each.select("doc_id", u.alias("u")).filter(F.size("u") > 0), most, least, hard))
+    """The same over pages, each normalised and split by itself, with the first and last page of each chunk. Pages have no common
+    text, so spans are of the chunks joined by line ends."""
+    own = pages.filter("text is not null").select("doc_id", F.col("page_no").cast("long").alias("page_no"), normalised(F.col("text")).alias("text"))
+    own = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
+    return _out(own, _chunks(most, least, hard, True)("p.text", "p.page_no"))
 
 
 def meta_rows(chunks: DataFrame, sources: DataFrame) -> DataFrame:

@@ -30,11 +30,11 @@ def inline(c: Column, nfkc: bool = True, join_japanese: bool = True) -> Column:
     characters and digits (line ends there go too)."""
     c = T.newlines(c)
     c = T.nfkc(c) if nfkc else c
-    for pattern, to in ((r"・{3,}", "・"), (r"\.{3,}", "..."), (r"ー{3,}", "ー"), (r"={3,}", "=="), (r"\s[|｜]\s", " "), (r"[ \t]{2,}", " ")):
-        c = F.regexp_replace(c, pattern, to)
+    # what is too much of a run goes, in one pass: three ・ or ー leave one, four dots three, three = two
+    c = F.regexp_replace(c, r"・{2,}(?=・)|ー{2,}(?=ー)|(?<=\.\.\.)\.+|(?<===)=+", "")
+    c = F.regexp_replace(F.regexp_replace(c, r"\s[|｜]\s", " "), r"[ \t]{2,}", " ")
     if join_japanese:
-        for before, after in ((T.JAPANESE, T.JAPANESE), (r"0-9", T.JAPANESE), (T.JAPANESE, r"0-9")):
-            c = F.regexp_replace(c, rf"(?<=[{before}])[{T.SPACE}]+(?=[{after}])", "")
+        c = F.regexp_replace(c, rf"(?<=[{T.JAPANESE}])[{T.SPACE}]+(?=[{T.JAPANESE}0-9])|(?<=[0-9])[{T.SPACE}]+(?=[{T.JAPANESE}])", "")
     return c
 
 
@@ -93,29 +93,56 @@ def repeated_lines(rows: DataFrame, least: int = 3, most: int = 40, nfkc: bool =
     return out.filter((F.col("count") >= max(2, least)) & (F.char_length("canon") <= max(10, most)) & ~is_heading(F.col("canon")))
 
 
-def tagged_lines(docs: DataFrame, o: Options = Options()) -> DataFrame:
-    """Lines of normalised texts with the reason why each is dropped: decoration, tiny, garbage, toc, repeated; null if kept.
+def measured(rows: DataFrame, nfkc: bool = True, shares: bool = True) -> DataFrame:
+    """rows with what the predicates look at, each worked out once: the stripped line, its canonical form, its length, shares of
+    symbols and, if asked for, of Latin and Japanese characters, and whether it is a heading."""
+    own = rows.withColumn("s", T.stripped(F.col("line"))).withColumn("n", F.char_length("s"))
+    share = lambda characters: F.when(F.col("n") == 0, 0.0).otherwise((F.col("n") - F.char_length(F.regexp_replace("s", f"[{characters}]+", ""))) / F.col("n"))
+    own = own.withColumn("symbols", share(T.SYMBOLS))
+    own = own.withColumn("latin", share("A-Za-z")).withColumn("japanese", share(T.JAPANESE)) if shares else own
+    # plain ASCII is its own compatibility form, so only other lines go through Python
+    other = T.nfkc(F.when(F.octet_length("s") > F.col("n"), F.col("s")))
+    own = own.withColumn("canon", F.coalesce(other, F.col("s")) if nfkc else F.col("s"))
+    wide = F.contains("canon", F.lit("  ")) | F.contains("canon", F.lit("\t"))
+    own = own.withColumn("canon", F.when(wide, F.regexp_replace("canon", r"[ \t]{2,}", " ")).otherwise(F.col("canon")))
+    return own.withColumn("heading", F.col("s").rlike(HEADING) | F.col("s").isin(*HEADINGS))
+
 
-    Later reasons look only at what earlier ones leave, as contents runs and repeats are counted there.
+def tagged_lines(docs: DataFrame, o: Options = Options()) -> DataFrame:
+    """Measured lines of normalised texts with the reason why each is dropped: decoration, tiny, garbage, toc, repeated; null if
+    kept. Later reasons look only at what earlier ones leave, as contents runs and repeats are counted there. One pass: all
+    windows are over parts of documents, whose texts are shuffled once, before they are cut into lines.
     """
-    rows = lines(docs.select("doc_id", inline(F.col("text"), o.nfkc, o.join_japanese).alias("text")))
-    noise = F.when(is_decoration(F.col("line")), "decoration").when(is_tiny(F.col("line")), "tiny")
-    noise = noise.when(is_garbage(F.col("line")), "garbage") if o.drop_garbage else noise
-    rows = rows.withColumn("reason", noise)
-    left = tag_contents(rows.filter("reason is null"), o.toc_min_run)
-    kept = left.filter("not toc").withColumn("canon", canonical(F.col("line"), o.nfkc))
-    again = repeated_lines(left.filter("not toc"), o.repeated_min, o.repeated_most, o.nfkc).select("doc_id", "canon", F.lit("repeated").alias("again"))
-    kept = kept.join(again, ["doc_id", "canon"], "left").select("doc_id", "line_no", "line", F.col("again").alias("reason"))
-    gone = left.filter("toc").select("doc_id", "line_no", "line", F.lit("toc").alias("reason"))
-    return rows.filter("reason is not null").unionByName(gone).unionByName(kept)
+    own = docs.select("doc_id", "text").repartition("doc_id")  # the one shuffle, of whole texts
+    rows = measured(lines(own.select("doc_id", inline(F.col("text"), o.nfkc, o.join_japanese).alias("text"))), o.nfkc, o.drop_garbage)
+    s, n, some = F.col("s"), F.col("n"), F.col("n") > 0
+    decoration = ((F.col("symbols") >= 0.7) & (n >= 6)) | ((n >= 5) & s.rlike(r"[ー―─\-_=・.。]{5,}")) | s.rlike(r"^[|｜¦┃\s]{4,}$")
+    tiny = ~F.col("heading") & (n <= 2) & ~s.rlike(r"^[0-9]{1,3}$")
+    noise = F.when(some & decoration, "decoration").when(some & tiny, "tiny")
+    if o.drop_garbage:
+        garbage = ~F.col("heading") & (n <= 60) & (F.col("japanese") < 0.10) & (F.col("latin") + F.col("symbols") >= 0.60) & (F.col("latin") >= 0.25)
+        noise = noise.when(some & garbage, "garbage")
+    loose = (F.col("symbols") >= 0.35) & (n >= 8) & s.rlike(r"^(第\s*\d+|[IVX]+\.|\d+\s*[.)])") & s.rlike(r"\s[0-9]{1,3}\s*$")
+    rows = rows.select("doc_id", "line_no", "s", "canon", "heading", noise.alias("noise"), ((s == "目次") | s.rlike(CONTENTS) | loose).alias("contents"))
+    # a run of contents is what stands between two lines that are kept and no contents
+    between = F.sum((F.col("noise").isNull() & ~F.col("contents")).cast("int")).over(W.partitionBy("doc_id").orderBy("line_no"))
+    rows = rows.withColumn("run", between)
+    in_run = F.col("noise").isNull() & F.col("contents")
+    size = F.sum(in_run.cast("int")).over(W.partitionBy("doc_id", "run"))
+    rows = rows.withColumn("toc", in_run & (size >= max(2, o.toc_min_run)))
+    left = F.col("noise").isNull() & ~F.col("toc")
+    times = F.sum(left.cast("int")).over(W.partitionBy("doc_id", "canon"))
+    again = left & (F.col("canon") != "") & (times >= max(2, o.repeated_min)) & (F.char_length("canon") <= max(10, o.repeated_most)) & ~is_heading(F.col("canon"))
+    reason = F.when(F.col("noise").isNotNull(), F.col("noise")).when(F.col("toc"), "toc").when(again, "repeated")
+    return rows.select("doc_id", "line_no", F.col("s").alias("line"), "heading", reason.alias("reason"))
 
 
 def joined(rows: DataFrame) -> DataFrame:
     """(doc_id, line_no, line): wrapped lines joined by a space. A new line begins after a blank one, at and after headings and
-    bullets, and where the line before ends a sentence; blank lines go."""
+    bullets, and where the line before ends a sentence; blank lines go. rows may have heading already."""
     order = W.partitionBy("doc_id").orderBy("line_no")
-    own = rows.select("doc_id", "line_no", T.stripped(F.col("line")).alias("line"))
-    own = own.withColumn("alone", is_heading(F.col("line")))
+    own = rows.withColumn("line", T.stripped(F.col("line")))
+    own = own.select("doc_id", "line_no", "line", (F.col("heading") if "heading" in rows.columns else is_heading(F.col("line"))).alias("alone"))
     before, alone = F.lag("line").over(order), F.lag("alone").over(order)
     fresh = before.isNull() | (before == "") | alone | F.col("alone") | before.rlike(r"[。．.!！?？:]$")
     own = own.withColumn("g", F.sum(fresh.cast("int")).over(order)).filter("line <> ''")

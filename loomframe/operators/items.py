@@ -70,6 +70,11 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
     return rows.orderBy(*order).offset(max(0, number - 1) * size).limit(size)
 
 
+def page_count(rows: DataFrame, size: int) -> DataFrame:
+    """One row: total and pages of so many rows (one at least); no rows are one page."""
+    return rows.agg(F.count("*").alias("total")).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / max(1, size))).cast("long"))
+
+
 def storage_used(items: DataFrame) -> DataFrame:
     return items.groupBy("owner").agg(F.sum("size_bytes").alias("used"))
 
@@ -80,10 +85,18 @@ def admitted(arrivals: DataFrame, used: DataFrame, quota: int = QUOTA) -> DataFr
     return arrivals.join(used, "owner", "left").withColumn("ok", F.coalesce("used", F.lit(0)) + so_far <= quota).drop("used")
 
 
-def exported(items: DataFrame, selected: DataFrame) -> DataFrame:
-    """(item_id, path) for each selected id: kind/id__name, or null if there is no such item."""
+def exported(items: DataFrame, selected: DataFrame, content: str | None = None) -> DataFrame:
+    """(item_id, path) for each selected id: kind/id__name, or null if there is no such item; with the named column as content."""
     path = F.concat(F.col("kind"), F.lit("/"), F.col("item_id"), F.lit("__"), T.safe_filename(F.col("original_name")))
-    return selected.select("item_id").distinct().join(items.select("item_id", path.alias("path")), "item_id", "left")
+    with_it = [F.col(content).alias("content")] if content else []
+    return selected.select("item_id").distinct().join(items.select("item_id", path.alias("path"), *with_it), "item_id", "left")
+
+
+def write_export(rows: DataFrame, path: str) -> None:
+    """Exported rows that were found, in a folder for each kind; those without a path are listed under missing."""
+    found = rows.filter("path is not null").withColumn("kind", F.element_at(F.split("path", "/"), 1))
+    found.write.partitionBy("kind").parquet(f"{path}/items")
+    rows.filter("path is null").select("item_id").write.parquet(f"{path}/missing")
 
 
 def sent(items: DataFrame, receiver: str, sender: str) -> DataFrame:

@@ -32,11 +32,14 @@ def ready(kind: Column, text_done: Column, clean_done: Column, locked: Column |
     return out & locked if locked is not None else out
 
 
-def source_choice(kind: Column, has_clean: Column, has_raw: Column) -> Column:
-    """Struct (kind, reason): images take the clean text; texts the clean, else the raw; else none."""
+def source_choice(kind: Column, has_clean: Column, has_raw: Column, locked: Column | None = None) -> Column:
+    """Struct (kind, reason): images take the clean text; texts the clean, else the raw; else none. Where a lock is asked for,
+    nothing is taken without it."""
     clean, raw = F.struct(F.lit("clean").alias("kind"), F.lit("").alias("reason")), F.struct(F.lit("raw").alias("kind"), F.lit("").alias("reason"))
     none = F.struct(F.lit(None).cast("string").alias("kind"), F.lit("no text").alias("reason"))
-    return F.when(has_clean, clean).when((kind == "text") & has_raw, raw).otherwise(none)
+    out = F.when(has_clean, clean).when((kind == "text") & has_raw, raw).otherwise(none)
+    open_ = F.struct(F.lit(None).cast("string").alias("kind"), F.lit("not locked").alias("reason"))
+    return out if locked is None else F.when(F.coalesce(locked, F.lit(False)), out).otherwise(open_)
 
 
 def project_state(projects: DataFrame, rag: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -74,6 +77,59 @@ def check_decision(locked: Column, done: Column, kind: Column, has_file: Column)
     return F.when(~locked, "skip").when(done, "done").when(~has_file, "error").when(kind == "image", "image").otherwise("text")
 
 
+def year_totals(checks: DataFrame) -> DataFrame:
+    """(project_year, total, processed, text, replaced, image, skipped, error, message) of checked reports: rows with a decision
+    of check_decision and whether the report had a text before, which a check replaces."""
+    d, again = F.col("decision"), F.coalesce("had_text", F.lit(False))
+    count = lambda c, name: F.count_if(c).alias(name)
+    parts = [count((d == "text") & ~again, "text"), count((d == "text") & again, "replaced"), count(d == "image", "image"), count(d.isin("skip", "done"), "skipped"), count(d == "error", "error")]
+    out = checks.groupBy("project_year").agg(F.count("*").alias("total"), *parts)
+    out = out.withColumn("processed", F.col("text") + F.col("replaced") + F.col("image"))
+    done = F.format_string("%d of %d: %d new, %d replaced, %d images, %d skipped, %d errors", "processed", "total", "text", "replaced", "image", "skipped", "error")
+    return out.withColumn("message", F.when(F.col("skipped") == F.col("total"), "all skipped").otherwise(done))
+
+
+#: What each action on a report does to the columns of its project; locked projects refuse all but unlock.
+REPORT_ACTIONS = ("replace", "lock", "unlock", "delete")
+
+
+def report_updates(projects: DataFrame, actions: DataFrame) -> DataFrame:
+    """projects after actions (project_year, project_no, action, stored), one of each project at most, with outcome: done, refused
+    (a locked project's report is neither replaced nor deleted; without a report there is nothing to lock), or null without one."""
+    key = ["project_year", "project_no"]
+    own = projects.join(actions.select(*key, "action", F.col("stored").alias("__stored")), key, "left")
+    locked, there = F.coalesce("pdf_lock_flag", F.lit(0)) == 1, T.blank_to_null(F.col("report_pdf_stored_filename")).isNotNull()
+    act = F.col("action")
+    unknown = F.raise_error(F.lit("unknown action")).cast("string")
+    outcome = F.when(act.isNull(), F.lit(None).cast("string")).when(~act.isin(*REPORT_ACTIONS), unknown)
+    outcome = outcome.when(act.isin("replace", "delete") & locked | (act == "lock") & ~there, "refused").otherwise("done")
+    own = own.withColumn("outcome", outcome)
+    did = lambda *names: (F.col("outcome") == "done") & act.isin(*names)
+    flag = F.when(did("lock"), 1).when(did("unlock"), 0).otherwise(F.col("pdf_lock_flag"))
+    name = F.when(did("replace"), F.col("__stored")).when(did("delete"), F.lit(None).cast("string")).otherwise(F.col("report_pdf_stored_filename"))
+    return own.withColumn("pdf_lock_flag", flag.cast("int")).withColumn("report_pdf_stored_filename", name).drop("__stored")
+
+
+def run_decision(selected: Column, has_output: Column, forced: Column, failed: Column) -> Column:
+    """What a run does with a document: nothing unless selected, skip where outputs are there and it is not forced, else error if
+    its source fails, processed where there were outputs, new where there were none."""
+    there = F.coalesce(has_output, F.lit(False))
+    return F.when(~F.coalesce(selected, F.lit(False)), F.lit(None).cast("string")).when(there & ~F.coalesce(forced, F.lit(False)), "skip").when(F.coalesce(failed, F.lit(False)), "error").when(there, "processed").otherwise("new")
+
+
+def run_totals(decided: DataFrame, *by: str) -> DataFrame:
+    """(ok, new, processed, skip, error) of decided rows; what is not selected does not count."""
+    d = F.col("decision")
+    count = lambda name: F.count_if(d == name).alias(name)
+    return decided.groupBy(*by).agg(F.count_if(d.isin("new", "processed")).alias("ok"), *map(count, ("new", "processed", "skip", "error")))
+
+
+def answer_payload(question: Column, answer: Column, years: Column, top_k: Column, references: Column) -> Column:
+    """JSON of a question, its result and what it refers to; texts trimmed."""
+    query = F.struct(F.trim(question).alias("question"), top_k.cast("int").alias("top_k"), years.alias("selected_years"))
+    return F.to_json(F.struct(query.alias("query"), F.struct(F.trim(answer).alias("answer")).alias("result"), references.alias("used_references")))
+
+
 def newest(rows: DataFrame, by: str, order: list[Column], n: int = 5) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(by).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")
 

@@ -13,28 +13,64 @@ def truncated(c: Column, most: int = MESSAGE) -> Column:
     return F.when(F.char_length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
 
 
+#: Columns of an event, in order; a start has no outcome and a finish no more than ids and outcome.
+WHO = ("user_sub", "app_name", "page_name", "provider", "task_type", "parent_run_id", "model")
+OUTCOME = ("status", "input_tokens", "output_tokens", "error_type", "error_message")
+
+
 def start_events(runs: DataFrame) -> DataFrame:
-    return runs.select("run_id", F.lit("start").alias("event_type"), F.col("started_at").alias("ts"), "user_sub", "app_name", "model", F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("input_tokens"), F.lit(None).cast("long").alias("output_tokens"), F.lit(None).cast("string").alias("error_message"))
+    none = {"input_tokens": "long", "output_tokens": "long"}
+    outcome = [F.lit(None).cast(none.get(c, "string")).alias(c) for c in OUTCOME]
+    return runs.select("run_id", F.lit("start").alias("event_type"), F.col("started_at").alias("ts"), *WHO, *outcome, F.col("start_meta").alias("meta_json"))
 
 
 def finish_events(runs: DataFrame) -> DataFrame:
     done = runs.filter("status <> 'running'")
     end = F.col("started_at") + F.make_dt_interval(secs=F.col("elapsed_ms") / 1000)
     message = F.when(F.col("status") == "error", F.concat(F.lit("failed "), "run_id"))
-    return done.select("run_id", F.lit("finish").alias("event_type"), end.alias("ts"), "user_sub", "app_name", "model", "status", "input_tokens", "output_tokens", message.alias("error_message"))
+    kind = F.when(F.col("status") == "error", F.col("error_type"))
+    return done.select("run_id", F.lit("finish").alias("event_type"), end.alias("ts"), *WHO, "status", "input_tokens", "output_tokens", kind.alias("error_type"), message.alias("error_message"), F.col("finish_meta").alias("meta_json"))
+
+
+def _record(start: str, finish: str) -> list[Column]:
+    """A run's columns from its start and finish structs."""
+    i, o = F.col(f"{finish}.input_tokens"), F.col(f"{finish}.output_tokens")
+    total = F.when(i.isNotNull() | o.isNotNull(), F.coalesce(i, F.lit(0)) + F.coalesce(o, F.lit(0)))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    elapsed = ((micros(f"{finish}.ts") - micros(f"{start}.ts")) / 1000).cast("long")
+    error = [F.col(f"{finish}.error_type").alias("error_type"), truncated(F.col(f"{finish}.error_message")).alias("error_message")]
+    times = [F.col(f"{start}.ts").alias("started_at"), F.col(f"{finish}.ts").alias("finished_at"), elapsed.alias("elapsed_ms")]
+    meta = F.coalesce(f"{finish}.meta_json", f"{start}.meta_json").alias("meta_json")
+    return [*[F.col(f"{start}.{c}").alias(c) for c in WHO], F.coalesce(f"{finish}.status", F.lit("running")).alias("status"), *times, i.alias("input_tokens"), o.alias("output_tokens"), total.alias("total_tokens"), *error, meta]
 
 
 def runs_from_events(events: DataFrame) -> DataFrame:
-    """One row for each started run. A run without a finish is running. total is in + out if either is known; equal times of
-    several finishes of one run: the greater status counts."""
+    """One row for each started run. A run without a finish is running. total is in + out if either is known, meta_json the
+    finish's or else the start's; equal times of several finishes of one run: the greater status counts."""
     kind = F.col("event_type")
-    start = F.min_by(F.struct("ts", "user_sub", "app_name", "model"), F.when(kind == "start", F.col("ts")))
-    finish = F.max_by(F.struct("ts", "status", "input_tokens", "output_tokens", "error_message"), F.when(kind == "finish", F.struct("ts", "status")))
+    start = F.min_by(F.struct("ts", *WHO, "meta_json"), F.when(kind == "start", F.col("ts")))
+    finish = F.max_by(F.struct("ts", *OUTCOME, "meta_json"), F.when(kind == "finish", F.struct("ts", "status")))
     own = events.groupBy("run_id").agg(start.alias("s"), finish.alias("f"), F.count_if(kind == "start").alias("n")).filter("n > 0")
-    i, o = F.col("f.input_tokens"), F.col("f.output_tokens")
-    total = F.when(i.isNotNull() | o.isNotNull(), F.coalesce(i, F.lit(0)) + F.coalesce(o, F.lit(0)))
-    elapsed = (F.unix_micros(F.col("f.ts").cast("timestamp")) - F.unix_micros(F.col("s.ts").cast("timestamp"))) / 1000
-    return own.select("run_id", "s.user_sub", "s.app_name", "s.model", F.coalesce("f.status", F.lit("running")).alias("status"), F.col("s.ts").alias("started_at"), F.col("f.ts").alias("finished_at"), elapsed.cast("long").alias("elapsed_ms"), i.alias("input_tokens"), o.alias("output_tokens"), total.alias("total_tokens"), truncated(F.col("f.error_message")).alias("error_message"))
+    return own.select("run_id", *_record("s", "f"))
+
+
+def updated_runs(starts: DataFrame, finishes: DataFrame) -> DataFrame:
+    """The same by a join of start rows with finish rows, one of each run at most."""
+    s = starts.select("run_id", F.struct("ts", *WHO, "meta_json").alias("s"))
+    f = finishes.select("run_id", F.struct("ts", *OUTCOME, "meta_json").alias("f"))
+    return s.join(f, "run_id", "left").select("run_id", *_record("s", "f"))
+
+
+def usage_summary(runs: DataFrame, *by: str, paid: Column | None = None, chat_only: bool = False, rate: float = costs.USD_JPY) -> DataFrame:
+    """embedding_usd, chat_usd, total_usd and total_jpy of each group: chat counts only where paid, the yen come from summed
+    dollars; chat_only leaves embedding out."""
+    own = costs.priced(runs)
+    chat = F.coalesce(costs.chat_usd(F.col("input_tokens"), F.col("output_tokens")), F.lit(0.0))
+    chat = F.when(F.col("in_usd").isNotNull() & (F.lit(True) if paid is None else paid), chat).otherwise(0.0)
+    embedding = F.lit(0.0) if chat_only else F.coalesce(costs.embedding_usd(F.col("input_tokens")), F.lit(0.0))
+    out = own.groupBy(*by).agg(F.round(F.sum(embedding), 9).alias("embedding_usd"), F.round(F.sum(chat), 9).alias("chat_usd"))
+    out = out.withColumn("total_usd", F.round(F.col("embedding_usd") + F.col("chat_usd"), 9)).withColumn("total_jpy", F.round(F.col("total_usd") * rate, 4))
+    return out.drop("embedding_usd") if chat_only else out
 
 
 def costed(runs: DataFrame, rate: float = costs.USD_JPY) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Seconds without a heartbeat after which a session counts no more.
@@ -63,19 +64,39 @@ def minute_samples(events: DataFrame, ttl: int = TTL) -> DataFrame:
     return out.select("bucket_ts", "app_name", "active_users", "active_sessions", "peak_users", "peak_sessions")
 
 
-def daily_minutes(events: DataFrame, ttl: int = TTL) -> DataFrame:
+def daily_minutes(events: DataFrame, ttl: int = TTL, compat: bool = False) -> DataFrame:
     """(date, user_sub, app_name, active_minutes, peak_users_day, peak_sessions_day): minutes at whose first sample the user
-    was active, and the greatest counts of those samples."""
+    was active, and the greatest counts of those samples. compat: the first minute of a day counts as a minute, but not for the
+    peaks, which are 0 on a day of one minute."""
     each = _samples(events, ttl)
     first = each.groupBy("app_name", "minute").agg(F.min("at").alias("at"))
     own = each.join(first, ["app_name", "minute", "at"])
     counts = own.groupBy("app_name", "minute").agg(F.countDistinct("user_sub").alias("users"), F.countDistinct("session_id").alias("sessions"))
-    rows = own.select("app_name", "minute", "user_sub").distinct().join(counts, ["app_name", "minute"])
-    return rows.groupBy(F.date_format("minute", "yyyy-MM-dd").alias("date"), "user_sub", "app_name").agg(F.count("*").alias("active_minutes"), F.max("users").alias("peak_users_day"), F.max("sessions").alias("peak_sessions_day"))
+    rows = own.select("app_name", "minute", "user_sub").distinct().join(counts, ["app_name", "minute"]).withColumn("date", F.date_format("minute", "yyyy-MM-dd"))
+    if compat:
+        first = F.col("minute") == F.min("minute").over(W.partitionBy("date", "user_sub", "app_name"))
+        rows = rows.withColumn("first", first).withColumn("users", F.when(F.col("first"), 0).otherwise(F.col("users"))).withColumn("sessions", F.when(F.col("first"), 0).otherwise(F.col("sessions")))
+    return rows.groupBy("date", "user_sub", "app_name").agg(F.count("*").alias("active_minutes"), F.max("users").alias("peak_users_day"), F.max("sessions").alias("peak_sessions_day"))
+
+
+def folded_heartbeats(events: DataFrame, seconds: int = 30) -> DataFrame:
+    """Heartbeats of each session of which each comes at least so many seconds after the one kept before it: a fold in order of
+    time (equal times by event_id), one session in a task."""
+    names = events.columns
+
+    def keep(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, last, kept = frame.sort_values(["ts", "event_id"]), None, []
+        for at in frame["ts"]:
+            kept.append(last is None or (at - last).total_seconds() >= seconds)
+            last = at if kept[-1] else last
+        return frame[kept]
+
+    return events.filter("kind = 'heartbeat'").groupBy("session_id").applyInPandas(keep, events.schema).select(*names)
 
 
 def thinned(events: DataFrame, seconds: int = 30) -> DataFrame:
-    """One heartbeat for each session and span of seconds: the first of each."""
+    """One heartbeat for each session and fixed span of seconds, the first of each: what a stream can do without state, and about
+    what folded_heartbeats gives."""
     slot = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / seconds)
     order = W.partitionBy("session_id", "slot").orderBy("ts", "event_id")
     return events.filter("kind = 'heartbeat'").withColumn("slot", slot).withColumn("n", F.row_number().over(order)).filter("n = 1").drop("slot", "n")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomframe.functions import text as T
 from loomframe.operators import chunks as K, vectors as V
+from loomframe.sources.shared import stored
 
 PARTS = ("vectors", "meta", "manifest")
 KEYS = ["collection_id", "shard_id"]
@@ -36,8 +39,10 @@ def backup(spark: SparkSession, path: str, stamp: str, **keys: str) -> str:
     return to
 
 
-def empty_store(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "shard_id string, vector_index long, embedding array<float>")
+def empty_store(spark: SparkSession, shards_: list[str], dim: int) -> dict[str, DataFrame]:
+    """A store without rows whose shards have a declared dimension, which the first rows appended are held to."""
+    out = {"vectors": "shard_id string, vector_index long, embedding array<float>", "meta": "shard_id string, vector_index long, doc_id string, chunk_len_tokens int", "manifest": "shard_id string, doc_id string"}
+    return {part: spark.createDataFrame([], schema) for part, schema in out.items()} | {"dims": spark.createDataFrame([(s, dim) for s in shards_], "shard_id string, dim int")}
 
 
 def shards(rows: DataFrame, *keys: str) -> DataFrame:
@@ -45,9 +50,9 @@ def shards(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys).distinct().filter(~F.col(keys[-1]).startswith("_")).orderBy(*keys)
 
 
-def appended(vectors: DataFrame, more: DataFrame) -> DataFrame:
-    """Union of vectors; a row of another dimension than its shard's first is an error."""
-    sizes = vectors.groupBy("shard_id").agg(F.max(F.size("embedding")).alias("dim"))
+def appended(vectors: DataFrame, more: DataFrame, dims: DataFrame | None = None) -> DataFrame:
+    """Union of vectors; a row of another dimension than its shard's (as declared in dims, else that of its vectors) is an error."""
+    sizes = vectors.groupBy("shard_id").agg(F.max(F.size("embedding")).alias("dim")) if dims is None else dims
     wrong = F.col("dim").isNotNull() & (F.size("embedding") != F.col("dim"))
     checked = more.join(sizes, "shard_id", "left").withColumn("embedding", F.when(wrong, F.raise_error(F.lit("another dimension")).cast("array<float>")).otherwise(F.col("embedding")))
     return vectors.unionByName(checked.select(*vectors.columns))
@@ -66,7 +71,7 @@ def ingest(sources: DataFrame, manifest: DataFrame, base: DataFrame, embed: Call
     embed is the caller's: it takes the chunks and adds their vectors.
     """
     known = V.with_ingested(sources, manifest)
-    status = F.when(F.col("ingested"), "skip").when(F.trim(F.coalesce("text", F.lit(""))) == "", "error").otherwise("ok")
+    status = F.when(F.col("ingested"), "skip").when(T.stripped(F.coalesce("text", F.lit(""))) == "", "error").otherwise("ok")
     result = known.select("shard_id", "doc_id", status.alias("status"), "text")
     fresh = result.filter("status = 'ok'")
     key = F.struct("shard_id", "doc_id")
@@ -76,6 +81,33 @@ def ingest(sources: DataFrame, manifest: DataFrame, base: DataFrame, embed: Call
     return embed(V.dense_index(rows, base)), result.drop("text")
 
 
+def embedded(rows: DataFrame, fn: Callable[[pd.Series], pd.Series], text_col: str = "text", out: str = "embedding") -> DataFrame:
+    """rows that have more than blanks in their text, with the caller's vectors of it (a function of Arrow batches)."""
+    own = rows.filter(T.stripped(F.coalesce(text_col, F.lit(""))) != "")
+    return own.withColumn(out, F.pandas_udf(fn, "array<float>")(text_col))
+
+
+def grown(store: dict[str, DataFrame], sources: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The store with what is new in sources, and each source's status: chunks are numbered after each shard's vectors and stored
+    once; vectors, metadata and manifest get their rows from them."""
+    base = store["vectors"].groupBy("shard_id").agg(F.count("*").alias("base"))
+    rows, result = ingest(sources, store["manifest"], base, embed)
+    rows, result = stored(rows, "ingested"), stored(result, "results")
+    out = {
+        "vectors": appended(store["vectors"], rows.select("shard_id", "vector_index", "embedding"), store.get("dims")),
+        "meta": store["meta"].unionByName(rows.select("shard_id", "vector_index", "doc_id", "chunk_len_tokens"), allowMissingColumns=True),
+        "manifest": store["manifest"].unionByName(result.filter("status = 'ok'").select("shard_id", "doc_id"), allowMissingColumns=True),
+    }
+    return {**store, **out}, result
+
+
+def rebuilt(store: dict[str, DataFrame], sources: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The store with the sources' documents taken in anew: their metadata and manifest rows go, their old vectors stay as orphans."""
+    keys = sources.select("shard_id", "doc_id").distinct()
+    less = {**store, "meta": V.without_docs(store["meta"], keys), "manifest": V.without_docs(store["manifest"], keys)}
+    return grown(less, sources, embed)
+
+
 def totals(result: DataFrame) -> DataFrame:
     """One row: total, ok, skip, error (whatever else is an error)."""
     s = F.col("status")
@@ -97,6 +129,22 @@ def removed(vectors: DataFrame, meta: DataFrame, manifest: DataFrame, gone: Data
     return V.without_docs(meta, gone), V.without_docs(manifest, gone)
 
 
+def deregistered(spark: SparkSession, path: str, gone: DataFrame, stamp: str, **keys: str) -> tuple[DataFrame, DataFrame]:
+    """Takes documents out of the snapshot's shards that the keys name: refused if metadata is misaligned, after a backup, with
+    vectors left as orphans. (result, resets): one row with the plan and status (success, partial if a document was not there,
+    failed if none was), and an event for each removed document that resets its status."""
+    own = read_snapshot(spark, path, **keys)
+    plan = stored(removal_plan(own["meta"], own["manifest"], gone), "plan")
+    resets = own["meta"].select("shard_id", "doc_id").unionByName(own["manifest"].select("shard_id", "doc_id")).distinct()
+    resets = stored(resets.join(gone, ["shard_id", "doc_id"], "left_semi").select("shard_id", "doc_id", F.lit("reset").alias("stage"), F.lit(stamp).alias("ts")), "resets")
+    removed(own["vectors"], own["meta"], own["manifest"], gone)  # refuses before anything is written
+    kept = read_snapshot(spark, backup(spark, path, stamp, **keys), **keys)
+    write_snapshot({"vectors": kept["vectors"], "meta": V.without_docs(kept["meta"], gone), "manifest": V.without_docs(kept["manifest"], gone)}, path)
+    found = resets.agg(F.count("*").alias("removed"))
+    status = F.when(F.col("removed") == 0, "failed").when(F.col("removed") < F.col("selected"), "partial").otherwise("success")
+    return plan.crossJoin(found).withColumn("status", status), resets  # two single rows
+
+
 def models(manifest: DataFrame, meta: DataFrame) -> DataFrame:
     """(shard_id, doc_id, model): the manifest's, else the first of the metadata's that is not blank."""
     m = lambda df, name: df.filter("trim(coalesce(embed_model, '')) <> ''").groupBy("shard_id", "doc_id").agg(F.min("embed_model").alias(name))

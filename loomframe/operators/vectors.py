@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from loomframe.sources.shared import new_path
+from loomframe.sources.shared import new_path, stored
 
 #: Vectors and queries of a block; a task of a search holds one of each.
 BLOCK_ROWS, BLOCK_QUERIES = 8_192, 1_024
@@ -115,14 +115,21 @@ def misaligned(vectors: DataFrame, meta: DataFrame) -> DataFrame:
 
 def audit(vectors: DataFrame, meta: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row for each shard: counts, orphans, documents on one side only, misaligned rows, and health: error if any row is
-    misaligned, warn if anything is left over, else ok."""
-    count = lambda df, name: df.groupBy("shard_id").agg(F.count("*").alias(name))
-    docs = reconciled(meta, manifest)
-    parts = [count(vectors, "vectors"), count(meta, "meta"), count(manifest, "processed"), count(orphans(vectors, meta), "orphans"), count(docs.filter("note = 'meta only'"), "meta_only"), count(docs.filter("note = 'processed only'"), "processed_only"), count(misaligned(vectors, meta), "misaligned")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "shard_id", "full_outer")
-    out = out.na.fill(0)
+    misaligned, warn if anything is left over, else ok. One grouping by index, one by document, one by shard."""
+    one, none = F.lit(1), F.lit(0)
+    rows = vectors.select("shard_id", "vector_index", one.alias("v"), none.alias("m")).unionAll(meta.select("shard_id", "vector_index", none.alias("v"), one.alias("m")))
+    at = rows.groupBy("shard_id", "vector_index").agg(F.sum("v").alias("v"), F.sum("m").alias("m"))
+    sizes = vectors.groupBy("shard_id").agg(F.count("*").alias("size"))
+    at = at.join(sizes, "shard_id", "left")
+    outside = (F.col("vector_index") < 0) | (F.col("vector_index") >= F.coalesce("size", F.lit(0)))
+    bad = F.when(outside, F.col("m")).otherwise(0) + F.when(F.col("m") > 1, 1).otherwise(0)
+    at = at.select("shard_id", F.col("v").alias("vectors"), F.col("m").alias("meta"), F.when(F.col("m") == 0, F.col("v")).otherwise(0).alias("orphans"), bad.alias("misaligned"), *[none.alias(c) for c in ("processed", "meta_only", "processed_only")])
+    docs = meta.select("shard_id", "doc_id", one.alias("m"), none.alias("p")).unionAll(manifest.select("shard_id", "doc_id", none.alias("m"), one.alias("p")))
+    docs = docs.groupBy("shard_id", "doc_id").agg(F.max("m").alias("m"), F.sum("p").alias("p"))
+    lone = lambda here, there: (F.col(here) * (F.col(there) == 0).cast("int"))
+    docs = docs.select("shard_id", *[none.alias(c) for c in ("vectors", "meta", "orphans", "misaligned")], F.col("p").alias("processed"), lone("m", "p").alias("meta_only"), F.when((F.col("m") == 0) & (F.col("p") > 0), 1).otherwise(0).alias("processed_only"))
+    names = ("vectors", "meta", "processed", "orphans", "meta_only", "processed_only", "misaligned")
+    out = at.unionByName(docs).groupBy("shard_id").agg(*[F.sum(c).cast("long").alias(c) for c in names])
     left = F.col("orphans") + F.col("meta_only") + F.col("processed_only")
     return out.withColumn("health", F.when(F.col("misaligned") > 0, "error").when(left > 0, "warn").otherwise("ok"))
 
@@ -143,18 +150,26 @@ def store_summary(vectors: DataFrame, meta: DataFrame, manifest: DataFrame) -> D
 def dense_index(rows: DataFrame, base: DataFrame) -> DataFrame:
     """rows (shard_id, doc_id, chunk_index) with vector_index: dense per shard in order of doc_id and chunk, from the shard's base.
 
-    Counts of documents are summed up within the shard; a row's place within its document comes from a window of that document.
+    Documents with their counts are dealt to ranges of (shard_id, doc_id) and stored; ranges are summed up by their few totals,
+    documents within their range, and a row's place within its document comes from a window of that document. No window holds a
+    shard.
     """
     per_doc = rows.groupBy("shard_id", "doc_id").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy("shard_id").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1))
-    starts = per_doc.withColumn("start", F.coalesce(before, F.lit(0))).drop("n")
+    dealt = stored(per_doc.repartitionByRange("shard_id", "doc_id").withColumn("part", F.spark_partition_id()), "numbered")
+    parts = dealt.groupBy("shard_id", "part").agg(F.sum("n").alias("n"))
+    parts = parts.select("shard_id", "part", F.coalesce(F.sum("n").over(W.partitionBy("shard_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.sum("n").over(W.partitionBy("shard_id", "part").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1))
+    starts = dealt.withColumn("within", F.coalesce(within, F.lit(0))).join(parts, ["shard_id", "part"]).select("shard_id", "doc_id", (F.col("before") + F.col("within")).alias("start"))
     place = F.row_number().over(W.partitionBy("shard_id", "doc_id").orderBy("chunk_index")) - 1
     out = rows.withColumn("place", place).join(starts, ["shard_id", "doc_id"]).join(base, "shard_id", "left")
     return out.withColumn("vector_index", F.coalesce("base", F.lit(0)) + F.col("start") + F.col("place")).drop("place", "start", "base")
 
 
-def compacted(vectors: DataFrame, meta: DataFrame) -> DataFrame:
-    """(shard_id, doc_id, old_index, vector_index): live rows renumbered from 0 in each shard; orphans go."""
+def compacted(vectors: DataFrame, meta: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(shard_id, doc_id, old_index, vector_index): live rows renumbered from 0 in each shard; orphans go. Refused if the metadata
+    names a document that sources, where given, do not have."""
+    if sources is not None and not meta.join(sources, ["shard_id", "doc_id"], "left_anti").isEmpty():
+        raise ValueError("metadata names documents without a source; resolve or deregister them first")
     rows = live(vectors.select("shard_id", "vector_index"), meta).select("shard_id", "doc_id", F.col("vector_index").alias("chunk_index"))
     base = rows.select("shard_id").distinct().withColumn("base", F.lit(0))
     return dense_index(rows, base).withColumnRenamed("chunk_index", "old_index")
@@ -164,6 +179,16 @@ def without_docs(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(gone, ["shard_id", "doc_id"], "left_anti")
 
 
+def in_scope(meta: DataFrame, files: list[str], since: str | None = None, file: str = "file", created: str = "created_at") -> DataFrame:
+    """Metadata of the named files (equal, or ending so; all without names), not made before since as text; rows without a time stay."""
+    if files:
+        named = F.lit(False)
+        for name in files:
+            named = named | (F.col(file) == name) | F.col(file).endswith(name)
+        meta = meta.filter(named)
+    return meta.filter(F.col(created).isNull() | (F.col(created) >= since)) if since else meta
+
+
 def embedding_costs(meta: DataFrame, usd_per_million: float, rate: float = 150.0) -> DataFrame:
     """One row: tokens of chunks but negative ones and outliers, which are counted, with their mean, 95th percentile (nearest
     rank), greatest and cost."""

@@ -147,19 +147,6 @@ def n8_year_checks(spark, sf_dir):
     return own.groupBy("project_year").agg(count("skip", "skipped"), count("text", "text"), count("image", "image"), count("error", "error"))
 
 
-@query("SELECT project_year, project_no, CASE WHEN pdf_lock_flag = 1 THEN report_pdf_stored_filename ELSE 'new.pdf' END AS stored FROM prj", "prj")
-def n12_report_replaced(spark, sf_dir):
-    new = F.when(F.col("pdf_lock_flag") == 1, F.col("report_pdf_stored_filename")).otherwise("new.pdf")
-    return _prj(spark, sf_dir).select("project_year", "project_no", new.alias("stored"))
-
-
-@query("SELECT doc_id, doc_id % 2 = 0 AS valid FROM documents")
-def b12_manual_ok(spark, sf_dir):
-    sha = F.sha2("text", 256)
-    then = F.when(F.col("doc_id") % 2 == 0, F.upper(sha)).otherwise(F.lit("x"))
-    return table(spark, sf_dir, "documents").select("doc_id", L.manual_ok_valid(F.lit(True), [F.col("source"), F.col("source")], sha, then).alias("valid"))
-
-
 @query("SELECT conv_id, turn, question, answer FROM qa", "qa")
 def c13_turn_pairs(spark, sf_dir):
     return L.turn_pairs(table(spark, sf_dir, "conversations"))

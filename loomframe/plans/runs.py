@@ -34,20 +34,22 @@ def b5_events_of_a_run(spark, sf_dir):
     return _events(spark, sf_dir).filter("run_id = '77'").orderBy("ts", "event_type").limit(2000).select("event_type", "run_id", "ts")
 
 
-@query("""SELECT run_id, user_sub, app_name, model, status, started_at, CASE WHEN status <> 'running' THEN started_at + elapsed_ms * INTERVAL 1 MILLISECOND END AS finished_at,
+_RECORD = """SELECT run_id, user_sub, app_name, page_name, provider, task_type, parent_run_id, model, status, started_at, CASE WHEN status <> 'running' THEN started_at + elapsed_ms * INTERVAL 1 MILLISECOND END AS finished_at,
 CASE WHEN status <> 'running' THEN elapsed_ms END AS elapsed_ms, CASE WHEN status <> 'running' THEN input_tokens END AS input_tokens, CASE WHEN status <> 'running' THEN output_tokens END AS output_tokens,
 CASE WHEN status <> 'running' AND (input_tokens IS NOT NULL OR output_tokens IS NOT NULL) THEN coalesce(input_tokens, 0) + coalesce(output_tokens, 0) END AS total_tokens,
-CASE WHEN status = 'error' THEN 'failed ' || run_id END AS error_message FROM run""", "run")
+CASE WHEN status = 'error' THEN error_type END AS error_type, CASE WHEN status = 'error' THEN 'failed ' || run_id END AS error_message,
+CASE WHEN status <> 'running' THEN coalesce(finish_meta, start_meta) ELSE start_meta END AS meta_json FROM run"""
+
+
+@query(_RECORD, "run")
 def i8_runs_from_events(spark, sf_dir):
     return R.runs_from_events(_events(spark, sf_dir))
 
 
-@query("SELECT run_id, status, CASE WHEN status = 'running' THEN NULL ELSE elapsed_ms END AS elapsed_ms FROM run", "run")
+@query(_RECORD, "run")
 def c10_start_finish_join(spark, sf_dir):
     own = runs(spark, sf_dir)
-    start, finish = R.start_events(own).select("run_id", F.col("ts").alias("from")), R.finish_events(own).select("run_id", "status", F.col("ts").alias("to"))
-    ms = (F.unix_micros(F.col("to").cast("timestamp")) - F.unix_micros(F.col("from").cast("timestamp"))) / 1000
-    return start.join(finish, "run_id", "left").select("run_id", F.coalesce("status", F.lit("running")).alias("status"), ms.cast("long").alias("elapsed_ms"))
+    return R.updated_runs(R.start_events(own), R.finish_events(own))
 
 
 @query(f"SELECT run_id, run.model, round({_CHAT}, 9) AS usd {_FROM}", "run")
@@ -98,11 +100,18 @@ def i9_price_per_1k(spark, sf_dir):
     return costs.priced(runs(spark, sf_dir).select("model").distinct()).select("model", (F.col("in_usd") / 1000).alias("in_1k"), (F.col("out_usd") / 1000).alias("out_1k"))
 
 
-@query(f"SELECT app_name, round(sum(CASE WHEN p.e IS NOT NULL THEN {_USD} END), 9) AS embedding_usd, round(sum(CASE WHEN p.i IS NOT NULL AND status = 'success' THEN {_CHAT} ELSE 0 END), 9) AS chat_usd {_FROM} GROUP BY app_name", "run")
+_PAID = "provider = 'openai' AND status = 'success'"
+_SUMS = f"SELECT app_name, round(coalesce(sum(CASE WHEN p.e IS NOT NULL THEN {_USD} END), 0), 9) AS e, round(sum(CASE WHEN p.i IS NOT NULL AND {{paid}} THEN coalesce({_CHAT}, 0) ELSE 0 END), 9) AS c {_FROM} GROUP BY app_name"
+
+
+@query(f"SELECT app_name, e AS embedding_usd, c AS chat_usd, round(e + c, 9) AS total_usd, round(round(e + c, 9) * 150.0, 4) AS total_jpy FROM ({_SUMS.format(paid=_PAID)}) q", "run")
 def i10_usage_summary(spark, sf_dir):
-    own = costs.priced(runs(spark, sf_dir))
-    chat = F.when(F.col("in_usd").isNotNull() & (F.col("status") == "success"), costs.chat_usd(F.col("input_tokens"), F.col("output_tokens"))).otherwise(0)
-    return own.groupBy("app_name").agg(F.round(F.sum(costs.embedding_usd(F.col("input_tokens"))), 9).alias("embedding_usd"), F.round(F.sum(chat), 9).alias("chat_usd"))
+    return R.usage_summary(runs(spark, sf_dir), "app_name", paid=(F.col("provider") == "openai") & (F.col("status") == "success"))
+
+
+@query(f"SELECT app_name, c AS chat_usd, c AS total_usd, round(c * 150.0, 4) AS total_jpy FROM ({_SUMS.format(paid='true')}) q", "run")
+def i10b_chat_summary(spark, sf_dir):
+    return R.usage_summary(runs(spark, sf_dir), "app_name", chat_only=True)
 
 
 @query(f"SELECT run.model, count(*) AS n, count({_USD}) AS priced {_FROM} GROUP BY run.model", "run")

@@ -70,6 +70,27 @@ def d3_daily_minutes(spark, sf_dir):
     return S.daily_minutes(view(spark, sf_dir, "ses"))
 
 
+_FIRST = f"""SELECT app_name, minute, t0, u, n FROM (SELECT app_name, minute, t0, count(DISTINCT user_sub) AS u, count(DISTINCT session_id) AS n,
+  row_number() OVER (PARTITION BY app_name, minute ORDER BY t0) AS k FROM ({_SAMPLES}) p GROUP BY app_name, minute, t0) c WHERE k = 1"""
+
+
+@query(f"""SELECT date, user_sub, app_name, count(*) AS active_minutes, max(CASE WHEN k = 1 THEN 0 ELSE u END) AS peak_users_day, max(CASE WHEN k = 1 THEN 0 ELSE n END) AS peak_sessions_day FROM (
+SELECT *, row_number() OVER (PARTITION BY date, user_sub, app_name ORDER BY minute) AS k FROM (
+  SELECT DISTINCT strftime(q.minute, '%Y-%m-%d') AS date, q.minute, user_sub, q.app_name, u, n FROM ({_SAMPLES}) q JOIN ({_FIRST}) f ON q.app_name = f.app_name AND q.minute = f.minute AND q.t0 = f.t0) a) b GROUP BY ALL""", "ses")
+def d3b_daily_minutes_compat(spark, sf_dir):
+    return S.daily_minutes(view(spark, sf_dir, "ses"), compat=True)
+
+
+@query("""SELECT event_id, session_id, user_sub, app_name, kind, ts FROM ses JOIN (
+  WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS n FROM ses WHERE kind = 'heartbeat'),
+  r AS (SELECT session_id, n, event_id, ts AS kept_at, true AS kept FROM o WHERE n = 1 UNION ALL
+    SELECT o.session_id, o.n, o.event_id, CASE WHEN o.ts - r.kept_at >= INTERVAL 600 SECOND THEN o.ts ELSE r.kept_at END, o.ts - r.kept_at >= INTERVAL 600 SECOND
+    FROM r JOIN o ON o.session_id = r.session_id AND o.n = r.n + 1)
+  SELECT event_id FROM r WHERE kept) k USING (event_id)""", "ses")
+def s6b_folded_heartbeats(spark, sf_dir):
+    return S.folded_heartbeats(view(spark, sf_dir, "ses"), 600)
+
+
 @query("""SELECT event_id, session_id, user_sub, app_name, kind, ts FROM (SELECT *, row_number() OVER (PARTITION BY session_id, floor(epoch(ts) / 30) ORDER BY ts, event_id) AS n
 FROM ses WHERE kind = 'heartbeat') q WHERE n = 1""", "ses")
 def s6_thinned_heartbeats(spark, sf_dir):

@@ -26,13 +26,13 @@ def a12_catalogue(spark, sf_dir):
     return SF.catalogue(docs(spark, sf_dir).select(F.concat(F.lit("/x/"), "lang", F.lit("/pdfs/"), "source", F.lit("/"), n.cast("string"), suffix).alias("path")))
 
 
-@query("SELECT doc_id, CAST(1 AS BIGINT) AS page_no, lang AS text FROM documents UNION ALL SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 2 ELSE 7 END, source FROM documents WHERE doc_id % 4 <> 3")
+@query("SELECT doc_id, CAST(1 AS BIGINT) AS page_no, lang AS text FROM documents UNION ALL SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 2 ELSE 7 END, text FROM documents WHERE doc_id % 4 <> 3")
 def a13_page_tables_read(spark, sf_dir):
-    n, q = F.col("doc_id"), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    listed = F.concat(F.lit("["), q(F.col("lang")), F.when(n % 4 != 3, F.concat(F.lit(","), q(F.col("source")))).otherwise(""), F.lit("]"))
-    item = lambda k, no, c: F.concat(F.lit('{"' + k + '":'), no, F.lit(',"text":'), q(c), F.lit("}"))
-    last = F.when(n % 4 != 3, F.lit("7")).otherwise("0")
-    objects = lambda key, k: F.concat(F.lit('{"' + key + '":['), item(k, F.lit("1"), F.col("lang")), F.lit(","), item(k, last, F.col("source")), F.lit("]}"))
+    n = F.col("doc_id")
+    both = lambda first, last: F.when(n % 4 != 3, F.array(first, last)).otherwise(F.array(first))
+    item = lambda k, no, c: F.struct(F.lit(no).alias(k), F.col(c).alias("text"))
+    listed = F.to_json(both(F.col("lang"), F.col("text")))
+    objects = lambda key, k: F.to_json(F.struct(F.array(item(k, 1, "lang"), F.struct(F.when(n % 4 != 3, 7).otherwise(0).alias(k), F.col("text").alias("text"))).alias(key)))
     json = F.when(n % 3 == 0, listed).when(n % 3 == 1, objects("pages", "page_no")).otherwise(objects("page_texts", "page"))
     return SF.read_pages(docs(spark, sf_dir).select("doc_id", json.alias("json")))
 
@@ -82,18 +82,6 @@ def a20_rag_status(spark, sf_dir):
     return own.select("doc_id", F.coalesce(status == "en", F.lit(False)).alias("ingested"), status.alias("status"))
 
 
-@query("SELECT conv_id, turn, '{\"query\":{\"text\":' || CAST(turn AS VARCHAR) || '},\"result\":{\"chars\":' || CAST(length(answer) AS VARCHAR) || '},\"used_references\":[1]}' AS payload FROM qa", "qa")
-def a24_result_payload(spark, sf_dir):
-    payload = F.struct(F.struct(F.col("turn").alias("text")).alias("query"), F.struct(F.char_length("answer").alias("chars")).alias("result"), F.array(F.lit(1)).alias("used_references"))
-    return view(spark, sf_dir, "qa").select("conv_id", "turn", F.to_json(payload).alias("payload"))
-
-
-@query("SELECT shard_id, vector_index, doc_id FROM meta WHERE doc_id LIKE '%1' OR doc_id LIKE '%d7' OR chunk_len_tokens >= 8000", "meta")
-def b9_cost_scope(spark, sf_dir):
-    ends = F.col("doc_id").endswith("1") | F.col("doc_id").endswith("d7")
-    return _m(spark, sf_dir).filter(ends | (F.col("chunk_len_tokens") >= 8000)).select("shard_id", "vector_index", "doc_id")
-
-
 @query("SELECT doc_id, doc_id % 3 > 0 AS same FROM documents")
 def b10_same_source(spark, sf_dir):
     sha = F.sha2("text", 256)
@@ -151,12 +139,6 @@ def d13_removal_plan(spark, sf_dir):
     return S.removal_plan(own, _p(spark, sf_dir), own.filter(F.col("doc_id").endswith("3")))
 
 
-@query("SELECT shard_id, count(*) AS vectors FROM (SELECT shard_id FROM vec UNION ALL SELECT shard_id FROM vec WHERE vec_id % 3 = 0) q GROUP BY shard_id", "vec")
-def g4_appended(spark, sf_dir):
-    own = _v(spark, sf_dir)
-    return S.appended(own, own.filter("vec_id % 3 = 0")).groupBy("shard_id").agg(F.count("*").alias("vectors"))
-
-
 @query("SELECT m.shard_id, m.doc_id, m.vector_index FROM meta m WHERE doc_id NOT LIKE '%3'", "meta")
 def m7_removed(spark, sf_dir):
     own = _m(spark, sf_dir)
@@ -164,24 +146,6 @@ def m7_removed(spark, sf_dir):
     return meta.select("shard_id", "doc_id", "vector_index")
 
 
-@query("SELECT source AS shard_id, count(*) FILTER (WHERE doc_id % 3 > 0) AS ok, count(*) FILTER (WHERE doc_id % 3 = 0) AS skip FROM documents GROUP BY source")
-def m4_incremental_append(spark, sf_dir):
-    own = docs(spark, sf_dir).select(F.col("source").alias("shard_id"), F.col("doc_id").cast("string").alias("doc_id"), "text")
-    manifest = own.filter("cast(doc_id as long) % 3 = 0").select("shard_id", "doc_id")
-    base = own.select("shard_id").distinct().withColumn("base", F.lit(0))
-    _, result = S.ingest(own, manifest, base, lambda chunks: chunks)
-    return result.groupBy("shard_id").agg(F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "skip").alias("skip"))
-
-
-@query(None)
-def m5_rebuilt_rows(spark, sf_dir):
-    own = docs(spark, sf_dir).select(F.col("source").alias("shard_id"), F.col("doc_id").cast("string").alias("doc_id"), "text")
-    base = own.select("shard_id").distinct().withColumn("base", F.lit(100))
-    length = lambda chunks: chunks.withColumn("embedding", F.array(F.char_length("text").cast("float")))
-    rows, _ = S.ingest(own, own.limit(0).select("shard_id", "doc_id"), base, length)
-    return rows.drop("text")
-
-
 @query("SELECT doc_id % 200 AS doc_id, event_type AS flag, arg_max(value > 250, event_id) AS value FROM (SELECT event_id, event_id AS doc_id, event_type, value, ts FROM events) q GROUP BY ALL")
 def n3_manual_flags(spark, sf_dir):
     own = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 200).alias("doc_id"), F.col("event_type").alias("flag"), "ts", (F.col("value") > 250).alias("value"))
@@ -210,12 +174,6 @@ def h18_clamped_pages(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.clamp_page(F.col("doc_id") % 9 - 2, F.col("n_chars") % 7).alias("page"))
 
 
-@query("SELECT count(*) AS rows FROM log WHERE line LIKE '{\"user%'", "log")
-def a3_log_rows(spark, sf_dir):
-    own = J.rows(view(spark, sf_dir, "log"), "user string, action string").withColumn("ts", F.lit("2024-01-01 00:00:00"))
-    return J.enveloped(own, "app", "page").agg(F.count("*").alias("rows"))
-
-
 def _snapshot(spark, sf_dir):
     from loomframe.sources.shared import new_path
 
@@ -275,17 +233,6 @@ def g5_union_of_shard_hits(spark, sf_dir):
     return hits.withColumn("rank", F.row_number().over(order)).filter("rank <= 8").select("rank", "shard_id", "vector_index", "score")
 
 
-@query("SELECT doc_id, 'logs/' || source || '/app_2024-0' || CAST(doc_id % 9 + 1 AS VARCHAR) || '.jsonl' AS path FROM documents")
-def h28_log_paths(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.format_string("logs/%s/app_2024-0%d.jsonl", "source", F.col("doc_id") % 9 + 1).alias("path"))
-
-
-@query("SELECT project_year, project_no FROM prj WHERE CAST(project_no AS INTEGER) BETWEEN 1 AND 200", "prj")
-def h32_number_range(spark, sf_dir):
-    n = F.col("project_no").cast("int")
-    return view(spark, sf_dir, "prj").filter(n.between(1, 200)).select("project_year", "project_no")
-
-
 @query("SELECT doc_id, doc_id % 2 = 0 AS cleaned, CASE WHEN doc_id % 3 = 0 THEN 'image' ELSE 'text' END AS kind FROM documents")
 def a26_extraction_record(spark, sf_dir):
     n = F.col("doc_id")
@@ -303,8 +250,3 @@ def n2_text_check_results(spark, sf_dir):
     return L.text_check_results(own, "doc_id").withColumn("pages", F.col("pages").cast("string"))
 
 
-@query("SELECT shard_id, count(*) AS rows, 1 AS dim FROM (SELECT source AS shard_id FROM documents WHERE false) q GROUP BY shard_id UNION ALL SELECT source, count(*), 1 FROM documents GROUP BY source")
-def l0_embedded_texts(spark, sf_dir):
-    length = lambda rows: rows.withColumn("embedding", F.array(F.char_length("text").cast("float")))
-    out = length(docs(spark, sf_dir).filter("trim(text) <> ''"))
-    return out.groupBy(F.col("source").alias("shard_id")).agg(F.count("*").alias("rows"), F.max(F.size("embedding")).alias("dim"))

@@ -85,9 +85,9 @@ def h20_shares(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.round(T.share(t, "A-Za-z"), 6).alias("latin"), F.round(T.share(t, "0-9"), 6).alias("digits"), T.share(t, T.JAPANESE).alias("japanese"))
 
 
-@query("SELECT doc_id, 'プロジェクト番号 ABPJ12 プロジェクト ' || CAST(doc_id AS VARCHAR) || ' 年度' AS own, 1 AS pjno, 1 AS pj FROM documents")
+@query("SELECT doc_id, 'プロジェクト番号 ABPJ12 プロジェクト ' || text || ' 年度' AS own, 1 AS pjno, 1 AS pj FROM documents")
 def h21_abbreviations(spark, sf_dir):
-    own, counts = T.expand_abbreviations(F.concat(F.lit("pjno ABPJ12 PJ "), F.col("doc_id").cast("string"), F.lit(" fy")))
+    own, counts = T.expand_abbreviations(F.concat(F.lit("pjno ABPJ12 PJ "), "text", F.lit(" fy")))
     return docs(spark, sf_dir).select("doc_id", own.alias("own"), counts["PJNO"].alias("pjno"), counts["PJ"].alias("pj"))
 
 
@@ -108,11 +108,14 @@ def h24_mojibake(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.is_mojibake(F.col("text")).alias("broken"))
 
 
-@query("SELECT doc_id, lang AS own FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN trim(text, ' ' || chr(10)) ELSE text END AS own FROM documents")
 def h31_fences(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.strip_fence(F.concat(F.lit("```srt\n"), "lang", F.lit("\n```"))).alias("own"))
+    fenced = F.concat(F.lit("```srt\n"), F.trim("text", F.lit(" \n")), F.lit("\n```"))
+    return docs(spark, sf_dir).select("doc_id", T.strip_fence(F.when(F.col("doc_id") % 2 == 0, fenced).otherwise(F.col("text"))).alias("own"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang || ' ' || source AS own FROM documents")
+# Characters that NFKC changes come from outside the texts, which have none; DuckDB has only NFC.
+@query("SELECT doc_id, trim(regexp_replace(lang || ' AB ' || text || ' パ 1', '[ \t　]+', ' ', 'g')) AS own FROM documents")
 def h1_norm_text(spark, sf_dir):
-    return docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), T.norm_text(F.concat(F.lit(" "), "lang", F.lit("　 \t"), "source", F.lit("　"))).alias("own"))
+    own = T.norm_text(F.concat(F.lit("　"), "lang", F.lit("　 \tＡＢ "), "text", F.lit("　ﾊﾟ ①　")))
+    return docs(spark, sf_dir).select("doc_id", own.alias("own"))

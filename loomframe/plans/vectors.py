@@ -203,14 +203,6 @@ def d7_embedding_costs(spark, sf_dir):
     return V.embedding_costs(_m(spark, sf_dir), 0.13)
 
 
-@query("""SELECT shard_id, CAST(list_sort(list(DISTINCT label)) AS VARCHAR) AS models FROM (SELECT CAST(vec_id % 4 AS VARCHAR) AS shard_id, label FROM embeddings) q GROUP BY shard_id""")
-def d19_distinct_models(spark, sf_dir):
-    from loomframe.plans.views import table
-
-    own = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 4).cast("string").alias("shard_id"), "label")
-    return own.groupBy("shard_id").agg(F.array_sort(F.collect_set("label")).cast("string").alias("models"))
-
-
 @query(None)
 def l0b_packed_requests(spark, sf_dir):
     return V.packed(_m(spark, sf_dir), "chunk_len_tokens", "vector_index", 120_000, 48, "shard_id")

@@ -10,7 +10,7 @@ TABLES = ("events", "documents", "embeddings", "conversations", "orders")
 
 VIEWS = {
     "ses": "SELECT event_id, concat(CAST(user_id AS VARCHAR(20)),'-app',CAST(event_id%4 AS VARCHAR(20))) AS session_id, CAST(user_id AS VARCHAR(20)) AS user_sub, concat('app',CAST(event_id%4 AS VARCHAR(20))) AS app_name, CASE event_type WHEN 'signup' THEN 'login' WHEN 'error' THEN 'logout' ELSE 'heartbeat' END AS kind, ts FROM events",
-    "run": "SELECT CAST(event_id AS VARCHAR(20)) AS run_id, CAST(user_id AS VARCHAR(20)) AS user_sub, concat('app',CAST(event_id%4 AS VARCHAR(20))) AS app_name, CASE event_id%4 WHEN 0 THEN 'gpt-5-mini' WHEN 1 THEN 'gpt-4o' WHEN 2 THEN 'text-embedding-3-large' ELSE 'unpriced' END AS model, CASE WHEN event_type='error' THEN 'error' WHEN event_id%7=0 THEN 'running' ELSE 'success' END AS status, ts AS started_at, CASE WHEN event_id%7=0 AND event_type<>'error' THEN NULL ELSE CAST(event_id%5000 AS BIGINT) END AS elapsed_ms, CASE WHEN event_id%11=0 THEN NULL ELSE event_id%2000 END AS input_tokens, CASE WHEN event_id%13=0 THEN NULL ELSE event_id%700 END AS output_tokens FROM events",
+    "run": "SELECT CAST(event_id AS VARCHAR(20)) AS run_id, CAST(user_id AS VARCHAR(20)) AS user_sub, concat('app',CAST(event_id%4 AS VARCHAR(20))) AS app_name, CASE event_id%4 WHEN 0 THEN 'gpt-5-mini' WHEN 1 THEN 'gpt-4o' WHEN 2 THEN 'text-embedding-3-large' ELSE 'unpriced' END AS model, CASE WHEN event_type='error' THEN 'error' WHEN event_id%7=0 THEN 'running' ELSE 'success' END AS status, ts AS started_at, CASE WHEN event_id%7=0 AND event_type<>'error' THEN NULL ELSE CAST(event_id%5000 AS BIGINT) END AS elapsed_ms, CASE WHEN event_id%11=0 THEN NULL ELSE event_id%2000 END AS input_tokens, CASE WHEN event_id%13=0 THEN NULL ELSE event_id%700 END AS output_tokens, CASE WHEN event_id%4=3 THEN 'local' ELSE 'openai' END AS provider, CASE WHEN event_id%4=2 THEN 'embedding' ELSE 'chat' END AS task_type, concat('page',CAST(event_id%3 AS VARCHAR(20))) AS page_name, CASE WHEN event_id%10=0 THEN NULL ELSE CAST(event_id-event_id%10 AS VARCHAR(20)) END AS parent_run_id, CASE WHEN event_id%3=0 THEN NULL ELSE concat('{\"n\":',CAST(event_id%5 AS VARCHAR(20)),'}') END AS start_meta, CASE WHEN event_id%2=0 THEN concat('{\"k\":',CAST(event_id%9 AS VARCHAR(20)),'}') END AS finish_meta, CASE WHEN event_type='error' THEN concat('E',CAST(event_id%6 AS VARCHAR(20))) END AS error_type FROM events",
     "inb": "SELECT CAST(doc_id AS VARCHAR(20)) AS item_id, CASE doc_id%7 WHEN 0 THEN 'pdf' WHEN 1 THEN 'word' WHEN 2 THEN 'excel' WHEN 3 THEN 'ppt' WHEN 4 THEN 'image' WHEN 5 THEN 'text' ELSE 'other' END AS kind, concat(CASE doc_id%3 WHEN 0 THEN '9' WHEN 1 THEN 'Report' ELSE '_x' END,source,'_',CAST(doc_id AS VARCHAR(20)),'.bin') AS original_name, n_chars AS size_bytes, concat('[\"',lang,'\",\"',source,'\"]') AS tags_json, CAST(DATE '2024-01-01' + CAST(doc_id%60 AS INT) AS TIMESTAMP) AS added_at, CAST(doc_id%50 AS VARCHAR(20)) AS owner FROM documents",
     "lv": "SELECT CAST(user_id AS VARCHAR(20)) AS user_sub, CAST(event_id%200 AS VARCHAR(20)) AS item_id, max(ts) AS last_viewed_at FROM events GROUP BY user_id, event_id%200",
     "prj": "SELECT year(o_orderdate) AS project_year, lpad(CAST(o_orderkey%1000 AS VARCHAR(20)),3,'0') AS project_no, min(o_orderkey) AS src_key, min(o_custkey) AS client_id, max(CASE WHEN o_orderstatus='F' THEN 1 ELSE 0 END) AS pdf_lock_flag, CASE WHEN min(o_orderkey)%5=0 THEN NULL WHEN min(o_orderkey)%7=0 THEN '  ' ELSE concat('report_',CAST(min(o_orderkey) AS VARCHAR(20)),'.pdf') END AS report_pdf_stored_filename FROM orders GROUP BY year(o_orderdate), o_orderkey%1000",

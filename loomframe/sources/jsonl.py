@@ -35,6 +35,15 @@ def rows(lines: DataFrame, schema: str, line: str = "line") -> DataFrame:
     return own.select(*[c for c in lines.columns if c != line], F.from_json(line, schema).alias("j")).select(*[c for c in lines.columns if c != line], "j.*")
 
 
+def all_rows(lines: DataFrame, line: str = "line") -> DataFrame:
+    """The same with every key that occurs in any line, as text: the keys are gathered in one pass (they are columns, so few),
+    the values read in a second."""
+    good = lines.filter(T.stripped(F.col(line)) != "").filter(is_object(F.col(line)))
+    keys = sorted(r.k for r in good.select(F.explode(F.json_object_keys(line)).alias("k")).distinct().collect())
+    quoted = ", ".join(f"`{k.replace('`', '``')}` string" for k in keys)
+    return rows(lines, quoted, line) if keys else good.drop(line)
+
+
 def stats(lines: DataFrame, line: str = "line") -> DataFrame:
     """One row: lines_total, rows_ok, rows_bad_json (blank lines count in the first only)."""
     blank = T.stripped(F.col(line)) == ""

@@ -5,13 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a folder of our own where that is unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of our own where that is unset and the session is local. Elsewhere its absence is an error:
+    executors would not see a folder of the driver's."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/loomframe/{name}-{uuid.uuid4().hex}"
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/loomframe/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: worked out once, and its lineage ends there."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

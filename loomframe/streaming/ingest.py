@@ -1,4 +1,4 @@
-"""Incremental ingest and state tables, batch by batch."""
+"""Incremental ingest, batch by batch, and the schema of session events."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from loomframe.operators.chunks import chunk_documents
-from loomframe.operators.sessions import latest_sessions
 
 
 def _stored(spark, path: str, schema: str) -> DataFrame:
@@ -37,17 +36,3 @@ def ingest_stream(docs: DataFrame, manifest_path: str, chunks_path: str, checkpo
 
 
 EVENTS = "event_id long, session_id string, user_sub string, app_name string, kind string, ts timestamp_ntz"
-
-
-def session_state_stream(events: DataFrame, path: str, checkpoint: str):
-    """A started query that appends each batch of events under path/batch=n (a repeated batch replaces its own); state_at reads the
-    state of all sessions from them."""
-
-    def run(batch: DataFrame, number: int) -> None:
-        batch.select(*[c.split()[0] for c in EVENTS.split(", ")]).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def state_at(spark, path: str) -> DataFrame:
-    return latest_sessions(spark.read.schema(EVENTS + ", batch int").parquet(path).drop("batch"))

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from loomframe.operators.sessions import TTL
 
 LATE = "10 minutes"
 
@@ -14,9 +20,9 @@ def _timed(events: DataFrame, late: str) -> DataFrame:
 
 
 def minute_activity(events: DataFrame, late: str = LATE) -> DataFrame:
-    """(start, app_name, users, sessions): about how many were seen in each minute (exact counts are refused on streams)."""
-    window = F.window("ts", "1 minute")
-    out = _timed(events, late).groupBy(window, "app_name").agg(F.approx_count_distinct("user_sub").alias("users"), F.approx_count_distinct("session_id").alias("sessions"))
+    """(start, app_name, users, sessions): how many were seen in each minute; on streams about so, as exact counts are refused there."""
+    window, count = F.window("ts", "1 minute"), F.approx_count_distinct if events.isStreaming else F.countDistinct
+    out = _timed(events, late).groupBy(window, "app_name").agg(count("user_sub").alias("users"), count("session_id").alias("sessions"))
     return out.select(F.col("window.start").alias("start"), "app_name", "users", "sessions")
 
 
@@ -27,6 +33,53 @@ def ttl_sessions(events: DataFrame, ttl: int = 120, late: str = LATE) -> DataFra
     return out.select("session_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "events")
 
 
+STATE = "first timestamp, login timestamp, ts timestamp, event_id long, kind string, user_sub string, app_name string"
+SEEN = "session_id string, user_sub string, app_name string, login_at timestamp, last_seen timestamp, logout_at timestamp, expired boolean"
+
+
+def session_states(events: DataFrame, ttl: int = TTL, late: str = LATE) -> DataFrame:
+    """(session_id, user_sub, app_name, login_at, last_seen, logout_at, expired) of a stream, in update mode: the state of each
+    session that a batch has touched, and once more, expired, when the watermark has passed its last event by ttl; then it is
+    forgotten, and a later event begins it anew. The rules are those of operators.sessions.latest_sessions.
+    """
+
+    def row(session: str, state: tuple, expired: bool) -> pd.DataFrame:
+        first, login, ts, _, kind, user, app = state
+        out = (session, user, app, login if login is not None else first, ts, ts if kind == "logout" else None, expired)
+        frame = pd.DataFrame([out], columns=[c.split()[0] for c in SEEN.split(", ")])
+        return frame.astype({c: "datetime64[ns]" for c in ("login_at", "last_seen", "logout_at")})
+
+    def ends(state: tuple) -> int:
+        return int((state[2].timestamp() + ttl) * 1000)
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            yield row(key[0], state.get, True)
+            state.remove()
+            return
+        now = state.get if state.exists else None
+        if now is not None and ends(now) <= state.getCurrentWatermarkMs():  # its time was up before these events
+            yield row(key[0], now, True)
+            now = None
+        for frame in frames:
+            for ts, number, kind, user, app in frame[["ts", "event_id", "kind", "user_sub", "app_name"]].itertuples(index=False):
+                ts = ts.to_pydatetime()
+                if now is None:
+                    now = (ts, None, ts, number, kind, user, app)
+                first, login, last, at, *rest = now
+                login = ts if kind == "login" and (login is None or ts > login) else login
+                now = (min(first, ts), login, *((ts, number, kind, user, app) if (ts, number) >= (last, at) else (last, at, *rest)))
+        state.update(now)
+        if ends(now) > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(ends(now))
+            yield row(key[0], now, False)
+        else:
+            yield row(key[0], now, True)
+            state.remove()
+
+    return _timed(events, late).groupBy("session_id").applyInPandasWithState(fold, SEEN, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def thinned_stream(events: DataFrame, seconds: int = 30, late: str = LATE) -> DataFrame:
     """One heartbeat for each session and span of seconds."""
     slot = F.floor(F.unix_timestamp("ts") / seconds)

@@ -1,6 +1,7 @@
 """Operators on small literals, and the sequential ones against sequential versions."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -59,9 +60,37 @@ def pack(lengths, most, least, hard):
 def test_packing_against_a_loop(spark):
     rng = random.Random(0)
     rows = [[rng.randint(1, 60) for _ in range(rng.randint(1, 40))] for _ in range(200)]
-    df = spark.createDataFrame([(r,) for r in rows], "n array<int>")
-    out = df.select("n", K.chunk_numbers(F.col("n"), 100, 40, 150).alias("no")).collect()
-    assert all(list(r.no) == pack(r.n, 100, 40, 150) for r in out)
+    assert all(K.chunk_numbers(r, 100, 40, 150) == pack(r, 100, 40, 150) for r in rows)
+
+
+def plain_cut(unit, hard):
+    out, rest = [], unit.strip()
+    while len(rest) > hard:
+        head = rest[:hard]
+        at = next((p + 1 for p in (head.rfind(m) for m in ("\n", *K.SOFT)) if p >= max(1, hard // 2)), hard)
+        out += [rest[:at].strip()]
+        rest = rest[at:].strip()
+    return [x for x in [*out, rest] if x]
+
+
+def test_chunks_and_spans_against_a_plain_reading(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    texts |= {10**6: "一文目。二文目！ 三文目？\n\n" + "長い、" * 900 + "\n\n\u3000終わり。", 10**6 + 1: "a" * 7000, 10**6 + 2: "x!!?!\n \t\ny", 10**6 + 3: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.chunk_index): r for r in K.chunk_documents(df).collect()}
+    clean = {r.doc_id: r.t for r in df.select("doc_id", K.normalised(F.col("text")).alias("t")).collect()}
+    want = {}
+    for i, t in clean.items():
+        units = [p for para in re.split(r"\n\n+", t or "") for u in re.split(r"(?<=[。！？!?])", para) for p in plain_cut(u, K.HARD)]
+        for no, u in zip(pack([len(u) for u in units], K.MOST, K.LEAST, K.HARD), units):
+            want[i, no] = f"{want[i, no]}\n{u}" if (i, no) in want else u
+    assert {k: r.text for k, r in got.items()} == want
+    squeeze = lambda s: "".join(s.split())
+    ends: dict = {}
+    for (i, no), r in sorted(got.items()):
+        assert squeeze(clean[i][r.span_start : r.span_end]) == squeeze(r.text) and r.span_start >= ends.get(i, 0)
+        assert clean[i][r.span_start] == r.text[0] and clean[i][r.span_end - 1] == r.text[-1]
+        ends[i] = r.span_end
 
 
 def test_chunks_hold_the_whole_text(spark):
@@ -71,11 +100,11 @@ def test_chunks_hold_the_whole_text(spark):
     assert {r.doc_id for r in out} == {1}
     squeeze = lambda s: "".join(s.split())
     assert squeeze("".join(r.text for r in out)) == squeeze(text) and max(len(r.text) for r in out) <= 1800
-    assert all(a.span_end + 1 == b.span_start for a, b in zip(out, out[1:]))
+    assert all(a.span_end <= b.span_start for a, b in zip(out, out[1:]))
     pages = spark.createDataFrame([(1, 1, "A b c! D."), (1, 2, "E f? G!"), (1, 3, None)], "doc_id long, page_no long, text string")
     whole = K.chunk_pages(pages).collect()
     assert len(whole) == 1 and (whole[0].page_start, whole[0].page_end) == (1, 2)
-    assert K.cut_long("aa。" + "b" * 8, 5) == ["aa。", "bbbbb", "bbb"]
+    assert [("aa。" + "b" * 8)[a:b] for a, b in K.unit_spans("aa。" + "b" * 8, 5)] == ["aa。", "bbbbb", "bbb"]
 
 
 def test_cleaning_of_japanese_lines(spark):

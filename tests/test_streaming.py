@@ -1,6 +1,7 @@
 """Streams against the same functions over batches."""
 
 from collections import Counter
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -56,8 +57,28 @@ def test_ingest_takes_each_document_once(spark, tmp_path):
     assert rows(spark.read.parquet(chunks)) == rows(chunk_documents(docs))
 
 
-def test_session_state(spark, tmp_path):
-    batch = view(spark, SF, "ses").select("event_id", "session_id", "user_sub", "app_name", "kind", F.col("ts"))
+def test_session_states_follow_their_events_and_expire(spark, tmp_path):
+    batch = view(spark, SF, "ses")
     live = stream(spark, batch, tmp_path / "e")
-    ingest.session_state_stream(live, str(tmp_path / "state"), str(tmp_path / "ck")).awaitTermination()
-    assert rows(ingest.state_at(spark, str(tmp_path / "state"))) == rows(latest_sessions(batch))
+    seen = drained(sessions.session_states(live, ttl=10**8, late="60 days"), "states", "update")
+    last = seen.groupBy("session_id").agg(F.max_by(F.struct("user_sub", "app_name", "login_at", "logout_at"), "last_seen").alias("s"), F.max("last_seen").alias("last_seen"))
+    got = last.select("session_id", "s.*", F.col("last_seen"))
+    want = latest_sessions(batch)
+    both = got.join(want.select("session_id", *[F.col(c).cast("timestamp").alias(f"w_{c}") for c in ("login_at", "last_seen")]), "session_id")
+    assert got.count() == want.count() == both.filter("login_at = w_login_at and last_seen = w_last_seen").count()
+    assert not seen.filter("expired").count()
+
+
+def test_a_silent_session_expires_and_may_begin_anew(spark, tmp_path):
+    rows_ = [(1, "a", "login", 0), (2, "a", "heartbeat", 30), (3, "b", "heartbeat", 5000), (4, "a", "heartbeat", 10_000), (5, "b", "logout", 10_001)]
+    out = tmp_path / "in"
+    for k, (n, session, kind, at) in enumerate(rows_):  # a file and so a batch for each event
+        df = spark.createDataFrame([(n, session, "u", "app", kind, datetime(2024, 1, 1) + timedelta(seconds=at))], ingest.EVENTS)
+        df.coalesce(1).write.mode("append").parquet(str(out))
+    live = spark.readStream.schema(ingest.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(out))
+    found = drained(sessions.session_states(live, ttl=120, late="0 seconds"), "expiry", "update").collect()
+    times = lambda r: (r.last_seen - datetime(2024, 1, 1)).total_seconds()
+    gone = sorted((r.session_id, times(r)) for r in found if r.expired)
+    assert ("a", 30.0) in gone and ("b", 5000.0) in gone
+    anew = [r for r in found if r.session_id == "a" and times(r) == 10_000]
+    assert anew and all((r.login_at - datetime(2024, 1, 1)).total_seconds() == 10_000 for r in anew)
