@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from loomframe.llm.common import durable
+from loomframe.llm.common import drop, durable
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,6 +21,8 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         step = durable(step.join(up, "label", "left").select("node", "old", F.least("label", "up").alias("label")), "labels")
-        labels = step.select("node", "label")
+        drop(labels)
         if step.filter("old <> label").isEmpty():
-            return labels
+            drop(both)
+            return step.select("node", "label")
+        labels = step

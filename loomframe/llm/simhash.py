@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType
 
 from loomframe.llm import golay
-from loomframe.llm.common import durable, read, small_batches
+from loomframe.llm.common import drop, durable, read, small_batches
 from loomframe.llm.graph import components
 
 MAX_BITS = 4
@@ -143,11 +143,13 @@ def classes(fps: DataFrame) -> DataFrame:
 
     A first pass over six keys a fingerprint joins most of each group; the second, over all keys, then only has to look at buckets
     that hold several classes."""
-    placed = fps.select("fp", F.col("fp").alias("class"))
+    placed, before = fps.select("fp", F.col("fp").alias("class")), []
     for make in (golay.few_keys, golay.keys):
         label = components(_class_links(placed, make).distinct())
         found = placed.join(label, placed["class"] == label.node, "left").select("fp", F.coalesce("label", "class").alias("class"))
         placed = durable(found, "classes")
+        drop(*before)
+        before = [placed]
     return placed
 
 
