@@ -11,7 +11,7 @@ by cover of what others have not covered yet.
 from __future__ import annotations
 
 import uuid
-from collections import defaultdict
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,11 +24,11 @@ from loomframe.llm.common import read, small_batches
 
 #: Labelled texts of each class that a fit looks at, at most (those with the least hash of their id); bytes of one such text and
 #: of all together. Longer texts are scored whole like any other, only not learned from.
-FIT_ROWS, FIT_TEXT, FIT_BYTES = 2_000, 1 << 20, 96 << 20
+FIT_ROWS, FIT_TEXT, FIT_BYTES = 1_500, 1 << 20, 64 << 20
 #: Landmarks at most; letters of a word's start; greatest likeness to one landmark that counts for a text.
 LANDMARKS, START, MOST = 64, 5, 8.0
-#: Likeness that counts, and lower ones for strong landmarks that at most a share STRAY of clean texts then have by chance.
-LIKE, LOWER, STRAY = 0.65, (0.4, 0.45, 0.5, 0.55, 0.6), 0.002
+#: Likeness that counts for weak landmarks; for strong ones the least of FLOORS that at most a share STRAY of clean texts has by chance.
+LIKE, FLOORS, STRAY = 0.65, tuple(k / 20 for k in range(8, 20)), 0.002
 #: Least share and log odds of toxic texts with a landmark; share of toxic texts, and toxic share (classes weighed alike), from
 #: which it is toxic by itself; weight of such a landmark in disguise.
 SHARE, ODDS, COMMON, PURE, ALONE = 0.01, 1.5, 0.05, 0.97, 3
@@ -128,41 +128,44 @@ def tokens_of(lower: str) -> set[str]:
     return tokens
 
 
-def choose_landmarks(bags: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """Units that set toxic texts apart, greedily: each the one that covers the greatest share of toxic texts (a text counts half
-    as much each time that it has been covered) less CLEAN_WEIGHT times the share of clean ones."""
-    found: dict[str, list[int]] = defaultdict(list)
-    for k, bag in enumerate(bags):
-        for u in bag:
-            found[u].append(k)
+def bag(tokens: set[str]) -> set[str]:
+    return {u for t in tokens for u in units_of(t)}
+
+
+def choose_landmarks(tokens: list[set[str]], toxic: np.ndarray) -> dict[str, np.ndarray]:
+    """Units that set toxic texts apart, with the texts that have them, greedily: each the one that covers the greatest share of
+    toxic texts (a text counts half as much each time that it has been covered) less CLEAN_WEIGHT times the share of clean ones."""
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
     if not n_toxic or not n_clean:
-        return []
+        return {}
+    least = max(4, SHARE * n_toxic)
+    often = {u for u, n in Counter(u for s, y in zip(tokens, toxic) if y for u in bag(s)).items() if n >= least}
+    found: dict[str, list[int]] = {u: [] for u in often}
+    for k, s in enumerate(tokens):  # only what is often toxic is kept of a text's units
+        for u in bag(s) & often:
+            found[u].append(k)
     able = {}
     for u, ks in found.items():
-        if len(ks) >= max(4, SHARE * n_toxic):
-            at = np.array(ks)
-            n = int(toxic[at].sum())
-            odds = np.log((n + 0.5) / (n_toxic + 1)) - np.log((len(ks) - n + 0.5) / (n_clean + 1))
-            if n >= max(4, SHARE * n_toxic) and odds > ODDS:
-                able[u] = at
-    weight, out = np.where(toxic, 1 / n_toxic, -CLEAN_WEIGHT / n_clean), []
+        at = np.array(ks)
+        n = int(toxic[at].sum())
+        if np.log((n + 0.5) / (n_toxic + 1)) - np.log((len(ks) - n + 0.5) / (n_clean + 1)) > ODDS:
+            able[u] = at
+    weight, out = np.where(toxic, 1 / n_toxic, -CLEAN_WEIGHT / n_clean), {}
     while able and len(out) < LANDMARKS:
         best = max(able, key=lambda u: (weight[able[u]].sum(), u))
         at = able.pop(best)
         if weight[at].sum() < SHARE / 2:
             break
-        out.append(best)
+        out[best] = at
         weight[at[toxic[at]]] /= 2
     return out
 
 
-def strong(landmarks: list[str], bags: list[set[str]], toxic: np.ndarray) -> list[str]:
+def strong(landmarks: dict[str, np.ndarray], toxic: np.ndarray) -> list[str]:
     """Landmarks that a toxic text is told by alone."""
     out = []
-    for u in landmarks:
-        has = np.array([u in b for b in bags])
-        share, other = has[toxic].mean(), (has[~toxic].sum() + 0.1) / max((~toxic).sum(), 1)
+    for u, at in landmarks.items():
+        share, other = toxic[at].sum() / toxic.sum(), ((~toxic[at]).sum() + 0.1) / max((~toxic).sum(), 1)
         if share >= COMMON and share / (share + other) >= PURE:
             out.append(u)
     return out
@@ -187,20 +190,21 @@ def variants(word: str) -> list[str]:
 
 def train(texts: list[str], toxic: np.ndarray) -> Model:
     """A model from whole labelled texts; without both labels, or anything that sets them apart, one that calls nothing toxic."""
-    tokens = [tokens_of(t.lower()) if t else set() for t in texts]
-    bags = [{u for t in s for u in units_of(t)} for s in tokens]
-    model = Model(choose_landmarks(bags, toxic))
-    if not model.landmarks:
+    same: dict[str, str] = {}  # one string for each token, however many texts have it
+    tokens = [{same.setdefault(x, x) for x in tokens_of(t.lower())} if t else set() for t in texts]
+    found = choose_landmarks(tokens, toxic)
+    model = Model(list(found))
+    if not found:
         return Model([])
-    told = strong(model.landmarks, bags, toxic)
+    told = strong(found, toxic)
     model.root = sk.inverse_root(sk.similarity(model.landmarks, model.landmarks))
-    model.floors = np.full(len(model.landmarks), LOWER[0], np.float32)
+    model.floors = np.full(len(model.landmarks), FLOORS[0], np.float32)
     scorer = Scorer(model)
     scorer.learn(set().union(*tokens))
     stray = np.array([scorer.greatest(s) for s, y in zip(tokens, toxic) if not y])
     for k, u in enumerate(model.landmarks):
-        able = [f for f in LOWER if (stray[:, k] >= f).mean() <= STRAY] if u in told else []
-        model.floors[k] = min(able, default=LIKE)
+        able = [f for f in FLOORS if (stray[:, k] >= f).mean() <= STRAY]
+        model.floors[k] = min(able, default=FLOORS[-1]) if u in told else LIKE
     for row in scorer.rows:
         row[row < model.floors] = 0
     x = np.array([scorer.features(s) for s in tokens])
