@@ -155,13 +155,30 @@ class Counter(dict):
     def total(self, text: str | None) -> int:
         return self.totals([text])[0]
 
+    def places(self, part: str) -> np.ndarray:
+        """For each number of characters of part, how many characters of its normal form they are; inside of what is composed to
+        one character, as with all of it."""
+        if part.isascii():
+            return np.arange(len(part) + 1)
+        out, at, held = [0], 0, ""  # held: what the next character may still be composed with
+        for c in part:
+            if held and not c.isascii() and self.normal(held + c) != self.normal(held) + self.normal(c):
+                held += c
+                out[-len(held) + 1 :] = [at + len(self.normal(held))] * (len(held) - 1)
+                out.append(out[-1])
+            else:
+                at, held = at + len(self.normal(held)), c
+                out.append(at + len(self.normal(c)))
+        return np.array(out)
+
     def table(self, text: str | None) -> np.ndarray:
-        """counts[k]: tokens of the first k characters of the normalised text (special strings count when complete)."""
+        """counts[k]: tokens of the first k characters of the text (special strings count when complete)."""
         if not text:
             return np.zeros(1, np.int64)
         out, at, base = [np.zeros(1, np.int64)], 0, 0
         for m in [*self.special.finditer(text), None]:
-            part = self.normal(text[at : m.start() if m else len(text)])
+            own = text[at : m.start() if m else len(text)]
+            part = self.normal(own)
             counts = np.full(len(part), -1, np.int64)
             for w in self.spans(part):
                 piece = w.group()
@@ -174,7 +191,8 @@ class Counter(dict):
                 base += got[-1]
             # white space adds nothing to what stands before it
             known = np.concatenate([[out[-1][-1]], counts])
-            out.append(known[np.maximum.accumulate(np.where(known >= 0, np.arange(len(known)), 0))][1:])
+            known = known[np.maximum.accumulate(np.where(known >= 0, np.arange(len(known)), 0))]
+            out.append(known[self.places(own)][1:])
             if m:
                 out.append(self.table_of_special(m.group(), base))
                 base += 1
@@ -210,7 +228,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text", path: str | None = Non
 
 
 def prefix_counts(docs: DataFrame, text_col: str = "text", path: str | None = None, out: str = "counts") -> DataFrame:
-    """docs with an array: element k holds the tokens of the first k characters of the normalised text, element 0 is 0."""
+    """docs with an array: element k holds the tokens of the text's first k characters, element 0 is 0."""
     small_batches(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
 

@@ -1,5 +1,6 @@
 import hashlib
 import struct
+import unicodedata
 
 import public_tokenizers as P
 import pytest
@@ -7,7 +8,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from loomframe.llm import bpe, token_counts as tc
-from tests.llm.helpers import docs
+from tests.llm.helpers import SF, docs
 
 TEXTS = ["", None, "Hello, world! it's 12345", "naïve  \n\n\t café — 漢字かな 😀", "<|endoftext|> is text", "x" * 3000, "The quick brown fox " * 300, "don't WE'LL ΑΣΣ Σ", "a b c\x1cd\x85e", "é İI ﬁ"]
 
@@ -66,3 +67,30 @@ def test_budgets_come_from_the_table(spark):
     df = tc.prefix_counts(docs(spark, ["one two three four", "", None]))
     got = {r.doc_id: r.n for r in df.select("doc_id", tc.fitting("counts", 2).alias("n")).collect()}
     assert got == {0: len("one two "), 1: 0, 2: 0}
+
+
+def test_tables_are_of_the_texts_own_characters(spark):
+    own = tc.counter(P.path(tc.VOCABULARY))
+    for text in ["cafe\u0301 au lait", "e\u0301e\u0301e\u0301 x", "I\u0307stanbul İstanbul", "한글 \u1112\u1161\u11ab\u1100\u1173\u11af", "ΣΑΣ Å A\u030a\u0301 z"]:
+        table = own.table(text)
+        assert len(table) == len(text) + 1 and table[-1] == own.total(text)
+        for k in range(len(text)):
+            if unicodedata.normalize("NFC", text) == unicodedata.normalize("NFC", text[:k]) + unicodedata.normalize("NFC", text[k:]):
+                assert table[k] == own.total(text[:k]), (text, k)
+    df = tc.prefix_counts(docs(spark, ["cafe\u0301 " * 20]))
+    row = df.withColumn("n", tc.fitting("counts", 7)).first()
+    assert own.total(("cafe\u0301 " * 20)[: row.n]) <= 7 < own.total(("cafe\u0301 " * 20)[: row.n + 6])
+
+
+def test_repeated_rows_and_whole_tables_agree_with_the_libraries(spark, encoding, tokenizer):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    df = df.union(df.limit(20))
+    rows = df.collect()
+    want = sorted((r.doc_id, len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)) for r in rows)
+    assert sorted((r.doc_id, r.n_tokens) for r in tc.count_tokens(df).select("doc_id", "n_tokens").collect()) == want
+    ids = {r.doc_id: encoding.encode_ordinary(r.text or "") for r in rows}
+    out = bpe.digests(df).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        own = ids[r.doc_id]
+        assert r.n_tokens == len(own) and r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(own)}I", *own)).hexdigest()
