@@ -89,9 +89,10 @@ def _limits(sized: DataFrame, rest: DataFrame) -> DataFrame:
         cells = cells.withColumn("before", F.sum("size").over(order) - F.col("size"))
         reached = cells.filter("before <= words").groupBy("source").agg(F.max_by(F.struct("cell", "before", "size", "words"), "cell").alias("c"))
         now = reached.select("source", (F.col("c.words") - F.col("c.before")).alias("words"), F.col("c.cell").alias("prefix"), F.col("c.size").alias("size"))
-        earlier, now = now, durable(now, "limits")
+        now = durable(now, "limits")
         if used:
-            drop(earlier)
+            drop(held)
+        held = now
     now = now.join(rest.select(F.col("source").alias("__source"), "passes", "target"), F.col("source").eqNullSafe(F.col("__source")))
     now = now.select("__source", "words", "passes", "target", F.col("prefix").alias("limit"), F.array().cast("array<long>").alias("more"), F.lit(True).alias("open"))
     left, near = F.col("words"), F.col("target") * CLOSE

@@ -30,6 +30,40 @@ def test_statistics_match_the_plain_definition(spark):
         assert tuple(r.stats[c] for c in Q.BASE) == plain(r.text), r.text
 
 
+def plain_features(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n, chars, symbols, dup, repeat = plain(text)
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    share = lambda a, b: a / b if b else 0.0
+    distinct = sum(len(set(words[i : i + Q.BLOCK])) for i in range(0, n, Q.BLOCK))
+    joined = "".join(words)
+    return {"n_words": float(n), "mean_word": share(chars, n), "symbols_per_word": share(symbols, n), "dup_lines": share(dup, len(lines)), "repeat_words": share(repeat, n), "distinct_words": share(distinct, n), "upper": share(len(re.findall("[A-Z]", joined)), chars), "exclaim_per_word": share(joined.count("!"), n)}
+
+
+def test_the_query_is_a_plain_reading_of_the_learned_list(spark):
+    folder = "/root/testdata/sf0.01"  # of fewer labels no rule comes out
+    d, labels = read(spark, folder, "documents", "doc_id", "text"), read(spark, folder, "labels", "doc_id", "quality")
+    rules = Q.fit(d, labels)
+    assert rules
+    texts = {r.doc_id: r.text for r in d.collect()}
+    out = Q.op4_quality_rules(spark, folder).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        x, own = plain_features(texts[r.doc_id]), plain(texts[r.doc_id])
+        assert tuple(r[c] for c in Q.BASE) == own
+        failed = own[0] < 20 or 100 * own[4] > 30 * own[0]
+        hit = any(all(x[c.feature] >= c.threshold if c.above else x[c.feature] <= c.threshold for c in rule) for rule in rules)
+        assert r.base_failed == failed and r.kept == (not failed and not hit)
+
+
+def test_base_rule_at_its_edges(spark):
+    eight = " ".join(f"r{i}" for i in range(8))
+    texts = ["w " * 19, " ".join(f"w{i}" for i in range(20)), " ".join([eight, eight, *(f"w{i}" for i in range(37))]), " ".join([eight, eight, *(f"w{i}" for i in range(38))])]
+    assert [plain(t)[0] for t in texts] == [19, 20, 53, 54] and [plain(t)[4] for t in texts[2:]] == [16, 16]
+    out = Q.with_stats(docs(spark, texts)).select("doc_id", Q.base_failed().alias("f")).collect()
+    assert {r.doc_id: r.f for r in out} == {0: True, 1: False, 2: True, 3: False}  # 16 of 53 is above 30 %, of 54 below
+
+
 def test_learned_rules_find_what_sets_bad_rows_apart():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 3))
