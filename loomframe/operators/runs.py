@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.functions import costs
@@ -61,6 +63,14 @@ def updated_runs(starts: DataFrame, finishes: DataFrame) -> DataFrame:
     return s.join(f, "run_id", "left").select("run_id", *_record("s", "f"))
 
 
+def with_usage(rows: DataFrame, response: str, extract: Callable[[Column], Column] = costs.usage_tokens) -> DataFrame:
+    """rows with input_tokens and output_tokens, where they have none, from a response by the caller's extractor: a function of
+    its column to a struct with input and output."""
+    found = rows.withColumn("__usage", extract(F.col(response)))
+    out = found.withColumn("input_tokens", F.coalesce("input_tokens", F.col("__usage.input").cast("long")))
+    return out.withColumn("output_tokens", F.coalesce("output_tokens", F.col("__usage.output").cast("long"))).drop("__usage")
+
+
 def usage_summary(runs: DataFrame, *by: str, paid: Column | None = None, chat_only: bool = False, rate: float = costs.USD_JPY) -> DataFrame:
     """embedding_usd, chat_usd, total_usd and total_jpy of each group: chat counts only where paid, the yen come from summed
     dollars; chat_only leaves embedding out."""

@@ -133,6 +133,14 @@ def h26_usage_from_json(spark, sf_dir):
     return own.select("run_id", costs.usage_tokens(named).alias("u")).select("run_id", "u.*")
 
 
+@query("SELECT run_id, coalesce(input_tokens, CAST(run_id AS BIGINT) % 50) AS input_tokens, coalesce(output_tokens, 7) AS output_tokens FROM run", "run")
+def u1_injected_extractor(spark, sf_dir):
+    """A caller's extractor for a shape that the library does not know."""
+    answer = F.to_json(F.struct(F.struct((F.col("run_id").cast("long") % 50).alias("read"), F.lit(7).alias("written")).alias("n")))
+    extract = lambda c: F.struct(F.get_json_object(c, "$.n.read").alias("input"), F.get_json_object(c, "$.n.written").alias("output"))
+    return R.with_usage(runs(spark, sf_dir).withColumn("answer", answer), "answer", extract).select("run_id", "input_tokens", "output_tokens")
+
+
 @query(f"SELECT run_id, round(CASE WHEN CAST(run_id AS BIGINT) % 2 = 0 THEN {_USD} ELSE 0.5 END, 9) AS usd, round(CASE WHEN CAST(run_id AS BIGINT) % 2 = 0 AND {_USD} IS NOT NULL THEN round({_USD} * 150.0, 2) END, 2) AS jpy {_FROM} WHERE p.model IS NOT NULL AND input_tokens IS NOT NULL AND output_tokens IS NOT NULL", "run")
 def h27_picked_cost(spark, sf_dir):
     own = R.costed(runs(spark, sf_dir)).filter("model <> 'unpriced' and input_tokens is not null and output_tokens is not null")
