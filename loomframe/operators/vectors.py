@@ -7,6 +7,7 @@ each document taken in. A vector without metadata is an orphan and can't be foun
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loomframe.sources.shared import new_path, stored
 
-#: Vectors and queries of a block; a task of a search holds one of each.
-BLOCK_ROWS, BLOCK_QUERIES = 8_192, 1_024
+#: Vectors of a block, and the fewest where there are fewer blocks than cores.
+BLOCK_ROWS, FEW_ROWS = 16_384, 1_024
 #: Rows of a group that one task packs.
 PACK_ROWS = 65_536
 OUTLIER = 8_192
@@ -31,8 +32,8 @@ def search(vectors: DataFrame, queries: DataFrame | list[tuple[int, list[float]]
     and index, for every row of queries (query_id, embedding), however many. A vector of norm zero scores 0; a query of norm
     zero or of another length than the vectors is an error, which for a DataFrame of queries is raised by its task.
 
-    Blocks of vectors meet blocks of queries by a (query block, vector block) key, so no task holds more than one of each, and
-    the k best of each pair are ranked at the end. Named shards are filtered before the scan is read.
+    Vectors are dealt to blocks; a task holds one block and lets all queries pass as a stream, so only queries are copied, once for
+    each block, and the k best of each block are ranked at the end. Named shards are filtered before the scan is read.
     """
     if isinstance(queries, list):
         if any(not any(v) for _, v in queries):
@@ -41,36 +42,52 @@ def search(vectors: DataFrame, queries: DataFrame | list[tuple[int, list[float]]
     own = vectors.filter(F.col("shard_id").isin(*shards)) if shards is not None else vectors
     own = own.select("shard_id", F.col("vector_index").cast("long").alias("vector_index"), F.col("embedding").cast("array<double>").alias("embedding"))
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    blocks, groups = max(1, math.ceil(own.count() / BLOCK_ROWS)), max(1, math.ceil(asked.count() / BLOCK_QUERIES))
-    deal = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = own.withColumn("block", deal(blocks, "shard_id", "vector_index")).withColumn("group", each(groups))
-    asks = asked.withColumn("group", deal(groups, "query_id")).withColumn("block", each(blocks))
-
-    def best(key, x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        at_query, at_row, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        x = x.sort_values(["shard_id", "vector_index"], ignore_index=True)
-        if len(x) and len(q):
-            v, w = np.stack(x["embedding"].to_list()), np.stack(q["embedding"].to_list())
-            norm, norms = np.linalg.norm(v, axis=1), np.linalg.norm(w, axis=1)
-            if (norms == 0).any():
-                raise ValueError("a query has norm zero")
-            v = v / np.where(norm > 0, norm, 1)[:, None]
-            for at in range(0, len(q), 128):
-                score = np.round(w[at : at + 128] / norms[at : at + 128, None] @ v.T, 6) + 0.0
-                least = np.partition(score, -k, axis=1)[:, -k] if len(x) > k else np.full(len(score), -np.inf)
-                for n, (own_score, bound) in enumerate(zip(score, least)):
-                    found = np.nonzero(own_score >= bound)[0]
-                    found = found[np.argsort(-own_score[found], kind="stable")[:k]]
-                    at_query.append(np.full(len(found), at + n))
-                    at_row.append(found)
-                    scores.append(own_score[found])
+    n, cores = own.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(n / BLOCK_ROWS), min(cores, n // FEW_ROWS))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    deal = F.pmod(F.xxhash64("shard_id", "vector_index"), F.lit(blocks)).cast("int")
+    rows = own.select(deal.alias("block"), F.lit(False).alias("asks"), "shard_id", "vector_index", none("long", "query_id"), "embedding")
+    asks = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), none("string", "shard_id"), none("long", "vector_index"), "query_id", "embedding")
+
+    def unit(embeddings: pd.Series, name: str | None = None) -> np.ndarray:
+        v = np.stack(embeddings.to_list())
+        norm = np.linalg.norm(v, axis=1)
+        if name and (norm == 0).any():
+            raise ValueError(f"{name} has norm zero")
+        return v / np.where(norm > 0, norm, 1)[:, None]
+
+    def best(x: pd.DataFrame, v: np.ndarray, q: pd.DataFrame) -> pd.DataFrame:
+        at_query, at_row, scores = [], [], []
+        w = unit(q["embedding"], "a query")
+        for at in range(0, len(q), 128):
+            score = np.round(w[at : at + 128] @ v.T, 6) + 0.0
+            least = np.partition(score, -k, axis=1)[:, -k] if len(x) > k else np.full(len(score), -np.inf)
+            for n, (own_score, bound) in enumerate(zip(score, least)):
+                found = np.nonzero(own_score >= bound)[0]
+                found = found[np.argsort(-own_score[found], kind="stable")[:k]]
+                at_query.append(np.full(len(found), at + n))
+                at_row.append(found)
+                scores.append(own_score[found])
         i, j = np.concatenate(at_query), np.concatenate(at_row)
-        shard = x["shard_id"].to_numpy(dtype=object)[j]
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "shard_id": pd.Series(shard, dtype=object), "vector_index": x["vector_index"].to_numpy()[j], "score": np.concatenate(scores)})
-
-    by = ("group", "block")
-    found = rows.groupBy(*by).cogroup(asks.groupBy(*by)).applyInPandas(best, "query_id long, shard_id string, vector_index long, score double")
+        shard = pd.Series(x["shard_id"].to_numpy(dtype=object)[j], dtype=object)
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[i].astype("int64"), "shard_id": shard, "vector_index": x["vector_index"].to_numpy()[j].astype("int64"), "score": np.concatenate(scores)})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, block = None, [], None
+        for frame in frames:
+            for (number, asking), part in frame.groupby(["block", "asks"], sort=False):
+                if number != now:
+                    now, held, block = number, [], None
+                if not asking:
+                    held.append(part[["shard_id", "vector_index", "embedding"]])
+                elif held:
+                    if block is None:
+                        x = pd.concat(held, ignore_index=True)
+                        block = x, unit(x["embedding"])
+                    yield best(*block, part)
+
+    met = rows.unionByName(asks).repartition(blocks, "block").sortWithinPartitions("block", "asks", "shard_id", "vector_index")
+    found = met.mapInPandas(run, "query_id long, shard_id string, vector_index long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "shard_id", "vector_index")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "shard_id", "vector_index", "score")
 

@@ -17,7 +17,6 @@ SF = "/root/testdata/sf0.001"
 
 def test_search_meets_all_queries_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(V, "BLOCK_ROWS", 7)
-    monkeypatch.setattr(V, "BLOCK_QUERIES", 3)
     x = np.random.default_rng(5).integers(-2, 3, (60, 4)).astype(float)
     x[3] = 0
     x[20] = x[41] = x[7] = [1, 2, 0, 1]
