@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loomframe.llm.common import durable, read
+from loomframe.llm.common import drop, durable, read
 
 #: (verdict, host and path): listed rules of the query.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -69,7 +69,7 @@ def templates(shapes: DataFrame) -> DataFrame:
     """(host, shape, n_pages, n, bad) -> the same with template (pieces joined by /) and parent (without its last piece)."""
     now = shapes.withColumn("pieces", pieces("shape")).withColumn("template", F.lit("")).withColumn("parent", F.lit(""))
     levels = now.agg(F.max(F.size("pieces")).alias("n")).first().n or 0
-    node = ["host", "under", "at"]
+    node, held = ["host", "under", "at"], None
     for level in range(levels):
         ends = F.size("pieces") <= level
         piece = F.when(~ends, F.get("pieces", F.lit(level)))
@@ -82,7 +82,10 @@ def templates(shapes: DataFrame) -> DataFrame:
         longer = F.concat_ws("/", F.when(F.col("template") != "", F.col("template")), F.coalesce("wild", "piece"))
         below = F.col("at").isNotNull()
         now = now.select("host", "shape", "n_pages", "n", "bad", "pieces", F.when(below, F.col("template")).otherwise(F.col("parent")).alias("parent"), F.when(below, longer).otherwise(F.col("template")).alias("template"))
-        now = durable(now, "level")
+        now, before = durable(now, "level"), held
+        if before is not None:
+            drop(before)
+        held = now
     return now.select("host", "shape", "n_pages", "n", "bad", "template", "parent")
 
 
