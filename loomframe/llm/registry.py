@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomframe.llm import bpe, chat, mixing, quality, simhash, token_counts, topk, toxicity, url_templates, warc
+from loomframe.llm import bpe, chat, kmeans_tree, mixing, prefix_trie, quality, simhash, token_counts, topk, toxicity, url_templates, warc, whitening
 
 QUERIES = {
     "op1_string_kernel_svm": toxicity.op1_string_kernel_svm,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_url_templates": url_templates.op8_url_templates,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_jacobi_davidson": whitening.op12_jacobi_davidson,
+    "op13_kmeans_tree": kmeans_tree.op13_kmeans_tree,
 }
-SQL: dict[str, str] = {"op3_chat_events": chat.SQL, "op2_warc_zip": warc.SQL, "op7_nra_top_k": topk.SQL, "op8_url_templates": url_templates.SQL}
+SQL: dict[str, str] = {"op3_chat_events": chat.SQL, "op2_warc_zip": warc.SQL, "op7_nra_top_k": topk.SQL, "op8_url_templates": url_templates.SQL, "op11_prefix_trie": prefix_trie.SQL}
