@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Seconds without a heartbeat after which a session counts no more.
 TTL = 120
+#: Seconds of a span in which a session's next event is looked for.
+CELL = 3600
 
 
 def latest_sessions(events: DataFrame) -> DataFrame:
@@ -39,28 +41,59 @@ def active_sessions(sessions: DataFrame, now: Column, ttl: int = TTL, limit: int
     return sessions.filter(is_active(now, ttl)).orderBy(F.desc("last_seen"), "session_id").limit(limit)
 
 
-def _samples(events: DataFrame, ttl: int) -> DataFrame:
-    """(app_name, at, user_sub, session_id) of the sessions active at each heartbeat's time of the same app.
+def _pieces(events: DataFrame, ttl: int) -> DataFrame:
+    """(app_name, minute, user_sub, session_id, a, b): when sessions are active, as half-open spans [a, b) that lie in one minute.
 
-    An event keeps its session active until its ttl or the session's next event. Such intervals are dealt to the minutes that
-    they touch, so the join with heartbeats is on (app, minute) and time is a filter within.
+    An event keeps its session active until ttl seconds have passed, or to the session's next event, and a logout ends it. The next
+    event matters only within ttl, so it is looked for in spans of CELL seconds (no window holds a session); an event so close to
+    the beginning of a span that it may follow one of the span before is a row of both. Spans of a session don't overlap.
     """
-    nxt = F.lead("ts").over(W.partitionBy("session_id").orderBy("ts", "event_id"))
-    end = F.col("ts") + F.make_dt_interval(secs=F.lit(ttl))
-    spans = events.withColumn("next", nxt).filter("kind <> 'logout'")
-    spans = spans.select("app_name", "user_sub", "session_id", F.col("ts").alias("from"), end.alias("until"), "next")
-    minutes = F.sequence(F.date_trunc("minute", "from"), F.date_trunc("minute", "until"), F.expr("INTERVAL 1 MINUTE"))
-    spans = spans.withColumn("minute", F.explode(minutes))
-    beats = events.filter("kind = 'heartbeat'").select("app_name", F.col("ts").alias("at")).distinct()
-    beats = beats.withColumn("minute", F.date_trunc("minute", "at"))
-    inside = (F.col("at") >= F.col("from")) & (F.col("at") <= F.col("until")) & (F.col("next").isNull() | (F.col("at") < F.col("next")))
-    return beats.join(spans, ["app_name", "minute"]).filter(inside).select("app_name", "minute", "at", "user_sub", "session_id")
+    kind = events.schema["ts"].dataType
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = F.timestamp_diff("SECOND", zero, "ts") if kind.typeName() == "timestamp_ntz" else F.unix_seconds("ts")
+    size = max(CELL, ttl)
+    own = events.filter(F.col("session_id").isNotNull() & F.col("ts").isNotNull()).select("app_name", "user_sub", "session_id", "ts", "event_id", "kind", F.floor(seconds / size).alias("cell"), F.pmod(seconds, F.lit(size)).alias("into"))
+    dealt = own.withColumn("cell", F.explode(F.when(F.col("into") <= ttl, F.array(F.col("cell"), F.col("cell") - 1)).otherwise(F.array("cell")))).withColumn("own", F.col("cell") == F.floor(seconds / size))
+    nxt = F.lead("ts").over(W.partitionBy("session_id", "cell").orderBy("ts", "event_id"))
+    end = F.col("ts") + F.make_dt_interval(secs=F.lit(ttl) + F.lit(0.000001))  # times are whole microseconds: up to and with ttl
+    spans = dealt.withColumn("next", nxt).filter("own AND kind <> 'logout'").select("app_name", "user_sub", "session_id", "ts", F.least(end, "next").alias("end"))
+    minutes = F.sequence(F.date_trunc("minute", "ts"), F.date_trunc("minute", "end"), F.expr("INTERVAL 1 MINUTE"))
+    spans = spans.filter("end > ts").withColumn("minute", F.explode(minutes))
+    first = F.col("minute").cast(kind)
+    cut = spans.select("app_name", "minute", "user_sub", "session_id", F.greatest("ts", first).alias("a"), F.least("end", first + F.expr("INTERVAL 1 MINUTE")).alias("b"))
+    return cut.filter("a < b")
+
+
+def _user_pieces(pieces: DataFrame) -> DataFrame:
+    """(app_name, minute, user_sub, a, b): the union of each user's spans in a minute, as spans that don't overlap."""
+    before = W.partitionBy("app_name", "minute", "user_sub").orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1)
+    own = pieces.select("app_name", "minute", "user_sub", "a", "b", F.max("b").over(before).alias("seen"))
+    return own.select("app_name", "minute", "user_sub", F.greatest("a", "seen").alias("a"), "b").filter("a < b")
+
+
+def _swept(pieces: DataFrame, users: DataFrame, events: DataFrame) -> DataFrame:
+    """(app_name, minute, at, users, sessions): how many are active at each heartbeat's time, where any session is.
+
+    A sweep over each minute of an app: a span adds one at its start and takes one at its end (it ends by itself with the minute),
+    equal times are added up before they are shuffled, and counts are running sums. Rows are as many as events, however many
+    users are active at once.
+    """
+    one = lambda c, n, name: F.lit(n).cast("long").alias(name) if c == name else F.lit(0).cast("long").alias(name)
+    row = lambda df, at, c, n, beat=0: df.select("app_name", "minute", F.col(at).alias("at"), *[one(c, n, name) for name in ("sessions", "users")], F.lit(beat).alias("beat"))
+    known = users.filter(F.col("user_sub").isNotNull())
+    beats = events.filter("kind = 'heartbeat'").select("app_name", F.date_trunc("minute", "ts").alias("minute"), "ts")
+    steps = row(pieces, "a", "sessions", 1).union(row(pieces, "b", "sessions", -1)).union(row(known, "a", "users", 1)).union(row(known, "b", "users", -1)).union(row(beats, "ts", "", 0, 1))
+    steps = steps.groupBy("app_name", "minute", "at").agg(F.sum("sessions").alias("sessions"), F.sum("users").alias("users"), F.max("beat").alias("beat"))
+    so_far = W.partitionBy("app_name", "minute").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    counts = steps.select("app_name", "minute", "at", "beat", F.sum("users").over(so_far).alias("users"), F.sum("sessions").over(so_far).alias("sessions"))
+    return counts.filter("beat = 1 AND sessions > 0").drop("beat")
 
 
 def minute_samples(events: DataFrame, ttl: int = TTL) -> DataFrame:
-    """(bucket_ts, app_name, active_users, active_sessions, peak_users, peak_sessions): each minute's last sample and maxima."""
-    each = _samples(events, ttl).groupBy("app_name", "minute", "at").agg(F.countDistinct("user_sub").alias("users"), F.countDistinct("session_id").alias("sessions"))
-    out = each.groupBy(F.col("minute").alias("bucket_ts"), "app_name").agg(F.max_by("users", "at").alias("active_users"), F.max_by("sessions", "at").alias("active_sessions"), F.max("users").alias("peak_users"), F.max("sessions").alias("peak_sessions"))
+    """(bucket_ts, app_name, active_users, active_sessions, peak_users, peak_sessions): each minute's last sample and maxima. Events
+    without a session or time take no part, users without a name are not counted."""
+    pieces = _pieces(events, ttl)
+    out = _swept(pieces, _user_pieces(pieces), events).groupBy(F.col("minute").alias("bucket_ts"), "app_name").agg(F.max_by("users", "at").alias("active_users"), F.max_by("sessions", "at").alias("active_sessions"), F.max("users").alias("peak_users"), F.max("sessions").alias("peak_sessions"))
     return out.select("bucket_ts", "app_name", "active_users", "active_sessions", "peak_users", "peak_sessions")
 
 
@@ -68,11 +101,12 @@ def daily_minutes(events: DataFrame, ttl: int = TTL, compat: bool = False) -> Da
     """(date, user_sub, app_name, active_minutes, peak_users_day, peak_sessions_day): minutes at whose first sample the user
     was active, and the greatest counts of those samples. compat: the first minute of a day counts as a minute, but not for the
     peaks, which are 0 on a day of one minute."""
-    each = _samples(events, ttl)
-    first = each.groupBy("app_name", "minute").agg(F.min("at").alias("at"))
-    own = each.join(first, ["app_name", "minute", "at"])
-    counts = own.groupBy("app_name", "minute").agg(F.countDistinct("user_sub").alias("users"), F.countDistinct("session_id").alias("sessions"))
-    rows = own.select("app_name", "minute", "user_sub").distinct().join(counts, ["app_name", "minute"]).withColumn("date", F.date_format("minute", "yyyy-MM-dd"))
+    pieces = _pieces(events, ttl)
+    users = _user_pieces(pieces)
+    first = _swept(pieces, users, events).groupBy("app_name", "minute").agg(F.min_by(F.struct("at", "users", "sessions"), "at").alias("s"))
+    # a user's spans don't overlap, so each user meets a minute's one sample at most once
+    own = users.join(first, ["app_name", "minute"]).filter("a <= s.at AND s.at < b")
+    rows = own.select("app_name", "minute", "user_sub", "s.users", "s.sessions", F.date_format("minute", "yyyy-MM-dd").alias("date"))
     if compat:
         first = F.col("minute") == F.min("minute").over(W.partitionBy("date", "user_sub", "app_name"))
         rows = rows.withColumn("first", first).withColumn("users", F.when(F.col("first"), 0).otherwise(F.col("users"))).withColumn("sessions", F.when(F.col("first"), 0).otherwise(F.col("sessions")))

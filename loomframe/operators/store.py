@@ -10,30 +10,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomframe.functions import text as T
 from loomframe.operators import chunks as K, vectors as V
 from loomframe.sources.shared import stored
+from loomframe.sources.versions import Versions
 
 PARTS = ("vectors", "meta", "manifest")
 KEYS = ["collection_id", "shard_id"]
 
 
-def write_snapshot(tables: dict[str, DataFrame], path: str) -> None:
-    """Replaces the shards that the tables hold, and no others."""
-    for part in PARTS:
-        tables[part].write.partitionBy(*KEYS).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{part}")
+def versions(spark: SparkSession, path: str) -> Versions:
+    return Versions(spark, path, PARTS, KEYS)
 
 
-def read_snapshot(spark: SparkSession, path: str, **keys: str) -> dict[str, DataFrame]:
-    """The tables, of one collection or shard if named (only their folders are read)."""
-    out = {}
-    for part in PARTS:
-        df = spark.read.parquet(f"{path}/{part}")
-        for k, v in keys.items():
-            df = df.filter(F.col(k) == v)
-        out[part] = df
-    return out
+def write_snapshot(tables: dict[str, DataFrame], path: str, shards_: DataFrame | None = None) -> int:
+    """A new version of the shards shards_ (collection_id, shard_id; those of the tables' rows, if not named), also of such as are left
+    without rows, and of no others. Its number; a failure in between leaves the version before as it was."""
+    return versions(tables["vectors"].sparkSession, path).write(tables, shards_)
+
+
+def read_snapshot(spark: SparkSession, path: str, version: int | None = None, **keys: str) -> dict[str, DataFrame]:
+    """The tables as of a version (the newest, if not named), of one collection or shard if named (only their folders are read)."""
+    return versions(spark, path).read(version, **keys)
 
 
 def backup(spark: SparkSession, path: str, stamp: str, **keys: str) -> str:
-    """Copies shards to _backups/ts=<stamp> before they are rewritten."""
+    """Copies shards to a store of their own, _backups/ts=<stamp>, before they are rewritten."""
     to = f"{path}/_backups/ts={stamp}"
     write_snapshot(read_snapshot(spark, path, **keys), to)
     return to
@@ -130,16 +129,20 @@ def removed(vectors: DataFrame, meta: DataFrame, manifest: DataFrame, gone: Data
 
 
 def deregistered(spark: SparkSession, path: str, gone: DataFrame, stamp: str, **keys: str) -> tuple[DataFrame, DataFrame]:
-    """Takes documents out of the snapshot's shards that the keys name: refused if metadata is misaligned, after a backup, with
-    vectors left as orphans. (result, resets): one row with the plan and status (success, partial if a document was not there,
-    failed if none was), and an event for each removed document that resets its status."""
+    """Takes documents out of the snapshot's shards that the keys name: refused if metadata is misaligned, after a backup, as a new
+    version of those shards in which the vectors are left as orphans; a shard may be left without any document. (result, resets): one
+    row with the plan and status (success, partial if a document was not there, failed if none was), and an event for each removed
+    document that resets its status."""
     own = read_snapshot(spark, path, **keys)
     plan = stored(removal_plan(own["meta"], own["manifest"], gone), "plan")
     resets = own["meta"].select("shard_id", "doc_id").unionByName(own["manifest"].select("shard_id", "doc_id")).distinct()
     resets = stored(resets.join(gone, ["shard_id", "doc_id"], "left_semi").select("shard_id", "doc_id", F.lit("reset").alias("stage"), F.lit(stamp).alias("ts")), "resets")
-    removed(own["vectors"], own["meta"], own["manifest"], gone)  # refuses before anything is written
-    kept = read_snapshot(spark, backup(spark, path, stamp, **keys), **keys)
-    write_snapshot({"vectors": kept["vectors"], "meta": V.without_docs(kept["meta"], gone), "manifest": V.without_docs(kept["manifest"], gone)}, path)
+    meta, manifest = removed(own["vectors"], own["meta"], own["manifest"], gone)  # refuses before anything is written
+    backup(spark, path, stamp, **keys)
+    groups = versions(spark, path).groups()
+    for k, v in keys.items():
+        groups = groups.filter(F.col(k) == v)
+    write_snapshot({"vectors": own["vectors"], "meta": meta, "manifest": manifest}, path, groups)
     found = resets.agg(F.count("*").alias("removed"))
     status = F.when(F.col("removed") == 0, "failed").when(F.col("removed") < F.col("selected"), "partial").otherwise("success")
     return plan.crossJoin(found).withColumn("status", status), resets  # two single rows

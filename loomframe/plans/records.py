@@ -105,6 +105,31 @@ def m7c_deregistered_store(spark, sf_dir):
     return part(after["meta"], "meta").unionByName(part(after["manifest"], "manifest")).unionByName(part(saved["meta"], "backup")).unionByName(part(resets, "reset"))
 
 
+_M7D = "(SELECT DISTINCT shard_id, doc_id FROM meta WHERE shard_id = '2' UNION SELECT DISTINCT shard_id, doc_id FROM manifest WHERE shard_id = '2')"
+
+
+@query(f"""SELECT 'meta' AS part, shard_id, count(*) AS n, count(DISTINCT doc_id) AS docs FROM meta WHERE shard_id <> '2' GROUP BY ALL UNION ALL SELECT 'manifest', shard_id, count(*), count(DISTINCT doc_id) FROM manifest WHERE shard_id <> '2' GROUP BY ALL
+UNION ALL SELECT 'vectors', shard_id, count(*), 0 FROM vec GROUP BY ALL UNION ALL SELECT 'before', shard_id, count(*), count(DISTINCT doc_id) FROM meta GROUP BY ALL UNION ALL SELECT 'restored', shard_id, count(*), count(DISTINCT doc_id) FROM meta GROUP BY ALL
+UNION ALL SELECT 'success', '2', count(*), count(*) FROM {_M7D} q""", "vec", "meta", "manifest")
+def m7d_emptied_shard(spark, sf_dir):
+    """A shard loses all its documents: it is empty afterwards, its vectors stay, the version before still has them, and a restored
+    one has them again."""
+    from loomframe.plans.store import _snapshot
+
+    path = _snapshot(spark, sf_dir)
+    keys = ["shard_id", "doc_id"]
+    gone = view(spark, sf_dir, "meta").select(*keys).union(view(spark, sf_dir, "manifest").select(*keys)).filter("shard_id = '2'").distinct()
+    result, _ = S.deregistered(spark, path, stored(gone, "gone"), "20240101", shard_id="2")
+    store = S.versions(spark, path)
+    after, before = store.read(), store.read(1)
+    store.restore(1, shard_id="2")
+    part = lambda df, name: df.groupBy(F.lit(name).alias("part"), "shard_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    vectors = after["vectors"].groupBy(F.lit("vectors").alias("part"), "shard_id").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("docs"))
+    out = part(after["meta"], "meta").unionByName(part(after["manifest"], "manifest")).unionByName(vectors)
+    out = out.unionByName(part(before["meta"], "before")).unionByName(part(store.read()["meta"], "restored"))
+    return out.unionByName(result.select(F.col("status").alias("part"), F.lit("2").alias("shard_id"), F.col("selected").alias("n"), F.col("removed").alias("docs")))
+
+
 @query("SELECT doc_id, pos FROM (SELECT trim(source) AS doc_id, min(doc_id) AS pos FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN '  ' ELSE source END AS source, doc_id FROM documents) a GROUP BY 1) q WHERE doc_id <> ''")
 def e1_first_sources(spark, sf_dir):
     padded = F.when(F.col("doc_id") % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "source"))

@@ -10,66 +10,36 @@ _m = lambda spark, sf_dir: view(spark, sf_dir, "meta")
 _p = lambda spark, sf_dir: view(spark, sf_dir, "manifest")
 _RANKED = """SELECT query_id, CAST(rank AS INTEGER) AS rank, shard_id, vector_index, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, shard_id, vector_index) AS rank FROM (
 SELECT q.vec_id AS query_id, c.shard_id, c.vector_index, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score
-FROM (SELECT * FROM vec WHERE vec_id % 100 = 0 ORDER BY vec_id LIMIT {n}) q, {rows} c) a) b WHERE rank <= {k}"""
-
-
-def _queries(spark, sf_dir, n):
-    """The query vectors, n at most."""
-    own = _v(spark, sf_dir).filter("vec_id % 100 = 0").orderBy("vec_id").limit(n).select("vec_id", "embedding").collect()
-    return [(r.vec_id, list(r.embedding)) for r in own]
-
-
-@query(_RANKED.format(n=1, k=5, rows="vec"), "vec")
-def l1_top_k(spark, sf_dir):
-    return V.search(_v(spark, sf_dir), _queries(spark, sf_dir, 1))
-
-
-@query(_RANKED.format(n=1, k=10, rows="(SELECT vec.* FROM vec JOIN meta USING (shard_id, vector_index))"), "vec", "meta")
-def l2_live_shards(spark, sf_dir):
-    return V.search(V.live(_v(spark, sf_dir), _m(spark, sf_dir)), _queries(spark, sf_dir, 1), 10)
-
-
-@query(_RANKED.format(n=100, k=10, rows="vec"), "vec")
-def l3_batch_search(spark, sf_dir):
-    return V.search(_v(spark, sf_dir), _queries(spark, sf_dir, 100), 10)
-
-
-@query(_RANKED.format(n=10, k=5, rows="(SELECT * FROM vec WHERE shard_id IN ('1', '3'))"), "vec")
-def l4_named_shards(spark, sf_dir):
-    return V.search(_v(spark, sf_dir), _queries(spark, sf_dir, 10), 5, ["1", "3"])
-
-
-#: The same over every row whose id is divisible by 20.
-_WHOLE = _RANKED.replace("vec_id % 100 = 0 ORDER BY vec_id LIMIT {n}", "vec_id % 20 = 0")
+FROM (SELECT * FROM vec WHERE vec_id % 20 = 0) q, {rows} c) a) b WHERE rank <= {k}"""
 
 
 def _asked(spark, sf_dir):
-    """All query vectors."""
+    """Every row whose id is divisible by 20."""
     return _v(spark, sf_dir).filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-@query(_WHOLE.format(k=5, rows="vec"), "vec")
-def l1b_whole_top_k(spark, sf_dir):
+@query(_RANKED.format(k=5, rows="vec"), "vec")
+def l1_top_k(spark, sf_dir):
     return V.search(_v(spark, sf_dir), _asked(spark, sf_dir))
 
 
-@query(_WHOLE.format(k=10, rows="(SELECT vec.* FROM vec JOIN meta USING (shard_id, vector_index))"), "vec", "meta")
-def l2b_whole_live_shards(spark, sf_dir):
+@query(_RANKED.format(k=10, rows="(SELECT vec.* FROM vec JOIN meta USING (shard_id, vector_index))"), "vec", "meta")
+def l2_live_shards(spark, sf_dir):
     return V.search(V.live(_v(spark, sf_dir), _m(spark, sf_dir)), _asked(spark, sf_dir), 10)
 
 
-@query(_WHOLE.format(k=10, rows="vec"), "vec")
-def l3b_whole_batch_search(spark, sf_dir):
+@query(_RANKED.format(k=10, rows="vec"), "vec")
+def l3_batch_search(spark, sf_dir):
     return V.search(_v(spark, sf_dir), _asked(spark, sf_dir), 10)
 
 
-@query(_WHOLE.format(k=5, rows="(SELECT * FROM vec WHERE shard_id IN ('1', '3'))"), "vec")
-def l4b_whole_named_shards(spark, sf_dir):
+@query(_RANKED.format(k=5, rows="(SELECT * FROM vec WHERE shard_id IN ('1', '3'))"), "vec")
+def l4_named_shards(spark, sf_dir):
     return V.search(_v(spark, sf_dir), _asked(spark, sf_dir), 5, ["1", "3"])
 
 
-@query(_WHOLE.format(k=8, rows="vec"), "vec")
-def g5b_whole_union_of_shard_hits(spark, sf_dir):
+@query(_RANKED.format(k=8, rows="vec"), "vec")
+def g5_union_of_shard_hits(spark, sf_dir):
     hits = None
     for shard in ("0", "1", "2", "3"):
         found = V.search(_v(spark, sf_dir), _asked(spark, sf_dir), 8, [shard]).drop("rank")
@@ -151,20 +121,39 @@ def m1_misaligned(spark, sf_dir):
     return V.misaligned(_v(spark, sf_dir), _m(spark, sf_dir).withColumn("vector_index", F.col("vector_index") - 3))
 
 
-_AUDIT = f"""SELECT v.shard_id, v.n AS vectors, m.n AS meta, p.n AS processed, v.n - m.n AS orphans, coalesce(mo, 0) AS meta_only, coalesce(po, 0) AS processed_only, 0 AS misaligned, 'warn' AS health
-FROM (SELECT shard_id, count(*) AS n FROM vec GROUP BY shard_id) v JOIN (SELECT shard_id, count(*) AS n FROM meta GROUP BY shard_id) m ON v.shard_id = m.shard_id
-JOIN (SELECT shard_id, count(*) AS n FROM manifest GROUP BY shard_id) p ON v.shard_id = p.shard_id
-LEFT JOIN (SELECT shard_id, count(*) FILTER (WHERE note = 'meta only') AS mo, count(*) FILTER (WHERE note = 'processed only') AS po FROM ({_NOTES}) q GROUP BY shard_id) d ON v.shard_id = d.shard_id"""
+#: Shard 0 without what only one side has and without orphans, shard 1 with metadata that points behind its vectors, 2 and 3 as they are.
+_LIVE = "(SELECT v.* FROM vec v WHERE v.shard_id <> '0' OR EXISTS (SELECT 1 FROM meta m WHERE m.shard_id = v.shard_id AND m.vector_index = v.vector_index))"
+_DENSE = f"(SELECT shard_id, CASE WHEN shard_id = '0' THEN row_number() OVER (PARTITION BY shard_id ORDER BY vector_index) - 1 ELSE vector_index END AS vector_index FROM {_LIVE} l)"
+_META2 = "(SELECT shard_id, CASE WHEN shard_id = '0' THEN row_number() OVER (PARTITION BY shard_id ORDER BY vector_index) - 1 WHEN shard_id = '1' AND vector_index % 5 = 0 THEN vector_index + 1000000 ELSE vector_index END AS vector_index, doc_id FROM meta)"
+_MANIFEST2 = "(SELECT shard_id, doc_id FROM manifest WHERE shard_id <> '0' UNION SELECT shard_id, doc_id FROM meta WHERE shard_id = '0')"
+_AUDIT = f"""SELECT s.shard_id, s.vectors, s.meta, s.processed, s.orphans, s.meta_only, s.processed_only, s.misaligned,
+CASE WHEN misaligned > 0 THEN 'error' WHEN orphans + meta_only + processed_only > 0 THEN 'warn' ELSE 'ok' END AS health
+FROM (SELECT v.shard_id, count(*) AS vectors, (SELECT count(*) FROM {_META2} m WHERE m.shard_id = v.shard_id) AS meta, (SELECT count(*) FROM {_MANIFEST2} p WHERE p.shard_id = v.shard_id) AS processed,
+  count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM {_META2} m WHERE m.shard_id = v.shard_id AND m.vector_index = v.vector_index)) AS orphans,
+  (SELECT count(DISTINCT m.doc_id) FROM {_META2} m WHERE m.shard_id = v.shard_id AND NOT EXISTS (SELECT 1 FROM {_MANIFEST2} p WHERE p.shard_id = m.shard_id AND p.doc_id = m.doc_id)) AS meta_only,
+  (SELECT count(DISTINCT p.doc_id) FROM {_MANIFEST2} p WHERE p.shard_id = v.shard_id AND NOT EXISTS (SELECT 1 FROM {_META2} m WHERE m.shard_id = p.shard_id AND m.doc_id = p.doc_id)) AS processed_only,
+  (SELECT count(*) FROM {_META2} m WHERE m.shard_id = v.shard_id AND m.vector_index >= (SELECT count(*) FROM {_DENSE} x WHERE x.shard_id = m.shard_id)) AS misaligned
+  FROM {_DENSE} v GROUP BY v.shard_id) s"""
+
+
+def _mixed_health(spark, sf_dir):
+    vec, meta, manifest = _v(spark, sf_dir), _m(spark, sf_dir), _p(spark, sf_dir)
+    first = F.col("shard_id") == "0"
+    dense = F.when(first, F.row_number().over(W.partitionBy("shard_id").orderBy("vector_index")).cast("long") - 1)
+    own = vec.filter(~first).unionByName(V.live(vec.filter(first), meta).select(*vec.columns)).withColumn("vector_index", dense.otherwise(F.col("vector_index")))
+    moved = dense.when((F.col("shard_id") == "1") & (F.col("vector_index") % 5 == 0), F.col("vector_index") + 1_000_000)
+    known = manifest.filter(~first).unionByName(meta.filter(first).select(*manifest.columns).distinct())
+    return own, meta.withColumn("vector_index", moved.otherwise(F.col("vector_index"))), known
 
 
 @query(_AUDIT, "vec", "meta", "manifest")
 def m2_audit(spark, sf_dir):
-    return V.audit(_v(spark, sf_dir), _m(spark, sf_dir), _p(spark, sf_dir))
+    return V.audit(*_mixed_health(spark, sf_dir))
 
 
-@query(f"SELECT shard_id, vectors - meta AS diff, CASE WHEN vectors = meta THEN 'info' ELSE 'warning' END AS need FROM ({_AUDIT}) q", "vec", "meta", "manifest")
+@query(f"""SELECT shard_id, vectors - meta AS diff, CASE WHEN misaligned > 0 THEN 'error' WHEN vectors = meta THEN 'info' ELSE 'warning' END AS need FROM ({_AUDIT}) q""", "vec", "meta", "manifest")
 def m3_rebuild_need(spark, sf_dir):
-    return V.rebuild_need(V.audit(_v(spark, sf_dir), _m(spark, sf_dir), _p(spark, sf_dir)))
+    return V.rebuild_need(V.audit(*_mixed_health(spark, sf_dir)))
 
 
 _STORE = "SELECT vec.shard_id, count(*) AS vectors, max(len(embedding)) AS dim, (SELECT count(*) FROM meta m WHERE m.shard_id = vec.shard_id) AS meta, (SELECT count(*) FROM manifest p WHERE p.shard_id = vec.shard_id) AS processed FROM vec GROUP BY vec.shard_id"

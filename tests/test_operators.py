@@ -165,3 +165,58 @@ def test_jsonl_files(spark, tmp_path):
     back = spark.read.json(str(tmp_path / "log")).first()
     assert back.month == "2024-03" and back.app_name == "app" and back.k == 3
     assert J.scan(spark, [str(tmp_path / "none")]).count() == 0
+
+
+def plain_samples(events, ttl):
+    """(app, time) -> (users, sessions) at each heartbeat, by looking at every session's event before it."""
+    later, out = {}, {}
+    for e in sorted(events, key=lambda e: (e[1], e[4], e[0])):
+        later.setdefault(e[1], []).append(e)
+    spans = []
+    for own in later.values():
+        for e, after in zip(own, [*own[1:], None]):
+            if e[5] != "logout":
+                spans.append((e[3], e[2], e[1], e[4], min(e[4] + timedelta(seconds=ttl, microseconds=1), after[4] if after else datetime.max)))
+    for e in events:
+        if e[5] == "heartbeat":
+            on = [(u, s) for app, u, s, a, b in spans if app == e[3] and a <= e[4] < b]
+            if on:
+                out[e[3], e[4]] = (len({u for u, _ in on}), len({s for _, s in on}), {u for u, _ in on})
+    return out
+
+
+@pytest.mark.parametrize("ttl", [5, 120, 4000])
+def test_sweep_against_looking_at_every_session(spark, ttl):
+    rnd, start = random.Random(ttl), datetime(2024, 3, 1, 10, 58)
+    events = []
+    for n in range(500):
+        s, at = rnd.randrange(25), start + timedelta(seconds=rnd.choice([1, 1, 60]) * rnd.randrange(240), microseconds=rnd.choice([0, 1, 999_999]))
+        events.append((n, f"s{s}", f"u{s % 7}", f"app{s % 2}", at, rnd.choice(["login", "heartbeat", "heartbeat", "heartbeat", "logout"])))
+    df = spark.createDataFrame([(n, s, u, a, t, k) for n, s, u, a, t, k in events], "event_id long, session_id string, user_sub string, app_name string, ts timestamp_ntz, kind string")
+    want = {}
+    for (app, at), (users, sessions, _) in sorted(plain_samples(events, ttl).items(), key=lambda x: x[0][1]):
+        key = (at.replace(second=0, microsecond=0), app)
+        peak = want.get(key, (0, 0, 0, 0))
+        want[key] = (users, sessions, max(peak[2], users), max(peak[3], sessions))
+    got = {(r.bucket_ts.replace(tzinfo=None), r.app_name): tuple(r)[2:] for r in S.minute_samples(df, ttl).collect()}
+    assert got == want
+    days, seen = {}, {}
+    for (app, at), (users, sessions, names) in sorted(plain_samples(events, ttl).items(), key=lambda x: x[0][1]):
+        if seen.setdefault((app, at.replace(second=0, microsecond=0)), at) == at:
+            for u in names:
+                n, most, more = days.get((f"{at:%Y-%m-%d}", u, app), (0, 0, 0))
+                days[f"{at:%Y-%m-%d}", u, app] = (n + 1, max(most, users), max(more, sessions))
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in S.daily_minutes(df, ttl).collect()} == days
+
+
+def test_two_thousand_users_in_one_minute(spark):
+    """Rows in between are as many as events, not as pairs of users."""
+    start = datetime(2024, 3, 1, 12)
+    rows = [(n, f"s{n % 2000}", f"u{n % 2000}", "app", start + timedelta(microseconds=9_000 * n), "heartbeat") for n in range(6000)]
+    df = spark.createDataFrame(rows, "event_id long, session_id string, user_sub string, app_name string, ts timestamp_ntz, kind string")
+    pieces = S._pieces(df, 120)
+    users = S._user_pieces(pieces)
+    assert pieces.count() <= 2 * 6000 + 2 * 2000 and users.count() <= pieces.count() and S._swept(pieces, users, df).count() == 6000
+    first = S.minute_samples(df).orderBy("bucket_ts").first()
+    assert (first.active_users, first.active_sessions, first.peak_users) == (2000, 2000, 2000)
+    assert S.daily_minutes(df).count() == 1

@@ -31,13 +31,13 @@ def test_search_meets_all_queries_in_blocks(spark, monkeypatch):
 
 def test_searches_take_every_row_divisible_by_twenty(spark):
     want = {r.vec_id for r in view(spark, SF, "vec").filter("vec_id % 20 = 0").select("vec_id").collect()}
-    for name in ("l1b_whole_top_k", "l2b_whole_live_shards", "l3b_whole_batch_search", "l4b_whole_named_shards", "g5b_whole_union_of_shard_hits"):
+    for name in ("l1_top_k", "l2_live_shards", "l3_batch_search", "l4_named_shards", "g5_union_of_shard_hits"):
         assert {r.query_id for r in QUERIES[name](spark, SF).select("query_id").collect()} == want, name
 
 
 def test_whole_texts_are_decoded_in_every_encoding(spark):
     own = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
-    out = QUERIES["a16b_decoded_whole"](spark, SF).collect()
+    out = QUERIES["a16_decoded"](spark, SF).collect()
     assert {r.encoding for r in out} == {"utf-8-sig", "utf-16", "shift_jis", "cp932", "replace"}
     assert len(out) == len(own) and all(r.text.startswith(own[r.doc_id]) for r in out)
     assert max(len(r.text) for r in out) > 200
