@@ -9,21 +9,34 @@ from loomframe.functions import text as T
 STAGES = ("ocr", "text", "clean")
 
 
+def status_partials(events: DataFrame) -> DataFrame:
+    """(doc_id, info, <stage>, error) of events: the last (ts, event_id) of each stage, with pdf_info's pdf_kind; mergeable."""
+    at = F.struct("ts", "event_id")
+    info = F.when(F.col("stage") == "pdf_info", F.struct("ts", "event_id", "pdf_kind"))
+    return merged_status(events.select("doc_id", info.alias("info"), *[F.when(F.col("stage") == s, at).alias(s) for s in (*STAGES, "error")]))
+
+
+def merged_status(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("info", *STAGES, "error")])
+
+
+def finished_status(partials: DataFrame) -> DataFrame:
+    reset = F.struct("info.ts", "info.event_id")
+    kept = lambda c: F.when(F.col("info").isNull() | (F.col(c) >= reset), F.col(c)).alias(c)
+    out = partials.select("doc_id", F.col("info.pdf_kind").alias("pdf_kind"), *[kept(c) for c in (*STAGES, "error")])
+    good = F.greatest(*[F.col(s) for s in STAGES])
+    error = F.when(good.isNull() | (F.col("error") > good), F.col("error.ts"))
+    flags = [c for s in STAGES for c in (F.col(s).isNotNull().alias(f"{s}_done"), F.col(f"{s}.ts").alias(f"{s}_at"))]
+    return out.select("doc_id", "pdf_kind", *flags, error.alias("error_at"))
+
+
 def latest_status(events: DataFrame) -> DataFrame:
     """(doc_id, pdf_kind, <stage>_done and <stage>_at, error_at) after all events of stage pdf_info, ocr, text, clean or error.
 
     pdf_info resets all; a stage sets its flag and time and clears the error; error sets its own time. Equal times: the later
     event_id counts. A document without pdf_info begins with its first event.
     """
-    at = F.struct("ts", "event_id")
-    reset = F.max(F.when(F.col("stage") == "pdf_info", at)).over(W.partitionBy("doc_id"))
-    own = events.withColumn("reset", reset).filter(F.col("reset").isNull() | (at >= F.col("reset")))
-    last = lambda s: F.max(F.when(F.col("stage") == s, at))
-    out = own.groupBy("doc_id").agg(F.max_by("pdf_kind", F.when(F.col("stage") == "pdf_info", at)).alias("pdf_kind"), *[last(s).alias(s) for s in STAGES], last("error").alias("error"))
-    good = F.greatest(*[F.col(s) for s in STAGES])
-    error = F.when(good.isNull() | (F.col("error") > good), F.col("error.ts"))
-    flags = [c for s in STAGES for c in (F.col(s).isNotNull().alias(f"{s}_done"), F.col(f"{s}.ts").alias(f"{s}_at"))]
-    return out.select("doc_id", "pdf_kind", *flags, error.alias("error_at"))
+    return finished_status(status_partials(events))
 
 
 def ready(kind: Column, text_done: Column, clean_done: Column, locked: Column | None = None) -> Column:

@@ -17,21 +17,22 @@ def truncated(c: Column, most: int = MESSAGE) -> Column:
 
 #: Columns of an event, in order; a start has no outcome and a finish no more than ids and outcome.
 WHO = ("user_sub", "app_name", "page_name", "provider", "task_type", "parent_run_id", "model")
-OUTCOME = ("status", "input_tokens", "output_tokens", "error_type", "error_message")
+OUTCOME = ("status", "input_tokens", "output_tokens", "cost_usd", "usd_jpy", "cost_jpy", "error_type", "error_message")
 
 
 def start_events(runs: DataFrame) -> DataFrame:
-    none = {"input_tokens": "long", "output_tokens": "long"}
+    none = {"input_tokens": "long", "output_tokens": "long", "cost_usd": "double", "usd_jpy": "double", "cost_jpy": "double"}
     outcome = [F.lit(None).cast(none.get(c, "string")).alias(c) for c in OUTCOME]
     return runs.select("run_id", F.lit("start").alias("event_type"), F.col("started_at").alias("ts"), *WHO, *outcome, F.col("start_meta").alias("meta_json"))
 
 
-def finish_events(runs: DataFrame) -> DataFrame:
-    done = runs.filter("status <> 'running'")
+def finish_events(runs: DataFrame, rate: float = costs.USD_JPY) -> DataFrame:
+    """Finishes with their cost in dollars, where tokens and prices are known, and the rate it was made at."""
+    done = costed(runs.filter("status <> 'running'"), rate)
     end = F.col("started_at") + F.make_dt_interval(secs=F.col("elapsed_ms") / 1000)
     message = F.when(F.col("status") == "error", F.concat(F.lit("failed "), "run_id"))
     kind = F.when(F.col("status") == "error", F.col("error_type"))
-    return done.select("run_id", F.lit("finish").alias("event_type"), end.alias("ts"), *WHO, "status", "input_tokens", "output_tokens", kind.alias("error_type"), message.alias("error_message"), F.col("finish_meta").alias("meta_json"))
+    return done.select("run_id", F.lit("finish").alias("event_type"), end.alias("ts"), *WHO, "status", "input_tokens", "output_tokens", "cost_usd", F.when(F.col("cost_usd").isNotNull(), F.lit(rate)).alias("usd_jpy"), F.lit(None).cast("double").alias("cost_jpy"), kind.alias("error_type"), message.alias("error_message"), F.col("finish_meta").alias("meta_json"))
 
 
 def _record(start: str, finish: str) -> list[Column]:
@@ -43,12 +44,15 @@ def _record(start: str, finish: str) -> list[Column]:
     error = [F.col(f"{finish}.error_type").alias("error_type"), truncated(F.col(f"{finish}.error_message")).alias("error_message")]
     times = [F.col(f"{start}.ts").alias("started_at"), F.col(f"{finish}.ts").alias("finished_at"), elapsed.alias("elapsed_ms")]
     meta = F.coalesce(f"{finish}.meta_json", f"{start}.meta_json").alias("meta_json")
-    return [*[F.col(f"{start}.{c}").alias(c) for c in WHO], F.coalesce(f"{finish}.status", F.lit("running")).alias("status"), *times, i.alias("input_tokens"), o.alias("output_tokens"), total.alias("total_tokens"), *error, meta]
+    usd, rate = F.col(f"{finish}.cost_usd"), F.col(f"{finish}.usd_jpy")
+    cost = [F.round(usd, 9).alias("cost_usd"), rate.alias("usd_jpy"), F.round(F.coalesce(F.col(f"{finish}.cost_jpy"), usd * rate), 6).alias("cost_jpy")]
+    return [*[F.col(f"{start}.{c}").alias(c) for c in WHO], F.coalesce(f"{finish}.status", F.lit("running")).alias("status"), *times, i.alias("input_tokens"), o.alias("output_tokens"), total.alias("total_tokens"), *cost, *error, meta]
 
 
 def runs_from_events(events: DataFrame) -> DataFrame:
     """One row for each started run. A run without a finish is running. total is in + out if either is known, meta_json the
-    finish's or else the start's; equal times of several finishes of one run: the greater status counts."""
+    finish's or else the start's, the cost in yen the finish's or else dollars at its rate; equal times of several finishes of one run:
+    the greater status counts."""
     kind = F.col("event_type")
     start = F.min_by(F.struct("ts", *WHO, "meta_json"), F.when(kind == "start", F.col("ts")))
     finish = F.max_by(F.struct("ts", *OUTCOME, "meta_json"), F.when(kind == "finish", F.struct("ts", "status")))

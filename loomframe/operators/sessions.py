@@ -11,18 +11,28 @@ TTL = 120
 CELL = 3600
 
 
+def session_partials(events: DataFrame) -> DataFrame:
+    """(session_id, last, login, first) of events: what latest states are made of, one row a session; such rows can be merged."""
+    rows = events.select("session_id", F.struct("ts", "event_id", "kind", "user_sub", "app_name").alias("last"), F.when(F.col("kind") == "login", F.col("ts")).alias("login"), F.col("ts").alias("first"))
+    return merged_partials(rows)
+
+
+def merged_partials(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("session_id").agg(F.max("last").alias("last"), F.max("login").alias("login"), F.min("first").alias("first"))
+
+
+def finished_sessions(partials: DataFrame) -> DataFrame:
+    logout = F.when(F.col("last.kind") == "logout", F.col("last.ts"))
+    return partials.select("session_id", "last.user_sub", "last.app_name", F.coalesce("login", "first").alias("login_at"), F.col("last.ts").alias("last_seen"), logout.alias("logout_at"))
+
+
 def latest_sessions(events: DataFrame) -> DataFrame:
     """(session_id, user_sub, app_name, login_at, last_seen, logout_at) after all events (kind login, heartbeat or logout).
 
     A login sets login_at anew and clears the logout; a heartbeat clears the logout; a logout sets both times. Equal times:
     the later event_id counts. A session without a login began with its first event.
     """
-    at = F.struct("ts", "event_id")
-    last = F.max_by(F.struct("kind", "ts", "user_sub", "app_name"), at)
-    login = F.max(F.when(F.col("kind") == "login", F.col("ts")))
-    out = events.groupBy("session_id").agg(last.alias("l"), login.alias("login"), F.min("ts").alias("first"))
-    logout = F.when(F.col("l.kind") == "logout", F.col("l.ts"))
-    return out.select("session_id", "l.user_sub", "l.app_name", F.coalesce("login", "first").alias("login_at"), F.col("l.ts").alias("last_seen"), logout.alias("logout_at"))
+    return finished_sessions(session_partials(events))
 
 
 def is_active(now: Column, ttl: int = TTL) -> Column:

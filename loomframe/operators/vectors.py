@@ -7,7 +7,7 @@ each document taken in. A vector without metadata is an orphan and can't be foun
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,27 +27,9 @@ def live(vectors: DataFrame, meta: DataFrame) -> DataFrame:
     return vectors.join(meta, ["shard_id", "vector_index"])
 
 
-def search(vectors: DataFrame, queries: DataFrame | list[tuple[int, list[float]]], k: int = 5, shards: list[str] | None = None) -> DataFrame:
-    """(query_id, rank, shard_id, vector_index, score): the k nearest by cosine, rounded to six digits, ties to the smaller shard
-    and index, for every row of queries (query_id, embedding), however many. A vector of norm zero scores 0; a query of norm
-    zero or of another length than the vectors is an error, which for a DataFrame of queries is raised by its task.
-
-    Vectors are dealt to blocks; a task holds one block and lets all queries pass as a stream, so only queries are copied, once for
-    each block, and the k best of each block are ranked at the end. Named shards are filtered before the scan is read.
-    """
-    if isinstance(queries, list):
-        if any(not any(v) for _, v in queries):
-            raise ValueError("a query has norm zero")
-        queries = vectors.sparkSession.createDataFrame(queries, "query_id long, embedding array<double>")
-    own = vectors.filter(F.col("shard_id").isin(*shards)) if shards is not None else vectors
-    own = own.select("shard_id", F.col("vector_index").cast("long").alias("vector_index"), F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    n, cores = own.count(), vectors.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, math.ceil(n / BLOCK_ROWS), min(cores, n // FEW_ROWS))
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    deal = F.pmod(F.xxhash64("shard_id", "vector_index"), F.lit(blocks)).cast("int")
-    rows = own.select(deal.alias("block"), F.lit(False).alias("asks"), "shard_id", "vector_index", none("long", "query_id"), "embedding")
-    asks = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), none("string", "shard_id"), none("long", "vector_index"), "query_id", "embedding")
+def block_hits(k: int) -> Callable:
+    """The k best rows of each block for each of its queries, from (block, asks, shard_id, vector_index, query_id, embedding) in order of
+    block and asks: a block's rows are held, its queries pass."""
 
     def unit(embeddings: pd.Series, name: str | None = None) -> np.ndarray:
         v = np.stack(embeddings.to_list())
@@ -86,8 +68,33 @@ def search(vectors: DataFrame, queries: DataFrame | list[tuple[int, list[float]]
                         block = x, unit(x["embedding"])
                     yield best(*block, part)
 
+    return run
+
+
+def search(vectors: DataFrame, queries: DataFrame | list[tuple[int, list[float]]], k: int = 5, shards: list[str] | None = None) -> DataFrame:
+    """(query_id, rank, shard_id, vector_index, score): the k nearest by cosine, rounded to six digits, ties to the smaller shard
+    and index, for every row of queries (query_id, embedding), however many. A vector of norm zero scores 0; a query of norm
+    zero or of another length than the vectors is an error, which for a DataFrame of queries is raised by its task.
+
+    Vectors are dealt to blocks; a task holds one block and lets all queries pass as a stream, so only queries are copied, once for
+    each block, and the k best of each block are ranked at the end. Named shards are filtered before the scan is read.
+    """
+    if isinstance(queries, list):
+        if any(not any(v) for _, v in queries):
+            raise ValueError("a query has norm zero")
+        queries = vectors.sparkSession.createDataFrame(queries, "query_id long, embedding array<double>")
+    own = vectors.filter(F.col("shard_id").isin(*shards)) if shards is not None else vectors
+    own = own.select("shard_id", F.col("vector_index").cast("long").alias("vector_index"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    n, cores = own.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(n / BLOCK_ROWS), min(cores, n // FEW_ROWS))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    deal = F.pmod(F.xxhash64("shard_id", "vector_index"), F.lit(blocks)).cast("int")
+    rows = own.select(deal.alias("block"), F.lit(False).alias("asks"), "shard_id", "vector_index", none("long", "query_id"), "embedding")
+    asks = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), none("string", "shard_id"), none("long", "vector_index"), "query_id", "embedding")
+
     met = rows.unionByName(asks).repartition(blocks, "block").sortWithinPartitions("block", "asks", "shard_id", "vector_index")
-    found = met.mapInPandas(run, "query_id long, shard_id string, vector_index long, score double")
+    found = met.mapInPandas(block_hits(k), "query_id long, shard_id string, vector_index long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "shard_id", "vector_index")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "shard_id", "vector_index", "score")
 

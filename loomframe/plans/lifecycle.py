@@ -3,8 +3,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomframe.operators import lifecycle as L
+from loomframe.operators.states import document_states
 from loomframe.plans.views import query, table, view
 from loomframe.sources import jsonl as J
+from loomframe.sources.shared import new_path
 
 _log = lambda spark, sf_dir: view(spark, sf_dir, "log")
 _prj = lambda spark, sf_dir: view(spark, sf_dir, "prj")
@@ -72,11 +74,24 @@ def _status_sql(body: str) -> str:
     return f"WITH stat AS ({VIEWS['stat']}){_STATUS} {body}"
 
 
-@query(_status_sql("SELECT doc_id, pdf_kind, ocr_at IS NOT NULL AS ocr_done, ocr_at, text_at IS NOT NULL AS text_done, text_at, clean_at IS NOT NULL AS clean_done, clean_at, CASE WHEN e > coalesce(greatest(ocr_at, text_at, clean_at), TIMESTAMP '1970-01-01') THEN e END AS error_at FROM st"))
+_LATEST = _status_sql("SELECT doc_id, pdf_kind, ocr_at IS NOT NULL AS ocr_done, ocr_at, text_at IS NOT NULL AS text_done, text_at, clean_at IS NOT NULL AS clean_done, clean_at, CASE WHEN e > coalesce(greatest(ocr_at, text_at, clean_at), TIMESTAMP '1970-01-01') THEN e END AS error_at FROM st")
+
+
+@query(_LATEST)
 def n1_latest_status(spark, sf_dir):
     return L.latest_status(view(spark, sf_dir, "stat"))
 
 
+@query(_LATEST)
+def n1b_merged_status(spark, sf_dir):
+    """The same from a state table into which the events were merged in three batches."""
+    states = document_states(spark, new_path(spark, "documents"), 8)
+    events = view(spark, sf_dir, "stat")
+    for k in (1, 2, 0):
+        states.update(L.status_partials(events.filter(F.col("event_id") % 3 == k)))
+    return L.finished_status(states.read())
+
+
 @query(_status_sql("SELECT doc_id, coalesce((pdf_kind = 'text' AND text_at IS NOT NULL) OR (pdf_kind = 'image' AND clean_at IS NOT NULL), false) AS ready, CASE WHEN clean_at IS NOT NULL THEN 'clean' WHEN pdf_kind = 'text' AND text_at IS NOT NULL THEN 'raw' END AS kind FROM st"))
 def n5_ready_documents(spark, sf_dir):
     own = L.latest_status(view(spark, sf_dir, "stat"))

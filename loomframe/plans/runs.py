@@ -37,8 +37,9 @@ def b5_events_of_a_run(spark, sf_dir):
 _RECORD = """SELECT run_id, user_sub, app_name, page_name, provider, task_type, parent_run_id, model, status, started_at, CASE WHEN status <> 'running' THEN started_at + elapsed_ms * INTERVAL 1 MILLISECOND END AS finished_at,
 CASE WHEN status <> 'running' THEN elapsed_ms END AS elapsed_ms, CASE WHEN status <> 'running' THEN input_tokens END AS input_tokens, CASE WHEN status <> 'running' THEN output_tokens END AS output_tokens,
 CASE WHEN status <> 'running' AND (input_tokens IS NOT NULL OR output_tokens IS NOT NULL) THEN coalesce(input_tokens, 0) + coalesce(output_tokens, 0) END AS total_tokens,
+CASE WHEN status <> 'running' THEN round(CAST(usd AS DOUBLE), 9) END AS cost_usd, CASE WHEN status <> 'running' AND usd IS NOT NULL THEN CAST(150 AS DOUBLE) END AS usd_jpy, CASE WHEN status <> 'running' THEN round(CAST(usd AS DOUBLE) * 150, 6) END AS cost_jpy,
 CASE WHEN status = 'error' THEN error_type END AS error_type, CASE WHEN status = 'error' THEN 'failed ' || run_id END AS error_message,
-CASE WHEN status <> 'running' THEN coalesce(finish_meta, start_meta) ELSE start_meta END AS meta_json FROM run"""
+CASE WHEN status <> 'running' THEN coalesce(finish_meta, start_meta) ELSE start_meta END AS meta_json FROM (SELECT run.*, {usd} AS usd {rows}) r""".format(usd=_USD, rows=_FROM)
 
 
 @query(_RECORD, "run")

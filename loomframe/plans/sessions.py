@@ -3,7 +3,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomframe.operators import sessions as S
+from loomframe.operators.states import session_states
 from loomframe.plans.views import query, view
+from loomframe.sources.shared import new_path
 
 NOW = "2024-01-15 12:00:00"
 _at = lambda: F.lit(NOW).cast("timestamp_ntz")
@@ -50,6 +52,16 @@ def e6_latest_sessions(spark, sf_dir):
     return S.latest_sessions(view(spark, sf_dir, "ses"))
 
 
+@query(_sql("SELECT session_id, user_sub, app_name, login_at, last_seen, logout_at FROM st", before=False))
+def e6b_merged_sessions(spark, sf_dir):
+    """The same from a state table into which the events were merged in three batches, one of them twice."""
+    table = session_states(spark, new_path(spark, "sessions"), 8)
+    events = view(spark, sf_dir, "ses")
+    for k in (2, 0, 1, 0):
+        table.update(S.session_partials(events.filter(F.col("event_id") % 3 == k)))
+    return S.finished_sessions(table.read())
+
+
 _SAMPLES = """SELECT b.app_name, date_trunc('minute', b.t0) AS minute, b.t0, s.user_sub, s.session_id
   FROM (SELECT DISTINCT app_name, ts AS t0 FROM ses WHERE kind = 'heartbeat') b
   JOIN (SELECT *, lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS nxt FROM ses) s
@@ -81,12 +93,15 @@ def d3b_daily_minutes_compat(spark, sf_dir):
     return S.daily_minutes(view(spark, sf_dir, "ses"), compat=True)
 
 
-@query("""SELECT event_id, session_id, user_sub, app_name, kind, ts FROM ses JOIN (
+_FOLDED = """SELECT event_id, session_id, user_sub, app_name, kind, ts FROM ses JOIN (
   WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS n FROM ses WHERE kind = 'heartbeat'),
   r AS (SELECT session_id, n, event_id, ts AS kept_at, true AS kept FROM o WHERE n = 1 UNION ALL
     SELECT o.session_id, o.n, o.event_id, CASE WHEN o.ts - r.kept_at >= INTERVAL 600 SECOND THEN o.ts ELSE r.kept_at END, o.ts - r.kept_at >= INTERVAL 600 SECOND
     FROM r JOIN o ON o.session_id = r.session_id AND o.n = r.n + 1)
-  SELECT event_id FROM r WHERE kept) k USING (event_id)""", "ses")
+  SELECT event_id FROM r WHERE kept) k USING (event_id)"""
+
+
+@query(_FOLDED, "ses")
 def s6b_folded_heartbeats(spark, sf_dir):
     return S.folded_heartbeats(view(spark, sf_dir, "ses"), 600)
 

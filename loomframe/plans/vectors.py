@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from loomframe.operators import vectors as V
+from loomframe.operators.pruned import pruned_search
 from loomframe.plans.views import query, view
 
 _v = lambda spark, sf_dir: view(spark, sf_dir, "vec")
@@ -33,6 +34,11 @@ def l3_batch_search(spark, sf_dir):
     return V.search(_v(spark, sf_dir), _asked(spark, sf_dir), 10)
 
 
+@query(_RANKED.format(k=10, rows="vec"), "vec")
+def l5_pruned_search(spark, sf_dir):
+    return pruned_search(_v(spark, sf_dir), _asked(spark, sf_dir), 10)[0]
+
+
 @query(_RANKED.format(k=5, rows="(SELECT * FROM vec WHERE shard_id IN ('1', '3'))"), "vec")
 def l4_named_shards(spark, sf_dir):
     return V.search(_v(spark, sf_dir), _asked(spark, sf_dir), 5, ["1", "3"])

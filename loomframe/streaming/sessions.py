@@ -20,10 +20,13 @@ def _timed(events: DataFrame, late: str) -> DataFrame:
 
 
 def minute_activity(events: DataFrame, late: str = LATE) -> DataFrame:
-    """(start, app_name, users, sessions): how many were seen in each minute; on streams about so, as exact counts are refused there."""
-    window, count = F.window("ts", "1 minute"), F.approx_count_distinct if events.isStreaming else F.countDistinct
-    out = _timed(events, late).groupBy(window, "app_name").agg(count("user_sub").alias("users"), count("session_id").alias("sessions"))
-    return out.select(F.col("window.start").alias("start"), "app_name", "users", "sessions")
+    """(start, app_name, users, sessions): how many were seen in each minute, exactly. A stream keeps each user and session of a minute
+    and app once, until the watermark has passed the minute, and counts what is kept; a minute comes out once, when it is closed."""
+    timed = _timed(events, late).select(F.window("ts", "1 minute").alias("minute"), "app_name", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in (("user", "user_sub"), ("session", "session_id"))])).alias("seen"))
+    once = timed.select("minute", "app_name", "seen.kind", "seen.name").dropDuplicates(["minute", "app_name", "kind", "name"])
+    known = lambda kind: F.count_if((F.col("kind") == kind) & F.col("name").isNotNull())
+    out = once.groupBy("minute", "app_name").agg(known("user").alias("users"), known("session").alias("sessions"))
+    return out.select(F.col("minute.start").alias("start"), "app_name", "users", "sessions")
 
 
 def ttl_sessions(events: DataFrame, ttl: int = 120, late: str = LATE) -> DataFrame:
@@ -80,8 +83,39 @@ def session_states(events: DataFrame, ttl: int = TTL, late: str = LATE) -> DataF
     return _timed(events, late).groupBy("session_id").applyInPandasWithState(fold, SEEN, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
+KEPT = "last timestamp, waiting array<struct<ts: timestamp, event_id: bigint, user_sub: string, app_name: string>>"
+THINNED = "session_id string, event_id long, user_sub string, app_name string, ts timestamp"
+
+
 def thinned_stream(events: DataFrame, seconds: int = 30, late: str = LATE) -> DataFrame:
-    """One heartbeat for each session and span of seconds."""
-    slot = F.floor(F.unix_timestamp("ts") / seconds)
-    own = _timed(events, late).filter("kind = 'heartbeat'").withColumn("slot", slot)
-    return (own.dropDuplicatesWithinWatermark(["session_id", "slot"]) if events.isStreaming else own.dropDuplicates(["session_id", "slot"])).drop("slot")
+    """(session_id, event_id, user_sub, app_name, ts) of a stream's heartbeats of which each comes at least so many seconds after the one
+    kept before it in its session: what operators.sessions.folded_heartbeats keeps of a table, whatever order the events come in.
+
+    Heartbeats wait in the session's state until the watermark has passed them, are then taken in order of time and event_id, and
+    the time of the last one kept is remembered for as long as it matters.
+    """
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = state.get if state.exists else (None, [])
+        waiting, mark = [tuple(w.values()) if isinstance(w, dict) else tuple(w) for w in waiting], state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for frame in frames:
+                waiting += [(t.to_pydatetime(), int(n), u, a) for t, n, u, a in frame[["ts", "event_id", "user_sub", "app_name"]].itertuples(index=False)]
+        waiting.sort(key=lambda w: (w[0], w[1]))
+        ripe = [w for w in waiting if w[0].timestamp() * 1000 <= mark]
+        waiting, out = waiting[len(ripe) :], []
+        for ts, number, user, app in ripe:
+            if last is None or (ts - last).total_seconds() >= seconds:
+                out.append((key[0], number, user, app, ts))
+                last = ts
+        ends = [w[0].timestamp() for w in waiting[:1]] or ([last.timestamp() + seconds] if last is not None else [])
+        if not ends or ends[0] * 1000 <= mark:  # whatever comes now is later than all that is remembered
+            state.remove()
+        else:
+            state.update((last, waiting))
+            state.setTimeoutTimestamp(int(ends[0] * 1000) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in THINNED.split(", ")]).astype({"ts": "datetime64[ns]"})
+
+    own = _timed(events.filter("kind = 'heartbeat'"), late)
+    return own.groupBy("session_id").applyInPandasWithState(fold, THINNED, KEPT, "append", GroupStateTimeout.EventTimeTimeout)
