@@ -149,6 +149,22 @@ def log_path(root: Column | str, log: str, month: Column) -> Column:
     return F.when(month.rlike(r"^\d{4}-(0[1-9]|1[0-2])$"), F.concat(F.regexp_replace(root, "/+$", ""), F.lit(f"/{log}_"), month, F.lit(".jsonl")))
 
 
+def clean_text_name(c: Column) -> Column:
+    """The name of a text's cleaned form: <name>_cleaned.txt, without an ending .txt of any case; text where there is no name."""
+    own = F.coalesce(blank_to_null(c), F.lit("text"))
+    return F.concat(F.regexp_replace(own, r"(?i)\.txt$", ""), F.lit("_cleaned.txt"))
+
+
+def project_folder(root: str, year: Column, no: Column, part: str | None = None) -> Column:
+    """root/<year><no>, or its part pdf or others; null where year or number is bad."""
+    return F.concat(F.lit(root.rstrip("/") + "/"), project_id(year, no), F.lit(f"/{part}" if part else ""))
+
+
+def report_path(root: str, year: Column, no: Column) -> Column:
+    """Where a project's report lies: root/<id>/pdf/<id>.pdf."""
+    return F.concat(project_folder(root, year, no, "pdf"), F.lit("/"), project_id(year, no), F.lit(".pdf"))
+
+
 def number_in(c: Column, least: int = 1, most: int = 200) -> Column:
     """Whether a project's number lies within its limits; bad numbers do not."""
     return F.coalesce(c.try_cast("int").between(least, most), F.lit(False))

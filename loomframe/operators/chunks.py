@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.functions import text as T
+from loomframe.operators import vectors as V
 
 MOST, LEAST, HARD = 1_200, 400, 1_800
 # Where a long unit is cut at best, in order.
@@ -111,7 +112,47 @@ def chunk_pages(pages: DataFrame, most: int = MOST, least: int = LEAST, hard: in
     return _out(own, _chunks(most, least, hard, True)("p.text", "p.page_no"))
 
 
-def meta_rows(chunks: DataFrame, sources: DataFrame) -> DataFrame:
-    """Metadata of chunks with where they come from; sources (doc_id, collection_id, shard_id, file, sha256, embed_model)."""
-    own = chunks.join(sources, "doc_id")
-    return own.withColumn("chunk_id", T.chunk_id(F.col("doc_id").cast("string"), F.col("chunk_index").cast("long"))).withColumn("file_name", T.base_name(F.col("file")))
+#: What sources must name for their metadata and manifest rows.
+SOURCE = ("collection_id", "shard_id", "doc_id", "file", "source_pdf_path", "source_text_path", "source_pages_path", "source_text_kind", "sha256", "embed_model", "attrs")
+META = ("collection_id", "shard_id", "doc_id", "file", "file_name", "vector_index", "chunk_id", "chunk_index", "text", "span_start", "span_end", "chunk_len_tokens", "page_start", "page_end", "source_pdf_path", "source_text_path", "source_pages_path", "source_text_kind", "sha256", "embed_model", "ingested_at", "attrs")
+MANIFEST = ("collection_id", "shard_id", "doc_id", "file", "sha256", "source_pdf_path", "source_text_path", "source_text_kind", "embed_model", "ingested_at", "attrs")
+
+
+def _sources(sources: DataFrame, ingested_at: Column | str) -> DataFrame:
+    """Sources with paths relative, kinds normalised, missing texts empty and missing attrs an empty object."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in sources.columns else F.lit("")
+    make = {c: T.relative_path(text(c)) for c in ("source_pdf_path", "source_text_path", "source_pages_path")}
+    make |= {"source_text_kind": T.source_kind(text("source_text_kind")), "attrs": F.coalesce(T.blank_to_null(text("attrs")), F.lit("{}"))}
+    at = F.lit(ingested_at) if isinstance(ingested_at, str) else ingested_at
+    return sources.select(*[make.get(c, text(c)).alias(c) for c in SOURCE], at.alias("ingested_at"))
+
+
+def _same_count(chunks: DataFrame, ranges: DataFrame) -> DataFrame:
+    """chunks with their page_start and page_end from ranges (doc_id, chunk_index, page_start, page_end); a document whose chunks and
+    ranges are not the same is an error."""
+    both = chunks.drop("page_start", "page_end").join(ranges.withColumn("__range", F.lit(True)), ["doc_id", "chunk_index"], "full_outer")
+    odd = F.col("text").isNull() | F.col("__range").isNull()
+    said = F.raise_error(F.concat(F.lit("chunks and page ranges of a document differ: "), F.col("doc_id").cast("string")))
+    return both.withColumn("text", F.when(odd, said.cast("string")).otherwise(F.col("text"))).drop("__range")
+
+
+def meta_rows(chunks: DataFrame, sources: DataFrame, base: DataFrame, ingested_at: Column | str, ranges: DataFrame | None = None) -> DataFrame:
+    """Metadata (the columns META) of chunks (doc_id, chunk_index, text, span_start, span_end, chunk_len_tokens), joined with their
+    sources (SOURCE; a missing column is empty).
+
+    Blank chunks are left out. vector_index goes on from base (shard_id, base) in each shard, by document and chunk. Pages come from
+    ranges where given, else from the chunks, else they are 0; negative and bad pages are 0.
+    """
+    own = chunks if ranges is None else _same_count(chunks, ranges)
+    own = own.filter(T.stripped(F.coalesce("text", F.lit(""))) != "").withColumn("doc_id", F.col("doc_id").cast("string"))
+    page = lambda c: T.page_no(F.col(c).cast("string")).cast("long") if c in own.columns else F.lit(0).cast("long")
+    rows = own.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", "span_start", "span_end", "chunk_len_tokens", page("page_start").alias("page_start"), page("page_end").alias("page_end"))
+    rows = V.dense_index(rows.join(_sources(sources, ingested_at), "doc_id"), base)
+    named = rows.withColumn("chunk_id", T.chunk_id(F.col("doc_id"), F.col("chunk_index"))).withColumn("file_name", T.base_name(F.col("file")))
+    return named.select(*META)
+
+
+def manifest_rows(meta: DataFrame, sources: DataFrame, ingested_at: Column | str) -> DataFrame:
+    """The manifest's rows (the columns MANIFEST) of the sources that have metadata: one a document."""
+    known = meta.select("shard_id", "doc_id").distinct()
+    return _sources(sources, ingested_at).join(known, ["shard_id", "doc_id"], "left_semi").select(*MANIFEST)

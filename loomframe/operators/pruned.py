@@ -87,7 +87,7 @@ class Bounds:
 def _routes(bounds: Bounds, d: int, k: int, second: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(query_id, embedding, cluster) of (query_id, embedding, least)."""
-        for batch in batches:
+        for batch in batches if len(bounds.names) else ():
             if any(n != d for n in batch.column(1).value_lengths().to_pylist()):
                 raise ValueError("a query of another length than the vectors")
             q, norm = _unit(batch.column(1), d)

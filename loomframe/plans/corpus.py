@@ -171,8 +171,47 @@ def k6_page_chunks(spark, sf_dir):
     return K.chunk_pages(pages(spark, sf_dir))
 
 
-@query(None)
+def _meta_sources(spark, sf_dir):
+    n = F.col("doc_id")
+    return docs(spark, sf_dir).select(F.lit("main").alias("collection_id"), F.col("source").alias("shard_id"), n.cast("string").alias("doc_id"), F.concat(F.lit("in\\"), "source", F.lit("/"), n.cast("string"), F.lit(".txt")).alias("file"), F.concat(F.lit(" /pdf\\"), n.cast("string"), F.lit(".pdf")).alias("source_pdf_path"), F.when(n % 3 > 0, F.lit("//text/x.txt")).alias("source_text_path"), F.when(n % 4 == 0, " RAW").when(n % 4 == 1, "clean").otherwise("scan").alias("source_text_kind"), F.sha2("text", 256).alias("sha256"), F.lit("text-embedding-3-large").alias("embed_model"), F.when(n % 5 == 0, '{"a":1}').alias("attrs"))
+
+
+def _given_chunks(spark, sf_dir):
+    """Pages of five lines stand for chunks, so that SQL has the same."""
+    own = pages(spark, sf_dir)
+    size = F.char_length("text")
+    return own.select("doc_id", (F.col("page_no") - 1).alias("chunk_index"), "text", F.lit(0).alias("span_start"), size.alias("span_end"), size.alias("chunk_len_tokens"))
+
+
+_PATHS = "'pdf/' || CAST(d.doc_id AS VARCHAR) || '.pdf' AS source_pdf_path, CASE WHEN d.doc_id % 3 > 0 THEN 'text/x.txt' ELSE '' END AS source_text_path"
+_KINDS = "CASE d.doc_id % 4 WHEN 0 THEN 'raw' WHEN 1 THEN 'clean' ELSE 'other' END AS source_text_kind, sha256(d.text) AS sha256, 'text-embedding-3-large' AS embed_model, '2024-01-01T00:00:00Z' AS ingested_at, CASE WHEN d.doc_id % 5 = 0 THEN '{\"a\":1}' ELSE '{}' END AS attrs"
+_NAMED = "'main' AS collection_id, d.source AS shard_id, CAST(d.doc_id AS VARCHAR) AS doc_id, 'in\\' || d.source || '/' || CAST(d.doc_id AS VARCHAR) || '.txt' AS file"
+_GIVEN = "(SELECT * FROM page WHERE regexp_matches(text, '[^\\s　 ]'))"
+
+
+@query(f"""SELECT {_NAMED}, CAST(d.doc_id AS VARCHAR) || '.txt' AS file_name, 10 + row_number() OVER (PARTITION BY d.source ORDER BY CAST(d.doc_id AS VARCHAR), p.page_no) - 1 AS vector_index,
+CAST(d.doc_id AS VARCHAR) || '#c' || lpad(CAST(p.page_no AS VARCHAR), 6, '0') AS chunk_id, p.page_no - 1 AS chunk_index, p.text, 0 AS span_start, length(p.text) AS span_end, length(p.text) AS chunk_len_tokens,
+p.page_no AS page_start, CASE WHEN p.page_no % 2 = 0 THEN p.page_no + 1 ELSE 0 END AS page_end, {_PATHS}, '' AS source_pages_path, {_KINDS} FROM {_GIVEN} p JOIN documents d ON d.doc_id = p.doc_id""", "page")
 def k7_meta_rows(spark, sf_dir):
-    own = docs(spark, sf_dir)
-    sources = own.select("doc_id", F.lit("main").alias("collection_id"), F.col("source").alias("shard_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file"), F.sha2("text", 256).alias("sha256"), F.lit("text-embedding-3-large").alias("embed_model"))
-    return K.meta_rows(K.chunk_documents(own), sources)
+    """All 22 columns, over given chunks with their page ranges."""
+    own = _given_chunks(spark, sf_dir)
+    n = F.col("chunk_index") + 1
+    ranges = own.select("doc_id", "chunk_index", n.alias("page_start"), F.when(n % 2 == 0, n + 1).otherwise(-1).alias("page_end"))
+    base = docs(spark, sf_dir).select(F.col("source").alias("shard_id"), F.lit(10).alias("base")).distinct()
+    return K.meta_rows(own, _meta_sources(spark, sf_dir), base, "2024-01-01T00:00:00Z", ranges)
+
+
+@query(f"SELECT {_NAMED}, {_PATHS}, {_KINDS} FROM documents d WHERE EXISTS (SELECT 1 FROM {_GIVEN} p WHERE p.doc_id = d.doc_id)", "page")
+def k7b_manifest_rows(spark, sf_dir):
+    sources = _meta_sources(spark, sf_dir)
+    base = sources.select("shard_id", F.lit(10).alias("base")).distinct()
+    meta = K.meta_rows(_given_chunks(spark, sf_dir), sources, base, "2024-01-01T00:00:00Z")
+    return K.manifest_rows(meta, sources, "2024-01-01T00:00:00Z")
+
+
+@query(None)
+def k7c_meta_of_chunks(spark, sf_dir):
+    """The same over the chunks of whole documents."""
+    sources = _meta_sources(spark, sf_dir)
+    base = sources.select("shard_id", F.lit(0).alias("base")).distinct()
+    return K.meta_rows(K.chunk_documents(docs(spark, sf_dir)), sources, base, "2024-01-01T00:00:00Z")

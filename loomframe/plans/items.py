@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions import text as T
 from loomframe.operators import items as I
+from loomframe.operators.pages import Order
 from loomframe.plans.views import query, view
 
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -74,6 +75,10 @@ def b3_point_lookup(spark, sf_dir):
     return own.filter("item_id = '42'").select("item_id", "kind", F.coalesce("note", F.lit("")).alias("note"))
 
 
+#: The keys of the order by name, by name.
+_BY_NAME = lambda: {"class": I.name_class(), "low": T.ascii_lower(F.col("original_name")), "id": F.col("item_id")}
+
+
 def _page(order: str, columns: str = "inb.item_id") -> str:
     return f"SELECT {columns} {_JOIN} ORDER BY {order} LIMIT 25 OFFSET 50"
 
@@ -83,6 +88,27 @@ def f1_by_name(spark, sf_dir):
     return I.page(_viewed(spark, sf_dir), I.ordering("name"), 3, 25).select("item_id")
 
 
+@query(_page(f"{_CLASS}, {_LOW.format('original_name')}, inb.item_id"), "inb", "lv")
+def f1b_page_from_ranges(spark, sf_dir):
+    """The third page from a stored order, of which only the ranges that hold it are sorted."""
+    return Order(_viewed(spark, sf_dir), _BY_NAME(), range_rows=60).page(3, 25).select("item_id")
+
+
+@query(_page(f"{_CLASS}, {_LOW.format('original_name')}, inb.item_id"), "inb", "lv")
+def f1c_page_after_page(spark, sf_dir):
+    """The third page by going on from the last row of the second."""
+    order, key = Order(_viewed(spark, sf_dir), _BY_NAME(), range_rows=60), None
+    for _ in range(3):
+        rows, key = order.after(key, 25)
+    return rows.select("item_id")
+
+
+@query(_page("last_viewed_at DESC NULLS LAST, added_at DESC, inb.item_id"), "inb", "lv")
+def f2b_viewed_from_ranges(spark, sf_dir):
+    keys = {"viewed": F.col("last_viewed_at"), "added": F.col("added_at"), "id": F.col("item_id")}
+    return Order(_viewed(spark, sf_dir), keys, ("viewed", "added"), range_rows=60).page(3, 25).select("item_id")
+
+
 @query(_page(f"{_RANK}, added_at DESC, inb.item_id"), "inb", "lv")
 def f1_by_kind_and_added(spark, sf_dir):
     return I.page(_viewed(spark, sf_dir), I.ordering("added", True), 3, 25).select("item_id")

@@ -176,3 +176,13 @@ def a23_question_record(spark, sf_dir):
 @query("SELECT user_sub, run_id FROM (SELECT *, row_number() OVER (PARTITION BY user_sub ORDER BY started_at DESC, run_id) AS n FROM run) q WHERE n <= 5", "run")
 def e7_newest_versions(spark, sf_dir):
     return L.newest(view(spark, sf_dir, "run"), "user_sub", [F.desc("started_at"), F.col("run_id")]).select("user_sub", "run_id")
+
+
+@query("""SELECT project_year, project_no, coalesce(nullif(regexp_replace(trim(coalesce(report_pdf_stored_filename, '')), '\\.pdf$', ''), ''), 'text') || '_cleaned.txt' AS clean_name,
+'/out/' || CAST(project_year AS VARCHAR) || project_no || '/others' AS others, '/out/' || CAST(project_year AS VARCHAR) || project_no || '/pdf/' || CAST(project_year AS VARCHAR) || project_no || '.pdf' AS report FROM prj""", "prj")
+def h28_output_names(spark, sf_dir):
+    from loomframe.functions import text as T
+
+    year, no = F.col("project_year").cast("string"), F.col("project_no")
+    name = F.regexp_replace("report_pdf_stored_filename", r"\.pdf$", F.when(F.col("src_key") % 2 == 0, ".TXT").otherwise(".txt"))
+    return _prj(spark, sf_dir).select("project_year", "project_no", T.clean_text_name(name).alias("clean_name"), T.project_folder("/out/", year, no, "others").alias("others"), T.report_path("/out", year, no).alias("report"))

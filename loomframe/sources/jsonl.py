@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from loomframe.functions import text as T
 
 ANONYMOUS = "(anonymous)"
+#: Different keys of a log whose schema is not given.
+MAX_KEYS = 5_000
 
 
 def is_object(c: Column) -> Column:
@@ -36,10 +40,12 @@ def rows(lines: DataFrame, schema: str, line: str = "line") -> DataFrame:
 
 
 def all_rows(lines: DataFrame, line: str = "line") -> DataFrame:
-    """The same with every key that occurs in any line, as text: the keys are gathered in one pass (they are columns, so few),
-    the values read in a second."""
+    """The same with every key that occurs in any line, as text: the keys are gathered in one pass, the values read in a second. Keys
+    become columns; more than MAX_KEYS of them are an error, as a log with keys of their own for each line is no table."""
     good = lines.filter(T.stripped(F.col(line)) != "").filter(is_object(F.col(line)))
-    keys = sorted(r.k for r in good.select(F.explode(F.json_object_keys(line)).alias("k")).distinct().collect())
+    keys = sorted(r.k for r in good.select(F.explode(F.json_object_keys(line)).alias("k")).distinct().limit(MAX_KEYS + 1).collect())
+    if len(keys) > MAX_KEYS:
+        raise ValueError(f"the lines have more than {MAX_KEYS} different keys; name a schema")
     quoted = ", ".join(f"`{k.replace('`', '``')}` string" for k in keys)
     return rows(lines, quoted, line) if keys else good.drop(line)
 
@@ -78,6 +84,27 @@ def months(files: DataFrame, log: str) -> DataFrame:
     return files.select(month.alias("month"), "file").filter("month <> ''").groupBy("month").agg(F.max("file").alias("file"))
 
 
+def month_files(spark: SparkSession, path: str, log: str, first: str | None = None, last: str | None = None) -> list[str]:
+    """Files <log>_yyyy-MM.jsonl below path of the months from first to last, one for each month (of several the last path counts):
+    names are listed, no file is opened."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs, found = root.getFileSystem(spark._jsc.hadoopConfiguration()), {}
+    files = fs.listFiles(root, True) if fs.exists(root) else None
+    while files is not None and files.hasNext():
+        name = files.next().getPath().toString()
+        m = re.search(rf"(?:^|/){re.escape(log)}_(\d{{4}}-\d{{2}})\.jsonl$", name)
+        if m and (first is None or m[1] >= first) and (last is None or m[1] <= last):
+            found[m[1]] = max(name, found.get(m[1], ""))
+    return [found[m] for m in sorted(found)]
+
+
+def read_log(spark: SparkSession, path: str, log: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """(file, line, month) of a log's lines in the months from first to last: files of other months are not read."""
+    files = month_files(spark, path, log, first, last)
+    lines = scan(spark, files) if files else spark.createDataFrame([], "file string, line string")
+    return lines.withColumn("month", F.regexp_extract("file", r"_(\d{4}-\d{2})\.jsonl$", 1))
+
+
 ISSUES = ("invalid_json", "not_dict", "missing", "non_int", "negative", "out_of_range", "duplicate")
 
 
