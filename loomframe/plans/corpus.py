@@ -27,9 +27,15 @@ def j3_headings(spark, sf_dir):
     return C.lines(docs(spark, sf_dir)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), C.is_heading(F.col("line")).alias("heading"))
 
 
-@query(f"SELECT doc_id, line_no FROM {_TAGGED} t WHERE {_DECOR}")
+#: Every fifth line gives way to one of decoration, of symbols, of pipes or of too few marks.
+_MARKED_LINE = "CASE WHEN line_no % 5 <> 2 THEN line WHEN line_no % 4 = 0 THEN '  ----- ' || CAST(line_no AS VARCHAR(20)) WHEN line_no % 4 = 1 THEN '(*)[#]a' WHEN line_no % 4 = 2 THEN '|  ｜ |' ELSE 'a ---- b' END"
+_MARKED = f"(SELECT doc_id, line_no, {_MARKED_LINE} AS line FROM {_LINES} x)"
+
+
+@query(f"SELECT doc_id, line_no FROM {_TAGGED.replace(_LINES, _MARKED)} t WHERE {_DECOR}")
 def j4_decoration_lines(spark, sf_dir):
-    return C.lines(docs(spark, sf_dir)).filter(C.is_decoration(F.col("line"))).select("doc_id", "line_no")
+    own = C.lines(docs(spark, sf_dir)).withColumn("line", F.expr(_MARKED_LINE))
+    return own.filter(C.is_decoration(F.col("line"))).select("doc_id", "line_no")
 
 
 @query(f"SELECT doc_id, line_no FROM {_TAGGED} t WHERE s <> '' AND n <= 2 AND NOT heading AND NOT regexp_full_match(s, '[0-9]{{1,3}}')")
@@ -68,20 +74,33 @@ def j8_without_repeated(spark, sf_dir):
     return own.join(C.repeated_lines(own, nfkc=False), ["doc_id", "canon"], "left_anti").select("doc_id", "line_no")
 
 
-# With NFKC, which DuckDB lacks.
-@query(None)
+# DuckDB lacks NFKC: Spark is given documents of odd ids in full-width letters and digits and every third with Japanese whose
+# characters are spaced, of which cleaning makes what SQL is given.
+_PLAIN_TEXT = "(SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '手賀沼の2つ。' ELSE '' END AS text FROM documents)"
+_INLINE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\.{3,}', '...', 'g'), '={3,}', '==', 'g'), '\s[|｜]\s', ' ', 'g'), '[ \t]{2,}', ' ', 'g')"
+
+
+def _wide(spark, sf_dir, japanese=True):
+    ascii_ = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))
+    wide = F.translate("text", ascii_, "".join(chr(ord(c) + 0xFEE0) for c in ascii_))
+    text = F.when(F.col("doc_id") % 2 == 1, wide).otherwise(F.col("text"))
+    end = F.when(F.col("doc_id") % 3 == 0, F.lit("\n手 賀　沼 の ２ つ。")).otherwise("") if japanese else F.lit("")
+    return docs(spark, sf_dir).select("doc_id", F.concat(text, end).alias("text"))
+
+
+@query(f"SELECT doc_id, {_INLINE} AS text FROM {_PLAIN_TEXT} d")
 def j1b_inline_nfkc(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", C.inline(F.col("text")).alias("text"))
+    return _wide(spark, sf_dir).select("doc_id", C.inline(F.col("text")).alias("text"))
 
 
-@query(None)
+@query(f"SELECT * FROM {_AGAIN} q")
 def d17b_repeated_lines_nfkc(spark, sf_dir):
-    return C.repeated_lines(C.lines(docs(spark, sf_dir)))
+    return C.repeated_lines(C.lines(_wide(spark, sf_dir, False)))
 
 
-@query(None)
+@query(f"SELECT t.doc_id, t.line_no FROM {_TAGGED} t LEFT JOIN {_AGAIN} q ON t.doc_id = q.doc_id AND regexp_replace(t.s, '[ \\t]{{2,}}', ' ', 'g') = q.canon WHERE q.canon IS NULL")
 def j8b_without_repeated_nfkc(spark, sf_dir):
-    own = C.lines(docs(spark, sf_dir)).withColumn("canon", C.canonical(F.col("line")))
+    own = C.lines(_wide(spark, sf_dir, False)).withColumn("canon", C.canonical(F.col("line")))
     return own.join(C.repeated_lines(own), ["doc_id", "canon"], "left_anti").select("doc_id", "line_no")
 
 
@@ -96,14 +115,29 @@ def j10_compressed_lines(spark, sf_dir):
     return C.compressed(C.lines(docs(spark, sf_dir)))
 
 
-@query(None)
+_CLEAN_LINES = f"(SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM (SELECT doc_id, {_INLINE} AS text FROM {_PLAIN_TEXT} d) i)"
+_CONTENTS = r"s = '目次' OR regexp_matches(s, '^\s*((第\s*\d+\s*[章節項])|([IVX]+[.\s])|(\d+\s*[.)])).*(\s*[0-9]{1,3}\s*)$') OR (n >= 8 AND CAST(sym AS DOUBLE) / n >= 0.35 AND regexp_matches(s, '^(第\s*\d+|[IVX]+\.|\d+\s*[.)])') AND regexp_matches(s, '\s[0-9]{1,3}\s*$'))"
+_REASONS = f"""(SELECT *, CASE WHEN noise IS NOT NULL THEN noise WHEN toc THEN 'toc' WHEN canon <> '' AND times >= 3 AND length(canon) <= 40 AND NOT heading THEN 'repeated' END AS reason FROM (
+  SELECT *, sum(CASE WHEN noise IS NULL AND NOT toc THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, canon) AS times FROM (
+    SELECT *, noise IS NULL AND contents AND sum(CASE WHEN noise IS NULL AND contents THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, run) >= 6 AS toc FROM (
+      SELECT *, sum(CASE WHEN noise IS NULL AND NOT contents THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run, regexp_replace(s, '[ \\t]{{2,}}', ' ', 'g') AS canon FROM (
+        SELECT doc_id, line_no, s, coalesce(heading, false) AS heading, coalesce({_CONTENTS}, false) AS contents,
+          CASE WHEN {_DECOR} THEN 'decoration' WHEN s <> '' AND NOT heading AND n <= 2 AND NOT regexp_full_match(s, '[0-9]{{1,3}}') THEN 'tiny' END AS noise FROM {_TAGGED.replace(_LINES, _CLEAN_LINES)} t) a) b) c) d)"""
+
+
+@query(f"""SELECT doc_id, regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '^[\\s　 ]+|[\\s　 ]+$', '', 'g') AS text FROM (
+SELECT doc_id, min(line_no) AS line_no, string_agg(s, ' ' ORDER BY line_no) AS line FROM (
+  SELECT *, sum(CASE WHEN b IS NULL OR b = '' OR bh OR heading OR regexp_matches(b, '[。．.!！?？:]$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM (
+    SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY line_no) AS b, lag(heading) OVER (PARTITION BY doc_id ORDER BY line_no) AS bh FROM {_REASONS} r WHERE reason IS NULL) u) v
+WHERE s <> '' GROUP BY doc_id, g) w GROUP BY doc_id""")
 def j11_clean_corpus(spark, sf_dir):
-    return C.clean_corpus(docs(spark, sf_dir), PLAIN)
+    return C.clean_corpus(_wide(spark, sf_dir), PLAIN)
 
 
-@query(None)
+@query(f"""SELECT doc_id, count(*) AS lines_in, count(*) FILTER (WHERE reason IS NULL) AS kept, count(*) FILTER (WHERE reason = 'decoration') AS decoration, count(*) FILTER (WHERE reason = 'tiny') AS tiny,
+CAST(0 AS BIGINT) AS garbage, count(*) FILTER (WHERE reason = 'toc') AS toc, count(*) FILTER (WHERE reason = 'repeated') AS repeated FROM {_REASONS} r GROUP BY doc_id""")
 def d20_cleaning_report(spark, sf_dir):
-    return C.cleaning_report(C.tagged_lines(docs(spark, sf_dir), PLAIN))
+    return C.cleaning_report(C.tagged_lines(_wide(spark, sf_dir), PLAIN))
 
 
 @query("SELECT * FROM page", "page")
@@ -161,12 +195,42 @@ def k2_sentence_units(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(K.units(K.normalised(F.col("text")))).alias("n"))
 
 
-@query(None)
+def _chunks_sql(source: str, paged: bool) -> str:
+    """Chunks of source (doc_id, page_no, text) by recursion: sentences of paragraphs, long ones cut again and again, and a fold that
+    packs them."""
+    blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || '　' || chr(160)"
+    normal = "trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(9), ' '), '[ 　]+\\n', chr(10), 'g'), '[ 　]+$', ''), '\\n{3,}', chr(10) || chr(10), 'g'), " + blank + ")"
+    marks = ["chr(10)", *[f"'{m}'" for m in K.SOFT]]
+    # the place behind the last mark within the bound, if it lies in the second half, by the marks' order
+    places = ", ".join(f"CASE WHEN length(regexp_extract(substr(rest, 1, {K.HARD}), '(?s)^.*' || regexp_escape({m}))) > {K.HARD // 2} THEN length(regexp_extract(substr(rest, 1, {K.HARD}), '(?s)^.*' || regexp_escape({m}))) END" for m in marks)
+    left = lambda x: f"(length({x}) - length(ltrim({x}, {blank})))"
+    span = "joined AS span_start, joined + length(text) AS span_end" if paged else "span_start, span_end"
+    more = "(r.size + 1 + o.n)"
+    grow = f"({more} <= {K.MOST} OR (r.size < {K.LEAST} AND {more} <= {K.HARD}))"
+    return f"""WITH RECURSIVE t AS (SELECT doc_id, page_no, {normal} AS text FROM {source} s WHERE text IS NOT NULL),
+  p AS (SELECT doc_id, page_no, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i, unnest(string_split(text, chr(10) || chr(10))) AS p FROM t),
+  pp AS (SELECT *, coalesce(sum(length(p) + 2) OVER (PARTITION BY doc_id, page_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM p),
+  s AS (SELECT doc_id, page_no, i, base, generate_subscripts(regexp_extract_all(p, '[^。！？!?]*[。！？!?]|[^。！？!?]+'), 1) AS j, unnest(regexp_extract_all(p, '[^。！？!?]*[。！？!?]|[^。！？!?]+')) AS s FROM pp),
+  ss AS (SELECT *, base + coalesce(sum(length(s)) OVER (PARTITION BY doc_id, page_no, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM s),
+  u AS (SELECT doc_id, page_no, i, j, 0 AS k, CAST(a + {left("s")} AS BIGINT) AS a, trim(s, {blank}) AS rest, CAST(NULL AS VARCHAR) AS unit FROM ss WHERE trim(s, {blank}) <> ''
+    UNION ALL SELECT doc_id, page_no, i, j, k + 1, a + cut + {left("substr(rest, cut + 1)")}, ltrim(substr(rest, cut + 1), {blank}), rtrim(substr(rest, 1, cut), {blank})
+    FROM (SELECT *, CAST(coalesce({places}, {K.HARD}) AS BIGINT) AS cut FROM u WHERE length(rest) > {K.HARD}) c),
+  pieces AS (SELECT doc_id, page_no, i, j, k, unit AS text, lag(a) OVER (PARTITION BY doc_id, page_no, i, j ORDER BY k) AS a FROM u
+    UNION ALL SELECT doc_id, page_no, i, j, k + 1, rest, a FROM u WHERE length(rest) <= {K.HARD}),
+  o AS (SELECT doc_id, page_no, text, length(text) AS n, a, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, i, j, k) AS m FROM pieces WHERE text <> ''),
+  r AS (SELECT doc_id, m, 0 AS chunk_index, n AS size FROM o WHERE m = 1
+    UNION ALL SELECT o.doc_id, o.m, CASE WHEN {grow} THEN r.chunk_index ELSE r.chunk_index + 1 END, CASE WHEN {grow} THEN {more} ELSE o.n END FROM r JOIN o ON o.doc_id = r.doc_id AND o.m = r.m + 1),
+  c AS (SELECT r.doc_id, r.chunk_index, string_agg(o.text, chr(10) ORDER BY o.m) AS text, min(o.a) AS span_start, max(o.a + o.n) AS span_end, min(o.page_no) AS page_start, max(o.page_no) AS page_end FROM r JOIN o ON o.doc_id = r.doc_id AND o.m = r.m GROUP BY r.doc_id, r.chunk_index),
+  d AS (SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS joined FROM c)
+  SELECT doc_id, chunk_index, text, greatest(1, length(regexp_replace(text, '[A-Za-z0-9_\\s　 ]+', '', 'g')) + CAST(floor(len(regexp_extract_all(text, '[A-Za-z0-9_]+')) * 1.3) AS INTEGER)) AS chunk_len_tokens, {span}{", page_start, page_end" if paged else ""} FROM d"""
+
+
+@query(_chunks_sql("(SELECT doc_id, 0 AS page_no, text FROM documents)", False))
 def k4_chunks(spark, sf_dir):
     return K.chunk_documents(docs(spark, sf_dir))
 
 
-@query(None)
+@query(f"SELECT * FROM ({_chunks_sql('page', True)}) q", "page")
 def k6_page_chunks(spark, sf_dir):
     return K.chunk_pages(pages(spark, sf_dir))
 

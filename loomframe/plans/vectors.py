@@ -198,6 +198,13 @@ def d7_embedding_costs(spark, sf_dir):
     return V.embedding_costs(_m(spark, sf_dir), 0.13)
 
 
-@query(None)
+_NEXT = "r.t + o.w > 120000 OR r.n >= 48"
+
+
+@query(f"""SELECT shard_id, vector_index, chunk_len_tokens, batch_no FROM (
+  WITH RECURSIVE o AS (SELECT *, coalesce(chunk_len_tokens, 0) AS w, row_number() OVER (PARTITION BY shard_id ORDER BY vector_index, chunk_len_tokens) AS k FROM meta),
+  r AS (SELECT shard_id, k, CAST(0 AS BIGINT) AS batch_no, CAST(w AS BIGINT) AS t, 1 AS n FROM o WHERE k = 1 UNION ALL
+    SELECT o.shard_id, o.k, CASE WHEN {_NEXT} THEN batch_no + 1 ELSE batch_no END, CASE WHEN {_NEXT} THEN o.w ELSE r.t + o.w END, CASE WHEN {_NEXT} THEN 1 ELSE r.n + 1 END FROM r JOIN o ON o.shard_id = r.shard_id AND o.k = r.k + 1)
+  SELECT * FROM o JOIN r USING (shard_id, k)) q""", "meta")
 def l0b_packed_requests(spark, sf_dir):
     return V.packed(_m(spark, sf_dir), "chunk_len_tokens", "vector_index", 120_000, 48, "shard_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomframe.functions import text as T
 from loomframe.operators import corpus as C, vectors as V
 from loomframe.plans import QUERIES
+from loomframe.plans.corpus import PLAIN
 from loomframe.plans.views import view
 
 SF = "/root/testdata/sf0.001"
@@ -113,18 +114,15 @@ def plain_clean(text):
     return plain_strip("\n".join(out))
 
 
-def test_cleaning_queries_normalise_full_width_text(spark, tmp_path):
+def test_cleaning_normalises_full_width_text(spark):
     df = spark.createDataFrame(list(enumerate(WIDE)), "doc_id long, text string")
-    df.write.parquet(f"{tmp_path}/documents.parquet")
-    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
     own = {i: t for i, t in enumerate(WIDE) if t is not None}
-    assert {r.doc_id: r.text for r in run("j1b_inline_nfkc")} == {**{i: plain_inline(t) for i, t in own.items()}, 4: None}
+    assert {r.doc_id: r.text for r in df.select("doc_id", C.inline(F.col("text")).alias("text")).collect()} == {**{i: plain_inline(t) for i, t in own.items()}, 4: None}
     repeated = {(i, c, n) for i, t in own.items() for c, n in plain_repeated(t.split("\n")).items()}
-    assert {tuple(r) for r in run("d17b_repeated_lines_nfkc")} == repeated and {i for i, *_ in repeated} == {0, 2}
-    kept = {(i, k) for i, t in own.items() for k, s in enumerate(t.split("\n")) if plain_canon(s) not in plain_repeated(t.split("\n"))}
-    assert {tuple(r) for r in run("j8b_without_repeated_nfkc")} == kept
-    assert {r.doc_id: r.text for r in run("j11_clean_corpus")} == {i: x for i, t in own.items() if (x := plain_clean(t))}
-    for r in run("d20_cleaning_report"):
+    found = C.repeated_lines(C.lines(df))
+    assert {tuple(r) for r in found.collect()} == repeated and {i for i, *_ in repeated} == {0, 2}
+    assert {r.doc_id: r.text for r in C.clean_corpus(df, PLAIN).collect()} == {i: x for i, t in own.items() if (x := plain_clean(t))}
+    for r in C.cleaning_report(C.tagged_lines(df, PLAIN)).collect():
         rows, reasons = plain_reasons(own[r.doc_id])
         want = Counter(reasons.values())
         assert (r.lines_in, r.kept, r.decoration, r.tiny, r.garbage, r.toc, r.repeated) == (len(rows), len(rows) - len(reasons), want["decoration"], want["tiny"], 0, want["toc"], want["repeated"])
