@@ -2,7 +2,7 @@
 
 Tier one is a minimal perfect hash of the vocabulary (hash and displace): a pre-token that is in the vocabulary as a whole
 costs one probe and one comparison. Tier two merges the bytes of any other pre-token, linked left and right, in the order
-of a heap of (rank, place). What a worker has resolved it remembers, up to MEMO pre-tokens.
+of a heap of (rank, place). What a worker has resolved it remembers, up to MEMO_BYTES.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from loomframe.llm.common import read, small_batches
+from loomframe.llm.common import forget_half, read, small_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Pre-tokens that one worker remembers at most.
-MEMO = 150_000
+#: Bytes that one worker remembers of pre-tokens, about, at most; bytes of the longest that it remembers; what an entry takes beside them.
+MEMO_BYTES, LONGEST, ENTRY = 48 << 20, 64, 180
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -81,15 +81,18 @@ class Encoder(dict):
         super().__init__()
         self.tokens, self.hash = tokens, PerfectHash(tokens)
         self.by_bytes = {t: r for r, t in enumerate(tokens)}
-        self.find = regex.compile(pattern).findall
+        self.find, self.held = regex.compile(pattern).findall, 0
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
         rank = self.hash.get(raw)
         ids = rank.to_bytes(4, "little") if rank >= 0 else array("I", self.merge(raw)).tobytes()
-        if len(self) >= MEMO:
-            self.clear()
-        self[piece] = ids
+        if len(raw) <= LONGEST:
+            if self.held > MEMO_BYTES:
+                forget_half(self)
+                self.held = sum(ENTRY + len(p) + len(i) for p, i in self.items())
+            self.held += ENTRY + len(raw) + len(ids)
+            self[piece] = ids
         return ids
 
     def merge(self, raw: bytes) -> list[int]:

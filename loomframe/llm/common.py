@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,8 +47,14 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget_half(memo: dict) -> None:
+    """Takes the older half of a memo's entries out of it."""
+    for key in list(islice(memo, len(memo) // 2)):
+        del memo[key]
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session by rows and bytes."""
+    """Bounds the Arrow batches of this session by rows and bytes, from now on: operators are worked out only when their rows are asked for."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from loomframe.llm.common import WORD, drop, durable, read
@@ -27,8 +28,8 @@ BLOCK_BITS = 10
 BLOCKS = 1 << BLOCK_BITS
 #: A source this near its target (a share of it) takes no further rows; rows that others take once more, at most.
 CLOSE, ROUNDS = 0.001, 12
-#: More sources than these are refused: their totals and quotas are planned on the driver.
-MAX_SOURCES = 20_000
+#: So many sources are planned on the driver; more as a table, in groups of so many.
+MAX_SOURCES, GROUP = 20_000, 5_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> list[float]:
@@ -48,18 +49,19 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MO
         left -= sum(most * sizes[i] for i in above)
 
 
-def split(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
-    """(shards, sources): how many of each source's draws a shard gets; columns add up to the quotas, rows to equal shares."""
+def split(quotas: np.ndarray, shards: int, seed: int = SEED, shares: list[int] | None = None, group: int | None = None) -> np.ndarray:
+    """(shards, sources): how many of each source's draws a shard gets; columns add up to the quotas, rows to shares (equal ones, if not
+    named). group: of which group of sources, for draws of its own."""
     out = np.zeros((shards, len(quotas)), np.int64)
     total = int(quotas.sum())
-    ends = [total * k // shards for k in range(shards + 1)]
+    ends = [total * k // shards for k in range(shards + 1)] if shares is None else [0, *np.cumsum(shares).tolist()]
 
     def node(first: int, last: int, counts: np.ndarray) -> None:
         if last - first == 1:
             out[first] = counts
             return
         mid = (first + last) // 2
-        rng = np.random.default_rng([seed, first, last])
+        rng = np.random.default_rng([seed, first, last] if group is None else [seed, first, last, group])
         left = rng.multivariate_hypergeometric(counts, ends[mid] - ends[first], method="marginals")
         node(first, mid, left)
         node(mid, last, counts - left)
@@ -100,7 +102,7 @@ def _limits(sized: DataFrame, rest: DataFrame) -> DataFrame:
         wanting = now.filter(F.col("open") & (left > near))
         if wanting.isEmpty():
             break
-        own = sized.join(F.broadcast(wanting), F.col("source").eqNullSafe(F.col("__source")))  # MAX_SOURCES rows at most
+        own = sized.join(wanting, F.col("source").eqNullSafe(F.col("__source")))
         own = own.filter(((F.col("priority") >= F.col("limit")) | (F.col("passes") < MOST - 1)) & (F.col("size") > 0) & ~F.array_contains("more", F.col("priority")))
         own = own.groupBy("source", "words", "priority").agg(F.sum("size").alias("size"))  # rows of one id are taken together
         row = F.struct("size", "priority")
@@ -130,7 +132,7 @@ def plan(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     spark = rows.sparkSession
     found = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+        return plan_many(rows, shards)
     found = sorted(((r.source, r["size"]) for r in found), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [n for _, n in found]
     goal = targets(sizes) if found and sum(sizes) else [0.0] * len(found)
@@ -146,12 +148,66 @@ def plan(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
         lines.append((s, n, t, p, limit, more))
     bounds = np.cumsum(np.vstack([np.zeros((1, len(quotas)), np.int64), split(np.array(quotas, np.int64), shards)]), axis=0)
     rows_ = [(*line, [int(x) for x in bounds[:, k]]) for k, line in enumerate(lines)]
-    return spark.createDataFrame(rows_, "source string, source_size long, target double, passes int, limit long, more array<long>, bounds array<long>")
+    return F.broadcast(spark.createDataFrame(rows_, PLANNED))  # MAX_SOURCES rows at most
+
+
+PLANNED = "source string, source_size long, target double, passes int, limit long, more array<long>, bounds array<long>"
+
+
+def plan_many(rows: DataFrame, shards: int = SHARDS, group: int = GROUP) -> DataFrame:
+    """The same for any number of sources, as a table. Targets rise like water: the level (words a unit of weight) follows from the sums of
+    what is full and what is not, a few rounds of sums of one row each. Of the tree, groups of sources are split first, as if each
+    were a source, and then each group's share of every shard among its sources: a multivariate hypergeometric draw of parts of a draw
+    is one of the whole."""
+    spark = rows.sparkSession
+    sources = rows.groupBy("source").agg(F.sum("size").alias("size"))
+    parts = max(1, math.ceil(sources.count() / (10 * group)))
+    dealt = sources.repartitionByRange(parts, F.asc_nulls_last("source")).sortWithinPartitions(F.asc_nulls_last("source"))
+    dealt = durable(dealt.withColumn("at", F.monotonically_increasing_id()), "sources")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted(tuple(r) for r in dealt.groupBy(part.alias("part")).count().collect())  # one row a range
+    before = {p: sum(n for q, n in counts if q < p) for p, _ in counts}
+    starts = spark.createDataFrame(list(before.items()), "part long, before long")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("pos") % len(WEIGHTS) + 1).cast("int"))
+    listed = dealt.withColumn("part", part).join(F.broadcast(starts), "part").select("source", "size", (F.col("before") + place).alias("pos")).withColumn("w", weight)
+    level = 0.0
+    while True:
+        full = F.col("w") * level > F.col("size") * MOST
+        s = listed.agg(F.sum("size").alias("all"), F.sum(F.when(full, F.col("size") * MOST).otherwise(0)).alias("held"), F.sum(F.when(full, 0).otherwise(F.col("w"))).alias("w")).first()
+        new = (s["all"] - s.held) / s.w if s.w else level
+        if new <= level:
+            break
+        level = new
+    full = F.col("w") * level > F.col("size") * MOST
+    goal = F.when(full, (F.col("size") * MOST).cast("double")).otherwise(F.col("w") * level)
+    passes = F.when(F.col("size") > 0, F.floor(goal / F.col("size"))).otherwise(0).cast("int")
+    listed = listed.select("source", "size", "pos", goal.alias("target"), passes.alias("passes"))
+    limits = _limits(rows, listed.select("source", (F.col("target") - F.col("passes") * F.col("size")).alias("words"), "passes", "target"))
+    cut = limits.select(F.col("source").alias("__source"), "limit", "more", F.lit(True).alias("found"))
+    own = listed.join(cut, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+    use = F.col("found") & (F.col("passes") < MOST) & (F.col("size") > 0)
+    own = own.withColumns({"limit": F.when(use, F.col("limit")).otherwise(F.lit(0).cast("long")), "more": F.when(use, F.col("more")).otherwise(F.array().cast("array<long>"))})
+    partial = F.when((F.col("limit") > 0) | (F.size("more") > 0), F.shiftright("limit", 63 - BLOCK_BITS) + 1).otherwise(0)
+    own = durable(own.select("source", F.col("size").alias("source_size"), "target", "passes", "limit", "more", "pos", (F.col("passes") * BLOCKS + partial).cast("long").alias("quota"), F.floor(F.col("pos") / group).cast("long").alias("g")), "quotas")
+    groups = sorted((r.g, r.q) for r in own.groupBy("g").agg(F.sum("quota").alias("q")).collect())  # one row for GROUP sources
+    shares = split(np.array([q for _, q in groups], np.int64), shards)
+    shared = spark.createDataFrame([(g, shares[:, k].tolist()) for k, (g, _) in enumerate(groups)], "g long, shares array<long>")
+
+    def places(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("pos")
+        own = split(frame["quota"].to_numpy(np.int64), shards, SEED, list(frame["shares"].iloc[0]), int(frame["g"].iloc[0]))
+        bounds = np.cumsum(np.vstack([np.zeros((1, len(frame)), np.int64), own]), axis=0)
+        return pd.DataFrame({"pos": frame["pos"], "bounds": [bounds[:, k].tolist() for k in range(len(frame))]})
+
+    bounds = own.select("g", "pos", "quota").join(shared, "g").groupBy("g").applyInPandas(places, "pos long, bounds array<long>")
+    out = durable(own.join(bounds, "pos").select(*[c.split()[0] for c in PLANNED.split(", ")]), "plan")
+    drop(dealt, own)
+    return out
 
 
 def drawn(rows: DataFrame, planned: DataFrame) -> DataFrame:
     """rows (with source, priority) with their source's plan and shards: the shard of each time that the mix takes the row."""
-    p = F.broadcast(planned.withColumnRenamed("source", "__source"))  # MAX_SOURCES rows at most
+    p = planned.withColumnRenamed("source", "__source")
     out = rows.join(p, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
     block, end = F.shiftright("priority", 63 - BLOCK_BITS), F.element_at("bounds", -1)
     # a whole pass takes its blocks in an order of its own: an odd factor and an offset, modulo the number of blocks

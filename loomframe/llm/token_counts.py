@@ -19,11 +19,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
-from loomframe.llm.common import read, small_batches
+from loomframe.llm.common import forget_half, read, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
-#: Pre-tokens, and pairs of tokens, that one worker remembers at most.
-MEMO = 150_000
+#: Bytes that one worker remembers of pre-tokens, about, at most; characters of the longest that it remembers; what an entry takes beside
+#: them; pairs of tokens that it remembers at most.
+MEMO_BYTES, LONGEST, ENTRY, PAIRS = 32 << 20, 64, 150, 150_000
 LIMIT = 2048
 
 
@@ -48,6 +49,7 @@ class Counter(dict):
         self.longest = max(len(t.removesuffix(self.end)) for t in self.vocabulary)
         self.pairs: defaultdict[str, dict[str, bool]] = defaultdict(dict)
         self.n_pairs = 0
+        self.held, self.passing = 0, []  # bytes, about; long pre-tokens of the texts at hand
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(pattern).findall
         self.spans = regex.compile(pattern).finditer
@@ -122,11 +124,16 @@ class Counter(dict):
     def learn(self, pieces: set[str]) -> None:
         """Works out all pieces that are not known, in order of their characters: what a piece shares with the one before it
         stays in the table."""
-        if len(self) >= MEMO:
-            self.clear()
-        if self.n_pairs >= MEMO:
-            self.pairs.clear()
-            self.n_pairs = 0
+        for piece in self.passing:
+            self.pop(piece, None)
+        self.passing = [p for p in pieces if len(p) > LONGEST]
+        if self.held > MEMO_BYTES:
+            forget_half(self)
+            self.held = sum(ENTRY + len(p) for p in self)
+        if self.n_pairs >= PAIRS:
+            forget_half(self.pairs)
+            self.n_pairs = sum(map(len, self.pairs.values()))
+        self.held += sum(ENTRY + len(p) for p in pieces if p not in self and len(p) <= LONGEST)
         before, count, last, step = "", [0], [""], self._step
         for word, piece in sorted((self.written(p), p) for p in pieces if p not in self):
             e, most = 0, min(len(count), len(word)) - 1

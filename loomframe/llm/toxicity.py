@@ -16,8 +16,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from loomframe.llm import string_kernel as sk
 from loomframe.llm.common import read, small_batches
@@ -34,8 +34,8 @@ LIKE, FLOORS, STRAY = 0.65, tuple(k / 20 for k in range(8, 20)), 0.002
 SHARE, ODDS, COMMON, PURE, ALONE = 0.01, 1.5, 0.05, 0.97, 3
 #: Costs of a text inside the margin that are tried, and parts of the texts for that.
 COSTS, FOLDS = (0.05, 0.2, 1.0), 3
-#: Tokens that one worker remembers at most.
-MEMO = 100_000
+#: Tokens that one worker remembers at most, and characters of them.
+MEMO, MEMO_CHARS = 100_000, 8 << 20
 THRESHOLD = 0.7
 #: A clean text that is flagged counts as so many toxic ones missed, by share.
 CLEAN_WEIGHT = 4
@@ -65,10 +65,11 @@ class Scorer:
         self.place: dict[str, int] = {}
         self.known: dict[str, int] = {}  # the same for units
         self.rows: list[np.ndarray] = []
+        self.held = 0  # characters of the tokens
 
     def learn(self, tokens: set[str]) -> None:
-        if len(self.place) > MEMO:
-            self.place, self.known, self.rows = {}, {}, []
+        if len(self.place) > MEMO or self.held > MEMO_CHARS:
+            self.forget()
         new = {t: units_of(t) for t in tokens - self.place.keys()}
         words = list({u for us in new.values() for u in us} - self.known.keys())
         near = sk.similarity(words, self.model.landmarks)
@@ -84,6 +85,17 @@ class Scorer:
                 self.rows.append(np.max([self.rows[p] for p in found], axis=0))
                 found = [len(self.rows) - 1]
             self.place[token] = found[0] if found else -1
+            self.held += len(token)
+
+    def forget(self) -> None:
+        """Keeps the newer half of the tokens, unless they are few and long."""
+        kept = list(self.place.items())[len(self.place) // 2 :] if len(self.place) > MEMO else []
+        rows, self.rows, self.place, self.known = self.rows, [], {}, {}
+        for token, p in kept:
+            self.place[token] = len(self.rows) if p >= 0 else -1
+            if p >= 0:
+                self.rows.append(rows[p])
+        self.held = sum(map(len, self.place))
 
     def features(self, tokens: set[str]) -> np.ndarray:
         """Sums of likenesses over a text's different tokens, and its length."""
@@ -246,13 +258,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     own = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     part = lambda t: own.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = part(1).union(part(0))
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * rows at most: safe to broadcast
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    order = [F.xxhash64("doc_id"), F.xxhash64("text")]
-    found = found.filter(size <= FIT_TEXT).orderBy(*order).limit(2 * rows)
-    found = found.withColumn("before", F.sum(size).over(Window.orderBy(*order)) - size).filter(F.col("before") < FIT_BYTES)  # of 2 * rows at most
-    frame = found.orderBy(*order).select("text", "toxic").toPandas()
-    return train(frame["text"].tolist(), (frame["toxic"] == 1).to_numpy())
+    # which rows are taken is settled on ids, hashes and sizes; only then do texts move, each once and FIT_BYTES of them at most
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    light = docs.select("doc_id", F.xxhash64("text").alias("h"), size).join(F.broadcast(chosen), "doc_id").filter(F.col("size") <= FIT_TEXT)  # 2 * rows ids at most: safe to broadcast
+    first = light.orderBy(F.xxhash64("doc_id"), "h").limit(2 * rows).toPandas()
+    first = first[first["size"].cumsum() - first["size"] < FIT_BYTES]
+    keys = docs.sparkSession.createDataFrame(first[["doc_id", "h"]].drop_duplicates(), StructType([docs.schema["doc_id"], StructField("h", LongType())])) if len(first) else light.select("doc_id", "h").limit(0)
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(keys), ["doc_id", "h"])
+    texts = {(r.doc_id, r.h): r.text for r in found.groupBy("doc_id", "h").agg(F.first("text").alias("text")).collect()}
+    return train([texts[k] for k in zip(first["doc_id"].tolist(), first["h"].tolist())], (first["toxic"] == 1).to_numpy())
 
 
 _SCORERS: dict[str, Scorer] = {}

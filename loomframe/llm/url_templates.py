@@ -11,18 +11,21 @@ of all pages is spread like any other.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomframe.llm.common import drop, durable, read
 
 #: (verdict, host and path): listed rules of the query.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Rules are an expression of each row; more than these belong in a join.
-MAX_RULES = 1_000
+#: So many rules are an expression of each row; more are joined.
+EXPRESSION_RULES = 200
 #: A branch is variable where it has so many different children; one with more than the second share of its pages stays itself.
 FANOUT, LEAD = 8, 0.5
-#: Levels of the tree; what is below the last is one piece of it.
-LEVELS = 6
+#: Levels of the tree that the SQL works out, one after another; deeper, it takes paths as they stand. The tree itself has as many levels
+#: as any two paths share.
+SQL_LEVELS = 8
 #: Deviations (after half a page of continuity) at which shares differ; pages of the prior; share that rejects.
 Z, SMOOTHING, REJECT = 2.58, 5.0, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,8 +44,6 @@ def path(url: str | Column) -> Column:
 def rule_of(host_: Column, path_: Column, rules=RULES) -> Column:
     """Struct (length, rule, verdict) of the longest rule that fits the host or a domain above it and the path's start; of
     equal lengths the later in code points; null if none fits."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     found = []
     for verdict, rule in rules:
         name, slash, rest = rule.partition("/")
@@ -58,35 +59,64 @@ def differs(n: str, bad: str, all_n: str, all_bad: str) -> Column:
     return (n > 0) & (F.abs(bad - n * share) - F.lit(0.5) > F.lit(Z) * F.sqrt(n * share * (F.lit(1.0) - share)))
 
 
+def with_rules(rows: DataFrame, rules=RULES) -> DataFrame:
+    """rows (with host and path) with r, as of rule_of. Many rules are a table: a host with the domains above it meets the lengths of
+    the paths that rules of those have, and each such beginning of the path the rules by equality; so rows in between are as many
+    as domains and lengths, never as rules."""
+    if len(rules) <= EXPRESSION_RULES:
+        return rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+    spark = rows.sparkSession
+    parted = [(*rule.partition("/")[::2], "/" in rule, rule, verdict) for verdict, rule in rules]
+    table = spark.createDataFrame([(h, "/" * slash + rest, len(rule), rule, verdict) for h, rest, slash, rule, verdict in parted], "domain string, start string, length int, rule string, verdict string")
+    lengths = table.select("domain", F.char_length("start").alias("n")).distinct()
+    own = rows.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    met = own.withColumn("domain", F.explode(F.array_distinct(above))).join(lengths, "domain").filter(F.col("n") <= F.char_length("path"))
+    met = met.withColumn("start", F.substring("path", F.lit(1), F.col("n"))).join(table, ["domain", "start"])
+    best = met.groupBy("host", "path").agg(F.max(F.struct("length", "rule", "verdict")).alias("r"))
+    return rows.join(best, ["host", "path"], "left")
+
+
 def pieces(shape: str | Column) -> Column:
-    """The non-empty segments of a shape, from LEVELS on as one."""
-    own = F.filter(F.split(shape, "/"), lambda s: s != "")
-    rest = F.array_join(F.slice(own, F.lit(LEVELS), F.greatest(F.size(own) - (LEVELS - 1), F.lit(0))), "/")
-    return F.when(F.size(own) <= LEVELS, own).otherwise(F.concat(F.slice(own, 1, LEVELS - 1), F.array(rest)))
+    """The non-empty segments of a shape."""
+    return F.filter(F.split(shape, "/"), lambda s: s != "")
+
+
+def _joined(*parts: Column) -> Column:
+    return F.concat_ws("/", *[F.when(p != "", p) for p in parts])
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """(host, shape, n_pages, n, bad) -> the same with template (pieces joined by /) and parent (without its last piece)."""
+    """(host, shape, n_pages, n, bad) -> the same with template (pieces joined by /) and parent (without its last piece).
+
+    Level by level, as long as any branch holds several shapes: a shape that is alone in its branch has no siblings from there on, so
+    the rest of it is its template as it stands, however deep, and shapes that have come to their end are done too.
+    """
     now = shapes.withColumn("pieces", pieces("shape")).withColumn("template", F.lit("")).withColumn("parent", F.lit(""))
-    levels = now.agg(F.max(F.size("pieces")).alias("n")).first().n or 0
-    node, held = ["host", "under", "at"], None
-    for level in range(levels):
-        ends = F.size("pieces") <= level
-        piece = F.when(~ends, F.get("pieces", F.lit(level)))
-        now = now.withColumn("at", F.when(~ends, F.lit(level))).withColumn("under", F.when(~ends, F.col("template"))).withColumn("piece", piece)
-        children = now.filter("at is not null").groupBy(*node, "piece").agg(*(F.sum(c).alias(c) for c in ("n_pages", "n", "bad")))
+    node, out, done, level = ["host", "template"], ["host", "shape", "n_pages", "n", "bad", "template", "parent"], [], 0
+    now = held = durable(now, "level")
+    while True:
+        whole_ = now.filter(F.size("pieces") > level).groupBy(*node).agg(F.count("*").alias("shapes"))
+        now = now.join(whole_, node, "left").withColumn("shapes", F.when(F.size("pieces") > level, F.col("shapes")))
+        rest = lambda last: F.array_join(F.slice("pieces", F.lit(level + 1), F.greatest(F.size("pieces") - level - last, F.lit(0))), "/")  # noqa: E731, B023
+        lone = now.filter("shapes = 1").withColumn("parent", _joined(F.col("template"), rest(1))).withColumn("template", _joined(F.col("template"), rest(0)))
+        done.append(durable(now.filter("shapes IS NULL").select(*out).union(lone.select(*out)), "templates"))
+        open_ = durable(now.filter("shapes > 1").drop("shapes"), "level")
+        drop(held)
+        if open_.isEmpty():
+            drop(open_)
+            break
+        held, now = open_, open_.withColumn("piece", F.get("pieces", F.lit(level)))
+        children = now.groupBy(*node, "piece").agg(*(F.sum(c).alias(c) for c in ("n_pages", "n", "bad")))
         whole = children.groupBy(*node).agg(F.count("*").alias("children"), *(F.sum(c).alias(f"all_{c}") for c in ("n_pages", "n", "bad")))
         merged = children.join(whole.filter(F.col("children") >= FANOUT), node).filter(F.col("n_pages") <= F.col("all_n_pages") * LEAD)
         merged = merged.filter(~differs("n", "bad", "all_n", "all_bad")).select(*node, "piece", F.lit("*").alias("wild"))
-        now = now.join(merged, [*node, "piece"], "left")
-        longer = F.concat_ws("/", F.when(F.col("template") != "", F.col("template")), F.coalesce("wild", "piece"))
-        below = F.col("at").isNotNull()
-        now = now.select("host", "shape", "n_pages", "n", "bad", "pieces", F.when(below, F.col("template")).otherwise(F.col("parent")).alias("parent"), F.when(below, longer).otherwise(F.col("template")).alias("template"))
-        now, before = durable(now, "level"), held
-        if before is not None:
-            drop(before)
+        now = now.join(merged, [*node, "piece"], "left").withColumn("parent", F.col("template")).withColumn("template", _joined(F.col("template"), F.coalesce("wild", "piece")))
+        now, level = durable(now.select(*out[:5], "pieces", "template", "parent"), "level"), level + 1
+        drop(held)
         held = now
-    return now.select("host", "shape", "n_pages", "n", "bad", "template", "parent")
+    return reduce(DataFrame.union, done)
 
 
 def judged_templates(shapes: DataFrame) -> DataFrame:
@@ -117,7 +147,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
     known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max(bad).alias("bad"))
     counted = own.join(known, "id", "left").groupBy("host", "shape").agg(F.count("*").alias("n_pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    out = own.join(judged_templates(durable(counted, "shapes")), ["host", "shape"]).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+    out = with_rules(own.join(judged_templates(durable(counted, "shapes")), ["host", "shape"]), rules)
     method = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"), "template", "purity", F.coalesce("r.verdict", method).alias("verdict"))
 
@@ -139,19 +169,19 @@ WITH own AS (
 ), split AS (SELECT *, list_filter(string_split(shape, '/'), lambda s: s <> '') AS whole FROM shapes
 ), t0 AS (
   SELECT host, shape, n_pages, n, bad, '' AS parent, '' AS template,
-    CASE WHEN len(whole) <= 6 THEN whole ELSE list_append(whole[1:5], array_to_string(whole[6:], '/')) END AS p FROM split
+    whole AS p FROM split
 """
 
 _LEVEL = """
-), c{k} AS (
+), c{k} AS MATERIALIZED (
   SELECT host, template, p[{k}] AS piece, sum(n_pages) AS n_pages, sum(n) AS n, sum(bad) AS bad FROM t{j} WHERE len(p) >= {k} GROUP BY ALL
 ), w{k} AS (
   SELECT host, template, count(*) AS children, sum(n_pages) AS all_pages, sum(n) AS all_n, sum(bad) AS all_bad FROM c{k} GROUP BY ALL
-), m{k} AS (
+), m{k} AS MATERIALIZED (
   SELECT host, template, piece FROM (
     SELECT *, CASE WHEN all_n > 0 THEN CAST(all_bad AS DOUBLE) / all_n ELSE 0.0 END AS share FROM c{k} JOIN w{k} USING (host, template)
   ) WHERE children >= 8 AND n_pages <= all_pages * 0.5 AND NOT (n > 0 AND abs(bad - n * share) - 0.5 > 2.58 * sqrt(n * share * (1.0 - share)))
-), t{k} AS (
+), t{k} AS MATERIALIZED (
   SELECT t.host, t.shape, t.n_pages, t.n, t.bad, t.p, CASE WHEN len(p) >= {k} THEN t.template ELSE t.parent END AS parent,
     CASE WHEN len(p) < {k} THEN t.template
       ELSE (CASE WHEN t.template <> '' THEN t.template || '/' ELSE '' END) || (CASE WHEN m.piece IS NULL THEN t.p[{k}] ELSE '*' END) END AS template
@@ -159,7 +189,9 @@ _LEVEL = """
 """
 
 _JUDGED = r"""
-), tmpl AS (SELECT * FROM t6
+), tmpl AS (
+  SELECT host, shape, n_pages, n, bad, CASE WHEN len(p) > {last} + 1 THEN concat_ws('/', template, array_to_string(p[{last} + 1:len(p) - 1], '/')) WHEN len(p) = {last} + 1 THEN template ELSE parent END AS parent,
+    CASE WHEN len(p) > {last} THEN concat_ws('/', template, array_to_string(p[{last} + 1:], '/')) ELSE template END AS template FROM t{last}
 ), counts AS (SELECT host, template, parent, sum(n) AS n, sum(bad) AS bad FROM tmpl GROUP BY host, template, parent
 ), around AS (SELECT host, parent, sum(n) AS all_n, sum(bad) AS all_bad FROM counts GROUP BY host, parent
 ), shares AS (
@@ -182,4 +214,4 @@ SELECT page_id, host, path, r.rule AS rule, template, coalesce(r.v, CASE WHEN pu
 """
 
 #: The tree of the definition, a level after another.
-SQL = _OWN + "".join(_LEVEL.format(k=k, j=k - 1) for k in range(1, LEVELS + 1)) + _JUDGED
+SQL = _OWN + "".join(_LEVEL.format(k=k, j=k - 1) for k in range(1, SQL_LEVELS + 1)) + _JUDGED.replace("{last}", str(SQL_LEVELS))

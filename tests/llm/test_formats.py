@@ -169,6 +169,69 @@ def test_templates_do_not_depend_on_the_number_of_pages(spark):
         assert {r.template for r in U.judge(spark.createDataFrame(pages, "page_id long, url string"), labels).collect()} == {"shop/*/item"}
 
 
+def plain_tree(shapes):
+    """Templates of {shape: (pages, labelled, bad)} of one host, by recursion over all segments."""
+    out = {}
+
+    def alike(n, bad, all_n, all_bad):
+        share = all_bad / all_n if all_n else 0.0
+        return not (n > 0 and abs(bad - n * share) - 0.5 > U.Z * (n * share * (1 - share)) ** 0.5)
+
+    def walk(branch, template, level):
+        kids = {}
+        for shape, parts in branch:
+            if len(parts) <= level:
+                out[shape] = "/".join(template)
+            else:
+                kids.setdefault(parts[level], []).append((shape, parts))
+        sums = {k: [sum(shapes[s][i] for s, _ in v) for i in range(3)] for k, v in kids.items()}
+        whole = [sum(x[i] for x in sums.values()) for i in range(3)]
+        wild = {k for k, x in sums.items() if len(kids) >= U.FANOUT and x[0] <= whole[0] * U.LEAD and alike(x[1], x[2], whole[1], whole[2])}
+        below = {}
+        for k, v in kids.items():
+            below.setdefault("*" if k in wild else k, []).extend(v)
+        for k, v in below.items():
+            walk(v, [*template, k], level + 1)
+
+    walk([(s, [x for x in s.split("/") if x]) for s in shapes], [], 0)
+    return out
+
+
+def test_paths_of_any_depth(spark):
+    """Branches that part at the twentieth segment, wildcards below it, and lone paths of hundreds of segments."""
+    deep = "/".join(f"d{chr(97 + k)}" for k in range(20))
+    paths = [f"/{deep}/{chr(97 + i)}q/{'end' if i % 2 else 'fin'}" for i in range(14)] + [f"/{deep}/zz", f"/{deep}", "", "/", "/x"]
+    paths += ["/" + "/".join(f"{chr(97 + j)}{chr(97 + k % 26)}" for k in range(400)) for j in range(3)]
+    df = spark.createDataFrame([(i, f"http://h{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    rows = U.judge(df, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+    shapes = {}
+    for p in paths:
+        shapes[p] = (shapes.get(p, (0, 0, 0))[0] + 1, 0, 0)
+    want = plain_tree(shapes)
+    assert len(rows) == len(paths) and {(r.path, r.template) for r in rows} == {(p, want[p]) for p in paths}
+    assert f"{deep}/*/end" in {r.template for r in rows}
+
+
+def test_thousands_of_rules_are_joined(spark):
+    rules = [(("block", "allow")[i % 2], f"{('a.', '')[i % 3 > 0]}h{i % 700}.org/{'/'.join('p' * (i % 4))}{i % 11}") for i in range(5_000)] + [("block", "org"), ("allow", "h7.org/")]
+    urls = [f"http://{('', 'x.', 'a.')[i % 3]}h{i % 900}.org/{'/'.join('p' * (i % 5))}{i % 13}/z" for i in range(1_500)] + [None, "no url", "http://ORG/q", "http://borg/p"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(None, urls[5])], "page_id long, url string")
+    got = U.judge(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"), rules).collect()
+    assert len(got) == len(urls) + 1
+
+    def plain(host, path):
+        fits = []
+        for verdict, rule in rules:
+            name, slash, rest = rule.partition("/")
+            if (host == name or host.endswith("." + name)) and path.startswith(slash + rest):
+                fits.append((len(rule), rule, verdict))
+        return max(fits, default=(0, None, "allow"))
+
+    for r in got:
+        assert (r.rule, r.verdict) == plain(r.host, r.path)[1:]
+    assert sum(r.rule is not None and r.rule != "org" for r in got) > 100
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_queries_agree_with_their_sql(spark, name):
     con = duckdb.connect()

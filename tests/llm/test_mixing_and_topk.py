@@ -76,6 +76,40 @@ def test_shards_take_what_the_tree_gives_them(spark):
     assert all(len(r.bounds) == 17 and r.bounds == sorted(r.bounds) for r in planned)
 
 
+def test_the_plan_as_a_table_is_that_of_the_driver_but_for_its_draws(spark):
+    d = read(spark, SF, "documents")
+    rows = M.durable(M.sized(d, "doc_id", "text", "source"), "sizes")
+    one = {r.source: r for r in M.plan(rows, 16).collect()}
+    many = {r.source: r for r in M.plan_many(rows, 16, group=2).collect()}
+    assert one.keys() == many.keys()
+    for name, r in one.items():
+        m = many[name]
+        assert (m.source_size, m.passes, m.limit, m.more, m.bounds[0], m.bounds[-1]) == (r.source_size, r.passes, r.limit, r.more, 0, r.bounds[-1])
+        assert m.target == pytest.approx(r.target) and m.bounds == sorted(m.bounds)
+    ends = [sum(r.bounds[k] for r in one.values()) for k in range(17)]
+    assert ends == [sum(r.bounds[k] for r in many.values()) for k in range(17)]  # shards get the same numbers of blocks
+
+
+def test_fifty_thousand_sources(spark):
+    from pyspark.sql import functions as F
+
+    n = 50_000
+    df = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + F.when(F.col("id") == 3, 40_000).otherwise(1)).cast("int")).alias("text"), F.when(F.col("id") % n > 0, F.format_string("s%05d", F.col("id") % n)).alias("source"))
+    rows = M.mix_plan(df, shards=8).collect()
+    size, taken, target = defaultdict(int), defaultdict(int), {}
+    for r in rows:
+        size[r.source] += r["size"]
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 3 * r["size"] and len(r.shards) * r["size"] == r.taken
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    assert len(names) == n and len(rows) == 2 * n
+    for name, goal in zip(names, M.targets([size[s] for s in names])):
+        assert target[name] == pytest.approx(goal)
+        assert abs(taken[name] - goal) <= max(0.01 * goal, 7)
+    assert sum(taken.values()) == pytest.approx(sum(size.values()), rel=0.02)
+
+
 def test_repeated_rows_and_many_small_sources(spark):
     rows = [(k, "w " * (1 + k % 3), f"s{k % 300:03d}") for k in range(600)]
     out = M.mix_plan(spark.createDataFrame(rows + rows[:50], "doc_id long, text string, source string")).collect()
