@@ -2,7 +2,7 @@
 
 Vectors are dealt to clusters about centres of a sample. A cluster's radius is the greatest angle between its centre and a member, so
 no member is nearer to a query than the angle to the centre less the radius. A query first visits the clusters of the best bounds that
-hold k rows; its k-th best score there shuts out every cluster whose bound is below it, and it then visits what is left.
+hold k rows; its k-th best score there shuts out every cluster whose bound is below it, and it then visits what is left, of which only rows from that score on leave a task.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ class Bounds:
 
 def _routes(bounds: Bounds, d: int, k: int, second: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(query_id, embedding, cluster) of (query_id, embedding, least)."""
+        """(query_id, embedding, cluster, least) of (query_id, embedding, least)."""
         for batch in batches if len(bounds.names) else ():
             if any(n != d for n in batch.column(1).value_lengths().to_pylist()):
                 raise ValueError("a query of another length than the vectors")
@@ -98,7 +98,7 @@ def _routes(bounds: Bounds, d: int, k: int, second: bool):
             clusters = np.concatenate(lists) if lists else np.zeros(0, np.int64)
             for at in range(0, len(rows), 4_096):
                 some = pa.array(rows[at : at + 4_096])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(clusters[at : at + 4_096])], ["query_id", "embedding", "cluster"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(clusters[at : at + 4_096]), batch.column(2).take(some)], ["query_id", "embedding", "cluster", "least"])
 
     return run
 
@@ -126,19 +126,19 @@ def pruned_search(vectors: DataFrame, queries: DataFrame, k: int = 5, shards: li
     blocks = rows.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     block = lambda chunk: (F.col("cluster") * (1 << 32) + chunk).alias("block")
-    members = rows.join(blocks, "cluster").select(block(F.pmod(F.xxhash64("shard_id", "vector_index"), F.col("blocks"))), F.lit(False).alias("asks"), "shard_id", "vector_index", none("long", "query_id"), "embedding")
+    members = rows.join(blocks, "cluster").select(block(F.pmod(F.xxhash64("shard_id", "vector_index"), F.col("blocks"))), F.lit(False).alias("asks"), "shard_id", "vector_index", none("long", "query_id"), "embedding", none("double", "least"))
 
     def met(routes: DataFrame) -> DataFrame:
         asks = routes.join(blocks, "cluster").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        asks = asks.select(block(F.col("chunk")), F.lit(True).alias("asks"), none("string", "shard_id"), none("long", "vector_index"), "query_id", "embedding")
+        asks = asks.select(block(F.col("chunk")), F.lit(True).alias("asks"), none("string", "shard_id"), none("long", "vector_index"), "query_id", "embedding", "least")
         needed = members.join(asks.select("block").distinct(), "block", "left_semi")
         dealt = needed.unionByName(asks).repartition("block").sortWithinPartitions("block", "asks", "shard_id", "vector_index")
         return dealt.mapInPandas(block_hits(k), FOUND)
 
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "shard_id", "vector_index")
     best = lambda hits: hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    kinds = "query_id long, embedding array<double>, cluster long"
-    first_routes = stored(asked.withColumn("least", none("double", "least")).mapInArrow(_routes(bounds, d, k, False), kinds), "routes")
+    kinds = "query_id long, embedding array<double>, cluster long, least double"
+    first_routes = stored(asked.withColumn("least", F.lit(-2.0)).mapInArrow(_routes(bounds, d, k, False), kinds), "routes")
     first = stored(best(met(first_routes)).drop("rank"), "first-hits")
     least = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(-2.0).alias("least"))
     second_routes = stored(asked.join(least, "query_id").select("query_id", "embedding", "least").mapInArrow(_routes(bounds, d, k, True), kinds), "routes")

@@ -29,7 +29,7 @@ def live(vectors: DataFrame, meta: DataFrame) -> DataFrame:
 
 def block_hits(k: int) -> Callable:
     """The k best rows of each block for each of its queries, from (block, asks, shard_id, vector_index, query_id, embedding) in order of
-    block and asks: a block's rows are held, its queries pass."""
+    block and asks: a block's rows are held, its queries pass. A column least, where there is one, leaves out what scores below it."""
 
     def unit(embeddings: pd.Series, name: str | None = None) -> np.ndarray:
         v = np.stack(embeddings.to_list())
@@ -44,6 +44,8 @@ def block_hits(k: int) -> Callable:
         for at in range(0, len(q), 128):
             score = np.round(w[at : at + 128] @ v.T, 6) + 0.0
             least = np.partition(score, -k, axis=1)[:, -k] if len(x) > k else np.full(len(score), -np.inf)
+            if "least" in q:
+                least = np.maximum(least, q["least"].to_numpy()[at : at + 128])
             for n, (own_score, bound) in enumerate(zip(score, least)):
                 found = np.nonzero(own_score >= bound)[0]
                 found = found[np.argsort(-own_score[found], kind="stable")[:k]]
