@@ -273,7 +273,9 @@ def k7b_manifest_rows(spark, sf_dir):
     return K.manifest_rows(meta, sources, "2024-01-01T00:00:00Z")
 
 
-@query(None)
+@query(f"""SELECT {_NAMED}, CAST(d.doc_id AS VARCHAR) || '.txt' AS file_name, row_number() OVER (PARTITION BY d.source ORDER BY CAST(d.doc_id AS VARCHAR), c.chunk_index) - 1 AS vector_index,
+CAST(d.doc_id AS VARCHAR) || '#c' || lpad(CAST(c.chunk_index + 1 AS VARCHAR), 6, '0') AS chunk_id, CAST(c.chunk_index AS BIGINT) AS chunk_index, c.text, c.span_start, c.span_end, c.chunk_len_tokens, CAST(0 AS BIGINT) AS page_start, CAST(0 AS BIGINT) AS page_end,
+{_PATHS}, '' AS source_pages_path, {_KINDS} FROM ({_chunks_sql("(SELECT doc_id, 0 AS page_no, text FROM documents)", False)}) c JOIN documents d ON d.doc_id = c.doc_id""")
 def k7c_meta_of_chunks(spark, sf_dir):
     """The same over the chunks of whole documents."""
     sources = _meta_sources(spark, sf_dir)
