@@ -23,7 +23,7 @@ from loomframe.llm.common import forget_half, read, small_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes that one worker remembers of pre-tokens, about, at most; bytes of the longest that it remembers; what an entry takes beside them.
-MEMO_BYTES, LONGEST, ENTRY = 48 << 20, 64, 180
+MEMO_BYTES, LONGEST, ENTRY = 96 << 20, 64, 180
 
 
 def read_ranks(path: str) -> list[bytes]:
