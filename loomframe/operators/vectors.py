@@ -160,6 +160,47 @@ def audit(vectors: DataFrame, meta: DataFrame, manifest: DataFrame) -> DataFrame
     return out.withColumn("health", F.when(F.col("misaligned") > 0, "error").when(left > 0, "warn").otherwise("ok"))
 
 
+#: Documents of a shard that an audit lists with their chunks.
+TOP_DOCS = 30
+
+
+def audit_details(vectors: DataFrame, meta: DataFrame, manifest: DataFrame, top: int = TOP_DOCS) -> DataFrame:
+    """(shard_id, issue, doc_id, vector_index, n): what stands behind an audit's counts, for all shards in one table.
+
+    negative and out_of_range: a row of metadata, n 1. duplicate_index: an index with n rows of metadata. orphan: a vector without
+    any. meta_only and processed_only: a document of one side only, with its n rows there. duplicate_processed: a document with n
+    manifest rows. top_doc: the top documents of a shard by chunks, n chunks, ties to the smaller first index; vector_index is
+    their first one. Columns that an issue does not have are null; null documents and indices are a document and an index of their own.
+
+    One grouping by index and one by document; the rows found are exploded where they lie, and only the greatest documents of each
+    task meet in a shard's window.
+    """
+    one, none = F.lit(1), F.lit(0)
+    found = lambda name, when, n: F.when(when, F.struct(F.lit(name).alias("issue"), n.cast("long").alias("n")))
+    each = lambda df, *issues: df.withColumn("i", F.explode(F.array_compact(F.array(*issues))))
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("long")
+    index = F.col("vector_index").cast("long").alias("vector_index")
+    sizes = vectors.groupBy("shard_id").agg(F.count("*").alias("size"))
+
+    outside = meta.select("shard_id", "doc_id", index).join(sizes, "shard_id", "left")
+    outside = each(outside, found("negative", F.col("vector_index") < 0, one), found("out_of_range", F.col("vector_index") >= F.coalesce("size", none), one))
+
+    rows = vectors.select("shard_id", index, one.alias("v"), none.alias("m")).unionAll(meta.select("shard_id", index, none.alias("v"), one.alias("m")))
+    at = rows.groupBy("shard_id", "vector_index").agg(F.sum("v").alias("v"), F.sum("m").alias("m"))
+    at = each(at, found("duplicate_index", F.col("m") > 1, F.col("m")), found("orphan", F.col("m") == 0, F.col("v")))
+
+    docs = meta.select("shard_id", "doc_id", index, one.alias("m"), none.alias("p")).unionAll(manifest.select("shard_id", "doc_id", number.alias("vector_index"), none.alias("m"), one.alias("p")))
+    docs = docs.groupBy("shard_id", "doc_id").agg(F.min("vector_index").alias("first"), F.sum("m").alias("m"), F.sum("p").alias("p"))
+    lone = each(docs, found("meta_only", F.col("p") == 0, F.col("m")), found("processed_only", F.col("m") == 0, F.col("p")), found("duplicate_processed", F.col("p") > 1, F.col("p")))
+    order = W.partitionBy("shard_id").orderBy(F.desc("m"), "first", "doc_id")
+    best = docs.filter("m > 0").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
+
+    row = lambda df, doc, at, issue, n: df.select("shard_id", issue.alias("issue"), doc.alias("doc_id"), at.alias("vector_index"), n.cast("long").alias("n"))
+    kind, count = F.col("i.issue"), F.col("i.n")
+    parts = [row(outside, F.col("doc_id"), F.col("vector_index"), kind, count), row(at, text, F.col("vector_index"), kind, count), row(lone, F.col("doc_id"), number, kind, count), row(best, F.col("doc_id"), F.col("first"), F.lit("top_doc"), F.col("m"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def rebuild_need(summary: DataFrame) -> DataFrame:
     """An audit's shards with need: error if misaligned, info if every vector has metadata, else warning."""
     need = F.when(F.col("misaligned") > 0, "error").when(F.col("vectors") == F.col("meta"), "info").otherwise("warning")

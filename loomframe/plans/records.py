@@ -238,6 +238,20 @@ def a1b_union_of_keys(spark, sf_dir):
     return J.all_rows(docs(spark, sf_dir).select("doc_id", line.alias("line")))
 
 
+@query(r"""SELECT '2024-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') AS month, CAST(sum(2 + len(text) - len(replace(text, chr(10), ''))) AS BIGINT) AS lines_total, count(*) FILTER (WHERE doc_id % 7 > 1) AS rows_ok,
+count(*) FILTER (WHERE doc_id % 7 = 0) + CAST(sum(len(list_filter(string_split(text, chr(10)), lambda l: trim(l, chr(32) || chr(9)) <> ''))) AS BIGINT) AS rows_bad_json, count(*) FILTER (WHERE doc_id % 7 = 1) AS lines_unread
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\n\x09\x20-\x7e]|["{}\[\]]', '.', 'g') AS text FROM documents) d WHERE doc_id % 12 BETWEEN 2 AND 9 GROUP BY doc_id % 12""")
+def a2b_log_statistics(spark, sf_dir):
+    """Monthly files of a log, each document's lines and a line of JSON, a broken one or one that is not UTF-8, read by months."""
+    n = F.col("doc_id")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r'[^\n\x09\x20-\x7e]|["{}\[\]]', ".")
+    own = F.when(n % 7 == 0, F.lit("{bad")).when(n % 7 == 1, F.unhex(F.lit("7BFF7D")).cast("string")).otherwise(F.concat(F.lit('{"doc":'), n.cast("string"), F.lit("}")))
+    month = F.format_string("2024-%02d", n % 12 + 1)
+    path = new_path(spark, "monthly")
+    docs(spark, sf_dir).select(F.concat(own, F.lit("\n"), text).alias("value"), month.alias("month")).write.partitionBy("month").text(path)
+    return J.month_stats(spark, path, "2024-03", "2024-10")
+
+
 @query("SELECT event_id, strftime(ts, '%Y-%m') AS month, event_type AS action, CAST(user_id AS VARCHAR) AS \"user\", 'app' AS app_name, 'page' AS page_name FROM events")
 def a3_log_rows(spark, sf_dir):
     """Written under its months and read back."""

@@ -157,6 +157,34 @@ def m2_audit(spark, sf_dir):
     return V.audit(*_mixed_health(spark, sf_dir))
 
 
+_TWICE = f"(SELECT * FROM {_MANIFEST2} a UNION ALL SELECT * FROM {_MANIFEST2} b WHERE shard_id IN ('2', '3') AND doc_id LIKE '%7')"
+_MOVED = f"(SELECT shard_id, CASE WHEN shard_id = '2' AND vector_index % 9 = 4 THEN vector_index - 1 WHEN shard_id = '2' AND vector_index < 2 THEN vector_index - 5 ELSE vector_index END AS vector_index, doc_id FROM {_META2} x)"
+
+
+def _neighbours(meta):
+    at = F.col("vector_index")
+    second = F.col("shard_id") == "2"
+    return meta.withColumn("vector_index", F.when(second & (at % 9 == 4), at - 1).when(second & (at < 2), at - 5).otherwise(at))
+
+
+_SIZES = f"(SELECT shard_id, count(*) AS size FROM {_DENSE} x GROUP BY shard_id)"
+_PER_DOC = f"""(SELECT coalesce(a.shard_id, b.shard_id) AS shard_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.first, coalesce(a.m, 0) AS m, coalesce(b.p, 0) AS p FROM
+(SELECT shard_id, doc_id, min(vector_index) AS first, count(*) AS m FROM {_MOVED} x GROUP BY ALL) a FULL JOIN (SELECT shard_id, doc_id, count(*) AS p FROM {_TWICE} y GROUP BY ALL) b ON a.shard_id = b.shard_id AND a.doc_id = b.doc_id)"""
+
+
+@query(f"""SELECT m.shard_id, CASE WHEN vector_index < 0 THEN 'negative' ELSE 'out_of_range' END AS issue, doc_id, vector_index, CAST(1 AS BIGINT) AS n FROM {_MOVED} m LEFT JOIN {_SIZES} s ON m.shard_id = s.shard_id WHERE vector_index < 0 OR vector_index >= coalesce(size, 0)
+UNION ALL SELECT shard_id, 'duplicate_index', NULL, vector_index, count(*) FROM {_MOVED} m GROUP BY shard_id, vector_index HAVING count(*) > 1
+UNION ALL SELECT shard_id, 'orphan', NULL, vector_index, 1 FROM {_DENSE} v WHERE NOT EXISTS (SELECT 1 FROM {_MOVED} m WHERE m.shard_id = v.shard_id AND m.vector_index = v.vector_index)
+UNION ALL SELECT shard_id, 'meta_only', doc_id, NULL, m FROM {_PER_DOC} d WHERE p = 0
+UNION ALL SELECT shard_id, 'processed_only', doc_id, NULL, p FROM {_PER_DOC} d WHERE m = 0
+UNION ALL SELECT shard_id, 'duplicate_processed', doc_id, NULL, p FROM {_PER_DOC} d WHERE p > 1
+UNION ALL SELECT shard_id, 'top_doc', doc_id, first, m FROM (SELECT *, row_number() OVER (PARTITION BY shard_id ORDER BY m DESC, first, doc_id) AS place FROM {_PER_DOC} d WHERE m > 0) q WHERE place <= 30""", "vec", "meta", "manifest")
+def m2b_audit_details(spark, sf_dir):
+    """The audit's shards, with some documents of shards 2 and 3 taken in twice and some metadata of shard 2 under its neighbour's index."""
+    vec, meta, manifest = _mixed_health(spark, sf_dir)
+    return V.audit_details(vec, _neighbours(meta), manifest.unionByName(manifest.filter("shard_id in ('2', '3') and doc_id like '%7'")))
+
+
 @query(f"""SELECT shard_id, vectors - meta AS diff, CASE WHEN misaligned > 0 THEN 'error' WHEN vectors = meta THEN 'info' ELSE 'warning' END AS need FROM ({_AUDIT}) q""", "vec", "meta", "manifest")
 def m3_rebuild_need(spark, sf_dir):
     return V.rebuild_need(V.audit(*_mixed_health(spark, sf_dir)))

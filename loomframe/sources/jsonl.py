@@ -57,6 +57,40 @@ def stats(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.agg(F.count("*").alias("lines_total"), F.count_if(~blank & good).alias("rows_ok"), F.count_if(~blank & ~good).alias("rows_bad_json"))
 
 
+def stats_by(lines: DataFrame, *by: str, line: str = "line") -> DataFrame:
+    """(by, lines_total, rows_ok, rows_bad_json, lines_unread) for each value of by. A line that is not UTF-8 is not read: it counts
+    among all lines and as neither good nor bad, and its neighbours are read on."""
+    known = F.is_valid_utf8(line)
+    blank = T.stripped(F.col(line)) == ""
+    good = is_object(F.when(known, F.col(line)))
+    counts = [F.count(line).alias("lines_total"), F.count_if(known & ~blank & good).alias("rows_ok"), F.count_if(known & ~blank & ~good).alias("rows_bad_json"), F.count_if(~known).alias("lines_unread")]
+    return lines.groupBy(*by).agg(*counts)
+
+
+def read_stats(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One row: files, lines_total, rows_ok, rows_bad_json, files_failed of the files that exist among paths (folders and patterns stand
+    for their files, empty ones too). A file fails if any of its lines is not UTF-8. Files are summed up by themselves first, so a
+    long one is shared by tasks."""
+    found = [p for p in paths if _exists(spark, p)]
+    lines = scan(spark, found)
+    files = len(set(lines.inputFiles())) if found else 0  # the scan's listing, which has files without lines as well
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("lines_total", "rows_ok", "rows_bad_json")]
+    return stats_by(lines, "file").agg(F.lit(files).cast("long").alias("files"), *sums, F.count_if(F.col("lines_unread") > 0).alias("files_failed"))
+
+
+def log_stats(spark: SparkSession, path: str, log: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """(month, lines_total, rows_ok, rows_bad_json, lines_unread) of a log's months from first to last; other months are not read."""
+    return stats_by(read_log(spark, path, log, first, last), "month")
+
+
+def month_stats(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The same of a log that write_log wrote under month=yyyy-MM: folders of other months are pruned from the scan."""
+    lines = spark.read.schema("value string, month string").text(path)
+    for bound in [F.col("month") >= first] * (first is not None) + [F.col("month") <= last] * (last is not None):
+        lines = lines.filter(bound)
+    return stats_by(lines, "month", line="value")
+
+
 def normalised(log: DataFrame) -> DataFrame:
     """log with date and month of ts (text; bad is null) and a user where none is given."""
     at = F.try_to_timestamp("ts")

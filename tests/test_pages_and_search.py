@@ -82,6 +82,46 @@ def test_logs_of_some_months_and_keys_of_a_log(spark, tmp_path, monkeypatch):
         J.all_rows(lines)
 
 
+def test_statistics_of_files_and_months(spark, tmp_path):
+    (tmp_path / "my logs").mkdir()
+    (tmp_path / "my logs" / "app_2024-01.jsonl").write_bytes(b'{"a": 1}\n\n[1]\n{bad\n 7 \n')
+    (tmp_path / "my logs" / "app_2024-02.jsonl").write_bytes(b'{"a": 1}\n\xff{"a": 2}\n{"a": 3}')
+    (tmp_path / "my logs" / "app_2024-03.jsonl").write_bytes(b"")
+    folder, row = str(tmp_path / "my logs"), lambda *paths: tuple(J.read_stats(spark, list(paths)).first())
+    assert row(folder) == (3, 8, 3, 3, 1)
+    assert row(folder + "/*-01.jsonl", str(tmp_path / "none")) == (1, 5, 1, 3, 0)
+    assert row(folder + "/app_2024-03.jsonl") == (1, 0, 0, 0, 0)
+    assert row(str(tmp_path / "none")) == row() == (0, 0, 0, 0, 0)
+    assert {tuple(r) for r in J.log_stats(spark, folder, "app", "2024-02").collect()} == {("2024-02", 3, 2, 0, 1)}
+
+
+def test_months_of_a_written_log_are_pruned(spark, tmp_path):
+    rows = [(f"2024-0{m}-01 00:00:00", "u", "view") for m in (1, 2, 2, 3)]
+    J.write_log(spark.createDataFrame(rows, "ts string, user string, action string"), str(tmp_path / "log"), "app")
+    own = J.month_stats(spark, str(tmp_path / "log"), "2024-02", "2024-02")
+    assert [tuple(r) for r in own.collect()] == [("2024-02", 2, 2, 0, 0)]
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "DataFilters: []" in plan
+
+
+def test_what_stands_behind_an_audit(spark):
+    vectors = spark.createDataFrame([("s", i, [1.0]) for i in range(4)] + [("t", 0, [1.0])], "shard_id string, vector_index int, embedding array<double>")
+    meta = spark.createDataFrame([("s", 0, "a"), ("s", 0, "b"), ("s", -1, "b"), ("s", 4, "c"), ("s", 1, None), ("u", 0, "a")], "shard_id string, vector_index int, doc_id string")
+    manifest = spark.createDataFrame([("s", "a"), ("s", "a"), ("s", "b"), ("s", "z"), ("t", None)], "shard_id string, doc_id string")
+    got = {tuple(r) for r in V.audit_details(vectors, meta, manifest, 2).collect()}
+    assert got == {
+        ("s", "negative", "b", -1, 1), ("s", "out_of_range", "c", 4, 1), ("u", "out_of_range", "a", 0, 1),
+        ("s", "duplicate_index", None, 0, 2), ("s", "orphan", None, 2, 1), ("s", "orphan", None, 3, 1), ("t", "orphan", None, 0, 1),
+        ("s", "meta_only", "c", None, 1), ("s", "meta_only", None, None, 1), ("u", "meta_only", "a", None, 1),
+        ("s", "processed_only", "z", None, 1), ("t", "processed_only", None, None, 1), ("s", "duplicate_processed", "a", None, 2),
+        ("s", "top_doc", "b", -1, 2), ("s", "top_doc", "a", 0, 1), ("u", "top_doc", "a", 0, 1),
+    }
+    counts = {r.shard_id: r for r in V.audit(vectors, meta.filter("shard_id <> 'u'"), manifest).collect()}
+    assert counts["s"].misaligned == sum(r[4] if r[1] != "duplicate_index" else 1 for r in got if r[0] == "s" and r[1] in ("negative", "out_of_range", "duplicate_index"))
+    none = V.audit_details(vectors.limit(0), meta.limit(0), manifest.limit(0))
+    assert none.count() == 0 and none.columns == ["shard_id", "issue", "doc_id", "vector_index", "n"]
+
+
 def test_chunks_and_page_ranges_must_agree(spark):
     chunks = spark.createDataFrame([("d", 0, "x", 0, 1, 1), ("d", 1, " \n", 1, 2, 0), ("d", 2, "y", 2, 3, 1)], "doc_id string, chunk_index int, text string, span_start int, span_end int, chunk_len_tokens int")
     sources = spark.createDataFrame([("c", "s", "d", "in/a.txt")], "collection_id string, shard_id string, doc_id string, file string")
