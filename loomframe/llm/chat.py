@@ -38,7 +38,7 @@ def events(rows: DataFrame) -> DataFrame:
     """The log of finished turns (conv_id, turn, role, text): (conv_id, turn, message, copies, seq, kind, text).
 
     Assistant messages were streamed, stopped after the first delta and regenerated; others were sent in part and then edited.
-    message tells rows of one turn apart; copies counts equal rows. Null texts and roles are empty.
+    message tells rows of one turn apart, by 128 bits; copies counts equal rows. Null texts and roles are empty.
     """
     own = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
@@ -48,8 +48,11 @@ def events(rows: DataFrame) -> DataFrame:
     first = F.array(event("start", F.col("role")), event("delta", F.substring("text", 1, DELTA)))
     streamed = F.concat(first, F.array(event("regenerate", F.lit(""))), deltas)
     edited = F.concat(first, F.array(event("edit", F.col("text"))))
+    told = F.unhex(F.md5(F.concat(F.char_length("role").cast("string"), F.lit(":"), "role", "text")))
     log = F.when(F.col("role") == "assistant", streamed).otherwise(edited)
-    return own.select("conv_id", "turn", F.xxhash64("role", "text").alias("message"), "copies", F.posexplode(F.concat(log, F.array(event("end", F.lit(""))))).alias("seq", "e")).select("conv_id", "turn", "message", "copies", "seq", "e.kind", "e.text")
+    # beside the explode it would be worked out for every event
+    own = own.withColumn("message", told)
+    return own.select("conv_id", "turn", "message", "copies", F.posexplode(F.concat(log, F.array(event("end", F.lit(""))))).alias("seq", "e")).select("conv_id", "turn", "message", "copies", "seq", "e.kind", "e.text")
 
 
 def fold(log: DataFrame) -> DataFrame:
@@ -98,12 +101,17 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 class _Digest:
     def __init__(self, conv_id):
         self.conv_id, self.turns, self.chars, self.loss_chars = conv_id, 0, 0, 0
-        self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.all, self.loss, self.rest = hashlib.sha256(), hashlib.sha256(), ""
 
     def add(self, piece: str, a, b) -> None:
-        for role, text in parse(piece):
+        """Reads turns from the conversation's text as it grows: where they begin and end is known from its marks alone."""
+        whole, at = self.rest + piece, 0
+        while turn := _TURN.match(whole, at):
+            role, text = unescape(turn[1]), unescape(turn[2])
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode())
+            at = turn.end()
+        self.rest = whole[at:]
         self.chars += len(piece)
         if not pd.isna(a):
             text = unescape(piece[int(a) : int(b)])
@@ -111,6 +119,8 @@ class _Digest:
             self.loss.update(text.encode())
 
     def row(self) -> tuple:
+        if self.rest:
+            raise ValueError(f"conversation {self.conv_id}: its text does not end with a turn")
         return self.conv_id, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
