@@ -22,12 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomframe.llm import zipfile_ranges as zr
-from loomframe.llm.common import durable, new_path, read, small_batches
+from loomframe.llm.common import drop, durable, new_path, read, small_batches
 
 #: An archive is closed when its records have so many bytes; one is held in memory while it is written.
 ARCHIVE_BYTES = 32 << 20
 #: Bytes of ranges that are dealt together, and that one task reads, about.
 READ_BYTES, TASK_BYTES = 4 << 20, 16 << 20
+#: Bits of the table that tells which digests may be repeated, and of one of its rows: 16 MB in all.
+REPEAT_BITS, ROW_BITS = 1 << 27, 1 << 15
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -119,21 +121,41 @@ def _write_archives(folder: str):
     return run
 
 
+def may_repeat(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """rows with may_repeat: true for every row whose sha is among repeated, and for few others as long as those are few against
+    REPEAT_BITS. What is broadcast is a table of that many bits, however many digests there are."""
+    place = F.pmod(F.xxhash64("sha"), F.lit(REPEAT_BITS))
+    own = lambda df: df.withColumn("bits_row", F.shiftright(place, ROW_BITS.bit_length() - 1)).withColumn("bit", F.pmod(place, F.lit(ROW_BITS)))
+    bits = own(repeated.select("sha")).groupBy("bits_row").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright("bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.getbit(byte, F.pmod("bit", F.lit(8)).cast("int")) == 1
+    return own(rows).join(F.broadcast(bits), "bits_row", "left").withColumn("may_repeat", F.coalesce(found, F.lit(False))).drop("bits_row", "bit", "bits")
+
+
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
     """Writes all rows of pages under folder; (archive, records) of the files. Payloads under least bytes are all responses.
 
+    Only payloads that may be repeated are shuffled; the others are written by the tasks that read them. The tables of archives and of
+    ranges stay in the shared folder with the archives: they are the caller's to delete.
+
     Null html is an empty payload. Rows without an id are responses that no revisit refers to; repeated rows of the smallest
     id are responses too.
     """
     small_batches(pages.sparkSession)
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     own = own.withColumn("sha", F.sha1("payload"))
-    shared = own.filter(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first"))
+    digests = own.filter(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    repeated = durable(digests.filter("n > 1").drop("n"), "repeated")
+    marked = may_repeat(own, repeated)
     # a payload of a third of all pages makes one large partition of this join, which AQE splits
-    joined = own.join(shared, "sha", "left")
+    met = marked.filter("may_repeat").join(repeated, "sha", "left")
     same = F.col("page_id").isNull() | F.col("first").isNull() | (F.col("page_id") == F.col("first")) | (F.octet_length("payload") < least)
-    ready = joined.select("page_id", "url", "payload", "first", same.alias("same"))
-    return durable(ready.mapInPandas(_write_archives(folder), "archive string, records long"), "archives")
+    columns = ("page_id", "url", "payload", "first")
+    ready = marked.filter("not may_repeat").withColumn("first", F.lit(None).cast("long")).select(*columns, F.lit(True).alias("same"))
+    ready = ready.unionByName(met.select(*columns, same.alias("same")))
+    out = durable(ready.mapInPandas(_write_archives(folder), "archive string, records long"), "archives")
+    drop(repeated)
+    return out
 
 
 def _ranges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -60,6 +60,26 @@ def test_records_round_trip(spark, monkeypatch):
     assert warc.read_records(warc.index(warc.write_archives(df.limit(0), new_path(spark, "warc")))).count() == 0
 
 
+def test_only_payloads_that_may_be_repeated_are_shuffled(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select(F.sha1(F.col("id").cast("string").cast("binary")).alias("sha"), "id")
+    repeated = rows.filter("id % 10 = 0").select("sha", F.lit(1).alias("first"))
+    marked = warc.may_repeat(rows, repeated)
+    assert marked.filter("id % 10 = 0 and not may_repeat").count() == 0
+    assert marked.filter("id % 10 > 0 and may_repeat").count() < 10 and marked.columns == ["sha", "id", "may_repeat"]
+    assert marked.filter("may_repeat").count() >= 2_000 and warc.may_repeat(rows, repeated.limit(0)).filter("may_repeat").count() == 0
+    plan = warc.may_repeat(rows, repeated)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
+    # where the bits are few against the digests, more rows are shuffled and the records stay the same
+    monkeypatch.setattr(warc, "REPEAT_BITS", 1 << 15)
+    assert warc.may_repeat(rows, rows).filter("not may_repeat").count() == 0
+    monkeypatch.setattr(warc, "REPEAT_BITS", 1)
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    kinds = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read_records(warc.index(warc.write_archives(df, new_path(spark, "warc")))).collect())
+    assert kinds == {(3, "revisit", 1): 1, (1, "response", None): 2, (2, "response", None): 1, (5, "revisit", 2): 1, (7, "response", None): 1, (None, "response", None): 1}
+
+
 CONTROL = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\nhi", "<\\|x", "[\\\\INST] <\\/s> <<SYS>>", "plain < [ text", "", "日本語 <|"]
 
 
@@ -90,6 +110,23 @@ def test_conversations_of_odd_rows(spark):
     assert chat.digests(chat.in_order(chat.rendered(chat.fold(chat.events(df.limit(0)))))).count() == 0
 
 
+def test_turns_are_read_from_the_text_wherever_its_pieces_break(spark):
+    turns = [("user", CONTROL[0]), ("assistant", CONTROL[2]), ("user", ""), ("", "a\nb")]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    text = chat.format_conversations(chat.events(df)).first().text
+    want = chat.digests(chat.in_order(chat.rendered(chat.fold(chat.events(df))))).first()
+    for size in (1, 3, 7, 1000):
+        d = chat._Digest(1)
+        for at in range(0, len(text), size):
+            d.add(text[at : at + size], None, None)
+        n, digest, chars = d.row()[1], d.row()[2], d.row()[5]
+        assert (n, digest, chars) == (want.n_turns, want.turns_sha256, want.formatted_chars) == (4, sha("".join(f"{r}\n{t}\n" for r, t in turns).encode()), len(text))
+    cut = chat._Digest(1)
+    cut.add(text[:-1], None, None)
+    with pytest.raises(ValueError, match="does not end with a turn"):
+        cut.row()
+
+
 def test_a_very_long_text_takes_time_in_proportion(spark):
     import time
 
