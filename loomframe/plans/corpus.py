@@ -78,6 +78,10 @@ def j8_without_repeated(spark, sf_dir):
 # characters are spaced, of which cleaning makes what SQL is given.
 _PLAIN_TEXT = "(SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '手賀沼の2つ。' ELSE '' END AS text FROM documents)"
 _INLINE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\.{3,}', '...', 'g'), '={3,}', '==', 'g'), '\s[|｜]\s', ' ', 'g'), '[ \t]{2,}', ' ', 'g')"
+# No blanks, line ends among them, between Japanese characters and these or digits. A match takes both its ends, so it is done twice.
+_JA = r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"
+for _ in range(2):
+    _INLINE = rf"regexp_replace({_INLINE}, '({_JA})[\s\x0b\x{{3000}}\x{{a0}}]+({_JA}|[0-9])|([0-9])[\s\x0b\x{{3000}}\x{{a0}}]+({_JA})', '\1\2\3\4', 'g')"
 
 
 def _wide(spark, sf_dir, japanese=True):
