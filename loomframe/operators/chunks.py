@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.functions import text as T
 from loomframe.operators import vectors as V
+from loomframe.sources.shared import small_batches
 
 MOST, LEAST, HARD = 1_200, 400, 1_800
 # Where a long unit is cut at best, in order.
@@ -100,6 +101,7 @@ def _out(rows: DataFrame, chunks: Column) -> DataFrame:
 def chunk_documents(docs: DataFrame, most: int = MOST, least: int = LEAST, hard: int = HARD) -> DataFrame:
     """(doc_id, chunk_index, text, chunk_len_tokens, span_start, span_end); null and blank texts have no chunks. Spans are of the
     normalised text: what stands there is the chunk up to white space between its units."""
+    small_batches(docs.sparkSession)
     own = docs.filter("text is not null").select("doc_id", F.array(normalised(F.col("text"))).alias("texts"), F.array(F.lit(0).cast("long")).alias("numbers"))
     return _out(own, _chunks(most, least, hard, False)("texts", "numbers")).drop("page_start", "page_end")
 
@@ -107,6 +109,7 @@ def chunk_documents(docs: DataFrame, most: int = MOST, least: int = LEAST, hard:
 def chunk_pages(pages: DataFrame, most: int = MOST, least: int = LEAST, hard: int = HARD) -> DataFrame:
     """The same over pages, each normalised and split by itself, with the first and last page of each chunk. Pages have no common
     text, so spans are of the chunks joined by line ends."""
+    small_batches(pages.sparkSession)
     own = pages.filter("text is not null").select("doc_id", F.col("page_no").cast("long").alias("page_no"), normalised(F.col("text")).alias("text"))
     own = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
     return _out(own, _chunks(most, least, hard, True)("p.text", "p.page_no"))

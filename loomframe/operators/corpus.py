@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loomframe.functions import text as T
+from loomframe.sources.shared import small_batches
 
 # Headings that stand alone, and how headings, bullets and lines of contents begin.
 HEADINGS = ("目次", "まえがき", "前書き", "序", "序文", "資料", "資料編", "参考資料")
@@ -88,6 +89,7 @@ def tag_contents(rows: DataFrame, least: int = 6) -> DataFrame:
 
 def repeated_lines(rows: DataFrame, least: int = 3, most: int = 40, nfkc: bool = True) -> DataFrame:
     """(doc_id, canon, count) of lines found so often in a document and no longer than most; headings are exempt."""
+    small_batches(rows.sparkSession)
     own = rows.select("doc_id", canonical(F.col("line"), nfkc).alias("canon")).filter("canon <> ''")
     out = own.groupBy("doc_id", "canon").agg(F.count("*").alias("count"))
     return out.filter((F.col("count") >= max(2, least)) & (F.char_length("canon") <= max(10, most)) & ~is_heading(F.col("canon")))
@@ -113,6 +115,7 @@ def tagged_lines(docs: DataFrame, o: Options = Options()) -> DataFrame:
     kept. Later reasons look only at what earlier ones leave, as contents runs and repeats are counted there. One pass: all
     windows are over parts of documents, whose texts are shuffled once, before they are cut into lines.
     """
+    small_batches(docs.sparkSession)
     own = docs.select("doc_id", "text").repartition("doc_id")  # the one shuffle, of whole texts
     rows = measured(lines(own.select("doc_id", inline(F.col("text"), o.nfkc, o.join_japanese).alias("text"))), o.nfkc, o.drop_garbage)
     s, n, some = F.col("s"), F.col("n"), F.col("n") > 0

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomframe.functions import text as T
 from loomframe.operators import chunks as K, vectors as V
-from loomframe.sources.shared import stored
+from loomframe.sources.shared import small_batches, stored
 from loomframe.sources.versions import Versions
 
 PARTS = ("vectors", "meta", "manifest")
@@ -82,6 +82,7 @@ def ingest(sources: DataFrame, manifest: DataFrame, base: DataFrame, embed: Call
 
 def embedded(rows: DataFrame, fn: Callable[[pd.Series], pd.Series], text_col: str = "text", out: str = "embedding") -> DataFrame:
     """rows that have more than blanks in their text, with the caller's vectors of it (a function of Arrow batches)."""
+    small_batches(rows.sparkSession)
     own = rows.filter(T.stripped(F.coalesce(text_col, F.lit(""))) != "")
     return own.withColumn(out, F.pandas_udf(fn, "array<float>")(text_col))
 

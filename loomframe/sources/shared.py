@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bounds of an Arrow batch, so that a Python worker's memory does not follow the length of texts.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own where that is unset and the session is local. Elsewhere its absence is an error:
@@ -30,3 +33,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session by rows and bytes, from now on, where they are not bounded closer."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        now = int(now) if now and now.isdigit() else 0  # with a unit, 0 and below: as good as unbounded
+        spark.conf.set(key, str(min(now, most) if now > 0 else most))
