@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.sources.shared import new_path
 
-#: Rows of a range, about.
-RANGE_ROWS = 50_000
+#: Rows of a range, about, and the most ranges: each is a task and a folder that the driver hears of, so larger orders have larger ranges.
+RANGE_ROWS, RANGES = 50_000, 256
 
 
 class Order:
@@ -23,7 +23,7 @@ class Order:
         self.columns, self.names, self.down = rows.columns, [f"__key_{k}" for k in keys], {f"__key_{k}" for k in down}
         self.spark, self.path = rows.sparkSession, new_path(rows.sparkSession, "order")
         keyed = rows.withColumns({f"__key_{k}": c for k, c in keys.items()})
-        parts = max(1, math.ceil(keyed.count() / range_rows))
+        parts = min(RANGES, max(1, math.ceil(keyed.count() / range_rows)))
         # nulls last upwards, and last downwards too: what is not known comes at the end
         dealt = keyed.repartitionByRange(parts, *self._order()).withColumn("__range", F.spark_partition_id())
         dealt.write.partitionBy("__range").parquet(self.path)

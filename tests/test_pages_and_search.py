@@ -136,3 +136,15 @@ def test_chunks_and_page_ranges_must_agree(spark):
     plain = K.meta_rows(chunks, sources, base, "now").collect()
     assert {(r.page_start, r.page_end) for r in plain} == {(0, 0)}
     assert [tuple(r) for r in K.manifest_rows(rows, sources, "now").select("doc_id", "ingested_at", "attrs").collect()] == [("d", "now", "{}")]
+
+
+def test_ranges_of_an_order_are_bounded(spark):
+    """However small the ranges asked for and many the rows: the driver hears of RANGES at most, and pages are whole."""
+    from loomframe.operators import pages as P
+
+    rows = spark.range(20_000).select(F.pmod(F.col("id") * 7_919, F.lit(20_000)).alias("k"))
+    order = P.Order(rows, {"k": F.col("k")}, range_rows=10)
+    assert len(order.counts) <= P.RANGES and order.total == 20_000
+    assert [r.k for r in order.page(401, 25).collect()] == list(range(10_000, 10_025))
+    found, key = order.after(None, 25)
+    assert [r.k for r in order.after(key, 25)[0].collect()] == list(range(25, 50))
