@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -125,17 +128,21 @@ def daily_minutes(events: DataFrame, ttl: int = TTL, compat: bool = False) -> Da
 
 def folded_heartbeats(events: DataFrame, seconds: int = 30) -> DataFrame:
     """Heartbeats of each session of which each comes at least so many seconds after the one kept before it: a fold in order of
-    time (equal times by event_id), one session in a task."""
-    names = events.columns
-
-    def keep(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, last, kept = frame.sort_values(["ts", "event_id"]), None, []
-        for at in frame["ts"]:
-            kept.append(last is None or (at - last).total_seconds() >= seconds)
-            last = at if kept[-1] else last
-        return frame[kept]
-
-    return events.filter("kind = 'heartbeat'").groupBy("session_id").applyInPandas(keep, events.schema).select(*names)
+    time (equal times by event_id) over sorted rows, which remembers a session's last kept time from one batch to the next."""
+    names, step = events.columns, seconds * 1_000_000
+
+    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, last = "", None
+        for frame in frames:
+            kept = np.zeros(len(frame), bool)
+            times = frame["ts"].to_numpy("datetime64[us]").astype(np.int64).tolist()
+            for k, (own, at) in enumerate(zip(frame["session_id"].tolist(), times)):
+                if own != session or last is None or at - last >= step:
+                    session, last, kept[k] = own, at, True
+            yield frame[kept]
+
+    beats = events.filter("kind = 'heartbeat'").repartition("session_id").sortWithinPartitions("session_id", F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+    return beats.mapInPandas(keep, events.schema).select(*names)
 
 
 def thinned(events: DataFrame, seconds: int = 30) -> DataFrame:

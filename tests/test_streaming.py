@@ -127,3 +127,22 @@ def test_a_silent_session_expires_and_may_begin_anew(spark, tmp_path):
     assert ("a", 30.0) in gone and ("b", 5000.0) in gone
     anew = [r for r in found if r.session_id == "a" and times(r) == 10_000]
     assert anew and all((r.login_at - datetime(2024, 1, 1)).total_seconds() == 10_000 for r in anew)
+
+
+def test_a_fold_goes_on_from_batch_to_batch(spark):
+    """Sessions longer than an Arrow batch: what a plain fold keeps, without a group of pandas for each session."""
+    key, rnd, start = "spark.sql.execution.arrow.maxRecordsPerBatch", random.Random(5), datetime(2024, 5, 1)
+    made = [(n, f"s{n % 3}", "u", "a", "heartbeat", start + timedelta(seconds=rnd.randrange(900))) for n in range(900)]
+    want, last = set(), {}
+    for n, session, *_, ts in sorted(made, key=lambda r: (r[5], r[0])):
+        if session not in last or (ts - last[session]).total_seconds() >= 30:
+            want.add(n)
+            last[session] = ts
+    before = spark.conf.get(key)
+    spark.conf.set(key, "50")
+    try:
+        out = folded_heartbeats(spark.createDataFrame(made, ingest.EVENTS))
+        assert {r.event_id for r in out.collect()} == want
+    finally:
+        spark.conf.set(key, before)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
