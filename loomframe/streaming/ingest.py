@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomframe.operators.chunks import chunk_documents
+from loomframe.sources.shared import stored
 
 
 #: Buckets of a manifest by document.
@@ -33,10 +34,12 @@ def ingest_batch(docs: DataFrame, manifest_path: str, chunks_path: str, batch: i
     each chunk is there once, whoever reads. Of the manifest only the buckets of the batch's documents are read.
     """
     spark = docs.sparkSession
-    own = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("bucket", _bucket())
-    buckets = [r.bucket for r in own.select("bucket").distinct().collect()]  # BUCKETS rows at most
-    known = manifest(spark, manifest_path).filter(F.col("bucket").isin(buckets) & (F.col("batch") != batch))
-    fresh = own.join(known.select("doc_id", "bucket"), ["bucket", "doc_id"], "left_anti")
+    named = docs.filter("doc_id IS NOT NULL")
+    buckets = [r.bucket for r in named.select(_bucket().alias("bucket")).distinct().collect()]  # BUCKETS rows at most
+    known = manifest(spark, manifest_path).filter(F.col("bucket").isin(buckets) & (F.col("batch") != batch)).select("doc_id")
+    # texts are shuffled once, by document for both, and read from a table by what follows
+    fresh = named.select("doc_id", "text").join(known, "doc_id", "left_anti").groupBy("doc_id").agg(F.min("text").alias("text"))
+    fresh = stored(fresh.withColumn("bucket", _bucket()), "fresh")
     chunks = chunk_documents(fresh.select("doc_id", "text"))
     (embed(chunks) if embed else chunks).write.mode("overwrite").parquet(f"{chunks_path}/batch={batch}")
     rows = fresh.select("doc_id", F.sha2("text", 256).alias("sha256"), "bucket")

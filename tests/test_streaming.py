@@ -146,3 +146,15 @@ def test_a_fold_goes_on_from_batch_to_batch(spark):
     finally:
         spark.conf.set(key, before)
     assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+
+
+def test_an_ingest_works_texts_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.udf(counted)(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    ingest.ingest_batch(docs, str(tmp_path / "m"), str(tmp_path / "c"), 0)
+    assert seen.value == 20 and ingest.manifest(spark, str(tmp_path / "m")).count() == 20
