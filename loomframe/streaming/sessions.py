@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,6 +14,17 @@ from loomframe.operators.sessions import TTL
 LATE = "10 minutes"
 
 
+def _times(column) -> list:
+    """Times of a column as Python's, null as None: without an object of pandas for each."""
+    return column.to_numpy("datetime64[us]").tolist()
+
+
+def _frame(rows: list[tuple], names: list[str], times: tuple[str, ...]) -> pd.DataFrame:
+    """Rows as a frame whose times are made at once."""
+    made = dict(zip(names, zip(*rows)))
+    return pd.DataFrame({n: np.array(made[n], "datetime64[us]").astype("datetime64[ns]") if n in times else list(made[n]) for n in names})
+
+
 def _timed(events: DataFrame, late: str) -> DataFrame:
     """ts as TIMESTAMP, in the session's time zone, with a watermark: one on TIMESTAMP_NTZ is refused."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -46,11 +58,12 @@ def session_states(events: DataFrame, ttl: int = TTL, late: str = LATE) -> DataF
     forgotten, and a later event begins it anew. The rules are those of operators.sessions.latest_sessions.
     """
 
+    names = [c.split()[0] for c in SEEN.split(", ")]
+
     def row(session: str, state: tuple, expired: bool) -> pd.DataFrame:
         first, login, ts, _, kind, user, app = state
         out = (session, user, app, login if login is not None else first, ts, ts if kind == "logout" else None, expired)
-        frame = pd.DataFrame([out], columns=[c.split()[0] for c in SEEN.split(", ")])
-        return frame.astype({c: "datetime64[ns]" for c in ("login_at", "last_seen", "logout_at")})
+        return _frame([out], names, ("login_at", "last_seen", "logout_at"))
 
     def ends(state: tuple) -> int:
         return int((state[2].timestamp() + ttl) * 1000)
@@ -65,8 +78,7 @@ def session_states(events: DataFrame, ttl: int = TTL, late: str = LATE) -> DataF
             yield row(key[0], now, True)
             now = None
         for frame in frames:
-            for ts, number, kind, user, app in frame[["ts", "event_id", "kind", "user_sub", "app_name"]].itertuples(index=False):
-                ts = ts.to_pydatetime()
+            for ts, number, kind, user, app in zip(_times(frame["ts"]), *(frame[c].tolist() for c in ("event_id", "kind", "user_sub", "app_name"))):
                 if now is None:
                     now = (ts, None, ts, number, kind, user, app)
                 first, login, last, at, *rest = now
@@ -80,7 +92,7 @@ def session_states(events: DataFrame, ttl: int = TTL, late: str = LATE) -> DataF
             yield row(key[0], now, True)
             state.remove()
 
-    return _timed(events, late).groupBy("session_id").applyInPandasWithState(fold, SEEN, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return _timed(events.filter("ts IS NOT NULL"), late).groupBy("session_id").applyInPandasWithState(fold, SEEN, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 KEPT = "last timestamp, waiting array<struct<ts: timestamp, event_id: bigint, user_sub: string, app_name: string>>"
@@ -95,12 +107,14 @@ def thinned_stream(events: DataFrame, seconds: int = 30, late: str = LATE) -> Da
     the time of the last one kept is remembered for as long as it matters.
     """
 
+    names = [c.split()[0] for c in THINNED.split(", ")]
+
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, waiting = state.get if state.exists else (None, [])
         waiting, mark = [tuple(w.values()) if isinstance(w, dict) else tuple(w) for w in waiting], state.getCurrentWatermarkMs()
         if not state.hasTimedOut:
             for frame in frames:
-                waiting += [(t.to_pydatetime(), int(n), u, a) for t, n, u, a in frame[["ts", "event_id", "user_sub", "app_name"]].itertuples(index=False)]
+                waiting += zip(_times(frame["ts"]), *(frame[c].tolist() for c in ("event_id", "user_sub", "app_name")))
         waiting.sort(key=lambda w: (w[0], w[1]))
         ripe = [w for w in waiting if w[0].timestamp() * 1000 <= mark]
         waiting, out = waiting[len(ripe) :], []
@@ -115,7 +129,7 @@ def thinned_stream(events: DataFrame, seconds: int = 30, late: str = LATE) -> Da
             state.update((last, waiting))
             state.setTimeoutTimestamp(int(ends[0] * 1000) + 1)
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in THINNED.split(", ")]).astype({"ts": "datetime64[ns]"})
+            yield _frame(out, names, ("ts",))
 
-    own = _timed(events.filter("kind = 'heartbeat'"), late)
+    own = _timed(events.filter("kind = 'heartbeat' AND ts IS NOT NULL"), late)
     return own.groupBy("session_id").applyInPandasWithState(fold, THINNED, KEPT, "append", GroupStateTimeout.EventTimeTimeout)
