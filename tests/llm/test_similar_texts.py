@@ -144,3 +144,46 @@ def test_buckets_and_texts_in_parts(spark, monkeypatch):
     want = {r.doc_id: r.class_id for r in S.similar_classes(df).collect()}
     monkeypatch.setattr(S, "CHUNK", 2), monkeypatch.setattr(S, "GROUP", 2)
     assert {r.doc_id: r.class_id for r in S.similar_classes(df).collect()} == want
+
+
+def test_marks_never_rule_out_similar_texts():
+    rng = np.random.default_rng(13)
+    ruled = total = 0
+    for n in (1, 4, 5, 6, 30, 150, 900, 4_000):
+        for share in (0.0, 0.001, 0.01, 0.02, 0.03, 0.1):
+            a = [f"w{rng.zipf(1.3) % 3000}" for _ in range(n)]
+            b = changed(rng, a, share)[: n - n // 40] if share else a[: n - n // 9]
+            x, y = (np.frombuffer(S.marks(" ".join(t).encode()), np.uint64)[None] for t in (a, b))
+            may = bool(S.may_be_similar(x, y)[0])
+            assert may or plain_similarity(a, b) < 0.8
+            ruled += not may
+            total += plain_similarity(a, b) < 0.8
+    assert total > 15 and ruled > 0.7 * total
+
+
+def test_a_nearer_text_of_a_class_hides_none_behind_it(spark):
+    """Two texts of the same words in another order are nearest by sketch, but only through the third text similar."""
+    rng = np.random.default_rng(14)
+    for n, k in ((60, 1), (5_000, 80)):
+        one = [f"v{j}" for j in rng.permutation(n)]
+        at = np.arange(2 * k) * (n // (2 * k)) + n // (4 * k)
+        mid, other = list(one), list(one)
+        for p, q in zip(at[:k], at[k:]):
+            mid[p] = one[q]
+            other[p], other[q] = one[q], one[p]
+        texts = [" ".join(t) for t in (one, other, mid)]
+        assert plain_similarity(one, other) < 0.8 <= min(plain_similarity(one, mid), plain_similarity(other, mid))
+        got = {r.doc_id: r.class_id for r in S.similar_classes(docs(spark, texts)).collect()}
+        assert got == plain_classes(list(enumerate(texts))) == {0: 0, 1: 0, 2: 0}
+
+
+def test_texts_near_by_words_alone_make_no_pairs(spark):
+    """The same words in 40 orders: one bucket, 780 pairs by sketch, none by shingles."""
+    rng = np.random.default_rng(15)
+    words = [f"u{j}" for j in range(120)]
+    rows = []
+    for i in range(40):
+        own = " ".join(rng.permutation(words)).encode()
+        rows.append((i, i, i, bytearray(S.sketch(own)), bytearray(getattr(S, "marks", lambda _: b"")(own))))
+    placed = spark.createDataFrame(rows, "node long, class long, least long, sketch binary, marks binary")
+    assert S._open_pairs(placed).count() == 0
