@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.functions import text as T
 from loomframe.operators import vectors as V
-from loomframe.sources.shared import small_batches
+from loomframe.sources.shared import small_batches, stored
 
 MOST, LEAST, HARD = 1_200, 400, 1_800
 # Where a long unit is cut at best, in order.
@@ -144,13 +144,17 @@ def meta_rows(chunks: DataFrame, sources: DataFrame, base: DataFrame, ingested_a
     sources (SOURCE; a missing column is empty).
 
     Blank chunks are left out. vector_index goes on from base (shard_id, base) in each shard, by document and chunk. Pages come from
-    ranges where given, else from the chunks, else they are 0; negative and bad pages are 0.
+    ranges where given, else from the chunks, else they are 0; negative and bad pages are 0. Chunks are stored once; rows are joined and
+    numbered without their texts, which meet them at the end.
     """
-    own = chunks if ranges is None else _same_count(chunks, ranges)
+    held = stored(chunks.withColumn("__row", F.monotonically_increasing_id()), "chunks")
+    own = held.withColumn("text", F.when(T.stripped(F.col("text")) == "", "").when(F.col("text").isNotNull(), "x"))  # stands for the text
+    own = own if ranges is None else _same_count(own, ranges)
     own = own.filter(T.stripped(F.coalesce("text", F.lit(""))) != "").withColumn("doc_id", F.col("doc_id").cast("string"))
     page = lambda c: T.page_no(F.col(c).cast("string")).cast("long") if c in own.columns else F.lit(0).cast("long")
-    rows = own.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", "span_start", "span_end", "chunk_len_tokens", page("page_start").alias("page_start"), page("page_end").alias("page_end"))
-    rows = V.dense_index(rows.join(_sources(sources, ingested_at), "doc_id"), base)
+    rows = own.select("__row", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "span_start", "span_end", "chunk_len_tokens", page("page_start").alias("page_start"), page("page_end").alias("page_end"))
+    rows = stored(rows.join(_sources(sources, ingested_at), "doc_id"), "rows")  # numbering reads them twice
+    rows = V.dense_index(rows, base).join(held.select("__row", "text"), "__row")
     named = rows.withColumn("chunk_id", T.chunk_id(F.col("doc_id"), F.col("chunk_index"))).withColumn("file_name", T.base_name(F.col("file")))
     return named.select(*META)
 

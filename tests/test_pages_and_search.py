@@ -148,3 +148,15 @@ def test_ranges_of_an_order_are_bounded(spark):
     assert [r.k for r in order.page(401, 25).collect()] == list(range(10_000, 10_025))
     found, key = order.after(None, 25)
     assert [r.k for r in order.after(key, 25)[0].collect()] == list(range(25, 50))
+
+
+def test_metadata_is_numbered_without_texts(spark, monkeypatch):
+    """Texts pass no join or window but the last; a row keeps its own text, also beside a row of the same key."""
+    seen, real = [], V.dense_index
+    monkeypatch.setattr(V, "dense_index", lambda rows, base: seen.append(rows.columns) or real(rows, base))
+    chunks = spark.createDataFrame([("d", 0, "one", 0, 3, 1), ("d", 1, " ", 3, 4, 1), ("d", 2, "three", 4, 9, 1), ("d", 2, "four", 9, 13, 1), ("e", 0, None, 0, 0, 0)], "doc_id string, chunk_index int, text string, span_start int, span_end int, chunk_len_tokens int")
+    sources = spark.createDataFrame([("s", "d"), ("s", "e")], "shard_id string, doc_id string")
+    base = spark.createDataFrame([("s", 5)], "shard_id string, base int")
+    got = sorted((r.text, r.span_start) for r in K.meta_rows(chunks, sources, base, "now").collect())
+    assert got == [("four", 9), ("one", 0), ("three", 4)]
+    assert seen and "text" not in seen[0]
