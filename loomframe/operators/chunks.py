@@ -17,13 +17,13 @@ SOFT = ("。", "、", "；", "：", ";", ":", "）", ")", " ")
 #: What stripping takes away, paragraphs and sentences of normalised texts.
 BLANK = " \t\n\x0b\f\r\u3000\u00a0"
 _PARAGRAPH = re.compile(r"[^\n]+(?:\n[^\n]+)*")
-_SENTENCE = re.compile(r".*?[。！？!?]|.+", re.S)
+_SENTENCE = re.compile(r"[^。！？!?]+[。！？!?]?|[。！？!?]")
 
 
 def normalised(c: Column) -> Column:
     """LF, spaces for tabs, no blanks before line ends, at most two line ends in a row, stripped."""
     c = F.replace(T.newlines(c), F.lit("\t"), F.lit(" "))
-    c = F.regexp_replace(c, r"[ 　]+(?=\n|$)", "")
+    c = F.regexp_replace(c, r"[ 　]++(?=\n|$)", "")
     return T.stripped(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 

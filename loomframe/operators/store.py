@@ -41,7 +41,8 @@ def backup(spark: SparkSession, path: str, stamp: str, **keys: str) -> str:
 def empty_store(spark: SparkSession, shards_: list[str], dim: int) -> dict[str, DataFrame]:
     """A store without rows whose shards have a declared dimension, which the first rows appended are held to."""
     out = {"vectors": "shard_id string, vector_index long, embedding array<float>", "meta": "shard_id string, vector_index long, doc_id string, chunk_len_tokens int", "manifest": "shard_id string, doc_id string"}
-    return {part: spark.createDataFrame([], schema) for part, schema in out.items()} | {"dims": spark.createDataFrame([(s, dim) for s in shards_], "shard_id string, dim int")}
+    empty = lambda schema: spark.range(0).limit(0).selectExpr(*[f"cast(null as {c.split()[1]}) as {c.split()[0]}" for c in schema.split(", ")])  # noqa: E731 - Spark knows that it has no rows
+    return {part: empty(schema) for part, schema in out.items()} | {"dims": spark.range(1).select(F.explode(F.lit(shards_).cast("array<string>")).alias("shard_id"), F.lit(dim).alias("dim"))}
 
 
 def shards(rows: DataFrame, *keys: str) -> DataFrame:
@@ -53,7 +54,7 @@ def appended(vectors: DataFrame, more: DataFrame, dims: DataFrame | None = None)
     """Union of vectors; a row of another dimension than its shard's (as declared in dims, else that of its vectors) is an error."""
     sizes = vectors.groupBy("shard_id").agg(F.max(F.size("embedding")).alias("dim")) if dims is None else dims
     wrong = F.col("dim").isNotNull() & (F.size("embedding") != F.col("dim"))
-    checked = more.join(sizes, "shard_id", "left").withColumn("embedding", F.when(wrong, F.raise_error(F.lit("another dimension")).cast("array<float>")).otherwise(F.col("embedding")))
+    checked = more.join(F.broadcast(sizes), "shard_id", "left").withColumn("embedding", F.when(wrong, F.raise_error(F.lit("another dimension")).cast("array<float>")).otherwise(F.col("embedding")))
     return vectors.unionByName(checked.select(*vectors.columns))
 
 
@@ -67,31 +68,31 @@ def ingest(sources: DataFrame, manifest: DataFrame, base: DataFrame, embed: Call
     """New metadata (with vector_index and embed's columns) and a result (shard_id, doc_id, status) for all sources.
 
     sources (shard_id, doc_id, text), base (shard_id, base): sources of the manifest are skipped, those without text an error.
-    embed is the caller's: it takes the chunks and adds their vectors.
+    embed is the caller's: it takes the chunks and adds their vectors (it may leave out columns that nobody needs). Texts are cut once:
+    chunks with vectors are stored and numbered afterwards, and statuses come from the sources' keys without their texts.
     """
-    known = V.with_ingested(sources, manifest)
-    status = F.when(F.col("ingested"), "skip").when(T.stripped(F.coalesce("text", F.lit(""))) == "", "error").otherwise("ok")
-    result = known.select("shard_id", "doc_id", status.alias("status"), "text")
-    fresh = result.filter("status = 'ok'")
-    key = F.struct("shard_id", "doc_id")
-    cut = K.chunk_documents(fresh.select(F.to_json(key).alias("doc_id"), "text"))
-    names = F.from_json("doc_id", "shard_id string, doc_id string")
-    rows = cut.withColumn("k", names).select("k.shard_id", "k.doc_id", "chunk_index", "text", "chunk_len_tokens", "span_start", "span_end")
-    return embed(V.dense_index(rows, base)), result.drop("text")
+    blank = T.is_blank(F.col("text"))
+    known = V.with_ingested(sources.select("shard_id", "doc_id", blank.alias("blank")), manifest)
+    status = F.when(F.col("ingested"), "skip").when(F.col("blank"), "error").otherwise("ok")
+    fresh = V.without_docs(sources.filter(~blank), manifest)
+    cut = K.chunk_documents(fresh.select(F.struct("shard_id", "doc_id").alias("doc_id"), "text"))
+    rows = cut.select("doc_id.shard_id", "doc_id.doc_id", "chunk_index", "text", "chunk_len_tokens", "span_start", "span_end")
+    return V.dense_index(stored(embed(rows), "embedded"), base), known.select("shard_id", "doc_id", status.alias("status"))
 
 
 def embedded(rows: DataFrame, fn: Callable[[pd.Series], pd.Series], text_col: str = "text", out: str = "embedding") -> DataFrame:
     """rows that have more than blanks in their text, with the caller's vectors of it (a function of Arrow batches)."""
     small_batches(rows.sparkSession)
-    own = rows.filter(T.stripped(F.coalesce(text_col, F.lit(""))) != "")
+    own = rows.filter(~T.is_blank(F.col(text_col)))
     return own.withColumn(out, F.pandas_udf(fn, "array<float>")(text_col))
 
 
 def grown(store: dict[str, DataFrame], sources: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
     """The store with what is new in sources, and each source's status: chunks are numbered after each shard's vectors and stored
-    once; vectors, metadata and manifest get their rows from them."""
+    without their texts; vectors, metadata and manifest get their rows from them."""
     base = store["vectors"].groupBy("shard_id").agg(F.count("*").alias("base"))
-    rows, result = ingest(sources, store["manifest"], base, embed)
+    needed = lambda chunks: embed(chunks).select("shard_id", "doc_id", "chunk_index", "chunk_len_tokens", "embedding")
+    rows, result = ingest(sources, store["manifest"], base, needed)
     rows, result = stored(rows, "ingested"), stored(result, "results")
     out = {
         "vectors": appended(store["vectors"], rows.select("shard_id", "vector_index", "embedding"), store.get("dims")),
