@@ -74,7 +74,8 @@ def ingest(sources: DataFrame, manifest: DataFrame, base: DataFrame, embed: Call
     blank = T.is_blank(F.col("text"))
     known = V.with_ingested(sources.select("shard_id", "doc_id", blank.alias("blank")), manifest)
     status = F.when(F.col("ingested"), "skip").when(F.col("blank"), "error").otherwise("ok")
-    fresh = V.without_docs(sources.filter(~blank), manifest)
+    # texts meet the manifest in one shuffle at every size: a broadcast of small ones would end where the store grows
+    fresh = V.without_docs(sources.filter(~blank), manifest.hint("merge"))
     cut = K.chunk_documents(fresh.select(F.struct("shard_id", "doc_id").alias("doc_id"), "text"))
     rows = cut.select("doc_id.shard_id", "doc_id.doc_id", "chunk_index", "text", "chunk_len_tokens", "span_start", "span_end")
     return V.dense_index(stored(embed(rows), "embedded"), base), known.select("shard_id", "doc_id", status.alias("status"))
