@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from loomframe.llm.common import forget_half, read, small_batches
+from loomframe.llm.common import forget_half, held, read, small_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes that one worker remembers of pre-tokens, about, at most; bytes of the longest that it remembers; what an entry takes beside them.
@@ -136,14 +136,9 @@ class Encoder(dict):
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I"))) if ids else b""
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, pattern: str = public_tokenizers.PATTERN) -> Encoder:
     """This process's encoder for a rank file. The file must be at the path on every executor."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(read_ranks(path), pattern)
-    return _ENCODERS[path, pattern]
+    return held(("bpe", path, pattern), lambda: Encoder(read_ranks(path), pattern))
 
 
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, out: str = "ids") -> DataFrame:

@@ -16,8 +16,9 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import StructType
 
-from loomframe.llm.common import WORD, drop, durable, read
+from loomframe.llm.common import WORD, drop, durable, local_table, read
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -137,7 +138,7 @@ def plan(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     sizes = [n for _, n in found]
     goal = targets(sizes) if found and sum(sizes) else [0.0] * len(found)
     passes = [int(t // n) if n else 0 for t, n in zip(goal, sizes)]
-    names = spark.createDataFrame([(s, t - p * n, p, t) for (s, n), t, p in zip(found, goal, passes)], "source string, words double, passes int, target double")
+    names = _local(spark, [(s, t - p * n, p, t) for (s, n), t, p in zip(found, goal, passes)], "source string, words double, passes int, target double")
     limits = {r.source: r for r in _limits(rows, names).collect()}
     lines, quotas = [], []
     for (s, n), t, p in zip(found, goal, passes):
@@ -148,7 +149,12 @@ def plan(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
         lines.append((s, n, t, p, limit, more))
     bounds = np.cumsum(np.vstack([np.zeros((1, len(quotas)), np.int64), split(np.array(quotas, np.int64), shards)]), axis=0)
     rows_ = [(*line, [int(x) for x in bounds[:, k]]) for k, line in enumerate(lines)]
-    return F.broadcast(spark.createDataFrame(rows_, PLANNED))  # MAX_SOURCES rows at most
+    return F.broadcast(_local(spark, rows_, PLANNED))  # MAX_SOURCES rows at most
+
+
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    fields = StructType.fromDDL(schema)
+    return local_table(spark, {c: [r[k] for r in rows] for k, c in enumerate(fields.names)}, fields)
 
 
 PLANNED = "source string, source_size long, target double, passes int, limit long, more array<long>, bounds array<long>"

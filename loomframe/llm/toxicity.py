@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from loomframe.llm import string_kernel as sk
-from loomframe.llm.common import read, small_batches
+from loomframe.llm.common import held, local_table, read, small_batches
 
 #: Labelled texts of each class that a fit looks at, at most (those with the least hash of their id); bytes of one such text and
 #: of all together. Longer texts are scored whole like any other, only not learned from.
@@ -36,6 +36,8 @@ SHARE, ODDS, COMMON, PURE, ALONE = 0.01, 1.5, 0.05, 0.97, 3
 COSTS, FOLDS = (0.05, 0.2, 1.0), 3
 #: Tokens that one worker remembers at most, and characters of them.
 MEMO, MEMO_CHARS = 100_000, 8 << 20
+#: Texts whose tokens a worker holds at a time.
+PART = 200
 THRESHOLD = 0.7
 #: A clean text that is flagged counts as so many toxic ones missed, by share.
 CLEAN_WEIGHT = 4
@@ -78,7 +80,7 @@ class Scorer:
         for word, any_, row in zip(words, hit, near):
             self.known[word] = len(self.rows) if any_ else -1
             if any_:
-                self.rows.append(row)
+                self.rows.append(row.copy())  # a view would hold the rows of all words without any likeness too
         for token, us in new.items():
             found = [p for u in us if (p := self.known[u]) >= 0]
             if len(found) > 1:  # a word and its start, or windows of one long word: the greatest of each
@@ -115,15 +117,17 @@ class Scorer:
     def margins(self, x: np.ndarray) -> np.ndarray:
         return mapped(x, self.model.root) @ self.model.weights[:-1] + self.model.weights[-1]
 
+    def learned(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Features of texts, whose tokens are all held meanwhile."""
+        tokens = [tokens_of(t.lower()) if t else set() for t in texts]
+        self.learn(set().union(*tokens))
+        return [self.features(t) for t in tokens]
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """0 to 1 for each text; null and empty texts as those without any likeness."""
         x = np.zeros((len(texts), len(self.model.landmarks) + 1))
-        tokens = [tokens_of(t.lower()) if t else set() for t in texts]
-        for at in range(0, len(tokens), 200):
-            part = tokens[at : at + 200]
-            self.learn(set().union(*part))
-            for k, t in enumerate(part, at):
-                x[k] = self.features(t)
+        for at in range(0, len(texts), PART):
+            x[at : at + PART] = self.learned(texts[at : at + PART])
         z = np.clip(self.model.slope * self.margins(x) + self.model.offset, -30, 30)
         return 1 / (1 + np.exp(-z))
 
@@ -263,25 +267,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     light = docs.select("doc_id", F.xxhash64("text").alias("h"), size).join(F.broadcast(chosen), "doc_id").filter(F.col("size") <= FIT_TEXT)  # 2 * rows ids at most: safe to broadcast
     first = light.orderBy(F.xxhash64("doc_id"), "h").limit(2 * rows).toPandas()
     first = first[first["size"].cumsum() - first["size"] < FIT_BYTES]
-    keys = docs.sparkSession.createDataFrame(first[["doc_id", "h"]].drop_duplicates(), StructType([docs.schema["doc_id"], StructField("h", LongType())])) if len(first) else light.select("doc_id", "h").limit(0)
+    chosen_keys = first[["doc_id", "h"]].drop_duplicates()
+    schema = StructType([docs.schema["doc_id"], StructField("h", LongType())])
+    keys = local_table(docs.sparkSession, {c: chosen_keys[c].tolist() for c in schema.names}, schema) if len(first) else light.select("doc_id", "h").limit(0)
     found = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(keys), ["doc_id", "h"])
     texts = {(r.doc_id, r.h): r.text for r in found.groupBy("doc_id", "h").agg(F.first("text").alias("text")).collect()}
     return train([texts[k] for k in zip(first["doc_id"].tolist(), first["h"].tolist())], (first["toxic"] == 1).to_numpy())
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with the score of each whole text, 0 to 1. A column named as out is replaced."""
     small_batches(docs.sparkSession)
     key = uuid.uuid4().hex  # a worker keeps what it knows of tokens for all tasks of this call
 
     def score(texts: pd.Series) -> pd.Series:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(model)
-        return pd.Series(_SCORERS[key].scores(texts.tolist()))
+        return pd.Series(held(("toxicity", key), lambda: Scorer(model)).scores(texts.tolist()))
 
     return docs.withColumn(out, F.pandas_udf(score, DoubleType())(text_col))
 
